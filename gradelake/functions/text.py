@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space JavaScript trims and collapses.
-WS = r"[\t\n\x0B\f\r    -     　﻿]"
+WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 # Number formats accepted in an output.
 NUMBER = (
     rf"-?[$€£¥]?{WS}?-?[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\.[0-9]+)?%?"
@@ -112,7 +112,7 @@ def value_key(v: Column) -> Column:
     tokens = F.transform(F.regexp_extract_all(text, F.lit(JSON_TOKENS), F.lit(0)), _token_key)
     return (
         F.when(head == '"', scalar_key(F.try_variant_get(v, "$", "string")))
-        .when(head.isin("{", "["), F.array_join(tokens, "\u0001"))
+        .when(head.isin("{", "["), F.array_join(tokens, "\x01"))
         .when(head.rlike("[-0-9]"), number_key(F.try_variant_get(v, "$", "double")))
         .otherwise(text)
     )
