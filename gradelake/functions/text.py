@@ -7,6 +7,9 @@ the public ``reflect`` function, and only for rows that hold non-ASCII text.
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +33,14 @@ CARVE_TOKENS = r'(?s)"(?:[^"\\]++|\\.)*+"?+|[{}\[\]]|[^"{}\[\]]++'
 JSON_TOKENS = r'(?s)"(?:[^"\\]++|\\.)*+":?+|[{}\[\],]|[^"{}\[\],:]++'
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``.
+
+    A plain reuse of a Column repeats its evaluation inside conditions and lambdas.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def js_trim(c: Column) -> Column:
     """Trim with JavaScript's white-space set (F2)."""
     return F.regexp_replace(c, rf"^{WS}++|{WS}++$", "")
@@ -53,6 +64,11 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(nfkc(c)), rf"{WS}++", " "))
 
 
+def normalize_literal(text: str) -> str:
+    """``normalize_text`` of a value that is known on the driver."""
+    return " ".join(unicodedata.normalize("NFKC", text).lower().split())
+
+
 def _number_of(raw: Column) -> Column:
     digits = F.regexp_replace(raw, r"[^0-9.]", "")
     value = digits.try_cast("double")
@@ -61,8 +77,12 @@ def _number_of(raw: Column) -> Column:
 
 def number_in(normalized: Column) -> Column:
     """First number of an NFKC text, as ``struct<value, raw>``, or null."""
-    raw = F.regexp_extract(normalized, NUMBER, 0)
-    return F.when(raw != "", F.struct(_number_of(raw).alias("value"), raw.alias("raw")))
+    return bind(
+        F.regexp_extract(normalized, NUMBER, 0),
+        lambda raw: F.when(
+            raw != "", F.struct(_number_of(raw).alias("value"), raw.alias("raw"))
+        ),
+    )
 
 
 def parse_first_number(c: Column) -> Column:
@@ -72,10 +92,14 @@ def parse_first_number(c: Column) -> Column:
 
 def scalar_key(c: Column) -> Column:
     """Comparison key of a string scalar: a number when it is purely one."""
-    text = normalize_text(c)
-    raw = F.regexp_extract(text, NUMBER, 0)
-    number = F.when((raw != "") & (raw == text), _number_of(raw))
-    return F.when(number.isNotNull(), number_key(number)).otherwise(F.concat(F.lit("s:"), text))
+    def keyed(text: Column) -> Column:
+        # Only a text that is one number all through can have it as its first number.
+        is_number = text.rlike(rf"^(?:{NUMBER})$") & (F.regexp_extract(text, NUMBER, 0) == text)
+        return F.when(is_number, number_key(_number_of(text))).otherwise(
+            F.concat(F.lit("s:"), text)
+        )
+
+    return bind(normalize_text(c), keyed)
 
 
 def number_key(c: Column) -> Column:
@@ -107,15 +131,17 @@ def value_key(v: Column) -> Column:
     VARIANT keeps object keys sorted, so its JSON text is already canonical in
     key order and only the scalar tokens need work.
     """
-    text = F.to_json(v)
-    head = F.left(text, F.lit(1))
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(JSON_TOKENS), F.lit(0)), _token_key)
-    return (
-        F.when(head == '"', scalar_key(F.try_variant_get(v, "$", "string")))
-        .when(head.isin("{", "["), F.array_join(tokens, "\x01"))
-        .when(head.rlike("[-0-9]"), number_key(F.try_variant_get(v, "$", "double")))
-        .otherwise(text)
-    )
+    def keyed(v: Column, text: Column) -> Column:
+        head = F.left(text, F.lit(1))
+        tokens = F.transform(F.regexp_extract_all(text, F.lit(JSON_TOKENS), F.lit(0)), _token_key)
+        return (
+            F.when(head == '"', scalar_key(F.try_variant_get(v, "$", "string")))
+            .when(head.isin("{", "["), F.array_join(tokens, "\x01"))
+            .when(head.rlike("[-0-9]"), number_key(F.try_variant_get(v, "$", "double")))
+            .otherwise(text)
+        )
+
+    return bind(v, lambda one: bind(F.to_json(one), lambda text: keyed(one, text)))
 
 
 def fields_equal(actual: Column, expected: Column) -> Column:
@@ -154,25 +180,34 @@ def extract_json(c: Column) -> Column:
     brackets of that kind are balanced outside string literals and the piece is
     parsed; there is no second try. Positions are code points.
     """
-    text = js_trim(c)
-    start = F.regexp_instr(text, F.lit(r"[{\[]")) - 1
-    tail = F.substr(text, start + 1)
-    end = F.when(start >= 0, _carved(tail))
-    parts = F.struct(text.alias("text"), start.alias("start"), tail.alias("tail"), end.alias("end"))
-
-    def finish(p: Column) -> Column:
-        scalar = p["text"].rlike(rf"^{JSON_SCALAR}$")
-        piece = F.when(scalar, p["text"]).when(
-            p["end"].isNotNull(), F.left(p["tail"], p["end"])
+    def located(text: Column) -> Column:
+        start = F.regexp_instr(text, F.lit(r"[{\[]")) - 1
+        tail = F.substr(text, start + 1)
+        return bind(
+            F.struct(text.alias("text"), start.alias("start"), tail.alias("tail")),
+            lambda p: bind(F.when(p["start"] >= 0, _carved(p["tail"])), lambda end: parsed(p, end)),
+        )
+
+    def parsed(p: Column, end: Column) -> Column:
+        scalar = ~p["text"].rlike(r"^[{\[]") & p["text"].rlike(rf"^{JSON_SCALAR}$")
+        return bind(
+            F.struct(
+                F.try_parse_json(
+                    F.when(scalar, p["text"]).when(end.isNotNull(), F.left(p["tail"], end))
+                ).alias("value"),
+                scalar.alias("scalar"),
+            ),
+            lambda found: finish(p, end, found["value"], found["scalar"]),
         )
-        value = F.try_parse_json(piece)
+
+    def finish(p: Column, end: Column, value: Column, scalar: Column) -> Column:
         where = p["start"].cast("string")
         kind = F.when(F.left(p["tail"], F.lit(1)) == "{", "object").otherwise("array")
         error = (
             F.when(value.isNotNull(), F.lit(None).cast("string"))
             .when(p["start"] < 0, "output contains no JSON object or array")
             .when(
-                p["end"].isNull(),
+                end.isNull(),
                 F.concat(
                     F.lit("output contains an unclosed "), kind,
                     F.lit(" starting at character "), where,
@@ -184,7 +219,7 @@ def extract_json(c: Column) -> Column:
                 )
             )
         )
-        whole = scalar | ((p["start"] == 0) & (p["end"] == F.length(p["text"])))
+        whole = scalar | ((p["start"] == 0) & (end == F.length(p["text"])))
         needed = (p["start"] >= 0) & ~(F.coalesce(whole, F.lit(False)) & value.isNotNull())
         return F.struct(
             value.alias("value"),
@@ -193,8 +228,8 @@ def extract_json(c: Column) -> Column:
             error.alias("error"),
         )
 
-    # The one-element array binds the parts once; each is used several times.
-    return F.when(c.isNotNull(), F.element_at(F.transform(F.array(parts), finish), 1))
+    return F.when(c.isNotNull(), bind(js_trim(c), located))
+
 
 
 def kebab(c: Column) -> Column:
@@ -203,13 +238,29 @@ def kebab(c: Column) -> Column:
     return F.regexp_replace(dashed, r"^-+|-+$", "")
 
 
+def strict_json(c: Column) -> Column:
+    """VARIANT of a text that is JSON as a whole, or null."""
+    return bind(
+        extract_json(c), lambda x: F.when(x["ok"] & ~x["extraction_needed"], x["value"])
+    )
+
+
+def json_string(v: Column) -> Column:
+    """Text of a VARIANT that is a JSON string, else null."""
+    return bind(v, lambda x: F.when(json_kind(x) == '"', F.try_variant_get(x, "$", "string")))
+
+
+def json_number(v: Column, kind: str = "double") -> Column:
+    """Value of a VARIANT that is a JSON number, else null."""
+    return bind(
+        v, lambda x: F.when(json_kind(x).rlike("^[-0-9]"), F.try_variant_get(x, "$", kind))
+    )
+
+
 def error_message(body: Column) -> Column:
     """Message of an error body."""
+    text = json_string(F.try_variant_get(strict_json(body), "$.error", "variant"))
     trimmed = js_trim(body)
-    is_json = extract_json(body)
-    parsed = F.when(is_json["ok"] & ~is_json["extraction_needed"], is_json["value"])
-    field = F.try_variant_get(parsed, "$.error", "variant")
-    text = F.when(json_kind(field) == '"', F.try_variant_get(field, "$", "string"))
     return F.coalesce(text, F.when(trimmed == "", "empty error response").otherwise(trimmed))
 
 

@@ -18,7 +18,7 @@ def planned_bytes(df: DataFrame) -> int | None:
     plan = getattr(df, "_jdf", None)
     if plan is None:
         return None
-    return int(plan.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def lookup_join(

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradelake.functions.text import json_kind, number_key
+from gradelake.functions.text import bind, json_kind, number_key
 
 KEYWORDS = frozenset({
     "type", "required", "properties", "additionalProperties", "enum", "pattern",
@@ -22,8 +22,16 @@ ANNOTATIONS = frozenset({"$schema", "$id", "title", "description", "default", "e
 Check = Callable[[Column], Column]
 
 
-def _is_type(v: Column, name: str) -> Column:
-    kind = json_kind(v)
+def _node_check(here: Column, node: Mapping, where: str) -> Column:
+    """Violations of one schema node; its value and the value's kind are read once."""
+    def checked(v: Column, kind: Column) -> Column:
+        found = _violations(v, kind, node, where)
+        return F.concat(*found) if found else F.array().cast("array<string>")
+
+    return bind(here, lambda v: bind(json_kind(v), lambda kind: checked(v, kind)))
+
+
+def _is_type(v: Column, kind: Column, name: str) -> Column:
     number = kind.rlike("[-0-9]")
     value = F.try_variant_get(v, "$", "double")
     known = {
@@ -59,10 +67,8 @@ def compile_schema(schema: Mapping) -> Check:
         found: list[Column] = []
         for pointer, path, node in rules:
             here = value if path == "$" else F.try_variant_get(value, path, "variant")
-            found.extend(_violations(here, node, pointer or "(root)"))
-        if not found:
-            return F.array().cast("array<string>")
-        return F.flatten(F.array(*found))
+            found.append(_node_check(here, node, pointer or "(root)"))
+        return F.concat(*found)
 
     return check
 
@@ -85,16 +91,16 @@ def _when(broken: Column, message: str) -> Column:
     )
 
 
-def _violations(v: Column, node: Mapping, where: str) -> list[Column]:
+def _violations(v: Column, kind: Column, node: Mapping, where: str) -> list[Column]:
     out: list[Column] = []
     if "type" in node:
         names = [node["type"]] if isinstance(node["type"], str) else list(node["type"])
         fits = F.lit(False)
         for name in names:
-            fits = fits | _is_type(v, name)
+            fits = fits | _is_type(v, kind, name)
         out.append(_when(~fits, f"{where} must be {','.join(names)}"))
-    number = F.when(_is_type(v, "number"), F.try_variant_get(v, "$", "double"))
-    text = F.when(_is_type(v, "string"), F.try_variant_get(v, "$", "string"))
+    number = F.when(_is_type(v, kind, "number"), F.try_variant_get(v, "$", "double"))
+    text = F.when(_is_type(v, kind, "string"), F.try_variant_get(v, "$", "string"))
     if "maximum" in node:
         out.append(_when(number > float(node["maximum"]), f"{where} must be <= {node['maximum']}"))
     if "minimum" in node:
@@ -116,7 +122,7 @@ def _violations(v: Column, node: Mapping, where: str) -> list[Column]:
                 f"{where} must be equal to one of the allowed values",
             )
         )
-    is_object = _is_type(v, "object")
+    is_object = _is_type(v, kind, "object")
     keys = F.map_keys(F.when(is_object, F.try_variant_get(v, "$", "map<string,variant>")))
     for key in node.get("required", []):
         out.append(
@@ -139,7 +145,7 @@ def _violations(v: Column, node: Mapping, where: str) -> list[Column]:
 def _exact_key(v: Column) -> Column:
     """JSON text of a value; numbers by value, so 1 and 1.0 are the same."""
     as_number = number_key(F.try_variant_get(v, "$", "double"))
-    return F.when(_is_type(v, "number"), as_number).otherwise(F.to_json(v))
+    return F.when(json_kind(v).rlike("[-0-9]"), as_number).otherwise(F.to_json(v))
 
 
 def _any_equal(text: Column, allowed: list[Column]) -> Column:

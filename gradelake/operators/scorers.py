@@ -52,11 +52,6 @@ def record(score: Column, passed: Column, **details: Column) -> Column:
     )
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _strings(values: Sequence[str] | Column) -> Column:
     return values if isinstance(values, Column) else F.array(*[F.lit(v) for v in values])
 
@@ -81,18 +76,12 @@ def label_table(labels: Sequence[str] | Column, aliases: Mapping[str, str] | Col
     Ordered so that the first hit is the one that counts: aliases override
     labels, later entries override earlier ones.
     """
-    names = _strings(labels)
-    if aliases is None:
-        aliases = {}
-    if not isinstance(aliases, Column):
-        entries = F.array(
-            *[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in aliases.items()]
-        )
-        entries = entries if aliases else entries.cast("array<struct<key:string,value:string>>")
-    else:
-        entries = F.coalesce(
-            F.map_entries(aliases), F.array().cast("array<struct<key:string,value:string>>")
-        )
+    if not isinstance(labels, Column):
+        return _literal_label_table(labels, aliases or {})
+    names = labels
+    entries = F.coalesce(
+        F.map_entries(aliases), F.array().cast("array<struct<key:string,value:string>>")
+    )
     own_keys = F.transform(names, T.normalize_text)
     alias_keys = F.transform(entries, lambda e: T.normalize_text(e["key"]))
     targets = F.transform(
@@ -110,6 +99,16 @@ def label_table(labels: Sequence[str] | Column, aliases: Mapping[str, str] | Col
     )
 
 
+def _literal_label_table(labels: Sequence[str], aliases: Mapping[str, str]):
+    table = {T.normalize_literal(label): label for label in labels}
+    for alias, target in aliases.items():
+        label = table.get(T.normalize_literal(target))
+        if label is None:
+            raise ValueError(f'alias "{alias}" points at "{target}", which is not a declared label')
+        table[T.normalize_literal(alias)] = label
+    return _strings(list(table)), _strings(list(table.values()))
+
+
 def resolve_label(keys: Column, labels: Column, normalized: Column) -> Column:
     """Label a normalised text stands for, or null."""
     position = F.nullif(F.array_position(keys, normalized), F.lit(0)).cast("int")
@@ -125,7 +124,7 @@ def exact_label_with(keys: Column, labels: Column, output: Output, expected: Col
         reason = F.when(found.isNull(), "output is not a declared label or alias")
         return record(match.cast("double"), match, resolved_label=found, reason=reason)
 
-    return _bind(resolve_label(keys, labels, output.normalized), judged)
+    return T.bind(resolve_label(keys, labels, output.normalized), judged)
 
 
 def exact_label(output, expected, labels, aliases=None) -> Column:
@@ -139,44 +138,52 @@ def field_f1(output, expected: Column, key_fields) -> Column:
     wanted = _strings(key_fields)
 
     def compared(ext: Column) -> Column:
-        actual = F.try_variant_get(ext["value"], "$", "map<string,variant>")
-        truth = F.try_variant_get(expected, "$", "map<string,variant>")
-
-        def status(field: Column) -> Column:
-            present = F.coalesce(F.map_contains_key(actual, field), F.lit(False))
-            known = F.coalesce(F.map_contains_key(truth, field), F.lit(False))
-            equal = known & (
-                _json_or_null(F.try_element_at(actual, field))
-                == _json_or_null(F.try_element_at(truth, field))
-            )
-            verdict = (
-                F.when(~present, "missing").when(equal, "match").otherwise("mismatch")
-            )
-            return F.struct(field.alias("field"), verdict.alias("status"))
-
-        def counted(fields: Column) -> Column:
-            def count(status_name: str) -> Column:
-                return F.size(F.filter(fields, lambda f: f["status"] == status_name))
-
-            hits = count("match").cast("double")
-            precision = F.coalesce(F.try_divide(hits, hits + count("mismatch")), F.lit(0.0))
-            recall = F.coalesce(F.try_divide(hits, F.size(fields)), F.lit(0.0))
-            f1 = F.coalesce(
-                F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)
-            )
-            reason = F.when(~ext["ok"], F.concat(F.lit("output is not JSON: "), ext["error"])).when(
-                actual.isNull(),
-                "output JSON is not an object, so there are no fields to compare",
-            )
-            return record(
-                f1, hits == F.size(fields), reason=reason,
-                extraction_needed=ext["extraction_needed"], fields=fields,
-                precision=precision, recall=recall, f1=f1,
-            )
-
-        return _bind(F.transform(wanted, status), counted)
-
-    return _bind(_output(output).extracted, compared)
+        sides = F.struct(
+            F.try_variant_get(ext["value"], "$", "map<string,variant>").alias("actual"),
+            F.try_variant_get(expected, "$", "map<string,variant>").alias("truth"),
+        )
+        return T.bind(
+            sides,
+            lambda pair: T.bind(
+                F.transform(wanted, lambda field: status(pair["actual"], pair["truth"], field)),
+                lambda fields: counted(ext, pair["actual"], fields),
+            ),
+        )
+
+    def status(actual: Column, truth: Column, field: Column) -> Column:
+        present = F.coalesce(F.map_contains_key(actual, field), F.lit(False))
+        known = F.coalesce(F.map_contains_key(truth, field), F.lit(False))
+        equal = known & (
+            _json_or_null(F.try_element_at(actual, field))
+            == _json_or_null(F.try_element_at(truth, field))
+        )
+        verdict = F.when(~present, "missing").when(equal, "match").otherwise("mismatch")
+        return F.struct(field.alias("field"), verdict.alias("status"))
+
+    def counted(ext: Column, actual: Column, fields: Column) -> Column:
+        def count(name: str) -> Column:
+            return F.size(F.filter(fields, lambda f: f["status"] == name))
+
+        tallies = F.struct(
+            count("match").cast("double").alias("hits"),
+            count("mismatch").alias("wrong"), F.size(fields).alias("n"),
+        )
+        return T.bind(tallies, lambda n: judged(ext, actual, fields, n))
+
+    def judged(ext: Column, actual: Column, fields: Column, n: Column) -> Column:
+        precision = F.coalesce(F.try_divide(n["hits"], n["hits"] + n["wrong"]), F.lit(0.0))
+        recall = F.coalesce(F.try_divide(n["hits"], n["n"]), F.lit(0.0))
+        f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+        reason = F.when(~ext["ok"], F.concat(F.lit("output is not JSON: "), ext["error"])).when(
+            actual.isNull(), "output JSON is not an object, so there are no fields to compare"
+        )
+        return record(
+            f1, n["hits"] == n["n"], reason=reason,
+            extraction_needed=ext["extraction_needed"], fields=fields,
+            precision=precision, recall=recall, f1=f1,
+        )
+
+    return T.bind(_output(output).extracted, compared)
 
 
 def _json_or_null(v: Column) -> Column:
@@ -192,7 +199,7 @@ def json_schema(output, schema: Mapping) -> Column:
         found = F.when(ext["ok"], check(ext["value"])).otherwise(
             F.array(F.concat(F.lit("output is not JSON: "), ext["error"]))
         )
-        return _bind(
+        return T.bind(
             found,
             lambda violations: record(
                 (F.size(violations) == 0).cast("double"), F.size(violations) == 0,
@@ -200,7 +207,7 @@ def json_schema(output, schema: Mapping) -> Column:
             ),
         )
 
-    return _bind(_output(output).extracted, judged)
+    return T.bind(_output(output).extracted, judged)
 
 
 def pattern(output, patterns, mode="contains", match="all") -> Column:
@@ -221,7 +228,7 @@ def pattern(output, patterns, mode="contains", match="all") -> Column:
         passed = F.when(match_c == "all", n == F.size(results)).otherwise(n > 0)
         return record(n / F.size(results), passed, patterns=results, matched_count=n)
 
-    return _bind(F.transform(_strings(patterns), found), judged)
+    return T.bind(F.transform(_strings(patterns), found), judged)
 
 
 def numeric_tolerance(output, expected: Column, tolerance, mode="absolute") -> Column:
@@ -243,7 +250,7 @@ def numeric_tolerance(output, expected: Column, tolerance, mode="absolute") -> C
             reason=reason,
         )
 
-    return _bind(_output(output).number, judged)
+    return T.bind(_output(output).number, judged)
 
 
 def _output(output) -> Output:
@@ -260,20 +267,26 @@ def with_gates(primary: tuple[str, Column], gates: Sequence[tuple[str, Column]])
 
 def compose(name: Column, primary: Column, gates: Column | None) -> Column:
     """C6 over an array of gate records in declared order."""
-    def judged(pair: Column) -> Column:
-        main, failed = pair["main"], pair["failed"]
+    def judged(main: Column, records: Column | None, failed: Column) -> Column:
         return F.struct(
             F.when(failed.isNull(), main["score"]).otherwise(0.0).alias("score"),
             (failed.isNull() & main["pass"]).alias("pass"),
             F.struct(
                 failed.alias("failed_gate"),
                 F.struct(name.alias("name"), main.alias("record")).alias("primary"),
-                (gates if gates is not None else F.lit(None)).alias("gates"),
+                (records if records is not None else F.lit(None)).alias("gates"),
             ).alias("details"),
         )
 
-    failed = F.lit(None).cast("string") if gates is None else first_failed_gate(gates)
-    return _bind(F.struct(primary.alias("main"), failed.alias("failed")), judged)
+    if gates is None:
+        return T.bind(primary, lambda main: judged(main, None, F.lit(None).cast("string")))
+    return T.bind(
+        F.struct(primary.alias("main"), gates.alias("gates")),
+        lambda both: T.bind(
+            first_failed_gate(both["gates"]),
+            lambda failed: judged(both["main"], both["gates"], failed),
+        ),
+    )
 
 
 def first_failed_gate(gates: Column) -> Column:

@@ -113,9 +113,9 @@ def rescored_units(
     for c in ("score", "pass", "details"):
         same = same & F.col(c).eqNullSafe(F.col(f"stored_{c}"))
     use = F.col("ready") & ~same
-    out = fresh.withColumn("changed", use)
-    for c in stored:
-        out = out.withColumn(c, F.when(use, F.col(c)).otherwise(F.col(f"stored_{c}")))
+    out = fresh.withColumn("changed", use).withColumns({
+        c: F.when(F.col("changed"), F.col(c)).otherwise(F.col(f"stored_{c}")) for c in stored
+    })
     rescored = out.select(*units.columns, "ready", "changed")
     tally = rescored.groupBy("run_id").agg(
         F.count_if("ready").alias("checked"), F.count_if("changed").alias("changed")

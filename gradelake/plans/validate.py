@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.functions.text import extract_json, is_blank, js_trim, json_kind, kebab, normalize_text
+from gradelake.functions.text import (
+    extract_json, is_blank, js_trim, json_kind, json_number, json_string, kebab, normalize_text,
+)
 from gradelake.operators.scale import group_index, keep_first, lookup_join
 from gradelake.operators.scorers import label_table, resolve_label, scorer_names
 from gradelake.operators.sets import is_off_label, missing_labels, off_label
@@ -26,14 +28,6 @@ def _at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
-def _string(v: Column) -> Column:
-    return F.when(json_kind(v) == '"', F.try_variant_get(v, "$", "string"))
-
-
-def _number(v: Column) -> Column:
-    return F.when(json_kind(v).rlike("[-0-9]"), F.try_variant_get(v, "$", "double"))
-
-
 def _is(v: Column, kind: str) -> Column:
     return F.coalesce(json_kind(v) == kind, F.lit(False))
 
@@ -43,13 +37,13 @@ def _rules(*rules: Column) -> Column:
 
 
 def _nonblank(v: Column, name: str) -> Column:
-    blank = F.coalesce(is_blank(_string(v)), F.lit(True))
+    blank = F.coalesce(is_blank(json_string(v)), F.lit(True))
     return F.when(blank, f'"{name}" must be a non-empty string')
 
 
 def _known_scorer(v: Column, name: str) -> Column:
     known = scorer_names()
-    text = _string(v)
+    text = json_string(v)
     bad = text.isNotNull() & ~is_blank(text) & ~text.isin(*known)
     return F.when(
         bad,
@@ -86,7 +80,7 @@ def validate_examples(files: DataFrame, text: str = "value") -> DataFrame:
 def manifest_problems(m: Column) -> Column:
     """Every broken rule of a manifest VARIANT, in order."""
     def numeric(key: str, whole: bool, least: float | None) -> Column:
-        value = _number(_at(m, f"$.generation.{key}"))
+        value = json_number(_at(m, f"$.generation.{key}"))
         name = f'"generation.{key}"'
         rule = F.when(value.isNull(), f"{name} must be a number")
         if whole:
@@ -105,7 +99,7 @@ def manifest_problems(m: Column) -> Column:
     def gate(entry: Column, i: Column) -> Column:
         where = F.concat(F.lit('"gates['), i.cast("string"), F.lit("]"))
         scorer = _at(entry, "$.scorer")
-        text = _string(scorer)
+        text = json_string(scorer)
         own = _at(entry, "$.scorer_params")
         return (
             F.when(~_is(entry, "{"), F.concat(where, F.lit('" must be a mapping')))
@@ -201,7 +195,7 @@ def param_problems(scorer: Column, params: Column) -> Column:
 
     def choice(name: str, key: str, choices: tuple[str, ...]) -> Column:
         given = _at(params, f"$.{key}")
-        bad = given.isNotNull() & ~F.coalesce(_string(given).isin(*choices), F.lit(False))
+        bad = given.isNotNull() & ~F.coalesce(json_string(given).isin(*choices), F.lit(False))
         return need(name, key, f"must be one of: {', '.join(choices)}", bad)
 
     aliases = _at(params, "$.aliases")
@@ -218,7 +212,7 @@ def param_problems(scorer: Column, params: Column) -> Column:
             labels, normalize_text(F.try_variant_get(e["value"], "$", "string"))
         ),
     )
-    tolerance = _number(_at(params, "$.tolerance"))
+    tolerance = json_number(_at(params, "$.tolerance"))
     return _rules(
         strings("exact-label", "labels"),
         need(
@@ -261,7 +255,7 @@ def expected_problem(scorer: Column, params: Column, expected: Column) -> Column
         F.try_variant_get(params, "$.labels", "array<string>"),
         F.try_variant_get(params, "$.aliases", "map<string,string>"),
     )
-    known = resolve_label(keys, names, normalize_text(_string(expected))).isNotNull()
+    known = resolve_label(keys, names, normalize_text(json_string(expected))).isNotNull()
 
     def wrong(name: str, bad: Column, what: str) -> Column:
         return F.when(
@@ -273,7 +267,7 @@ def expected_problem(scorer: Column, params: Column, expected: Column) -> Column
         wrong("exact-label", ~known, ", which is not in labels"),
         wrong("field-f1", ~_is(expected, "{"), ", but this scorer needs an object"),
         wrong(
-            "numeric-tolerance", _number(expected).isNull(), ", which is not a finite number"
+            "numeric-tolerance", json_number(expected).isNull(), ", which is not a finite number"
         ),
     )
 
@@ -331,7 +325,7 @@ def parse_drafts(outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def entry_problem(entry: Column) -> Column:
     """What is wrong with one proposed example, or null."""
-    source = _string(_at(entry, "$.input"))
+    source = json_string(_at(entry, "$.input"))
     return (
         F.when(~_is(entry, "{"), "must be an object with input and expected")
         .when(F.coalesce(is_blank(source), F.lit(True)), "input must be a non-empty string")
@@ -353,8 +347,8 @@ def distinct_examples(entries: DataFrame) -> DataFrame:
 def validate_drafts(drafts: DataFrame, entries: DataFrame) -> DataFrame:
     """Problems of drafted packs (V6): ``(draft_id, place, message)``."""
     doc = F.col("draft")
-    scorer, params = _string(_at(doc, "$.scorer")), _at(doc, "$.scorer_params")
-    prompt, listed = _string(_at(doc, "$.prompt")), _at(doc, "$.examples")
+    scorer, params = json_string(_at(doc, "$.scorer")), _at(doc, "$.scorer_params")
+    prompt, listed = json_string(_at(doc, "$.prompt")), _at(doc, "$.examples")
     labels = F.when(
         (scorer == "exact-label") & _string_array(_at(params, "$.labels")),
         F.try_variant_get(params, "$.labels", "array<string>"),
@@ -380,7 +374,7 @@ def validate_drafts(drafts: DataFrame, entries: DataFrame) -> DataFrame:
     counts = kept.groupBy("draft_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("key_fields").isNotNull() & lacks).alias("n_lacking"),
-        F.count_if(_number(expected).isNull()).alias("n_not_number"),
+        F.count_if(json_number(expected).isNull()).alias("n_not_number"),
     )
     astray = off_label(
         kept.filter(F.col("labels").isNotNull()).withColumnRenamed("draft_id", "pack")
@@ -389,13 +383,13 @@ def validate_drafts(drafts: DataFrame, entries: DataFrame) -> DataFrame:
     n = F.coalesce("n", F.lit(0))
     unnamed = missing_labels(F.col("labels"), prompt)
     known = F.coalesce(scorer.isin(*scorer_names()), F.lit(False))
-    tolerance = _number(_at(params, "$.tolerance"))
+    tolerance = json_number(_at(params, "$.tolerance"))
 
     def fit(name: str, bad: Column, message) -> Column:
         return F.when(known & (scorer == name) & bad, message)
 
     rules = _rules(
-        F.when(F.coalesce(kebab(_string(_at(doc, "$.name"))) == "", F.lit(True)),
+        F.when(F.coalesce(kebab(json_string(_at(doc, "$.name"))) == "", F.lit(True)),
                '"name" must be a non-empty string'),
         _nonblank(_at(doc, "$.type"), "type"),
         F.when(~known, f'"scorer" must be one of: {", ".join(scorer_names())}'),
@@ -457,7 +451,7 @@ def salvage_drafts(drafts: DataFrame, entries: DataFrame) -> tuple[DataFrame, Da
     known = scorer_names()
 
     def text(path: str) -> Column:
-        return _string(_at(doc, path))
+        return json_string(_at(doc, path))
 
     def usable(value: Column, test: Callable[[Column], Column], fallback: str) -> Column:
         return F.when(F.coalesce(test(value), F.lit(False)), value).otherwise(fallback)

@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.functions.text import is_blank, js_trim, json_kind
-from gradelake.sources.packs import strict_json
-
-
-def _text(v: Column) -> Column:
-    return F.when(json_kind(v) == '"', F.try_variant_get(v, "$", "string"))
-
-
-def _number(v: Column, kind: str = "bigint") -> Column:
-    return F.when(json_kind(v).rlike("[-0-9]"), F.try_variant_get(v, "$", kind))
+from gradelake.functions.text import (
+    is_blank, js_trim, json_kind, json_number, json_string, strict_json,
+)
 
 
 def _field(doc: Column, path: str) -> Column:
@@ -28,25 +21,29 @@ def parse_generation_log(lines: DataFrame) -> DataFrame:
     known shape becomes a ``bad`` event with the line in ``quarantine``.
     """
     kept = lines.filter(~is_blank(F.col("line"))).withColumn("_d", strict_json(F.col("line")))
-    doc = F.when(json_kind(F.col("_d")) == "{", F.col("_d"))
-    error, response = _text(_field(doc, "$.error")), _text(_field(doc, "$.response"))
-    done = F.coalesce(json_kind(_field(doc, "$.done")) == "t", F.lit(False))
+    doc = F.col("_d")
+    # Paths of a document that is no object lead nowhere, so they give null.
+    fields = kept.withColumns({
+        "_error": json_string(_field(doc, "$.error")),
+        "_response": json_string(_field(doc, "$.response")),
+        "_done": F.coalesce(json_kind(_field(doc, "$.done")) == "t", F.lit(False)),
+    })
     kind = (
-        F.when(error.isNotNull(), "error").when(done, "done")
-        .when(response.isNotNull(), "token").otherwise("bad")
+        F.when(F.col("_error").isNotNull(), "error").when(F.col("_done"), "done")
+        .when(F.col("_response").isNotNull(), "token").otherwise("bad")
     )
     is_done = kind == "done"
-    return kept.withColumns({
+    return fields.withColumns({
         "kind": kind,
-        "text": F.when(kind == "token", response),
-        "message": F.when(kind == "error", error),
+        "text": F.when(kind == "token", F.col("_response")),
+        "message": F.when(kind == "error", F.col("_error")),
         "done_reason": F.when(
-            is_done, F.coalesce(_text(_field(doc, "$.done_reason")), F.lit("unknown"))
+            is_done, F.coalesce(json_string(_field(doc, "$.done_reason")), F.lit("unknown"))
         ),
-        "prompt_token_count": F.when(is_done, _number(_field(doc, "$.prompt_eval_count"))),
-        "output_token_count": F.when(is_done, _number(_field(doc, "$.eval_count"))),
+        "prompt_token_count": F.when(is_done, json_number(_field(doc, "$.prompt_eval_count"), "bigint")),
+        "output_token_count": F.when(is_done, json_number(_field(doc, "$.eval_count"), "bigint")),
         "quarantine": F.when(kind == "bad", F.col("line")),
-    }).drop("_d")
+    }).drop("_d", "_error", "_response", "_done")
 
 
 def parse_sse_log(lines: DataFrame) -> DataFrame:
@@ -68,10 +65,10 @@ def parse_sse_log(lines: DataFrame) -> DataFrame:
     doc = F.col("_d")
     return live.select(
         "generation_id", "seq",
-        F.nullif(_text(_field(doc, "$.choices[0].delta.content")), F.lit("")).alias("text"),
-        _text(_field(doc, "$.choices[0].finish_reason")).alias("finish_reason"),
-        _number(_field(doc, "$.usage.prompt_tokens")).alias("prompt_tokens"),
-        _number(_field(doc, "$.usage.completion_tokens")).alias("completion_tokens"),
+        F.nullif(json_string(_field(doc, "$.choices[0].delta.content")), F.lit("")).alias("text"),
+        json_string(_field(doc, "$.choices[0].finish_reason")).alias("finish_reason"),
+        json_number(_field(doc, "$.usage.prompt_tokens"), "bigint").alias("prompt_tokens"),
+        json_number(_field(doc, "$.usage.completion_tokens"), "bigint").alias("completion_tokens"),
     )
 
 
@@ -103,16 +100,16 @@ def explode_models(listings: DataFrame) -> DataFrame:
     )
     m = F.col("m")
     return entries.select(
-        "listing_id", "seq", _text(_field(m, "$.name")).alias("name"),
-        F.coalesce(_text(_field(m, "$.digest")), F.lit("")).alias("digest"),
-        F.coalesce(_number(_field(m, "$.size")), F.lit(0)).alias("size_bytes"),
-        F.nullif(_text(_field(m, "$.details.quantization_level")), F.lit("")).alias(
+        "listing_id", "seq", json_string(_field(m, "$.name")).alias("name"),
+        F.coalesce(json_string(_field(m, "$.digest")), F.lit("")).alias("digest"),
+        F.coalesce(json_number(_field(m, "$.size"), "bigint"), F.lit(0)).alias("size_bytes"),
+        F.nullif(json_string(_field(m, "$.details.quantization_level")), F.lit("")).alias(
             "quantization"
         ),
-        F.nullif(_text(_field(m, "$.details.parameter_size")), F.lit("")).alias(
+        F.nullif(json_string(_field(m, "$.details.parameter_size")), F.lit("")).alias(
             "parameter_size"
         ),
-        F.coalesce(_text(_field(m, "$.remote_host")) != "", F.lit(False)).alias("remote"),
+        F.coalesce(json_string(_field(m, "$.remote_host")) != "", F.lit(False)).alias("remote"),
     ).filter(F.col("name").isNotNull())
 
 
@@ -198,4 +195,4 @@ def parse_meminfo(text: Column) -> Column:
 def parse_status(body: Column) -> Column:
     """Active memory of a server status body in whole MiB, or null."""
     active = _field(strict_json(body), "$.metal.active_memory_gb")
-    return F.floor(_number(active, "double") * 1024 + 0.5).cast("bigint")
+    return F.floor(json_number(active) * 1024 + 0.5).cast("bigint")

@@ -5,52 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.functions.text import extract_json, is_blank, json_kind
+from gradelake.functions.text import bind, is_blank, json_kind, json_string, strict_json
 from gradelake.operators.scale import group_index
 
 
-def strict_json(text: Column) -> Column:
-    """VARIANT of a text that is JSON as a whole, or null."""
-    found = extract_json(text)
-    return F.when(found["ok"] & ~found["extraction_needed"], found["value"])
-
-
 def parse_example(text: Column) -> Column:
     """``struct<input, expected, problems>`` of one example file.
 
     ``problems`` lists every broken rule; input and expected are null then.
     """
     def judged(doc: Column) -> Column:
-        given = F.try_variant_get(doc, "$.input", "variant")
-        source = F.when(json_kind(given) == '"', F.try_variant_get(given, "$", "string"))
-        expected = F.try_variant_get(doc, "$.expected", "variant")
+        return bind(
+            F.struct(
+                json_string(F.try_variant_get(doc, "$.input", "variant")).alias("source"),
+                F.try_variant_get(doc, "$.expected", "variant").alias("expected"),
+                F.coalesce(json_kind(doc), F.lit("")).alias("kind"),
+                F.try_variant_get(doc, "$.replace_me", "variant").isNotNull().alias("stub"),
+            ),
+            checked,
+        )
+
+    def checked(e: Column) -> Column:
         broken = (
-            F.when(doc.isNull(), F.array(F.lit("not valid JSON")))
-            .when(json_kind(doc) != "{", F.array(F.lit("must be a JSON object")))
-            .when(
-                F.try_variant_get(doc, "$.replace_me", "variant").isNotNull(),
-                F.array(F.lit("placeholder example")),
-            )
+            F.when(e["kind"] == "", F.array(F.lit("not valid JSON")))
+            .when(e["kind"] != "{", F.array(F.lit("must be a JSON object")))
+            .when(e["stub"], F.array(F.lit("placeholder example")))
             .otherwise(
                 F.array_compact(
                     F.array(
                         F.when(
-                            F.coalesce(is_blank(source), F.lit(True)),
+                            F.coalesce(is_blank(e["source"]), F.lit(True)),
                             "input must be a non-empty string",
                         ),
-                        F.when(expected.isNull(), "missing expected"),
+                        F.when(e["expected"].isNull(), "missing expected"),
                     )
                 )
             )
         )
-        clean = F.size(broken) == 0
-        return F.struct(
-            F.when(clean, source).alias("input"),
-            F.when(clean, expected).alias("expected"),
-            broken.alias("problems"),
+        return bind(
+            broken,
+            lambda problems: F.struct(
+                F.when(F.size(problems) == 0, e["source"]).alias("input"),
+                F.when(F.size(problems) == 0, e["expected"]).alias("expected"),
+                problems.alias("problems"),
+            ),
         )
 
-    return F.element_at(F.transform(F.array(strict_json(text)), judged), 1)
+    return bind(strict_json(text), judged)
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:

@@ -66,7 +66,7 @@ class Timeline(StatefulProcessor):
     """Bounded timeline of one candidate.
 
     The state holds at most ``cap`` kept samples plus the peak and counters.
-    Within a batch samples are taken in time order.
+    Samples are taken as they arrive, in time order within an Arrow batch.
     """
 
     schema = (
@@ -82,14 +82,16 @@ class Timeline(StatefulProcessor):
         self.totals = handle.getValueState("totals", "peak double, n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = list(self.kept.get())
+        kept = [tuple(row) for row in self.kept.get()]
         peak, n = self.totals.get() if self.totals.exists() else (float("-inf"), 0)
-        batch = pd.concat(list(rows)).sort_values(["at", "sample_id"])
-        for at, used in zip(batch["at"], batch["used_mib"]):
-            kept.append((at, float(used)))
-            if len(kept) >= self.cap:
-                kept = kept[::2]
-        peak, n = max(peak, float(batch["used_mib"].max())), n + len(batch)
+        # One Arrow batch at a time: memory is the kept samples plus one batch.
+        for batch in rows:
+            batch = batch.sort_values(["at", "sample_id"])
+            for at, used in zip(batch["at"], batch["used_mib"]):
+                kept.append((at, float(used)))
+                if len(kept) >= self.cap:
+                    kept = kept[::2]
+            peak, n = max(peak, float(batch["used_mib"].max())), n + len(batch)
         self.kept.put(kept)
         self.totals.update((peak, n))
         yield pd.DataFrame({
@@ -141,25 +143,26 @@ class Completion(StatefulProcessor):
         )
         if closed:
             return
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"])
-        ends = batch.index[batch["kind"].isin(["done", "error"]).to_numpy()]
-        live = batch
-        if len(ends):
-            stop = batch["kind"].isin(["done", "error"]).to_numpy().argmax()
-            live, last = batch.iloc[:stop], batch.iloc[stop]
-        tokens += int((live["kind"] == "token").sum())
         if deadline:
             self.handle.deleteTimer(deadline)
-        if len(ends):
-            self.seen.update((tokens, True, 0))
-            if last["kind"] == "done":
-                yield self._row(key, "completed", last["done_reason"], None, False, tokens)
-            else:
-                yield self._row(
-                    key, "failed", None, last["message"], bool(last["oom_suspect"]), tokens
-                )
-            return
-        deadline = int(batch["at"].max().timestamp() * 1000) + self.timeout_ms
+        newest = 0
+        for batch in rows:
+            batch = batch.sort_values(["at", "seq"])
+            newest = max(newest, int(batch["at"].max().timestamp() * 1000))
+            ends = batch["kind"].isin(["done", "error"]).to_numpy()
+            stop = int(ends.argmax()) if ends.any() else len(batch)
+            tokens += int((batch["kind"].iloc[:stop] == "token").sum())
+            if stop < len(batch):
+                last = batch.iloc[stop]
+                self.seen.update((tokens, True, 0))
+                if last["kind"] == "done":
+                    yield self._row(key, "completed", last["done_reason"], None, False, tokens)
+                else:
+                    yield self._row(
+                        key, "failed", None, last["message"], bool(last["oom_suspect"]), tokens
+                    )
+                return
+        deadline = newest + self.timeout_ms
         self.seen.update((tokens, False, deadline))
         self.handle.registerTimer(deadline)
 
