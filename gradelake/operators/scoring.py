@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gradelake.operators import scorers as S
 from gradelake.operators.joins import scoring_input
-from gradelake.operators.scale import planned_bytes
 
 #: Distinct schemas compiled into one job; more need one job per group of packs.
 MAX_SCHEMAS = 200
@@ -118,17 +117,20 @@ def score_rows(joined: DataFrame, names: list[str], schemas: list[str]) -> DataF
     def one(params: Column) -> Column:
         return record_for(params, output, F.col("expected"), names, schemas)
 
-    gates = F.transform(
-        "gate_params", lambda p: F.struct(p["scorer"].alias("name"), one(p).alias("record"))
+    # The primary scorer goes first, its gates follow; one lambda serves them all.
+    every = F.transform(
+        F.concat(F.array("primary_params"), F.coalesce("gate_params", F.array())),
+        lambda p: F.struct(p["scorer"].alias("name"), one(p).alias("record")),
     )
     ready = F.col("failure_reason").isNull() & text.isNotNull()
-    scored = forms.withColumn(
+    records = forms.withColumn("_records", F.when(ready, every))
+    scored = records.withColumn(
         "_result",
         F.when(
-            ready,
+            F.col("_records").isNotNull(),
             S.compose(
-                F.col("primary_params.scorer"), one(F.col("primary_params")),
-                F.coalesce(gates, F.array()),
+                F.col("primary_params.scorer"), F.col("_records")[0]["record"],
+                F.slice("_records", F.lit(2), F.size("_records")),
             ),
         ),
     )
@@ -157,4 +159,4 @@ def score(outputs: DataFrame, examples: DataFrame, packs: DataFrame) -> DataFram
     )
 
 
-__all__ = ["bind", "planned_bytes", "prepare_packs", "score", "score_rows"]
+__all__ = ["bind", "prepare_packs", "score", "score_rows"]

@@ -104,10 +104,11 @@ def rescored_units(
         & F.coalesce(F.col("_known"), F.lit(False))
     )
     stored = ("score", "pass", "failed_gate", "details")
-    asked = joined.withColumnsRenamed({c: f"stored_{c}" for c in stored}).withColumns({
-        "ready": ready,
-        "failure_reason": F.when(~ready, "kept as stored"),
-    })
+    asked = (
+        joined.withColumn("ready", ready)
+        .withColumn("failure_reason", F.when(~F.col("ready"), "kept as stored"))
+        .withColumnsRenamed({c: f"stored_{c}" for c in stored})
+    )
     fresh = scoring.score_rows(asked, names, schemas).withColumn("details", F.to_json("details"))
     same = F.lit(True)
     for c in ("score", "pass", "details"):

@@ -38,6 +38,9 @@ def local_session(cores: str = "8", app: str = "gradelake", shuffle: int = 8) ->
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle))
+        # Otherwise every Column call records its Python call site, which is slow
+        # for scoring expressions. Static, so only a new session can set it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**REQUIRED_CONF, **TUNING_CONF}.items():
         builder = builder.config(key, value)

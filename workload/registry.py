@@ -91,7 +91,7 @@ view(
     "s_suppkey AS candidate_seq",
     "lower(replace(s_name, '#', '-')) AS model_name",
     "CASE WHEN s_suppkey % 17 = 0 THEN CAST(0 AS BIGINT) "
-    "ELSE CAST((s_acctbal + 1000) * 1000000 AS BIGINT) END AS size_bytes",
+    "ELSE CAST(round((s_acctbal + 1000) * 1000000) AS BIGINT) END AS size_bytes",
     "CASE WHEN s_suppkey % 10 = 0 THEN 'oom' WHEN s_suppkey % 10 = 5 THEN 'failed' "
     "WHEN s_suppkey % 23 = 1 THEN 'running' ELSE 'completed' END AS status",
     "CASE WHEN s_suppkey % 20 = 0 THEN 'cuda out of memory' END AS status_reason",
