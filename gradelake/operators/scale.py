@@ -21,6 +21,20 @@ def planned_bytes(df: DataFrame) -> int | None:
     return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before work that is heavy per row.
+
+    Files come in splits; an input of less than one split per core would leave
+    cores idle. Larger inputs are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    split = 128 * 1024 * 1024
+    size = planned_bytes(df)
+    if size is None or size >= cores * split:
+        return df
+    return df.repartition(cores)
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,

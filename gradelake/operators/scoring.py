@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradelake.operators import scorers as S
 from gradelake.operators.joins import scoring_input
+from gradelake.operators.scale import spread_small
 
 #: Distinct schemas compiled into one job; more need one job per group of packs.
 MAX_SCHEMAS = 200
@@ -154,9 +155,9 @@ def score(outputs: DataFrame, examples: DataFrame, packs: DataFrame) -> DataFram
     Map-side apart from the lookups of example and pack.
     """
     prepared, names, schemas = bind(packs)
-    return score_rows(
-        scoring_input(outputs, examples, prepared), names, schemas
-    )
+    if not outputs.isStreaming:
+        outputs = spread_small(outputs)
+    return score_rows(scoring_input(outputs, examples, prepared), names, schemas)
 
 
 __all__ = ["bind", "prepare_packs", "score", "score_rows"]

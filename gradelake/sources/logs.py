@@ -49,8 +49,8 @@ def parse_generation_log(lines: DataFrame) -> DataFrame:
 def parse_sse_log(lines: DataFrame) -> DataFrame:
     """Chat-completion stream lines to one row per payload.
 
-    ``lines(generation_id, seq, line)``. What follows ``[DONE]`` is left out,
-    payloads that are no JSON are skipped, empty deltas give no text.
+    ``lines(generation_id, seq, line)``. What follows ``[DONE]`` is left out;
+    payloads that are no JSON and empty deltas give rows without any value.
     """
     trimmed = js_trim(F.col("line"))
     payloads = lines.filter(trimmed.startswith("data: ")).withColumn(
@@ -61,7 +61,7 @@ def parse_sse_log(lines: DataFrame) -> DataFrame:
     )
     live = payloads.join(ends, "generation_id", "left").filter(
         F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq"))
-    ).withColumn("_d", strict_json(F.col("payload"))).filter(F.col("_d").isNotNull())
+    ).withColumn("_d", strict_json(F.col("payload")))
     doc = F.col("_d")
     return live.select(
         "generation_id", "seq",

@@ -198,12 +198,13 @@ def completion_stream(events: DataFrame, watermark: str, timeout_ms: int) -> Dat
 
 def completion_batch(events: DataFrame) -> DataFrame:
     """The same outcome over a finished log, as plain aggregates."""
-    ending = F.col("kind").isin("done", "error")
+    # Conditions stay inside the aggregates: a filter would be pushed below the
+    # parsing and parse every line twice.
+    place = F.when(F.col("kind").isin("done", "error"), F.struct("at", "seq"))
     first = F.min_by(
-        F.struct("kind", "done_reason", "message", "oom_suspect", "at", "seq"),
-        F.struct("at", "seq"),
+        F.struct("kind", "done_reason", "message", "oom_suspect", "at", "seq"), place
     )
-    ends = events.filter(ending).groupBy("generation_id").agg(first.alias("end"))
+    ends = events.groupBy("generation_id").agg(first.alias("end"))
     before = F.col("end").isNull() | (
         F.struct("at", "seq") < F.struct(F.col("end.at"), F.col("end.seq"))
     )

@@ -55,11 +55,11 @@ def a2(t: Tables) -> DataFrame:
 
 
 @query("a3_repetition_spread", over_units(
-    f"SELECT {K}, round(min(m), 6) AS score_min, round(max(m), 6) AS score_max FROM ("
+    f"SELECT {K}, round(min(m), 9) AS score_min, round(max(m), 9) AS score_max FROM ("
     f"SELECT {K}, repetition, avg(score) AS m FROM units WHERE {DONE} GROUP BY {K}, repetition) "
     f"GROUP BY {K}"))
 def a3(t: Tables) -> DataFrame:
-    return rounded(A.repetition_spread(t["units"]))
+    return rounded(A.repetition_spread(t["units"]), 9)
 
 
 @query("a4_latency_stats", over_units(
@@ -341,12 +341,12 @@ def summary_of(t: Tables) -> DataFrame:
 
 
 @query("r1_candidate_summary", f"WITH {SUMMARY} SELECT {', '.join(SUMMARY_COLUMNS)}, "
-       + ", ".join(f"round({c}, 6) AS {c}" for c in SUMMARY_DOUBLES)
+       + ", ".join(f"round({c}, 9) AS {c}" for c in SUMMARY_DOUBLES)
        + ", round(wall_ms_total, 3) AS wall_ms_total, gates FROM summary")
 def r1(t: Tables) -> DataFrame:
     gates = F.coalesce(predicates.gate_list(F.col("gate_failure_counts")), F.lit(""))
     return summary_of(t).select(
-        *SUMMARY_COLUMNS, *[F.round(c, 6).alias(c) for c in SUMMARY_DOUBLES],
+        *SUMMARY_COLUMNS, *[F.round(c, 9).alias(c) for c in SUMMARY_DOUBLES],
         F.round("wall_ms_total", 3).alias("wall_ms_total"), gates.alias("gates"),
     )
 

@@ -210,11 +210,17 @@ def p7(t: Tables) -> DataFrame:
 SELECT name AS model_name, coalesce(quantization, '?') AS quantization,
   coalesce(parameter_size, '?') AS parameter_size,
   round(size_bytes / 1048576.0::DOUBLE, 4) AS weights_mib,
-  CASE WHEN NOT remote THEN 'unknown' END AS verdict, true AS has_note FROM merged""")
+  CASE WHEN NOT remote THEN verdict END AS verdict, remote OR verdict <> 'fits' AS has_note
+FROM (SELECT m.*, CASE WHEN s_suppkey IS NULL OR NOT ({KNOWN}) THEN 'unknown'
+    WHEN CAST(size_bytes AS DOUBLE) / 1048576 + {KV} + 1024 <= {FREE}::DOUBLE * 0.95::DOUBLE
+    THEN 'fits' ELSE 'does-not-fit' END AS verdict
+  FROM merged m LEFT JOIN supplier ON m.name = 'm' || s_suppkey)""")
 def r9(t: Tables) -> DataFrame:
-    listing = P.model_listing(
-        *two_lists(t), known_architectures(t), F.lit(4096), F.lit(FREE)
+    named = t["supplier"].select(
+        F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("model_name"),
+        fit.architecture_from_info(F.expr(INFO)).alias("arch"),
     )
+    listing = P.model_listing(*two_lists(t), named, F.lit(4096), F.lit(FREE))
     return listing.select(
         "model_name", "quantization", "parameter_size",
         F.round("weights_mib", 4).alias("weights_mib"), "verdict",
@@ -224,22 +230,22 @@ def r9(t: Tables) -> DataFrame:
 
 @query("j11_drift", """
 WITH s AS (SELECT o_orderkey AS run_id, o_orderstatus AS p, CASE WHEN o_orderkey % 3 <> 0
-    THEN 'cfg' END AS path, o_orderpriority AS c FROM orders WHERE o_orderkey % 11 <> 0),
+    THEN 'cfg' END AS path, o_orderpriority AS c FROM orders WHERE o_orderpriority <> '1-URGENT'),
 n AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderstatus END
     AS p, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN 'new'
-    ELSE o_orderpriority END AS c FROM orders WHERE o_orderkey % 13 <> 0)
+    ELSE o_orderpriority END AS c FROM orders WHERE o_orderpriority <> '5-LOW')
 SELECT coalesce(s.run_id, n.run_id) AS run_id, CASE WHEN s.run_id IS NULL THEN 'not planned'
   WHEN s.p IS DISTINCT FROM n.p THEN 'pack changed'
   WHEN path IS NOT NULL AND n.c IS NULL THEN 'config unreadable'
   WHEN path IS NOT NULL AND n.c <> s.c THEN 'config changed' END AS drift
 FROM s FULL JOIN n ON s.run_id = n.run_id""")
 def j11(t: Tables) -> DataFrame:
-    stored = t["orders"].filter("o_orderkey % 11 <> 0").selectExpr(
+    stored = t["orders"].filter("o_orderpriority <> '1-URGENT'").selectExpr(
         "o_orderkey AS run_id", "o_orderstatus AS pack_fingerprint",
         "CASE WHEN o_orderkey % 3 <> 0 THEN 'cfg' END AS config_path",
         "o_orderpriority AS config_fingerprint",
     )
-    current = t["orders"].filter("o_orderkey % 13 <> 0").selectExpr(
+    current = t["orders"].filter("o_orderpriority <> '5-LOW'").selectExpr(
         "o_orderkey AS run_id",
         "CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderstatus END AS pack_fingerprint",
         "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN 'new' "

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradelake.operators.scale import spread_small
 from gradelake.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,10 @@ class Tables:
             return self[table].selectExpr(*columns)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A view for work that is heavy per row: small tables are spread over all cores."""
+        return spread_small(self[name])
+
 
 def query(name: str, sql: str | None = None):
     """Register a function of ``Tables`` under a name, with its SQL twin if there is one."""

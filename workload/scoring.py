@@ -24,7 +24,7 @@ SELECT doc_id, md5(n) AS digest, CAST(length(n) AS BIGINT) AS n_chars FROM (
   SELECT doc_id, trim(regexp_replace(lower(text), '[\s\x{0B}\x{A0}]+', ' ', 'g')) AS n
   FROM documents)""")
 def f1(t: Tables) -> DataFrame:
-    return t["documents"].select("doc_id", T.normalize_text(F.col("text")).alias("n")).select(
+    return t.spread("documents").select("doc_id", T.normalize_text(F.col("text")).alias("n")).select(
         "doc_id", F.md5("n").alias("digest"), F.length("n").cast("bigint").alias("n_chars")
     )
 
@@ -36,7 +36,7 @@ def f2(t: Tables) -> DataFrame:
     padded = F.concat(
         F.char(F.lit(160)), F.lit("\t"), F.col("text"), F.lit("\n"), F.lit(chr(8195))
     )
-    return t["documents"].select("doc_id", F.md5(T.js_trim(padded)).alias("digest"))
+    return t.spread("documents").select("doc_id", F.md5(T.js_trim(padded)).alias("digest"))
 
 
 NUMBER_SQL = (
@@ -52,7 +52,7 @@ FROM (SELECT doc_id, raw, TRY_CAST(regexp_replace(raw, '[^0-9.]', '', 'g') AS DO
   FROM (SELECT doc_id, regexp_extract(text, '{NUMBER_SQL}') AS raw FROM documents))""")
 def f3(t: Tables) -> DataFrame:
     found = T.parse_first_number(F.col("text"))
-    return t["documents"].select("doc_id", found.alias("n")).select("doc_id", "n.raw", "n.value")
+    return t.spread("documents").select("doc_id", found.alias("n")).select("doc_id", "n.raw", "n.value")
 
 
 AMOUNTS = """CASE o_orderkey % 4 WHEN 0 THEN concat('$', CAST(o_totalprice AS STRING))
@@ -67,7 +67,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN 'number' ELSE 'text' END AS
   CASE WHEN o_orderkey % 4 < 2 THEN o_totalprice END AS number,
   CASE WHEN o_orderkey % 4 >= 2 THEN lower(amount) END AS text FROM amounts""")
 def f4(t: Tables) -> DataFrame:
-    key = t["amounts"].select("o_orderkey", T.scalar_key(F.col("amount")).alias("k"))
+    key = t.spread("amounts").select("o_orderkey", T.scalar_key(F.col("amount")).alias("k"))
     is_number, rest = F.col("k").startswith("n:"), F.substring("k", 3, 1 << 30)
     return key.select(
         "o_orderkey", F.when(is_number, "number").otherwise("text").alias("kind"),
@@ -96,7 +96,7 @@ SELECT event_id, event_type IN ('click', 'view', 'purchase') AS ok,
     WHEN 'error' THEN 'output contains no JSON object or array' END AS error
 FROM answers""")
 def f5(t: Tables) -> DataFrame:
-    found = t["answers"].select("event_id", T.extract_json(F.col("output")).alias("x"))
+    found = t.spread("answers").select("event_id", T.extract_json(F.col("output")).alias("x"))
     k = F.coalesce(
         F.try_variant_get("x.value", "$.k", "bigint"),
         F.try_variant_get("x.value", "$.a.k", "bigint"),
@@ -119,7 +119,7 @@ view(
 @query("f6_fields_equal", f"""WITH {cte('pairs')}
 SELECT event_id, event_type NOT IN ('view', 'click') AS equal FROM pairs""")
 def f6(t: Tables) -> DataFrame:
-    return t["pairs"].select(
+    return t.spread("pairs").select(
         "event_id",
         T.fields_equal(F.try_parse_json("left_json"), F.try_parse_json("right_json")).alias(
             "equal"
@@ -150,7 +150,7 @@ def f15(t: Tables) -> DataFrame:
       WHEN 'error' THEN concat('{"error": "model ', user_id, ' not found"}')
       WHEN 'click' THEN '  ' WHEN 'view' THEN concat(' bad gateway ', user_id, '\\n')
       ELSE props END""")
-    return t["events"].select("event_id", T.error_message(body).alias("message"))
+    return t.spread("events").select("event_id", T.error_message(body).alias("message"))
 
 
 @query("p1_render_prompt", """
@@ -265,7 +265,7 @@ SELECT event_id, round(p, 6) AS precision, round(r, 6) AS recall,
 FROM m""")
 def c2(t: Tables) -> DataFrame:
     scored = S.field_f1(F.col("output"), F.try_parse_json("expected"), ["k", "type", "amount"])
-    return t["extractions"].select("event_id", scored.alias("r")).select(
+    return t.spread("extractions").select("event_id", scored.alias("r")).select(
         "event_id", F.round("r.details.precision", 6).alias("precision"),
         F.round("r.details.recall", 6).alias("recall"), F.round("r.score", 6).alias("score"),
         "r.pass",
@@ -291,7 +291,7 @@ SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND k BETWEEN 10 AND
     ELSE 'output is not JSON: output contains no JSON object or array' END AS violations FROM k""")
 def c3(t: Tables) -> DataFrame:
     scored = S.json_schema(F.col("output"), SCHEMA)
-    return t["answers"].select("event_id", scored.alias("r")).select(
+    return t.spread("answers").select("event_id", scored.alias("r")).select(
         "event_id", "r.score", "r.pass",
         F.array_join("r.details.violations", ";").alias("violations"),
     )
@@ -332,7 +332,7 @@ def c5(t: Tables) -> DataFrame:
     )
     expected = F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 9) / F.lit(200.0))
     scored = S.numeric_tolerance(shown, expected, 0.02, "relative")
-    return t["orders"].select("o_orderkey", scored.alias("r")).select(
+    return t.spread("orders").select("o_orderkey", scored.alias("r")).select(
         "o_orderkey", "r.details.actual", "r.pass"
     )
 

@@ -83,7 +83,7 @@ RSS = """SELECT tick, CAST(floor(sum(kib) / 1024.0 + 0.5) AS BIGINT) AS used_mib
 
 @query("s8_rss_by_tick", RSS)
 def s8(t: Tables) -> DataFrame:
-    return logs.rss_by_tick(t["process_lines"], ["CLICK", "view"])
+    return logs.rss_by_tick(t.spread("process_lines"), ["CLICK", "view"])
 
 
 @query("a17_process_memory", """
@@ -168,7 +168,7 @@ SELECT event_id, CASE event_type WHEN 'click' THEN 'token' WHEN 'view' THEN 'don
   CASE WHEN event_type = 'error' THEN props || ' trailing' END AS quarantine
 FROM events WHERE event_type <> 'signup'""")
 def s3(t: Tables) -> DataFrame:
-    return logs.parse_generation_log(t["log_lines"]).select(
+    return logs.parse_generation_log(t.spread("log_lines")).select(
         "event_id", "kind", "text", "done_reason", "output_token_count", "prompt_token_count",
         "message", "quarantine",
     )
@@ -196,7 +196,7 @@ SELECT user_id AS generation_id,
   count(*) FILTER (WHERE event_type = 'click') AS token_count
 FROM live GROUP BY user_id""")
 def s4(t: Tables) -> DataFrame:
-    return logs.sse_summary(logs.parse_sse_log(t["sse_lines"])).select(
+    return logs.sse_summary(logs.parse_sse_log(t.spread("sse_lines"))).select(
         "generation_id", "finish_reason", "prompt_tokens", "token_count"
     )
 
@@ -269,7 +269,7 @@ def s7_snapshot(t: Tables) -> DataFrame:
         "CASE WHEN event_type = 'click' THEN concat(', 1.0, ', user_id) "
         "ELSE concat('GPU ', user_id, ', 550.1, 24576') END"
     )
-    return t["events"].select(
+    return t.spread("events").select(
         "event_id", logs.gpu_snapshot(line).alias("s"), logs.gpu_identity(identity).alias("g")
     ).select("event_id", "s.free_mib", "s.used_mib", "g.name")
 
@@ -284,7 +284,7 @@ def s9(t: Tables) -> DataFrame:
         "concat('Junk: 1 kB\\nMemTotal:       ', user_id * 100000 + 5, ' kB\\nMemFree: 3 kB\\n',"
         " 'MemAvailable:   ', CAST(floor(value * 20000) AS BIGINT), ' kB\\n')"
     )
-    return t["events"].select("user_id", "event_id", logs.parse_meminfo(text).alias("m")).select(
+    return t.spread("events").select("user_id", "event_id", logs.parse_meminfo(text).alias("m")).select(
         "user_id", "event_id", "m.total_mib", "m.used_mib"
     )
 
@@ -297,7 +297,7 @@ def s10(t: Tables) -> DataFrame:
         "CASE WHEN event_type = 'error' THEN '{\"metal\": {\"active_memory_gb\": \"x\"}}' "
         "ELSE concat('{\"metal\": {\"active_memory_gb\": ', CAST(user_id AS DOUBLE) / 8, '}}') END"
     )
-    return t["events"].select("event_id", logs.parse_status(body).alias("active_mib"))
+    return t.spread("events").select("event_id", logs.parse_status(body).alias("active_mib"))
 
 
 @query("a15_pack_fingerprint")
@@ -407,9 +407,9 @@ def f10(t: Tables) -> DataFrame:
 @query("j10_resolve_architecture", """
 SELECT lower(s_name) AS model_name, CASE WHEN s_suppkey % 8 NOT IN (6, 7) THEN
     CASE WHEN s_suppkey % 2 = 0 THEN 'qwen' ELSE 'gem' END
-  WHEN s_nationkey % 2 = 0 THEN 'header' END AS architecture FROM supplier""")
+  WHEN s_acctbal > 3000 THEN 'header' END AS architecture FROM supplier""")
 def j10(t: Tables) -> DataFrame:
-    headers = t["supplier"].filter("s_nationkey % 2 = 0").select(
+    headers = t["supplier"].filter("s_acctbal > 3000").select(
         F.lower("s_name").alias("model_name"),
         F.expr(
             "map('general.architecture', 'header', 'header.block_count', '2', "
@@ -580,7 +580,7 @@ def x6(t: Tables) -> DataFrame:
 
 @query("x6_completion_batch", COMPLETION_SQL)
 def x6_batch(t: Tables) -> DataFrame:
-    lines = t["events"].selectExpr(
+    lines = t.spread("events").selectExpr(
         "user_id AS generation_id", "event_id AS seq", "CAST(ts AS TIMESTAMP) AS at",
         *[c for c in VIEWS["log_lines"][1] if c.endswith("AS line")],
     )

@@ -27,7 +27,7 @@ SELECT event_id, CASE WHEN event_type = 'click' THEN 'n' || user_id END AS input
   CASE WHEN event_type = 'click' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
   CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 2 ELSE 1 END AS n_problems FROM events""")
 def s1(t: Tables) -> DataFrame:
-    return t["example_files"].select(
+    return t.spread("example_files").select(
         "event_id", parse_example(F.col("value")).alias("e")
     ).select(
         "event_id", "e.input", F.try_variant_get("e.expected", "$.k", "bigint").alias("k"),
@@ -44,7 +44,7 @@ SELECT event_id, message FROM (SELECT event_id, unnest(CASE event_type WHEN 'cli
 
 @query("v1_validate_examples", V1_SQL)
 def v1(t: Tables) -> DataFrame:
-    return V.validate_examples(t["example_files"]).select("event_id", "message")
+    return V.validate_examples(t.spread("example_files")).select("event_id", "message")
 
 
 @query("a18_problem_rollup", f"""
@@ -54,7 +54,7 @@ SELECT pack, CAST(i // 1000 AS BIGINT) AS page, any_value(n) AS problem_count,
     row_number() OVER (PARTITION BY event_type ORDER BY v.event_id, message) - 1 AS i
   FROM ({V1_SQL}) v JOIN events e ON v.event_id = e.event_id) GROUP BY pack, i // 1000""")
 def a18(t: Tables) -> DataFrame:
-    problems = V.validate_examples(t["example_files"]).select(
+    problems = V.validate_examples(t.spread("example_files")).select(
         F.col("event_type").alias("pack"), F.col("event_id").alias("seq"), "message"
     )
     return A.problem_rollup(problems).select(
@@ -65,7 +65,7 @@ def a18(t: Tables) -> DataFrame:
 
 view(
     "manifests", "part", "p_partkey", "p_size",
-    """concat('{"name": "', CASE WHEN p_size % 5 = 0 THEN ' ' ELSE p_name END,
+    """concat('{"key": ', p_partkey, ', "name": "', CASE WHEN p_size % 5 = 0 THEN ' ' ELSE p_name END,
  '", "type": "demo", "scorer": "', CASE WHEN p_size % 7 = 0 THEN 'guess' ELSE 'pattern' END,
  '", "scorer_params": ', CASE WHEN p_size % 11 = 0 THEN '3' ELSE '{}' END,
  CASE WHEN p_size % 13 = 0 THEN '' ELSE concat(', "generation": {"context": ',
@@ -86,7 +86,7 @@ SELECT p_partkey, (p_size % 5 = 0)::INT + (p_size % 7 = 0)::INT + (p_size % 11 =
 WHERE (p_size % 5 = 0)::INT + (p_size % 7 = 0)::INT + (p_size % 11 = 0)::INT
   + CASE WHEN p_size % 13 = 0 THEN 1 ELSE 2 END + (p_size % 3 = 0)::INT > 0""")
 def v2(t: Tables) -> DataFrame:
-    packs = t["manifests"].select(
+    packs = t.spread("manifests").select(
         F.col("p_partkey").alias("pack"), F.parse_json("manifest_text").alias("manifest")
     )
     return V.validate_packs(packs).groupBy(F.col("pack").alias("p_partkey")).agg(
@@ -95,29 +95,14 @@ def v2(t: Tables) -> DataFrame:
 
 
 @query("s2_pack_columns", f"""WITH {cte('manifests')}
-SELECT m.p_partkey, CASE WHEN m.p_size % 7 = 0 THEN 'guess' ELSE 'pattern' END AS scorer,
-  CASE WHEN m.p_size % 13 <> 0 THEN m.p_size - 3 END AS context,
-  CASE WHEN m.p_size % 3 = 0 THEN 'nope' ELSE 'field-f1' END AS gate FROM manifests m""")
+SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'guess' ELSE 'pattern' END AS scorer,
+  CASE WHEN p_size % 13 <> 0 THEN p_size - 3 END AS context,
+  CASE WHEN p_size % 3 = 0 THEN 'nope' ELSE 'field-f1' END AS gate FROM manifests""")
 def s2(t: Tables) -> DataFrame:
-    specs = t["manifests"].select("p_partkey", F.parse_json("manifest_text").alias("manifest"))
-    keyed = specs.select(
-        F.parse_json(
-            F.concat(
-                F.lit('{"name": "'), F.col("p_partkey").cast("string"), F.lit('", "rest": '),
-                F.to_json("manifest"), F.lit("}"),
-            )
-        ).alias("wrapped")
-    ).select(
-        F.try_variant_get("wrapped", "$.name", "bigint").alias("p_partkey"),
-        F.try_variant_get("wrapped", "$.rest", "variant").alias("manifest"),
-    )
-    packs = pack_columns(keyed.select("manifest"))
-    described = keyed.select("p_partkey", F.to_json("manifest").alias("text")).join(
-        packs.select("scorer", "generation", "gates", F.to_json("manifest").alias("text"))
-        .dropDuplicates(["text"]), "text",
-    )
-    return described.select(
-        "p_partkey", "scorer", "generation.context", F.col("gates")[0]["scorer"].alias("gate")
+    packs = pack_columns(t.spread("manifests").select(F.parse_json("manifest_text").alias("manifest")))
+    return packs.select(
+        F.try_variant_get("manifest", "$.key", "bigint").alias("p_partkey"),
+        "scorer", "generation.context", F.col("gates")[0]["scorer"].alias("gate"),
     )
 
 
@@ -151,7 +136,7 @@ SELECT p_partkey, n FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_partke
   WHEN 1 THEN 1 - p_partkey % 2 WHEN 2 THEN 2 WHEN 3 THEN (p_retailprice < 1000)::INT
   ELSE 1 - p_partkey % 2 END::BIGINT AS n FROM part) WHERE n > 0""")
 def v5(t: Tables) -> DataFrame:
-    packs = t["param_specs"].select(
+    packs = t.spread("param_specs").select(
         F.col("p_partkey").alias("pack"), "scorer", F.parse_json("params").alias("scorer_params"),
         F.array().cast("array<struct<scorer:string,scorer_params:variant>>").alias("gates"),
     )
@@ -166,7 +151,7 @@ SELECT o_orderpriority AS pack, bad AS value, min(o_orderkey) AS example_id FROM
     WHEN o_orderkey % 9 = 0 THEN '12' END AS bad FROM orders) WHERE bad IS NOT NULL
 GROUP BY o_orderpriority, bad""")
 def v4(t: Tables) -> DataFrame:
-    examples = t["orders"].select(
+    examples = t.spread("orders").select(
         F.col("o_orderpriority").alias("pack"), F.col("o_orderkey").alias("example_id"),
         F.lit("orders").alias("source_path"),
         F.parse_json(
@@ -216,25 +201,25 @@ def u4(t: Tables) -> DataFrame:
 
 
 view(
-    "draft_texts", "conversations", "conv_id AS draft_id", "turn",
-    """CASE WHEN conv_id % 7 = 0 THEN 'no json here'
- WHEN conv_id % 7 = 1 THEN '[1, 2]'
- ELSE concat('Draft: {"name": "', CASE WHEN conv_id % 7 = 2 THEN '--' ELSE concat('My Task ', conv_id)
+    "draft_texts", "conversations", "conv_id * 100 + turn AS draft_id",
+    """CASE WHEN (conv_id * 100 + turn) % 7 = 0 THEN 'no json here'
+ WHEN (conv_id * 100 + turn) % 7 = 1 THEN '[1, 2]'
+ ELSE concat('Draft: {"name": "', CASE WHEN (conv_id * 100 + turn) % 7 = 2 THEN '--' ELSE concat('My Task ', conv_id * 100 + turn)
    END, '", "type": "t", "scorer": "exact-label", "scorer_params": {"labels": ["yes", "No"]},',
-   ' "prompt": "', CASE WHEN conv_id % 7 = 3 THEN 'answer yes' ELSE 'yes or no: {{input}}' END,
+   ' "prompt": "', CASE WHEN (conv_id * 100 + turn) % 7 = 3 THEN 'answer yes' ELSE 'yes or no: {{input}}' END,
    '", "examples": [{"input": "a", "expected": "yes"}, {"input": "a", "expected": "No"},',
    ' {"input": " ", "expected": "yes"}, {"input": "b", "expected": "',
-   CASE WHEN conv_id % 7 = 4 THEN 'maybe' ELSE 'No' END, '"}, {"input": "c"}]} end') END AS output""",
+   CASE WHEN (conv_id * 100 + turn) % 7 = 4 THEN 'maybe' ELSE 'No' END, '"}, {"input": "c"}]} end') END AS output""",
 )
 DRAFTED = f"""{cte('draft_texts')},
-d AS (SELECT draft_id, draft_id % 7 AS c FROM draft_texts WHERE turn = 0)"""
+d AS (SELECT draft_id, draft_id % 7 AS c FROM draft_texts)"""
 
 
 @query("v6_validate_drafts", f"""WITH {DRAFTED}
 SELECT draft_id, CASE WHEN c < 2 THEN 1 ELSE 1 + 2 + (c = 2)::INT + (c = 3)::INT * 2
   + (c = 4)::INT END::BIGINT AS n_problems FROM d""")
 def v6(t: Tables) -> DataFrame:
-    drafts, entries = V.parse_drafts(t["draft_texts"].filter("turn = 0"))
+    drafts, entries = V.parse_drafts(t.spread("draft_texts"))
     return V.validate_drafts(drafts, entries).groupBy("draft_id").agg(
         F.count(F.lit(1)).alias("n_problems")
     )
@@ -245,7 +230,7 @@ SELECT draft_id, CASE WHEN c = 2 THEN 'drafted-task' ELSE 'my-task-' || draft_id
   CASE WHEN c = 3 THEN 'placeholder' ELSE 'own' END AS prompt, 2::BIGINT AS n_examples
 FROM d WHERE c >= 2""")
 def v7(t: Tables) -> DataFrame:
-    packs, examples = V.salvage_drafts(*V.parse_drafts(t["draft_texts"].filter("turn = 0")))
+    packs, examples = V.salvage_drafts(*V.parse_drafts(t.spread("draft_texts")))
     counts = examples.groupBy("draft_id").agg(F.count(F.lit(1)).alias("n_examples"))
     own = F.col("prompt").startswith("yes or no")
     return packs.join(counts, "draft_id", "left").select(
