@@ -24,8 +24,9 @@ def scoring_input(outputs: DataFrame, examples: DataFrame, packs: DataFrame) ->
     An output whose example is gone is kept, with the reason it cannot be scored.
     """
     known = examples.select("pack", "example_id", "expected").withColumn("_known", F.lit(True))
-    joined = lookup_join(outputs, known, ["pack", "example_id"], ["unit_id"])
-    joined = lookup_join(joined, packs, ["pack"], ["unit_id"])
+    # Examples take up their pack's spec first, so the outputs are joined only once.
+    keyed = lookup_join(known, packs, ["pack"], ["example_id"])
+    joined = lookup_join(outputs, keyed, ["pack", "example_id"], ["unit_id"])
     missing = F.concat(
         F.lit("example "), F.col("example_id").cast("string"),
         F.lit(" is missing from the pack; the pack changed since planning"),

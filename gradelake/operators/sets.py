@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradelake.functions.text import json_kind
+from gradelake.functions.text import json_string
 from gradelake.operators.scale import keep_first
 
 
@@ -36,9 +36,12 @@ def missing_labels(labels: Column, prompt: Column) -> Column:
 
 
 def is_off_label(expected: Column, labels: Column) -> Column:
-    """Expected value that is no string or not a declared label, exactly."""
-    text = F.when(json_kind(expected) == '"', F.try_variant_get(expected, "$", "string"))
-    return ~F.coalesce(F.array_contains(labels, text), F.lit(False))
+    """Expected value that is no string or not a declared label, exactly.
+
+    False where no labels are declared.
+    """
+    known = F.coalesce(F.array_contains(labels, json_string(expected)), F.lit(False))
+    return labels.isNotNull() & ~known
 
 
 def off_label(examples: DataFrame, n: int = 5) -> DataFrame:

@@ -307,15 +307,20 @@ def check_expected(examples: DataFrame, packs: DataFrame) -> DataFrame:
 # V6, V7 ---------------------------------------------------------------------
 
 def parse_drafts(outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drafts and their example entries from raw texts ``(draft_id, output)``."""
+    """Drafts and their example entries from raw texts ``(draft_id, output)``.
+
+    Entries carry what the checks need to know of their draft, so no join has to
+    bring it back.
+    """
     found = outputs.withColumn("_x", extract_json(F.col("output")))
     doc = F.when(_is(F.col("_x.value"), "{"), F.col("_x.value"))
     drafts = found.select(
         "draft_id", F.col("_x.ok").alias("ok"), F.col("_x.error").alias("error"),
         doc.alias("draft"),
     )
-    entries = drafts.select(
-        "draft_id",
+    described = drafts.select("draft_id", "draft", *draft_facts(F.col("draft")))
+    entries = described.select(
+        "draft_id", "labels", "key_fields",
         F.posexplode(F.try_variant_get("draft", "$.examples", "array<variant>")).alias(
             "seq", "entry"
         ),
@@ -323,6 +328,22 @@ def parse_drafts(outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return drafts, entries
 
 
+def draft_facts(doc: Column) -> list[Column]:
+    """Scorer of a draft, and its labels or key fields where they are usable."""
+    scorer, params = json_string(_at(doc, "$.scorer")), _at(doc, "$.scorer_params")
+
+    def list_of(name: str, key: str) -> Column:
+        value = _at(params, f"$.{key}")
+        usable = (scorer == name) & _string_array(value)
+        return F.when(usable, F.try_variant_get(value, "$", "array<string>"))
+
+    return [
+        scorer.alias("scorer"),
+        list_of("exact-label", "labels").alias("labels"),
+        list_of("field-f1", "key_fields").alias("key_fields"),
+    ]
+
+
 def entry_problem(entry: Column) -> Column:
     """What is wrong with one proposed example, or null."""
     source = json_string(_at(entry, "$.input"))
@@ -336,11 +357,13 @@ def entry_problem(entry: Column) -> Column:
 def distinct_examples(entries: DataFrame) -> DataFrame:
     """Valid entries, the first of each distinct input."""
     valid = entries.filter(entry_problem(F.col("entry")).isNull()).select(
-        "draft_id", "seq", F.try_variant_get("entry", "$.input", "string").alias("input"),
+        "draft_id", "seq", "labels", "key_fields",
+        F.try_variant_get("entry", "$.input", "string").alias("input"),
         F.to_json(_at(F.col("entry"), "$.expected")).alias("expected_json"),
     )
     return keep_first(valid, ["draft_id", "input"], ["seq"]).select(
-        "draft_id", "seq", "input", F.parse_json("expected_json").alias("expected")
+        "draft_id", "seq", "labels", "key_fields", "input",
+        F.parse_json("expected_json").alias("expected"),
     )
 
 
@@ -349,22 +372,8 @@ def validate_drafts(drafts: DataFrame, entries: DataFrame) -> DataFrame:
     doc = F.col("draft")
     scorer, params = json_string(_at(doc, "$.scorer")), _at(doc, "$.scorer_params")
     prompt, listed = json_string(_at(doc, "$.prompt")), _at(doc, "$.examples")
-    labels = F.when(
-        (scorer == "exact-label") & _string_array(_at(params, "$.labels")),
-        F.try_variant_get(params, "$.labels", "array<string>"),
-    )
-    fields = F.when(
-        (scorer == "field-f1") & _string_array(_at(params, "$.key_fields")),
-        F.try_variant_get(params, "$.key_fields", "array<string>"),
-    )
-    facts = drafts.select(
-        "draft_id", "ok", "error", "draft", scorer.alias("scorer"), labels.alias("labels"),
-        fields.alias("key_fields"),
-    )
-    kept = lookup_join(
-        distinct_examples(entries), facts.select("draft_id", "scorer", "labels", "key_fields"),
-        ["draft_id"], ["seq"],
-    )
+    facts = drafts.select("draft_id", "ok", "error", "draft", *draft_facts(doc))
+    kept = distinct_examples(entries)
     expected = F.col("expected")
     own = F.map_keys(F.try_variant_get(expected, "$", "map<string,variant>"))
     lacks = F.coalesce(
@@ -376,9 +385,9 @@ def validate_drafts(drafts: DataFrame, entries: DataFrame) -> DataFrame:
         F.count_if(F.col("key_fields").isNotNull() & lacks).alias("n_lacking"),
         F.count_if(json_number(expected).isNull()).alias("n_not_number"),
     )
-    astray = off_label(
-        kept.filter(F.col("labels").isNotNull()).withColumnRenamed("draft_id", "pack")
-    ).withColumnRenamed("pack", "draft_id")
+    astray = off_label(kept.withColumnRenamed("draft_id", "pack")).withColumnRenamed(
+        "pack", "draft_id"
+    )
     joined = facts.join(counts, "draft_id", "left").join(astray, "draft_id", "left")
     n = F.coalesce("n", F.lit(0))
     unnamed = missing_labels(F.col("labels"), prompt)
