@@ -73,8 +73,11 @@ def size_peers(candidates: DataFrame) -> DataFrame:
     points = sized.groupBy("run_id", "_size").agg(
         F.max("rate").alias("best"), F.sum("one").alias("n")
     )
-    placed = points.filter("_size > 0").withColumn("at", size_position(F.col("_size")))
     width = 2 * _OCTAVE
+    # Shifted by a block, so that no band starts below zero.
+    placed = points.filter("_size > 0").withColumn(
+        "at", size_position(F.col("_size")) + F.lit(width)
+    )
 
     def side(edge: Column, is_tail: bool) -> DataFrame:
         data = placed.select(
@@ -84,7 +87,6 @@ def size_peers(candidates: DataFrame) -> DataFrame:
             "run_id", F.col("_size"), edge.alias("at"), F.lit(None).cast("double").alias("best"),
             F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("ask"),
         )
-        block = F.floor(F.col("at") / F.lit(width)).cast("bigint")
         by_at = F.desc("at") if is_tail else F.asc("at")
         running = (
             Window.partitionBy("run_id", "_block").orderBy(by_at, "ask")

@@ -160,7 +160,10 @@ def write_examples(examples: DataFrame, path: str) -> None:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below a folder with its path relative to it and its content."""
+    """Every file below a folder with its path relative to it and its content.
+
+    Spark's file sources leave out empty files, so these do not count here.
+    """
     root = F.lit(path.rstrip("/") + "/")
     full = F.regexp_replace(F.col("path"), "^file:(//)?", "")
     return (
