@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradelake.session import cut_lineage
+
 #: Largest planned size of a side that is broadcast.
 BROADCAST_BYTES = 8 * 1024 * 1024
 #: Pieces a hot key is split into when the other side is too large to broadcast.
@@ -35,23 +37,31 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a small, already written table as JSON text, summed by Spark."""
+    row = F.length(F.to_json(F.struct(*df.columns)))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("n")).first()["n"]
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
     spread_by: Sequence[str],
     how: str = "left",
+    size: int | None = None,
 ) -> DataFrame:
     """Join facts, whose keys may be badly skewed, to rows that are few per key.
 
-    A lookup whose planned size is within ``BROADCAST_BYTES`` is broadcast.
-    Otherwise every key is split into ``SALTS`` pieces by a hash of
+    A lookup whose size, as given or as planned, is within ``BROADCAST_BYTES``
+    is broadcast. Otherwise every key is split into ``SALTS`` pieces by a hash of
     ``spread_by`` (stable across task retries, unlike a random salt) and the
     lookup is repeated once per piece; AQE may still turn this into a broadcast
     join when the lookup proves small at run time. Join keys never match null.
     """
     keys = list(keys)
-    size = planned_bytes(lookup)
+    if size is None:
+        size = planned_bytes(lookup)
     if size is not None and size <= BROADCAST_BYTES:
         return facts.join(F.broadcast(lookup), keys, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
@@ -142,28 +152,53 @@ def exact_medians(
             for m in metrics
         ]
     )
+    # Written once and measured: with a few groups the second pass then needs no
+    # shuffle of the facts, only a broadcast of the brackets.
+    brackets = cut_lineage(brackets)
     columns = list(dict.fromkeys([*keys, *spread_by, *metrics]))
-    bracketed = lookup_join(df.select(*columns), brackets, keys, spread_by, "inner")
-
-    def placed(m: str) -> Column:
-        value = F.col(m).cast("double")
-        zone = F.when(value < F.col(f"_{m}")[0], 0).when(value <= F.col(f"_{m}")[1], 1).otherwise(2)
-        return F.when(
-            value.isNotNull(),
-            F.struct(
-                F.lit(m).alias("metric"),
-                zone.alias("zone"),
-                F.when(zone == 1, value).alias("value"),
-            ),
-        )
+    bracketed = lookup_join(
+        df.select(*columns), brackets, keys, spread_by, "inner", measured_bytes(brackets)
+    )
+
+    def zone(i: int) -> Column:
+        value = F.col(metrics[i]).cast("double")
+        low, high = F.col(f"_{metrics[i]}")[0], F.col(f"_{metrics[i]}")[1]
+        return F.when(value < low, 0).when(value <= high, 1).when(value.isNotNull(), 2)
 
-    counts = (
-        bracketed.select(
-            *keys, F.explode(F.array_compact(F.array(*map(placed, metrics)))).alias("_p")
+    placed = bracketed.select(
+        *keys,
+        *[zone(i).alias(f"z{i}") for i in range(len(metrics))],
+        *[F.col(m).cast("double").alias(f"v{i}") for i, m in enumerate(metrics)],
+    )
+    inside = [
+        F.when(F.col(f"z{i}") == 1, F.struct(F.lit(i).alias("metric"), F.col(f"v{i}").alias("value")))
+        for i in range(len(metrics))
+    ]
+    # One row per unit carries the counts, and one more per value inside a bracket.
+    tally = F.struct(F.lit(-1).alias("metric"), F.lit(None).cast("double").alias("value"))
+    counted = (
+        placed.select("*", F.explode(F.array_compact(F.array(tally, *inside))).alias("_p"))
+        .groupBy(*keys, "_p.metric", "_p.value")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[
+                F.count_if(F.col(f"z{i}") == z).alias(f"n{i}_{z}")
+                for i in range(len(metrics)) for z in (0, 2)
+            ],
         )
-        .groupBy(*keys, "_p.metric", "_p.zone", "_p.value")
-        .agg(F.count(F.lit(1)).alias("n"))
     )
+    # The counts below and above become rows of their own metric.
+    outside = F.array(*[
+        F.struct(
+            F.lit(i).alias("metric"), F.lit(z).alias("zone"),
+            F.lit(None).cast("double").alias("value"), F.col(f"n{i}_{z}").alias("n"),
+        )
+        for i in range(len(metrics)) for z in (0, 2)
+    ])
+    own = F.array(F.struct("metric", F.lit(1).alias("zone"), "value", "n"))
+    counts = counted.select(
+        *keys, F.explode(F.when(F.col("metric") == -1, outside).otherwise(own)).alias("_p")
+    ).select(*keys, "_p.*").filter("n > 0")
     group = Window.partitionBy(*keys, "metric")
     ranked = (
         counts.withColumn("total", F.sum("n").over(group))
@@ -186,7 +221,7 @@ def exact_medians(
     middle = ranked.groupBy(*keys, "metric").agg(((at(low) + at(high)) / 2).alias("median"))
     return middle.groupBy(*keys).agg(
         *[
-            F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"{m}_median")
-            for m in metrics
+            F.max(F.when(F.col("metric") == i, F.col("median"))).alias(f"{m}_median")
+            for i, m in enumerate(metrics)
         ]
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,12 +99,18 @@ def record_for(
     return chosen
 
 
-def score_rows(joined: DataFrame, names: list[str], schemas: list[str]) -> DataFrame:
-    """Score rows that already carry ``output, expected, primary_params, gate_params``."""
+@lru_cache(maxsize=32)
+def _expressions(
+    app: str, names: tuple[str, ...], schemas: tuple[str, ...]
+) -> tuple[dict[str, Column], Column, Column]:
+    """Scoring expressions over the columns of a scoring input.
+
+    They depend on names only, so jobs of one application (``app``) that use the
+    same scorers share them; building them takes thousands of calls to the JVM.
+    """
     needed = set(names)
-    text = F.col("output")
-    nothing = F.lit(None)
-    forms = joined.withColumns({
+    text, nothing = F.col("output"), F.lit(None)
+    forms = {
         "_normalized": S.T.normalize_text(text)
         if "exact-label" in needed else nothing.cast("string"),
         "_number": S.T.parse_first_number(text)
@@ -112,28 +120,31 @@ def score_rows(joined: DataFrame, names: list[str], schemas: list[str]) -> DataF
         else nothing.cast(
             "struct<value:variant,ok:boolean,extraction_needed:boolean,error:string>"
         ),
-    })
+    }
     output = S.Output(text, F.col("_normalized"), F.col("_number"), F.col("_extracted"))
-
-    def one(params: Column) -> Column:
-        return record_for(params, output, F.col("expected"), names, schemas)
-
     # The primary scorer goes first, its gates follow; one lambda serves them all.
     every = F.transform(
         F.concat(F.array("primary_params"), F.coalesce("gate_params", F.array())),
-        lambda p: F.struct(p["scorer"].alias("name"), one(p).alias("record")),
+        lambda p: F.struct(
+            p["scorer"].alias("name"),
+            record_for(p, output, F.col("expected"), list(names), list(schemas)).alias("record"),
+        ),
     )
     ready = F.col("failure_reason").isNull() & text.isNotNull()
-    records = forms.withColumn("_records", F.when(ready, every))
-    scored = records.withColumn(
-        "_result",
-        F.when(
-            F.col("_records").isNotNull(),
-            S.compose(
-                F.col("primary_params.scorer"), F.col("_records")[0]["record"],
-                F.slice("_records", F.lit(2), F.size("_records")),
-            ),
-        ),
+    records = F.col("_records")
+    composed = S.compose(
+        F.col("primary_params.scorer"), records[0]["record"],
+        F.slice(records, F.lit(2), F.size(records)),
+    )
+    return forms, F.when(ready, every), F.when(records.isNotNull(), composed)
+
+
+def score_rows(joined: DataFrame, names: list[str], schemas: list[str]) -> DataFrame:
+    """Score rows that already carry ``output, expected, primary_params, gate_params``."""
+    app = joined.sparkSession.sparkContext.applicationId
+    forms, every, result = _expressions(app, tuple(names), tuple(schemas))
+    scored = (
+        joined.withColumns(forms).withColumn("_records", every).withColumn("_result", result)
     )
     return scored.select(
         *[c for c in joined.columns if c not in ("primary_params", "gate_params", "expected")],

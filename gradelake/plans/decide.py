@@ -1,4 +1,8 @@
-"""Frontier table and recommendation (R2, R3, R10; W1-W3, W12, P9, P10, U2)."""
+"""Frontier table and recommendation (R2, R3, R10; W1-W3, W12, P9, P10, U2).
+
+These read their summary several times. Over a summary that is still to be
+computed from units, pass ``cut_lineage(candidate_summary(...))``.
+"""
 
 from __future__ import annotations
 

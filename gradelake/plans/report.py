@@ -13,6 +13,7 @@ from gradelake.operators.joins import rescore_diff
 from gradelake.operators.scale import lookup_join
 from gradelake.plans.decide import check_tolerance, frontier_table, recommend
 from gradelake.plans.summary import candidate_summary
+from gradelake.session import cut_lineage
 
 _FLAG_COLUMNS = (
     "status", "status_reason", "gates_passed", "gate_failure_counts", "truncated_empty_count",
@@ -64,13 +65,14 @@ def report(
     units: DataFrame, candidates: DataFrame, tolerance: float = 0.02,
     notes: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All report tables over one cached summary.
+    """All report tables over one summary.
 
-    The summary has one row per candidate, however many units there are. The
-    caller may unpersist ``summary`` when done.
+    The summary has one row per candidate, however many units there are. It is
+    written once to the checkpoint folder, so that neither the tables nor a lost
+    executor make Spark go through the units again.
     """
     check_tolerance(tolerance)
-    summary = candidate_summary(units, candidates).persist()
+    summary = cut_lineage(candidate_summary(units, candidates))
     tables = {
         "summary": summary,
         "frontier": frontier_table(summary),

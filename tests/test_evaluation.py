@@ -220,7 +220,6 @@ def test_report_tables(spark):
     assert [r["flags"] for r in rows] == ["", "gates!", "oom"]
     assert rows[0]["peak_mib"] == "900 (-10.0%)" and rows[2]["quality"] == "-"
     assert {r["class"] for r in tables["frontier"].collect()} == {"frontier", "excluded"}
-    tables["summary"].unpersist()
 
 
 def test_group_index_matches_a_plain_window(spark):

@@ -13,6 +13,7 @@ from gradelake.operators.scorers import first_failed_gate
 from gradelake.plans import decide, planning
 from gradelake.plans import report as R
 from gradelake.plans.summary import candidate_summary
+from gradelake.session import cut_lineage
 from workload.registry import Tables, cte, query
 
 K = "run_id, candidate_id"
@@ -340,6 +341,11 @@ def summary_of(t: Tables) -> DataFrame:
     return candidate_summary(t["units"], t["candidates"])
 
 
+def settled(t: Tables) -> DataFrame:
+    """The summary, computed once, for queries that read it several times."""
+    return cut_lineage(summary_of(t))
+
+
 @query("r1_candidate_summary", f"WITH {SUMMARY} SELECT {', '.join(SUMMARY_COLUMNS)}, "
        + ", ".join(f"round({c}, 9) AS {c}" for c in SUMMARY_DOUBLES)
        + ", round(wall_ms_total, 3) AS wall_ms_total, gates FROM summary")
@@ -408,7 +414,7 @@ points AS (SELECT run_id, candidate_id, mean_score AS quality, measured_peak_mib
        f"round(vram_mib, 6) AS vram_mib, round(tokens_per_second, 6) AS tokens_per_second "
        f"FROM points p WHERE NOT {DOMINATED}")
 def j5(t: Tables) -> DataFrame:
-    return rounded(frontier(decide.points(decide.with_reasons(summary_of(t)))))
+    return rounded(frontier(decide.points(decide.with_reasons(settled(t)))))
 
 
 CLASSED = f"""{POINTS},
@@ -422,13 +428,13 @@ classed AS (SELECT j.*, CASE WHEN NOT eligible THEN 'excluded'
 @query("r2_frontier_table",
        f"WITH {CLASSED} SELECT run_id, candidate_id, class, reason FROM classed")
 def r2(t: Tables) -> DataFrame:
-    return decide.frontier_table(summary_of(t)).select("run_id", "candidate_id", "class", "reason")
+    return decide.frontier_table(settled(t)).select("run_id", "candidate_id", "class", "reason")
 
 
 @query("u2_classify",
        f"WITH {CLASSED} SELECT run_id, class, count(*) AS n FROM classed GROUP BY run_id, class")
 def u2(t: Tables) -> DataFrame:
-    return decide.frontier_table(summary_of(t)).groupBy("run_id", "class").agg(
+    return decide.frontier_table(settled(t)).groupBy("run_id", "class").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -464,7 +470,7 @@ def w1(t: Tables) -> DataFrame:
 
 
 def within_of(t: Tables) -> DataFrame:
-    judged = decide.with_reasons(summary_of(t))
+    judged = decide.with_reasons(settled(t))
     return decide.within_tolerance(judged, decide.quality_threshold(judged, TOLERANCE))
 
 
@@ -499,7 +505,7 @@ roles AS (SELECT *, CASE WHEN pick_id IS NULL THEN 'nearest-miss'
 @query("w12_runner_up_reason", f"WITH {RECOMMENDED} SELECT run_id, candidate_id, "
        "outcome AS runner_up_case FROM roles WHERE role = 'runner-up'")
 def w12(t: Tables) -> DataFrame:
-    return decide.recommend(summary_of(t), TOLERANCE).filter("role = 'runner-up'").select(
+    return decide.recommend(settled(t), TOLERANCE).filter("role = 'runner-up'").select(
         "run_id", "candidate_id", "runner_up_case"
     )
 
@@ -513,7 +519,7 @@ SELECT run_id, candidate_id, role, CASE WHEN pick_id IS NULL THEN 'none' ELSE 'r
 
 def recommendation(t: Tables) -> DataFrame:
     finite = F.when(F.col("footprint_mib") < float("inf"), F.col("footprint_mib"))
-    return rounded(decide.recommend(summary_of(t), TOLERANCE).select(
+    return rounded(decide.recommend(settled(t), TOLERANCE).select(
         "run_id", "candidate_id", "role", "kind", "footprint_kind", "quality", "threshold",
         F.round(finite, 3).alias("footprint_mib"),
     ))
