@@ -11,6 +11,8 @@ from gradelake.session import cut_lineage
 
 #: Largest planned size of a side that is broadcast.
 BROADCAST_BYTES = 8 * 1024 * 1024
+#: Largest planned size of an input that is spread over idle cores.
+SPREAD_BYTES = 512 * 1024 * 1024
 #: Pieces a hot key is split into when the other side is too large to broadcast.
 SALTS = 16
 
@@ -26,15 +28,14 @@ def planned_bytes(df: DataFrame) -> int | None:
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread a small input over all cores before work that is heavy per row.
 
-    Files come in splits; an input of less than one split per core would leave
-    cores idle. Larger inputs are returned as they are, without a shuffle.
+    Files come in splits; an input of less than one split per core leaves cores
+    idle. Only inputs planned below ``SPREAD_BYTES`` are moved, so at scale this
+    never shuffles anything.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
     size = planned_bytes(df)
-    if size is None or size >= cores * split:
+    if size is None or size >= SPREAD_BYTES:
         return df
-    return df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def measured_bytes(df: DataFrame) -> int:

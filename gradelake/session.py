@@ -49,18 +49,25 @@ def local_session(cores: str = "8", app: str = "gradelake", shuffle: int = 8) ->
     return configure(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors see, as the cluster names it in ``spark.checkpoint.dir``.
+
+    A temporary folder stands in only in local mode, as in tests.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is not None:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return tempfile.mkdtemp(prefix="gradelake-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is used only where that is unset, as in local tests.
+    Reliable: a lost executor does not bring the computation back.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            configured = tempfile.mkdtemp(prefix="gradelake-")
-        context.setCheckpointDir(configured)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

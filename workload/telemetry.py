@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from gradelake.operators import aggregates as A
 from gradelake.operators import joins as J
 from gradelake.operators import telemetry as M
 from gradelake.operators.scale import keep_first
+from gradelake.session import shared_folder
 from gradelake.sources import logs, packs
 from gradelake.streaming import jobs as X
 from workload.registry import VIEWS, Tables, cte, query, view
@@ -433,17 +434,15 @@ def stream_of(t: Tables, table: str) -> DataFrame:
     return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{table}.parque[t]")
 
 
-def shared_folder(t: Tables) -> str:
-    """A new folder for one stream, in the shared folder where one is configured."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return tempfile.mkdtemp(prefix="gradelake-")
-    return f"{root.rstrip('/')}/stream-{t.spark.sparkContext.applicationId}-{next(_RUNS)}"
+def stream_folder(t: Tables) -> str:
+    """A new folder for one stream, in the shared folder."""
+    app = t.spark.sparkContext.applicationId
+    return f"{shared_folder(t.spark)}/stream-{app}-{next(_RUNS)}-{time.time_ns()}"
 
 
 def run_stream(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and read its output back, batch by batch."""
-    folder = shared_folder(t)
+    folder = stream_folder(t)
     t.spark.conf.set(*next(iter(X.STATE_STORE.items())))
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -542,7 +541,7 @@ def x5(t: Tables) -> DataFrame:
     scored = X.score_stream(outputs, example_rows(t), specs(t)).select(
         "unit_id", "pack", "score", "pass", "failed_gate"
     ).withColumn("run_id", F.col("pack"))
-    folder = shared_folder(t)
+    folder = stream_folder(t)
     X.journal_sink(scored, f"{folder}/journal", f"{folder}/checkpoint").awaitTermination()
     return unit_rows(t.spark, f"{folder}/journal").select(
         "unit_id", F.round("score", 6).alias("score")
