@@ -312,16 +312,19 @@ def a15(t: Tables) -> DataFrame:
 
 
 @query("a15_exact_fingerprint", r"""
-SELECT pack, sha256(string_agg(relpath || chr(0) || html || chr(0), '' ORDER BY relpath))
-  AS fingerprint FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS pack,
-  lpad(CAST(page_id AS VARCHAR), 9, '0') AS relpath, html FROM pages) GROUP BY pack""")
+SELECT page_id, sha256('a/url' || chr(0) || url || chr(0) || 'a.html' || chr(0) || html || chr(0))
+  AS fingerprint FROM pages""")
 def a15_exact(t: Tables) -> DataFrame:
+    # Each page is a pack of two files, as small as packs people write.
+    def file(path: str, column: str):
+        return F.struct(
+            F.lit(path).alias("relpath"), F.encode(column, "utf-8").alias("content")
+        )
+
     files = t["pages"].select(
-        F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("pack"),
-        F.lpad(F.col("page_id").cast("string"), 9, "0").alias("relpath"),
-        F.encode("html", "utf-8").alias("content"),
-    )
-    return packs.pack_fingerprint(files, ("pack",))
+        "page_id", F.explode(F.array(file("a.html", "html"), file("a/url", "url"))).alias("f")
+    ).select("page_id", "f.relpath", "f.content")
+    return packs.pack_fingerprint(files, ("page_id",))
 
 
 @query("a16_file_fingerprint", """

@@ -182,21 +182,21 @@ def u3(t: Tables) -> DataFrame:
     )
 
 
-@query("u4_off_label", """
+NAMES = ["small ring", "red widget", "small widget", "blue bolt"]
+NAMES_SQL = ", ".join(f"'{n}'" for n in NAMES)
+
+
+@query("u4_off_label", f"""
 SELECT pack, string_agg(value, ',' ORDER BY s) AS off_label FROM (
   SELECT pack, value, s, row_number() OVER (PARTITION BY pack ORDER BY s, value) AS r FROM (
     SELECT p_brand AS pack, '"' || p_name || '"' AS value, min(p_partkey) AS s FROM part
-    WHERE p_name NOT LIKE 'small%' GROUP BY p_brand, p_name)) WHERE r <= 5 GROUP BY pack""")
+    WHERE p_name NOT IN ({NAMES_SQL}) GROUP BY p_brand, p_name)) WHERE r <= 5 GROUP BY pack""")
 def u4(t: Tables) -> DataFrame:
-    names = t["part"].select("p_name").filter("p_name LIKE 'small%'").agg(
-        F.collect_set("p_name").alias("labels")
-    )
-    # One row: the label set of a pack, here the same for all.
     examples = t["part"].select(
         F.col("p_brand").alias("pack"), F.col("p_partkey").alias("seq"),
         F.parse_json(F.concat(F.lit('"'), F.col("p_name"), F.lit('"'))).alias("expected"),
-        F.lit(1).alias("one"),
-    ).join(F.broadcast(names.withColumn("one", F.lit(1))), "one")
+        F.array(*[F.lit(n) for n in NAMES]).alias("labels"),
+    )
     return U.off_label(examples).select("pack", F.array_join("off_label", ",").alias("off_label"))
 
 
