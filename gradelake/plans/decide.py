@@ -266,15 +266,23 @@ def recommend(summary: DataFrame, tolerance: float = 0.02) -> DataFrame:
         F.when(F.col("pick").isNotNull(), _own_mib()).alias("footprint_mib"),
         reason.alias("reason"),
     ).orderBy(
-        "run_id", F.col("role") != "pick", F.desc(F.coalesce("quality", F.lit(0.0))),
-        "candidate_seq",
+        "run_id", F.col("role") != "pick", quality_rank("quality"), "candidate_seq",
     )
 
 
+def quality_rank(quality: str) -> Column:
+    """Sort key of a mean score, missing as zero.
+
+    The last bits of a mean depend on the order its partitions were summed in, so
+    they are rounded off: equal means keep their listing order in every run.
+    """
+    return F.desc(F.round(F.coalesce(F.col(quality), F.lit(0.0)), 12))
+
+
 def nearest_misses(summary: DataFrame) -> DataFrame:
     """Candidates by quality, best first, missing as zero, in order on ties (T-3)."""
     return with_reasons(summary).orderBy(
-        "run_id", F.desc(F.coalesce("mean_score", F.lit(0.0))), "candidate_seq"
+        "run_id", quality_rank("mean_score"), "candidate_seq"
     )
 
 

@@ -531,11 +531,11 @@ def r3(t: Tables) -> DataFrame:
 
 
 @query("t3_nearest_misses", f"""WITH {JUDGED} SELECT run_id, candidate_id,
-  row_number() OVER (PARTITION BY run_id ORDER BY coalesce(mean_score, 0) DESC, candidate_seq)
-  AS place FROM judged""")
+  row_number() OVER (PARTITION BY run_id ORDER BY round(coalesce(mean_score, 0), 12) DESC,
+  candidate_seq) AS place FROM judged""")
 def t3(t: Tables) -> DataFrame:
     ordered = Window.partitionBy("run_id").orderBy(
-        F.desc(F.coalesce("mean_score", F.lit(0.0))), "candidate_seq"
+        decide.quality_rank("mean_score"), "candidate_seq"
     )
     place = F.row_number().over(ordered).cast("bigint").alias("place")
     return decide.nearest_misses(summary_of(t)).select("run_id", "candidate_id", place)
