@@ -13,8 +13,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """Lower-case A-Z only; null counts as empty.
+
+    In a text of ASCII alone ``lower`` does the same, and faster.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(whole) == F.length(whole)
+    return F.when(ascii_only, F.lower(whole)).otherwise(F.translate(whole, UPPER, LOWER))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

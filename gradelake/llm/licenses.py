@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.functions.text import bind
-from gradelake.llm.common import lower_ascii
+from gradelake.llm.common import lower_ascii, stored
 
 #: Phrases whose words mark a licence, and their labels.
 PHRASES = {
@@ -88,7 +88,8 @@ def license_join(
     if not sets:
         return spark.createDataFrame(
             [], "doc_id bigint, line int, label string, overlap int, size int")
-    held = blocks(docs, id_col, text_col, vocabulary, min(need.values()))
+    # Written once: the frequencies and the join both read it, and it is far smaller than the text.
+    held = stored(blocks(docs, id_col, text_col, vocabulary, min(need.values())))
     counts = held.select(F.explode("held").alias("word")).groupBy("word").count()
     seen = {row["word"]: row["count"] for row in counts.collect()}  # at most the vocabulary
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}

@@ -14,14 +14,18 @@ from gradelake.functions.text import bind
 #: Rows on which the cost and the selectivity of the rules are measured.
 SAMPLE_ROWS = 1000
 #: White space that separates words, and characters counted as symbols.
-SPACES = "\t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SPACE = r"[\x20\x09-\x0D]"
+NO_SPACE = r"[^\x20\x09-\x0D]"
+NO_SYMBOL = r"[^#*$%&|<>]"
+
+
+def _whole(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
 
 
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(_whole(text), SPACE + "+"), "")
 
 
 def n_words(text: Column) -> Column:
@@ -30,22 +34,20 @@ def n_words(text: Column) -> Column:
 
 def word_chars(text: Column) -> Column:
     """Code points in words."""
-    return F.length(F.translate(F.coalesce(text, F.lit("")), SPACES + " ", "")).cast("bigint")
+    return F.length(F.regexp_replace(_whole(text), SPACE + "+", "")).cast("bigint")
 
 
 def n_symbols(text: Column) -> Column:
-    whole = F.coalesce(text, F.lit(""))
-    return (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("bigint")
+    return F.length(F.regexp_replace(_whole(text), NO_SYMBOL + "+", "")).cast("bigint")
 
 
 def n_upper(text: Column) -> Column:
     """Upper-case letters."""
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{Lu}]+", "")).cast("bigint")
+    return F.length(F.regexp_replace(_whole(text), r"[^\p{Lu}]+", "")).cast("bigint")
 
 
 def _lines(text: Column) -> Column:
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.filter(lines, lambda x: F.translate(x, SPACES + " ", "") != "")
+    return F.filter(F.split(_whole(text), "\n"), lambda x: x.rlike(NO_SPACE))
 
 
 def n_lines(text: Column) -> Column:
@@ -70,28 +72,57 @@ def _window_hashes(w: Column) -> Column:
     return bind(F.transform(w, lambda x: F.xxhash64(x)), paired)
 
 
-def _covered(h: Column) -> Column:
-    """Words in windows whose hash occurs twice or more."""
-    def pairs(s: Column) -> Column:
+def _runs(ordered: Column, key: Callable[[Column], Column], place: Callable[[Column], Column]) -> Column:
+    """Places of the elements of a sorted array whose key a neighbour shares."""
+    def found(s: Column) -> Column:
         n = F.size(s) - 1
-        return F.flatten(
-            F.zip_with(
-                F.slice(s, F.lit(1), n), F.slice(s, F.lit(2), n),
-                lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(
-                    F.array().cast("array<int>")
-                ),
-            )
-        )
+        return F.array_distinct(F.flatten(F.zip_with(
+            F.slice(s, F.lit(1), n), F.slice(s, F.lit(2), n),
+            lambda a, b: F.when(key(a) == key(b), F.array(place(a), place(b))).otherwise(
+                F.array().cast("array<bigint>")),
+        )))
+
+    return bind(ordered, found)
+
+
+def _covered(h: Column) -> Column:
+    """Words in windows whose hash occurs twice or more.
+
+    Numbers sort much faster than records, so the leading bits of each hash, with the
+    place in the freed bits, are sorted first; the few windows that share leading bits
+    are then sorted by their whole hashes.
+    """
+    def likely(bits: Column) -> Column:
+        def high(x: Column) -> Column:
+            return F.call_function("shiftrightunsigned", x, bits)
+
+        def low(x: Column) -> Column:
+            return x - F.call_function("shiftleft", high(x), bits)
+
+        keys = F.transform(h, lambda x, i: F.call_function("shiftleft", high(x), bits) + i)
+        return _runs(F.array_sort(keys), high, low)
+
+    def repeated(places: Column) -> Column:
+        whole = F.transform(places, lambda p: F.struct(F.get(h, p.cast("int")).alias("h"), p.alias("p")))
+        return _runs(F.array_sort(whole), lambda x: x["h"], lambda x: x["p"])
 
     def spread(p: Column) -> Column:
         n = F.size(p) - 1
         steps = F.zip_with(
             F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.least(b - a, F.lit(3))
         )
-        return F.aggregate(steps, F.lit(3), lambda total, step: total + step)
+        return F.aggregate(steps, F.lit(3).cast("bigint"), lambda total, step: total + step)
 
-    ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    return bind(F.array_sort(F.array_distinct(bind(ordered, pairs))), spread)
+    places = bind(bind(F.length(F.bin(F.size(h))), likely), repeated)
+    return bind(F.array_sort(places), lambda p: F.when(F.size(p) > 0, spread(p)).otherwise(0))
+
+
+def _repeated(w: Column) -> Column:
+    def counted(h: Column) -> Column:
+        distinct = F.size(F.array_distinct(h)) == F.size(h)
+        return F.when(distinct, 0).otherwise(_covered(h))
+
+    return F.when(F.size(w) > 3, bind(_window_hashes(w), counted)).otherwise(0).cast("bigint")
 
 
 def n_repeat_words(text: Column) -> Column:
@@ -100,32 +131,50 @@ def n_repeat_words(text: Column) -> Column:
     Windows are compared by 64-bit hashes within one text. Only texts with a repeated
     hash are sorted.
     """
-    def counted(h: Column) -> Column:
-        repeated = F.size(F.array_distinct(h)) < F.size(h)
-        return F.when(repeated, _covered(h)).otherwise(0)
+    return bind(words(text), _repeated)
+
+
+def word_facts(text: Column) -> Column:
+    """A record of the features that need the words, from one pass over the text."""
+    return bind(words(text), lambda w: F.struct(
+        F.size(w).cast("bigint").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+        _repeated(w).alias("n_repeat_words"),
+    ))
 
-    value = bind(words(text), lambda w: F.when(
-        F.size(w) > 3, bind(_window_hashes(w), counted)).otherwise(0))
-    return value.cast("bigint")
+
+#: Features of a text by name.
+FEATURES = {
+    f.__name__: f for f in (n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines, n_repeat_words)
+}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A named test of a text; true rejects it and null does not."""
+    """A named test; true rejects a text and null does not.
+
+    ``rejects`` asks for features by name, so a rule works on texts, whose features are
+    computed when the rule is reached, and on features that are columns already.
+    """
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Callable[[str], Column]], Column]
+
+
+def of_text(text: Column, columns: Sequence[str] = ()) -> Callable[[str], Column]:
+    """Features of a text by name; those named in ``columns`` are read, not computed."""
+    return lambda name: F.col(name) if name in columns else FEATURES[name](text)
 
 
 #: All thresholds are whole-number comparisons, so that every engine agrees on them.
-FEW_WORDS = Rule("few_words", lambda t: n_words(t) < 50)
-REPEATED_WORDS = Rule("repeated_words", lambda t: 100 * n_repeat_words(t) > 50 * n_words(t))
-SYMBOL_SHARE = Rule("symbol_share", lambda t: 10 * n_symbols(t) > n_words(t))
-UPPER_SHARE = Rule("upper_share", lambda t: 100 * n_upper(t) > 50 * word_chars(t))
-DUP_LINES = Rule("dup_lines", lambda t: 100 * n_dup_lines(t) > 30 * n_lines(t))
+FEW_WORDS = Rule("few_words", lambda f: f("n_words") < 50)
+REPEATED_WORDS = Rule("repeated_words", lambda f: 100 * f("n_repeat_words") > 50 * f("n_words"))
+SYMBOL_SHARE = Rule("symbol_share", lambda f: 10 * f("n_symbols") > f("n_words"))
+UPPER_SHARE = Rule("upper_share", lambda f: 100 * f("n_upper") > 50 * f("word_chars"))
+DUP_LINES = Rule("dup_lines", lambda f: 100 * f("n_dup_lines") > 30 * f("n_lines"))
 WORD_LENGTH = Rule(
     "word_length",
-    lambda t: (word_chars(t) < 2 * n_words(t)) | (word_chars(t) > 20 * n_words(t)),
+    lambda f: (f("word_chars") < 2 * f("n_words")) | (f("word_chars") > 20 * f("n_words")),
 )
 RULES = (FEW_WORDS, REPEATED_WORDS, SYMBOL_SHARE, UPPER_SHARE, DUP_LINES, WORD_LENGTH)
 
@@ -149,8 +198,8 @@ def estimate(
         idle = timed(F.col("t").isNull())[0]
         out = []
         for rule in rules:
-            timed(F.coalesce(rule.rejects(F.col("t")), F.lit(False)))  # compiles the code
-            seconds, share = timed(F.coalesce(rule.rejects(F.col("t")), F.lit(False)))
+            timed(F.coalesce(rule.rejects(of_text(F.col("t"))), F.lit(False)))  # compiles the code
+            seconds, share = timed(F.coalesce(rule.rejects(of_text(F.col("t"))), F.lit(False)))
             out.append((rule, max(seconds - idle, 1e-4), share))
         return out
     finally:
@@ -162,14 +211,14 @@ def by_rejection_per_cost(figures: Sequence[tuple[Rule, float, float]]) -> list[
     return [f[0] for f in sorted(figures, key=lambda f: -f[2] / f[1])]
 
 
-def first_failure(text: Column, rules: Sequence[Rule]) -> Column:
+def first_failure(features: Callable[[str], Column], rules: Sequence[Rule]) -> Column:
     """Name of the first rule that rejects a text, null where none does.
 
     A chain of conditions: a rule is evaluated only for texts that passed all before it.
     """
     chain = None
     for rule in rules:
-        chain = (F if chain is None else chain).when(rule.rejects(text), F.lit(rule.name))
+        chain = (F if chain is None else chain).when(rule.rejects(features), F.lit(rule.name))
     return F.lit(None).cast("string") if chain is None else chain
 
 
@@ -183,20 +232,27 @@ def quality_filter(
     table and an empty list of rules keep everything.
     """
     ordered = by_rejection_per_cost(estimate(docs, rules, text_col, sample_rows))
-    return docs.where(first_failure(F.col(text_col), ordered).isNull())
+    return docs.where(first_failure(of_text(F.col(text_col)), ordered).isNull())
 
 
 def quality_report(
-    docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id",
-    text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
+    docs: DataFrame, rules: Sequence[Rule] = RULES, facts: Sequence[str] = (),
+    id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """doc_id, text and ``failed`` (null: kept) of every row, in measured rule order.
+    """doc_id, the named facts and ``failed`` (null: kept) of every row.
 
-    Which of several failing rules is named depends on the measured order; whether a row
-    failed does not. Other columns are not read.
+    Facts are features wanted for every row: they are computed once, and the cascade
+    reads them; it computes other features only when it reaches a rule that asks. Which
+    of several failing rules is named depends on the measured order; whether a row failed
+    does not. Other columns are not read.
     """
     ordered = by_rejection_per_cost(estimate(docs, rules, text_col, sample_rows))
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-        first_failure(F.col(text_col), ordered).alias("failed"),
-    )
+    text = F.col(text_col)
+    shared = [name for name in facts if name in ("n_words", "word_chars", "n_repeat_words")]
+    known = docs.select(
+        F.col(id_col).alias("doc_id"), text.alias("_text"),
+        *([word_facts(text).alias("_words")] if shared else []),
+        *[FEATURES[name](text).alias(name) for name in facts if name not in shared],
+    ).select("*", *[F.col("_words")[name].alias(name) for name in shared])
+    failed = first_failure(of_text(F.col("_text"), facts), ordered)
+    return known.select("doc_id", *facts, failed.alias("failed"))

@@ -73,13 +73,9 @@ FROM facts
 """)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascade's verdict; the contract's counts are read beside it for every row."""
-    report = quality.quality_report(table(spark, sf_dir, "documents"))
-    t = F.col("text")
-    facts = report.select(
-        "doc_id", "failed",
-        quality.n_words(t).alias("n_words"), quality.word_chars(t).alias("word_chars"),
-        quality.n_symbols(t).alias("n_symbols"), quality.n_dup_lines(t).alias("n_dup_lines"),
-        quality.n_repeat_words(t).alias("n_repeat_words"),
+    facts = quality.quality_report(
+        table(spark, sf_dir, "documents"),
+        facts=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
     )
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return facts.select(
