@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,16 @@ def lower_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(whole)).otherwise(F.translate(whole, UPPER, LOWER))
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies, as where it is not installed."""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    given = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in given:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*given, here]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
