@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import chat, dedup_exact, html_text, licenses, lines, minhash, quality
+from gradelake.llm import chat, dedup_exact, html_text, licenses, lines, minhash, quality, toxicity
 from gradelake.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_minhash_near_dedup")
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score_documents(docs, model)
