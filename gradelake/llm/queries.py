@@ -6,10 +6,11 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import chat, dedup_exact, html_text, licenses, lines, minhash, quality, toxicity
+from gradelake.llm import chat, dedup_exact, html_text, licenses, lines, minhash, packing, quality, toxicity
 from gradelake.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +209,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train_on(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score_documents(docs, model)
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
