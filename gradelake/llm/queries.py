@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import chat, dedup_exact, html_text, licenses, lines, minhash, packing, quality, toxicity
+from gradelake.llm import chat, dedup_exact, html_text, licenses, lines, minhash, packing, pieces, quality, toxicity
 from gradelake.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    both = pieces.decode_documents(pieces.encode_documents(docs, model), model)
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids",
+        F.length("decoded").cast("bigint").alias("decoded_chars"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
