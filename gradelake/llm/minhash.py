@@ -20,8 +20,6 @@ WIDTH = 5
 BANDS, ROWS = 26, 5
 #: Least similarity, as numerator and denominator.
 SIMILARITY = (85, 100)
-#: Rounds in which each open bucket tests one leader, before all open pairs are tested.
-STAR_ROUNDS = 2
 #: Shingles whose signatures are computed together.
 CHUNK = 1 << 17
 #: Words whose hashes a task remembers.
@@ -170,20 +168,74 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, total = [], 0
 
 
-def _close_sizes(a: str, b: str, similarity: tuple[int, int]):
-    """Sets further apart in size cannot reach the similarity."""
-    least, most = F.least(a, b), F.greatest(a, b)
-    return similarity[1] * least >= similarity[0] * most
+def _reaches(common, n_u, n_v, similarity: tuple[int, int]):
+    """Whether sets of these sizes with so much in common are similar enough."""
+    return (similarity[0] + similarity[1]) * common >= similarity[0] * (n_u + n_v)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """u, v of the pairs whose whole sets are similar enough."""
+def _in_common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, common, n_u, n_v of pairs of nodes, from their whole sets."""
     one = sets.select(F.col("node").alias("v"), F.col("shingles").alias("of_v"))
     two = sets.select(F.col("node").alias("u"), F.col("shingles").alias("of_u"))
     both = pairs.join(one, "v").join(two, "u")
-    common = F.size(F.array_intersect("of_u", "of_v"))
-    union = F.size("of_u") + F.size("of_v") - common
-    return both.where(similarity[1] * common >= similarity[0] * union).select("u", "v")
+    return both.select(
+        "u", "v", F.size(F.array_intersect("of_u", "of_v")).alias("common"),
+        F.size("of_u").alias("n_u"), F.size("of_v").alias("n_v"))
+
+
+def _similar(tested: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    return tested.where(
+        _reaches(F.col("common"), F.col("n_u"), F.col("n_v"), similarity)).select("u", "v")
+
+
+def _named(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Rows of nodes with their component, the node itself where it has no link."""
+    return rows.join(grouped, "node", "left").withColumn(
+        "comp", F.coalesce("component", "node")).drop("component")
+
+
+def _open_pairs(
+    members: DataFrame, tested: DataFrame, sets: DataFrame, grouped: DataFrame,
+    similarity: tuple[int, int],
+) -> DataFrame:
+    """u, v: pairs of a bucket that are not in one component and could still be similar.
+
+    Each member i knows its leader L: a = |i & L| and the rest e of i outside L that at least one
+    other open node holds. Two members have at most min(a, a') + min(e, e') shingles in common.
+    A member whose own a + e is too small for any size in its bucket is out before it meets
+    another, and only members outside the leader's component look for partners.
+    """
+    live = _named(members, grouped)
+    leads = grouped.select(F.col("node").alias("lead"), F.col("component").alias("lead_group"))
+    live = live.join(leads, "lead", "left").withColumn("main", F.coalesce("lead_group", "lead")).drop("lead_group")
+    facts = live.groupBy("band", "key").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least")
+    ).where("low <> high").drop("low", "high")
+    live = stored(live.join(facts, ["band", "key"]))
+    alone = (
+        sets.join(live.select("node").distinct(), "node")
+        .select("node", F.explode("shingles").alias("x"))
+        .groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+        .groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    )
+    against = tested.select(F.col("u").alias("lead"), F.col("v").alias("node"), "common")
+    known = (
+        live.join(against, ["lead", "node"], "left").join(alone, "node", "left")
+        .withColumn("a", F.coalesce("common", "n"))  # the leader itself
+        .withColumn("e", F.col("n") - F.col("a") - F.when(F.col("common").isNull(), 0).otherwise(F.coalesce("own", F.lit(0))))
+        .select("band", "key", "node", "n", "comp", "main", "a", "e", "least")
+    )
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * similarity[0] / similarity[1]))
+    able = stored(known.where(_reaches(F.col("a") + F.col("e"), F.col("n"), smallest, similarity)).drop("least"))
+    seeking = able.where("comp <> main").select(
+        "band", "key", *[F.col(c).alias(f"s_{c}") for c in ("node", "n", "comp", "a", "e")])
+    most = F.least("a", "s_a") + F.least("e", "s_e")
+    return seeking.join(
+        able,
+        (seeking["band"] == able["band"]) & (seeking["key"] == able["key"])
+        & (F.col("comp") != F.col("s_comp")) & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("s_node")))
+        & _reaches(most, F.col("n"), F.col("s_n"), similarity),
+    ).select(F.col("s_node").alias("u"), F.col("node").alias("v")).distinct()
 
 
 def near_duplicates(
@@ -193,13 +245,13 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept of every row.
 
     Documents with the same shingle set are one node, whatever their number. Nodes that
-    agree in a band form a bucket. In each round a bucket tests its smallest node against
-    all others that are not in its component yet, a star instead of all pairs; buckets
-    whose nodes are one component are closed, and a tested leader leaves its bucket. What
-    is still open after the star rounds, buckets of nodes that share a band but did not
-    prove similar, is tested pair by pair across components, within the size bound. Every
-    link is confirmed on the whole sets. No link between nodes of a bucket is lost: a pair
-    is either tested or already joined by tested links.
+    agree in a band form a bucket. A bucket tests its leader, the node that shares the most
+    buckets with others and so stands in the middle of a group of copies, against all its
+    members: a star instead of all pairs. Buckets that are one component then are done. In
+    the others, pairs across components are tested unless what both have in common with the
+    leader, and what they hold beside it, rules them out. Every link is confirmed on the
+    whole sets, and no pair of a bucket is left out: it is tested, joined by tested links
+    already, or ruled out by an exact bound.
 
     A document without words, or with a null text, has no shingles and is linked with
     nothing. Rows that repeat an id are separate rows of the same id; rows without an id
@@ -213,42 +265,26 @@ def near_duplicates(
              F.any_value("bands").alias("bands"))
     )
     members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     buckets = stored(members.join(shared, ["band", "key"]))
-    needed = buckets.select("node").distinct().join(nodes, "node").select(F.col("first_id").alias("_id"))
+    ranked = buckets.groupBy("node").agg(F.sum("c").alias("weight"))
+    needed = ranked.join(nodes, "node").select(F.col("first_id").alias("_id")).distinct()
     sets = stored(
-        texts.join(needed.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        texts.join(needed, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         .select("text").mapInArrow(_whole_sets, _SETS).dropDuplicates(["node"])
     )
-    links = None
-    grouped = None
-    for turn in range(STAR_ROUNDS + 1):
-        named = buckets.withColumn("comp", F.col("node")) if grouped is None else (
-            buckets.join(grouped, "node", "left")
-            .withColumn("comp", F.coalesce("component", "node")).drop("component"))
-        opened = named.groupBy("band", "key").agg(
-            F.min_by(F.struct("node", "n", "comp"), "node").alias("lead"),
-            F.min("comp").alias("low"), F.max("comp").alias("high"),
-        ).where("low <> high").drop("low", "high")
-        live = named.join(opened, ["band", "key"])
-        if turn < STAR_ROUNDS:
-            pairs = live.where("comp <> lead.comp").select(
-                F.col("lead.node").alias("u"), F.col("lead.n").alias("nu"),
-                F.col("node").alias("v"), F.col("n").alias("nv"))
-        else:
-            live = stored(live.drop("lead"))
-            other = live.select("band", "key", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "comp")])
-            pairs = live.join(other, ["band", "key"]).where("comp < o_comp").select(
-                F.col("node").alias("u"), F.col("n").alias("nu"),
-                F.col("o_node").alias("v"), F.col("o_n").alias("nv"))
-        wanted = pairs.where(_close_sizes("nu", "nv", similarity)).select("u", "v").distinct()
-        found = stored(_verified(wanted, sets, similarity))
-        links = found if links is None else links.unionByName(found)
-        if turn < STAR_ROUNDS:
-            buckets = stored(live.where("node <> lead.node").select("node", "n", "band", "key"))
-        grouped = components(links)
-        if turn < STAR_ROUNDS and buckets.isEmpty():
-            break
+    weighed = buckets.join(ranked, "node")
+    lead = weighed.groupBy("band", "key").agg(F.max(F.struct("weight", "node")).alias("top"))
+    led = stored(weighed.join(lead, ["band", "key"]).select(
+        "band", "key", "node", F.col("n").cast("int").alias("n"), F.col("top.node").alias("lead")))
+    stars = led.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
+    tested = stored(_in_common(stars, sets))
+    links = _similar(tested, similarity)
+    grouped = components(links)
+    more = stored(_similar(
+        _in_common(_open_pairs(led, tested, sets, grouped, similarity), sets), similarity))
+    if not more.isEmpty():
+        grouped = components(links.unionByName(more))
     named = nodes.select("node", "first_id").join(grouped, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"), "first_id")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
