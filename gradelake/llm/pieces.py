@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Longest segment whose ids are remembered, and how many are.
-REMEMBERED_CHARS, REMEMBERED = 64, 1 << 20
+REMEMBERED_CHARS, REMEMBERED = 64, 1 << 18
 #: Positions read between two looks for a boundary on which all paths agree.
 STRIDE = 64
 
@@ -45,12 +45,12 @@ class Vocabulary:
         self.chars = {p for p in ids if len(p) == 1}
         self.names = {i: p for p, i in ids.items()}
         self.byte_of = {i: b for b, i in byte_ids.items()}
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.apart: dict[int, bool] = {}
         # A boundary no piece can cross: in front of a space mark after anything else.
         crossing = any(SPACE in p.lstrip(SPACE) for p in ids)
         feed = any("\n" in p for p in ids)
-        self.starts = {p[:i] for p in ids for i in range(1, len(p) + 1)}
+        # Beginnings of pieces, with the id where the beginning is a piece itself.
+        self.starts = {p[:i]: ids.get(p[:i], -1) for p in ids for i in range(1, len(p) + 1)}
         self.inside = {p[i:i + 2] for p in ids for i in range(len(p) - 1)}
         self.by_line = not crossing and not feed
         self.cut = None if crossing else re.compile(
@@ -77,19 +77,12 @@ class Vocabulary:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands_alone(self, piece: str) -> bool:
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = self.merged(piece) == [piece]
-        return known
-
-    def may_follow(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        known = self.apart.get(pair)
-        if known is None:
-            if len(self.apart) >= REMEMBERED:
-                self.apart.clear()
-            known = self.apart[pair] = self.merged(left + right) == [left, right]
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether merging leaves the two pieces apart; -1 on the left is the start."""
+        if len(self.apart) >= REMEMBERED:
+            self.apart.clear()
+        parts = [self.names[i] for i in (left, right) if i >= 0]
+        known = self.apart[left << 32 | right] = self.merged("".join(parts)) == parts
         return known
 
     def fallback(self, char: str) -> list[int]:
@@ -111,7 +104,7 @@ class StreamingViterbi:
         self.v = vocabulary
         self.text = ""
         self.back: list[int] = [0]
-        self.last: list[str | None] = [None]
+        self.last: list[int] = [-1]
         self.best: list[float] = [0.0]
         self.since = 0
         self.widest = 0
@@ -141,30 +134,27 @@ class StreamingViterbi:
     def _reach(self) -> None:
         """Extend the search to the end of the text held."""
         v, text, back, last, best = self.v, self.text, self.back, self.last, self.best
-        ids, apart, starts, scored = v.ids, v.apart, v.starts, v.kind != "bpe"
+        apart, starts, scored = v.apart, v.starts, v.kind != "bpe"
         old, new = len(back) - 1, len(text)
         back += [-1] * (new - old)
-        last += [None] * (new - old)
+        last += [-1] * (new - old)
         best += [float("-inf")] * (new - old)
         for j in range(max(0, old - v.longest + 1), new):
-            left = last[j]
+            left = last[j] << 32
             for i in range(j + 1, new + 1):
-                piece = text[j:i]
-                if piece not in starts:
+                piece = starts.get(text[j:i])
+                if piece is None:
                     break  # no piece begins like this
-                if i <= old or piece not in ids:
+                if piece < 0 or i <= old:
                     continue
                 if scored:
-                    total = best[j] + v.scores[piece]
+                    total = best[j] + v.scores[text[j:i]]
                     if total > best[i]:
                         back[i], last[i], best[i] = j, piece, total
                 elif back[i] < 0:
-                    if left is None:
-                        allowed = v.stands_alone(piece)
-                    else:
-                        allowed = apart.get((left, piece))
-                        if allowed is None:
-                            allowed = v.may_follow(left, piece)
+                    allowed = apart.get(left | piece)
+                    if allowed is None:
+                        allowed = v.may_follow(last[j], piece)
                     if allowed:
                         back[i], last[i], best[i] = j, piece, 0.0
         if min(back[old + 1:], default=0) < 0:
@@ -183,7 +173,7 @@ class StreamingViterbi:
     def _path(self, end: int) -> list[int]:
         ids = []
         while end > 0:
-            ids.append(self.v.ids[self.last[end]])
+            ids.append(self.last[end])
             end = self.back[end]
         return ids[::-1]
 
@@ -201,21 +191,24 @@ class StreamingViterbi:
     def finish(self) -> list[int]:
         """The ids of all that was not committed; ready for a new text."""
         ids = self._path(len(self.text))
-        self.text, self.back, self.last, self.best, self.since = "", [0], [None], [0.0], 0
+        self.text, self.back, self.last, self.best, self.since = "", [0], [-1], [0.0], 0
         return ids
 
 
 class _Words(dict):
-    """Ids of words that follow a space."""
+    """Ids of words that follow a space; the full dictionary becomes the older of two."""
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encoder[SPACE + word]
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encoder[SPACE + word]
         if len(word) < REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
