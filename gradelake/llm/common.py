@@ -13,6 +13,28 @@ from gradelake.session import shared_folder
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+class Recent:
+    """A bounded memory of two dictionaries: the older one goes when the newer is full."""
+
+    def __init__(self, most: int) -> None:
+        self.new: dict = {}
+        self.old: dict = {}
+        self.most = most
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty.
 

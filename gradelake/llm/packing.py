@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gradelake.llm.common import stored
+from gradelake.llm.common import Recent, stored
 
 #: Tokens of a sequence, and the most tokens a queue sends at once.
 SEQUENCE, PACKET = 2048, 256
@@ -40,6 +40,7 @@ class PartIds(dict):
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.encoder.get_vocab_size() <= 1 << 16 else "<u4")
+        self.cores = Recent(REMEMBERED)
         self.marks = {m: self._encode([m])[0] for m in ".,"}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
@@ -55,10 +56,13 @@ class PartIds(dict):
         for part in unknown:
             core, mark = (part[:-1], part[-1]) if part[-1:] in self.marks and part[:-1].isalpha() else (part, "")
             split[part] = (core.lower() if core.isascii() else core, mark)
-        cores = list({core for core, _ in split.values() if core not in self})
-        self.update(zip(cores, self._encode(cores)))
+        ids = {core: self.cores.get(core) for core, _ in split.values()}
+        fresh = [core for core, found in ids.items() if found is None]
+        for core, found in zip(fresh, self._encode(fresh)):
+            ids[core] = found
+            self.cores.put(core, found)
         for part, (core, mark) in split.items():
-            self[part] = self[core] + self.marks[mark] if mark else self[core]
+            self[part] = ids[core] + self.marks[mark] if mark else ids[core]
 
     def parts(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")

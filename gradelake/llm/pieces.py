@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import Recent
+
 SPACE = "▁"
 #: Longest segment whose ids are remembered, and how many are.
 REMEMBERED_CHARS, REMEMBERED = 64, 1 << 18
@@ -196,19 +198,16 @@ class StreamingViterbi:
 
 
 class _Words(dict):
-    """Ids of words that follow a space; the full dictionary becomes the older of two."""
+    """Ids of words that follow a space."""
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
-        self.encoder, self.older = encoder, {}
+        self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.encoder[SPACE + word]
+        ids = self.encoder[SPACE + word]
         if len(word) < REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
+            if len(self) >= 2 * REMEMBERED:
                 self.clear()
             self[word] = ids
         return ids
@@ -221,11 +220,16 @@ class Encoder(dict):
         super().__init__()
         self.v = vocabulary
         self.stream = StreamingViterbi(vocabulary)
+        self.cores = Recent(REMEMBERED)
         self.words = _Words(self)
         self.feed = self["\n"]
 
     def __missing__(self, segment: str) -> bytes:
         inside = self.v.inside
+        if len(segment) <= REMEMBERED_CHARS:
+            known = self.cores.get(segment)
+            if known is not None:
+                return known
         for i in range(1, len(segment) if len(segment) <= REMEMBERED_CHARS else 0):
             if segment[i - 1:i + 1] not in inside:
                 # No piece holds these two characters, so every path crosses between them.
@@ -234,9 +238,7 @@ class Encoder(dict):
         else:
             ids = self._searched(segment)
             if len(segment) <= REMEMBERED_CHARS:
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[segment] = ids
+                self.cores.put(segment, ids)
         return ids
 
     def _by_word(self, text: str) -> bytes:
