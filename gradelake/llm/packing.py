@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator, Mapping
+from array import array
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gradelake.llm.common import Recent, stored
+from gradelake.llm.common import stored
 
 #: Tokens of a sequence, and the most tokens a queue sends at once.
 SEQUENCE, PACKET = 2048, 256
@@ -21,15 +22,15 @@ END_ID = 1
 #: Rows of a queue that are numbered together.
 BLOCK_ROWS = 4096
 #: White-space separated parts whose ids a task remembers, and text read between look-ups.
-REMEMBERED, TOGETHER = 1 << 19, 4 << 20
+REMEMBERED, TOGETHER = 3 << 18, 4 << 20
 
 
 class PartIds(dict):
     """Ids of white-space separated parts as bytes of little-endian ``dtype`` numbers.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are
-    those of its parts. A part that is letters and a full stop or comma is those two, and
-    ASCII letters count as lower case, which the tokenizer makes them.
+    those of its parts. It makes letters lower case, which in Latin-1 texts may be done
+    first, so that it sees each distinct part once.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,32 +41,32 @@ class PartIds(dict):
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.encoder.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cores = Recent(REMEMBERED)
         self.marks = {m: self._encode([m])[0] for m in ".,"}
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.encoder.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+    def parts(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
 
-    def learn(self, parts: Iterable[str]) -> None:
-        """Make every part known; the tokenizer sees each distinct core once."""
-        if len(self) > REMEMBERED:
+    def learn(self, parts: set[str]) -> None:
+        """Make every part known; letters and a full stop or comma are known from the letters."""
+        unknown = parts.difference(self)
+        if len(self) + len(unknown) > REMEMBERED:
             self.clear()
-        unknown = [p for p in parts if p not in self]
-        split = {}
-        for part in unknown:
-            core, mark = (part[:-1], part[-1]) if part[-1:] in self.marks and part[:-1].isalpha() else (part, "")
-            split[part] = (core.lower() if core.isascii() else core, mark)
-        ids = {core: self.cores.get(core) for core, _ in split.values()}
-        fresh = [core for core, found in ids.items() if found is None]
-        for core, found in zip(fresh, self._encode(fresh)):
-            ids[core] = found
-            self.cores.put(core, found)
-        for part, (core, mark) in split.items():
-            self[part] = ids[core] + self.marks[mark] if mark else ids[core]
+            unknown = parts
+        marked = [p for p in unknown if p[-1:] in self.marks and p[:-1].isalpha()]
+        fresh = list(unknown.difference(marked).union(p[:-1] for p in marked).difference(self))
+        self.update(zip(fresh, self._encode(fresh)))
+        self.update((p, self[p[:-1]] + self.marks[p[-1]]) for p in marked)
 
-    def parts(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        found = self.encoder.encode_batch_fast(parts, add_special_tokens=False)
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in found]
 
 
 _known: dict[str, PartIds] = {}
@@ -80,8 +81,9 @@ def tokenize(path: str, end_id: int = END_ID):
         for batch in batches:
             start, held, size = 0, [], 0
             for i, text in enumerate(batch.column("text")):
-                held.append(known.parts(text.as_py() or ""))
-                size += len(text.as_py() or "")
+                whole = text.as_py() or ""
+                held.append(known.parts(whole))
+                size += len(whole)
                 if size >= TOGETHER or i + 1 == batch.num_rows:
                     known.learn(set().union(*held))
                     ids = [b"".join(map(known.__getitem__, parts)) + end for parts in held]
