@@ -22,7 +22,7 @@ END_ID = 1
 #: Rows of a queue that are numbered together.
 BLOCK_ROWS = 4096
 #: White-space separated parts whose ids a task remembers, and text read between look-ups.
-REMEMBERED, TOGETHER = 3 << 18, 4 << 20
+REMEMBERED, TOGETHER = 5 << 18, 4 << 20
 
 
 class PartIds(dict):
