@@ -15,7 +15,7 @@ from gradelake.llm.common import Recent
 
 SPACE = "▁"
 #: Longest segment whose ids are remembered, and how many are.
-REMEMBERED_CHARS, REMEMBERED = 64, 1 << 18
+REMEMBERED_CHARS, REMEMBERED = 64, 3 << 16
 #: Positions read between two looks for a boundary on which all paths agree.
 STRIDE = 64
 
@@ -289,6 +289,13 @@ def decode(vocabulary: Vocabulary, ids) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few ids are held at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -309,7 +316,7 @@ def encode_documents(
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model_file, kind)
-        for batch in batches:
+        for batch in _small(batches):
             found = [encoder.encode(t.as_py()) for t in batch.column("text")]
             ends = np.cumsum([0] + [len(f) // 4 for f in found]).astype(np.int32)
             values = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
@@ -330,7 +337,7 @@ def decode_documents(encoded: DataFrame, model_file: str, kind: str = "bpe") ->
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _encoder(model_file, kind).v
-        for batch in batches:
+        for batch in _small(batches):
             lists = batch.column("ids")
             values = lists.values.to_numpy(zero_copy_only=False)
             ends = lists.offsets.to_numpy()
