@@ -12,7 +12,8 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.functions import text as T
@@ -231,6 +232,18 @@ def pattern(output, patterns, mode="contains", match="all") -> Column:
     return T.bind(F.transform(_strings(patterns), found), judged)
 
 
+def pattern_problems(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
+    """A message for every pattern that does not compile."""
+    compiled = spark._jvm.java.util.regex.Pattern
+    found = []
+    for text in patterns:
+        try:
+            compiled.compile(text)
+        except IllegalArgumentException:
+            found.append(f'scorer "pattern" param "patterns" has "{text}", which does not compile')
+    return found
+
+
 def numeric_tolerance(output, expected: Column, tolerance, mode="absolute") -> Column:
     """First number of the output within a tolerance of the expected one."""
     within = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +11,10 @@ from gradelake.operators import scorers as S
 from gradelake.operators.joins import scoring_input
 from gradelake.operators.scale import spread_small
 
-#: Distinct schemas compiled into one job; more need one job per group of packs.
-MAX_SCHEMAS = 200
+#: Distinct schemas compiled into one branch; packs that use more are scored in several.
+BRANCH_SCHEMAS = 100
+#: Problems of packs named in an error.
+SHOWN_PROBLEMS = 20
 
 _PARAMS = (
     "struct<scorer:string,label_keys:array<string>,label_names:array<string>,"
@@ -44,37 +46,75 @@ def prepare_packs(packs: DataFrame) -> DataFrame:
     ``packs(pack, scorer STRING, scorer_params VARIANT,
     gates ARRAY<STRUCT<scorer, scorer_params VARIANT>>)``.
     """
+    return _prepared(packs)
+
+
+def _prepared(packs: DataFrame, *more: Column) -> DataFrame:
     return packs.select(
         "pack", "scorer",
         _typed(F.col("scorer"), F.col("scorer_params")).alias("primary_params"),
         F.transform("gates", lambda g: _typed(g["scorer"], g["scorer_params"])).alias(
             "gate_params"
         ),
+        *more,
+    )
+
+
+def _specs() -> Column:
+    """The primary scorer's parameters, then its gates'."""
+    return F.concat(F.array("primary_params"), F.coalesce("gate_params", F.array()))
+
+
+def _schema_set() -> Column:
+    """Sorted distinct schema texts of a row's scorers."""
+    used = F.transform(
+        _specs(), lambda p: F.when(p["scorer"] == "json-schema", p["schema_text"])
     )
+    return F.array_sort(F.array_distinct(F.array_compact(used)))
+
 
+def _schema_groups(sets: list[tuple[str, ...]]) -> list[list[tuple[str, ...]]]:
+    """Schema sets in groups that use ``BRANCH_SCHEMAS`` texts together, or are one set alone."""
+    groups: list[list[tuple[str, ...]]] = [[()]]
+    texts: set[str] = set()
+    for own in sorted(set(sets) - {()}):
+        if texts and len(texts.union(own)) > BRANCH_SCHEMAS:
+            groups.append([])
+            texts = set()
+        groups[-1].append(own)
+        texts.update(own)
+    return groups
 
-def _plan_facts(prepared: DataFrame) -> tuple[list[str], list[str]]:
-    """Scorer names and schema texts the packs use.
 
-    Pack specs are written by hand; only distinct names and schemas come to the
-    driver, at most ``MAX_SCHEMAS`` of them.
+def _plan_facts(prepared: DataFrame) -> tuple[list[str], list[list[tuple[str, ...]]]]:
+    """Scorer names and groups of schema sets the packs use; bad packs raise here.
+
+    Pack specs are written by hand; the distinct names, schemas, patterns and problems
+    come to the driver, as the job is built from them.
     """
-    used = prepared.select(
-        F.explode(F.concat(F.array("primary_params"), F.coalesce("gate_params", F.array()))).alias(
-            "p"
-        )
-    ).select(
-        "p.scorer", F.when(F.col("p.scorer") == "json-schema", F.col("p.schema_text")).alias("s")
-    ).distinct()
-    rows = used.limit(MAX_SCHEMAS + 1).collect()
-    if len(rows) > MAX_SCHEMAS:
-        raise ValueError(
-            f"the packs use more than {MAX_SCHEMAS} scorer specs; score them in several jobs"
-        )
-    names = sorted({r["scorer"] for r in rows})
+    specs = _specs()
+    regexes = F.flatten(F.transform(
+        specs,
+        lambda p: F.when((p["scorer"] == "pattern") & (p["mode"] == "regex"), p["patterns"])
+        .otherwise(F.array()),
+    ))
+    facts = prepared.select(
+        F.array_distinct(F.transform(specs, lambda p: p["scorer"])).alias("names"),
+        _schema_set().alias("schemas"), F.array_distinct(regexes).alias("regexes"), "_problems",
+    ).distinct().collect()
+    names = sorted({name for r in facts for name in r["names"]})
     for name in names:
         S.get_scorer(name)
-    return names, sorted({r["s"] for r in rows if r["s"] is not None})
+    problems = sorted({p for r in facts for p in r["_problems"] or []})
+    patterns = sorted({p for r in facts for p in r["regexes"] or [] if p is not None})
+    problems += S.pattern_problems(prepared.sparkSession, patterns)
+    if problems:
+        more = len(problems) - SHOWN_PROBLEMS
+        raise ValueError(
+            "the packs cannot be scored: " + "; ".join(problems[:SHOWN_PROBLEMS])
+            + (f"; and {more} more" if more > 0 else "")
+        )
+    return names, _schema_groups([tuple(r["schemas"]) for r in facts])
 
 
 def record_for(
@@ -124,7 +164,7 @@ def _expressions(
     output = S.Output(text, F.col("_normalized"), F.col("_number"), F.col("_extracted"))
     # The primary scorer goes first, its gates follow; one lambda serves them all.
     every = F.transform(
-        F.concat(F.array("primary_params"), F.coalesce("gate_params", F.array())),
+        _specs(),
         lambda p: F.struct(
             p["scorer"].alias("name"),
             record_for(p, output, F.col("expected"), list(names), list(schemas)).alias("record"),
@@ -139,10 +179,29 @@ def _expressions(
     return forms, F.when(ready, every), F.when(records.isNotNull(), composed)
 
 
-def score_rows(joined: DataFrame, names: list[str], schemas: list[str]) -> DataFrame:
-    """Score rows that already carry ``output, expected, primary_params, gate_params``."""
+def score_rows(
+    joined: DataFrame, names: list[str], schemas: list[list[tuple[str, ...]]]
+) -> DataFrame:
+    """Score rows that already carry ``output, expected, primary_params, gate_params``.
+
+    One branch per group of schema sets; a row is in the branch that knows all its schemas.
+    """
+    if len(schemas) == 1:
+        return _scored(joined, names, schemas[0])
+    # Rows without a pack have no schemas and are in the first branch.
+    # JSON texts have no raw line feeds, so joined texts stand for their set.
+    key = F.coalesce(F.array_join(_schema_set(), "\n"), F.lit(""))
+    made = [
+        _scored(joined.filter(key.isin(["\n".join(own) for own in sets])), names, sets)
+        for sets in schemas
+    ]
+    return reduce(DataFrame.unionByName, made)
+
+
+def _scored(joined: DataFrame, names: list[str], sets: list[tuple[str, ...]]) -> DataFrame:
     app = joined.sparkSession.sparkContext.applicationId
-    forms, every, result = _expressions(app, tuple(names), tuple(schemas))
+    texts = sorted({text for own in sets for text in own})
+    forms, every, result = _expressions(app, tuple(names), tuple(texts))
     scored = (
         joined.withColumns(forms).withColumn("_records", every).withColumn("_result", result)
     )
@@ -154,10 +213,16 @@ def score_rows(joined: DataFrame, names: list[str], schemas: list[str]) -> DataF
     )
 
 
-def bind(packs: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
-    """Prepared packs with the scorer names and schemas they use; bad names fail here."""
-    prepared = prepare_packs(packs)
-    return (prepared, *_plan_facts(prepared))
+def bind(packs: DataFrame) -> tuple[DataFrame, list[str], list[list[tuple[str, ...]]]]:
+    """Prepared packs with the scorer names and schemas they use.
+
+    Unknown scorers, bad parameters and patterns that do not compile raise here, before any
+    row is scored.
+    """
+    from gradelake.plans.validate import pack_problems
+
+    checked = _prepared(packs, pack_problems().alias("_problems"))
+    return (checked.drop("_problems"), *_plan_facts(checked))
 
 
 def score(outputs: DataFrame, examples: DataFrame, packs: DataFrame) -> DataFrame:

@@ -234,16 +234,20 @@ def param_problems(scorer: Column, params: Column) -> Column:
     )
 
 
-def validate_params(packs: DataFrame) -> DataFrame:
-    """Problems of every pack's primary and gate parameters (V5)."""
+def pack_problems() -> Column:
+    """Problems of the primary and gate parameters of a pack's row."""
     gates = F.flatten(
         F.transform(
             F.coalesce("gates", F.array()),
             lambda g: param_problems(g["scorer"], g["scorer_params"]),
         )
     )
-    every = F.concat(param_problems(F.col("scorer"), F.col("scorer_params")), gates)
-    return explode_problems(packs, ["pack"], every)
+    return F.concat(param_problems(F.col("scorer"), F.col("scorer_params")), gates)
+
+
+def validate_params(packs: DataFrame) -> DataFrame:
+    """Problems of every pack's primary and gate parameters (V5)."""
+    return explode_problems(packs, ["pack"], pack_problems())
 
 
 # V4 -------------------------------------------------------------------------

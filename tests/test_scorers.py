@@ -154,3 +154,34 @@ def test_scores_do_not_depend_on_partitions(spark):
         sorted((r["unit_id"], r["score"], r["d"]) for r in scoring.score(outputs.repartition(n), examples, packs)
                .select("unit_id", "score", F.to_json("details").alias("d")).collect()) for n in (1, 8))
     assert one == many and sum(s for _, s, _ in one) == 100
+
+
+@pytest.mark.parametrize("scorer, params, message", [
+    ("numeric-tolerance", {"tolerance": -1}, "zero or positive"),
+    ("pattern", {}, "non-empty array"),
+    ("pattern", {"patterns": ["a"], "mode": "fuzzy"}, "must be one of"),
+    ("pattern", {"patterns": ["("], "mode": "regex"}, "does not compile"),
+    ("exact-label", {"labels": ["a"], "aliases": {"b": "c"}}, "not declared"),
+])
+def test_bad_packs_are_refused(spark, scorer, params, message):
+    spec = {"name": "x", "scorer": scorer, "scorer_params": params}
+    gate = {"name": "y", "scorer": "pattern", "scorer_params": {"patterns": ["a"]}, "gates": [spec]}
+    for bad in (spec, gate):
+        with pytest.raises(ValueError, match=message):
+            scoring.bind(packs_of(spark, [*SPECS, bad]))
+
+
+def test_any_number_of_schemas(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "BRANCH_SCHEMAS", 2)
+    specs = [{"name": f"s{i}", "scorer": "json-schema",
+              "scorer_params": {"schema": {"type": "object", "required": [f"k\u00e9/{i}"]}}} for i in range(5)]
+    rows = [(f"s{i}", "1", json.dumps({f"k\u00e9/{j}": 1})) for i in range(5) for j in range(5)] + [("none", "1", "x")]
+    outputs = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)],
+                                    "unit_id int, pack string, example_id string, output string")
+    examples = spark.createDataFrame([(f"s{i}", "1", "null") for i in range(5)],
+                                     "pack string, example_id string, e string").select(
+        "pack", "example_id", F.parse_json("e").alias("expected"))
+    got = scoring.score(outputs, examples, packs_of(spark, [*specs, *SPECS])).collect()
+    assert len(got) == 26
+    scores = {(r["unit_id"] // 5, r["unit_id"] % 5): r["score"] for r in got if r["unit_id"] < 25}
+    assert scores == {(i, j): float(i == j) for i in range(5) for j in range(5)}
