@@ -6,9 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Above this a double has too few binary places left for ties at three decimals to matter.
+_LARGE = float(1 << 50)
+
+
 def fixed(c: Column, digits: int) -> Column:
-    """A fixed number of decimals."""
-    return F.format_string(f"%.{digits}f", c.cast("double"))
+    """A fixed number of decimals, three at most: the exact binary value, rounded half up.
+
+    A plain format would round the shortest decimal that reads back as the same double. The
+    fraction is split in two parts, each of which is exact after scaling by a power of ten.
+    """
+    power = 10 ** digits
+    value = c.cast("double")
+    size = F.abs(value)
+    whole = F.floor(size)
+    part = size - whole
+    high = F.floor(part * float(1 << 26)) / F.lit(float(1 << 26))
+    scaled, low = high * power, (part - high) * power
+    below = F.floor(scaled)
+    places = below + ((scaled - below - 0.5) >= -low).cast("bigint")
+    shown = F.concat(
+        F.when(value < 0, "-").otherwise(""),
+        (whole + (places == power).cast("bigint")).cast("string"),
+        F.concat(F.lit("."), F.lpad((places % power).cast("string"), digits, "0"))
+        if digits else F.lit(""),
+    )
+    return F.when(size < _LARGE, shown).otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def score(c: Column) -> Column:

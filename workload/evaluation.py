@@ -633,3 +633,17 @@ def w6(t: Tables) -> DataFrame:
         "CAST((n_nationkey * 7) % 25 AS BIGINT) AS created_at_ms",
     )
     return planning.newest_resumable(runs, t["units"])
+
+
+@query("f11_rounding", """
+SELECT l_orderkey, l_linenumber, printf('%.3f', l_extendedprice / 7) AS score_text,
+  CASE WHEN (2 * l_partkey + 1) % 125 = 0 THEN printf('%.3f', (l_partkey + 1) / 1000.0::DOUBLE)
+    ELSE printf('%.3f', (2 * l_partkey + 1) / 2000.0::DOUBLE) END AS tie_text
+FROM lineitem""")
+def f11_rounding(t: Tables) -> DataFrame:
+    """Values next to a tie round by their binary value; true ties (multiples of 1/16) go up."""
+    return t["lineitem"].select(
+        "l_orderkey", "l_linenumber",
+        display.score(F.col("l_extendedprice").cast("double") / 7).alias("score_text"),
+        display.score((2 * F.col("l_partkey") + 1) / F.lit(2000.0)).alias("tie_text"),
+    )
