@@ -66,7 +66,7 @@ def settle_audit(
     """Whether memory came back to its baseline in time after each unload.
 
     ``unloads(candidate_id, unloaded_at, baseline_mib)``. Without a baseline
-    nothing is awaited; without a low sample in time the candidate is flagged.
+    nothing is awaited; without a low sample in time the unload is flagged.
     """
     joined = lookup_join(
         samples.select("candidate_id", "at", "used_mib"), unloads, ["candidate_id"], ["at"],
@@ -75,12 +75,12 @@ def settle_audit(
     low = (F.col("at") >= F.col("unloaded_at")) & (
         F.col("used_mib") <= F.col("baseline_mib") + slack_mib
     )
-    settled = joined.groupBy("candidate_id").agg(
+    settled = joined.groupBy("candidate_id", "unloaded_at").agg(
         F.min(F.when(low, F.col("at"))).alias("settled_at")
     )
     waited = millis(F.col("settled_at"), F.col("unloaded_at"))
     late = F.coalesce(waited > timeout_ms, F.lit(True))
-    return unloads.join(settled, "candidate_id", "left").withColumns({
+    return unloads.join(settled, ["candidate_id", "unloaded_at"], "left").withColumns({
         "waited_ms": waited,
         "flagged": F.when(F.col("baseline_mib").isNull(), False).otherwise(late),
     })

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.functions.predicates import output_path
 from gradelake.operators import scoring
-from gradelake.operators.scale import lookup_join
 
 
 def append_results(results: DataFrame, path: str, batch_id: int | None = None) -> None:
@@ -29,15 +28,18 @@ def append_results(results: DataFrame, path: str, batch_id: int | None = None) -
 
 
 def unit_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Journal rows, one per unit: of repeated deliveries the first batch counts."""
+    """Journal rows, one per unit of a run: of repeated deliveries the first batch counts.
+
+    A filter on ``run_id`` prunes the folders that are read.
+    """
     rows = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(
         f"{path}/batch=*" if _is_batched(spark, path) else path
     )
     if "batch" not in rows.columns:
         return rows
-    rest = [c for c in rows.columns if c != "unit_id"]
+    rest = [c for c in rows.columns if c not in ("run_id", "unit_id")]
     first = F.min_by(F.struct(*rest), "batch").alias("_r")
-    return rows.groupBy("unit_id").agg(first).select("unit_id", "_r.*").drop("batch")
+    return rows.groupBy("run_id", "unit_id").agg(first).select("run_id", "unit_id", "_r.*").drop("batch")
 
 
 def _is_batched(spark: SparkSession, path: str) -> bool:
@@ -119,22 +121,29 @@ def verify_scores(
         & F.col("pass").eqNullSafe(F.col("stored_pass"))
         & details.eqNullSafe(F.col("stored_details"))
     )
-    where = F.concat(F.col("output_path"), F.lit(": "))
+    def shown(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("none"))
+
+    where = F.concat(shown("output_path"), F.lit(": "))
     mismatch = (
         F.when(
+            F.col("output").isNull(),
+            F.concat(where, F.lit("the raw output is missing from the export")),
+        )
+        .when(
             F.col("failure_reason").isNotNull(),
             F.concat(
-                where, F.lit("example "), F.col("example_id").cast("string"),
+                where, F.lit("example "), shown("example_id"),
                 F.lit(" is missing from the scoring inputs"),
             ),
         )
         .when(
             ~same,
             F.concat(
-                where, F.lit("stored score "), F.col("stored_score").cast("string"),
-                F.lit(" (pass "), F.col("stored_pass").cast("string"),
-                F.lit(") but re-scoring produced "), F.col("score").cast("string"),
-                F.lit(" (pass "), F.col("pass").cast("string"), F.lit(")"),
+                where, F.lit("stored score "), shown("stored_score"),
+                F.lit(" (pass "), shown("stored_pass"),
+                F.lit(") but re-scoring produced "), shown("score"),
+                F.lit(" (pass "), shown("pass"), F.lit(")"),
             ),
         )
     )
@@ -144,6 +153,6 @@ def verify_scores(
 
 
 __all__ = [
-    "append_results", "candidates", "lookup_join", "runs", "unit_results", "unit_rows",
+    "append_results", "candidates", "runs", "unit_results", "unit_rows",
     "verify_export", "verify_scores", "write_export",
 ]

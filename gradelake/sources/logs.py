@@ -72,15 +72,23 @@ def parse_sse_log(lines: DataFrame) -> DataFrame:
     )
 
 
-def sse_summary(events: DataFrame) -> DataFrame:
-    """Last finish reason and usage of each generation, and its token count."""
+def sse_summary(events: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Last finish reason and usage of each generation, and its token count.
+
+    Given the ``lines`` the events come from, generations without any live payload are
+    kept; they failed.
+    """
     def last(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
 
-    return events.groupBy("generation_id").agg(
+    found = events.groupBy("generation_id").agg(
         last("finish_reason"), last("prompt_tokens"), last("completion_tokens"),
         F.count("text").alias("token_count"),
-    ).withColumn(
+    )
+    if lines is not None:
+        every = lines.select("generation_id").distinct()
+        found = every.join(found, "generation_id", "left").fillna(0, ["token_count"])
+    return found.withColumn(
         "failure_reason",
         F.when(F.col("finish_reason").isNull(), "stream ended without a finish_reason"),
     )

@@ -107,16 +107,20 @@ class Timeline(StatefulProcessor):
 def timeline_stream(samples: DataFrame, cap: int = TIMELINE_CAP) -> DataFrame:
     """Timeline of every candidate that got samples, update mode.
 
-    ``samples(candidate_id, at, used_mib, sample_id)``.
+    ``samples(candidate_id, at, used_mib, sample_id)``. Samples without a value are skipped.
     """
-    return samples.groupBy("candidate_id").transformWithStateInPandas(
+    return samples.filter(F.col("used_mib").isNotNull()).groupBy("candidate_id").transformWithStateInPandas(
         statefulProcessor=Timeline(cap), outputStructType=Timeline.schema,
         outputMode="update", timeMode="None",
     )
 
 
 class Completion(StatefulProcessor):
-    """Closes a generation on its done or error line, or by timeout."""
+    """Closes a generation on its done or error line, or by timeout.
+
+    What is closed is remembered for ``keep_closed_ms`` of event time, so that lines that
+    follow do not open it again; then a timer clears its state.
+    """
 
     schema = (
         "generation_id bigint, status string, done_reason string, failure_reason string, "
@@ -124,13 +128,18 @@ class Completion(StatefulProcessor):
     )
     no_done = "generation stream ended without a done line"
 
-    def __init__(self, timeout_ms: int) -> None:
-        self.timeout_ms = timeout_ms
+    def __init__(self, timeout_ms: int, keep_closed_ms: int) -> None:
+        self.timeout_ms, self.keep_closed_ms = timeout_ms, keep_closed_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", "tokens bigint, closed boolean, deadline bigint")
 
+    def _close(self, tokens: int, at: int) -> None:
+        forget = at + self.keep_closed_ms
+        self.seen.update((tokens, True, forget))
+        self.handle.registerTimer(forget)
+
     def _row(self, key, status, done_reason, failure, oom, tokens) -> pd.DataFrame:
         return pd.DataFrame({
             "generation_id": [key[0]], "status": [status], "done_reason": [done_reason],
@@ -154,7 +163,7 @@ class Completion(StatefulProcessor):
             tokens += int((batch["kind"].iloc[:stop] == "token").sum())
             if stop < len(batch):
                 last = batch.iloc[stop]
-                self.seen.update((tokens, True, 0))
+                self._close(tokens, newest)
                 if last["kind"] == "done":
                     yield self._row(key, "completed", last["done_reason"], None, False, tokens)
                 else:
@@ -169,28 +178,32 @@ class Completion(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.seen.exists():
             return
-        tokens, closed, _ = self.seen.get()
+        tokens, closed, deadline = self.seen.get()
         if closed:
+            self.seen.clear()
             return
-        self.seen.update((tokens, True, 0))
+        self._close(tokens, deadline)
         yield self._row(key, "failed", None, self.no_done, True, tokens)
 
     def close(self) -> None:
         pass
 
 
-def completion_stream(events: DataFrame, watermark: str, timeout_ms: int) -> DataFrame:
+def completion_stream(
+    events: DataFrame, watermark: str, timeout_ms: int, keep_closed_ms: int = 86_400_000
+) -> DataFrame:
     """Outcome of each generation (X6), append mode.
 
     ``events(generation_id, seq, at, kind, done_reason, message, oom_suspect)``.
     Without a done line for ``timeout_ms`` of event time it failed, and may have
-    run out of memory.
+    run out of memory. Lines of a closed generation are ignored for ``keep_closed_ms``;
+    an id that comes back later is a new generation.
     """
     return (
         events.withWatermark("at", watermark)
         .groupBy("generation_id")
         .transformWithStateInPandas(
-            statefulProcessor=Completion(timeout_ms), outputStructType=Completion.schema,
+            statefulProcessor=Completion(timeout_ms, keep_closed_ms), outputStructType=Completion.schema,
             outputMode="append", timeMode="EventTime",
         )
     )
@@ -226,12 +239,16 @@ def completion_batch(events: DataFrame) -> DataFrame:
 
 
 def journal_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write every unit once (X5): a repeated batch replaces its own folder."""
+    """Write every unit of a run once (X5): a repeated batch replaces its own folder.
+
+    Of different rows for one unit in one batch the same one is taken every time.
+    """
     from gradelake.sources.journal import append_results
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        first = keep_first(batch, ["unit_id"], ["run_id"])
-        append_results(first, path, batch_id)
+        tie = F.xxhash64(F.to_json(F.struct(*batch.columns)))
+        first = keep_first(batch.withColumn("_tie", tie), ["run_id", "unit_id"], ["_tie"])
+        append_results(first.drop("_tie"), path, batch_id)
 
     return (
         stream.writeStream.foreachBatch(write)

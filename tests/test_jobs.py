@@ -74,6 +74,33 @@ def test_journal_sink_survives_a_replay(spark, tmp_path):
     run()
     found = journal.unit_rows(spark, path)
     assert found.count() == found.select("unit_id").distinct().count() == 100
+    one = found.filter("run_id = 1")
+    assert one.count() == 33
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "(run_id#" in plan.split("PartitionFilters:")[1]
+
+
+def test_closed_generations_stay_closed(spark, tmp_path):
+    spark.conf.set(*next(iter(jobs.STATE_STORE.items())))
+    kinds = [(1, 1, 0, "token"), (1, 2, 10, "done"), (2, 1, 20, "token"),  # the second one never ends
+             (3, 1, 5000, "token"), (1, 3, 5001, "token"), (3, 2, 9000, "done"), (4, 1, 40000, "done")]
+    rows = spark.createDataFrame(kinds, "generation_id long, seq long, s long, kind string").selectExpr(
+        "generation_id", "seq", "timestamp_seconds(s) AS at", "kind", "'stop' AS done_reason",
+        "CAST(NULL AS string) AS message", "false AS oom_suspect", "s").collect()
+    schema = ("generation_id long, seq long, at timestamp, kind string, done_reason string, message string, "
+              "oom_suspect boolean")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ((0, 100), (100, 8000), (8000, 20000), (20000, 50000)):
+        spark.createDataFrame([tuple(r)[:-1] for r in rows if part[0] <= r["s"] < part[1]], schema) \
+            .coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = jobs.completion_stream(stream, "1 second", 3_600_000, 7_200_000).writeStream.outputMode("append").foreachBatch(
+        lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")
+    ).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r["generation_id"]: r["status"] for r in spark.read.parquet(out).collect()}
+    assert got == {1: "completed", 2: "failed", 3: "completed", 4: "completed"}
+    assert spark.read.parquet(out).count() == 4
 
 
 def test_example_files(spark, tmp_path):
@@ -142,6 +169,10 @@ def test_export_and_verify(spark, tmp_path):
     got = {r["unit_id"]: r["mismatch"] for r in journal.verify_export(spark, path).collect()}
     assert got["u1"] is None and "re-scoring produced 0.0" in got["u2"] and "missing" in got["u3"]
     assert set(got) == {"u1", "u2", "u3"}
+    read = spark.read.parquet
+    checked = journal.verify_scores(read(f"{path}/scores"), read(f"{path}/outputs").filter("unit_id <> 'u1'"), examples, specs)
+    lost = {r["unit_id"]: r["mismatch"] for r in checked.collect()}
+    assert "raw output is missing" in lost["u1"] and "re-scoring" in lost["u2"]
 
 
 def test_rescored_units_keep_drifted_runs(spark):

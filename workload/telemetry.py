@@ -146,6 +146,29 @@ def w11(t: Tables) -> DataFrame:
     )
 
 
+@query("w11_settle_twice", """
+WITH u AS (SELECT user_id, event_type, max(ts) AS unloaded_at, CAST(user_id % 200 AS DOUBLE) AS baseline
+    FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id, event_type),
+s AS (SELECT e.user_id, u.event_type, min(e.ts) AS settled_at FROM events e
+  JOIN u ON e.user_id = u.user_id
+  WHERE e.ts >= u.unloaded_at AND e.value <= u.baseline + 16 GROUP BY e.user_id, u.event_type)
+SELECT u.user_id AS candidate_id, u.event_type AS cause,
+  (epoch_us(settled_at) - epoch_us(unloaded_at)) / 1000.0 AS waited_ms,
+  coalesce((epoch_us(settled_at) - epoch_us(unloaded_at)) / 1000.0 > 3600000, true) AS flagged
+FROM u LEFT JOIN s ON u.user_id = s.user_id AND u.event_type = s.event_type""")
+def w11_twice(t: Tables) -> DataFrame:
+    """Two unloads of each candidate, judged apart."""
+    causes = t["events"].filter(F.col("event_type").isin("click", "purchase"))
+    unloads = causes.groupBy(
+        F.col("user_id").alias("candidate_id"), F.col("event_type").alias("cause")
+    ).agg(F.max(F.col("ts").cast("timestamp")).alias("unloaded_at")).withColumn(
+        "baseline_mib", (F.col("candidate_id") % 200).cast("double")
+    )
+    return M.settle_audit(t["samples"], unloads, 16.0, 3600000.0).select(
+        "candidate_id", "cause", "waited_ms", "flagged"
+    )
+
+
 # Log and listing sources ---------------------------------------------------------
 
 view(
@@ -191,14 +214,18 @@ WITH e AS (SELECT user_id, min(event_id) AS end_seq FROM events
   WHERE event_type = 'error' AND value > 200 GROUP BY user_id),
 live AS (SELECT v.* FROM events v LEFT JOIN e ON v.user_id = e.user_id
   WHERE v.event_type IN ('click', 'view') AND (e.end_seq IS NULL OR v.event_id < e.end_seq))
-SELECT user_id AS generation_id,
+SELECT g.user_id AS generation_id,
   max(CASE WHEN event_type = 'view' THEN 'stop' END) AS finish_reason,
   max(CASE WHEN event_type = 'view' THEN event_id END) AS prompt_tokens,
-  count(*) FILTER (WHERE event_type = 'click') AS token_count
-FROM live GROUP BY user_id""")
+  count(*) FILTER (WHERE event_type = 'click') AS token_count,
+  count(*) FILTER (WHERE event_type = 'view') = 0 AS failed
+FROM (SELECT DISTINCT user_id FROM events) g LEFT JOIN live ON g.user_id = live.user_id
+GROUP BY g.user_id""")
 def s4(t: Tables) -> DataFrame:
-    return logs.sse_summary(logs.parse_sse_log(t.spread("sse_lines"))).select(
-        "generation_id", "finish_reason", "prompt_tokens", "token_count"
+    lines = t.spread("sse_lines")
+    return logs.sse_summary(logs.parse_sse_log(lines), lines).select(
+        "generation_id", "finish_reason", "prompt_tokens", "token_count",
+        F.col("failure_reason").isNotNull().alias("failed"),
     )
 
 
@@ -576,7 +603,9 @@ def x6(t: Tables) -> DataFrame:
     lines = stream_of(t, "events").selectExpr(
         *VIEWS["log_lines"][1], "CAST(ts AS TIMESTAMP) AS at"
     )
-    out = run_stream(t, X.completion_stream(completion_events(lines), "1 hour", 3600000))
+    out = run_stream(t, X.completion_stream(
+        completion_events(lines), "1 hour", 3600000, keep_closed_ms=366 * 86_400_000
+    ))
     return out.select("generation_id", "status", "oom_suspect", "token_count")
 
 
