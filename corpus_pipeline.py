@@ -18,6 +18,9 @@ from pyspark.sql import functions as F  # noqa: E402
 from gradelake.llm import lines, minhash, packing, quality, toxicity  # noqa: E402
 from gradelake.llm.common import stored, table  # noqa: E402
 
+#: Least similarity of near copies, for the pipeline only; op6 has a contract of its own.
+SIMILARITY = (80, 100)
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, does not call toxic."""
@@ -41,7 +44,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; documents without words all stay."""
-    groups = minhash.near_duplicates(docs.select("doc_id", "text"))
+    groups = minhash.near_duplicates(docs.select("doc_id", "text"), similarity=SIMILARITY)
     dropped = groups.where("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 

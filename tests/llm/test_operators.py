@@ -171,6 +171,31 @@ def test_near_duplicates_match_all_pairs(spark):
     assert fetched(minhash.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == brute_groups(rows)
 
 
+def test_bands_follow_the_similarity(spark):
+    assert minhash.banding((85, 100)) == (26, 5)
+    for part in (1, 10, 30, 50, 80, 99, 100):
+        bands, rows = minhash.banding((part, 100))
+        assert (1 - (part / 100) ** rows) ** bands <= minhash.MISS
+    # 60 unrelated pairs with 64 of 125 to 128 shingles in common: 26 bands of 5 miss two fifths of such pairs.
+    rows = []
+    for i in range(60):
+        head = [f"h{i}x{k}" for k in range(68)]
+        rows += [(2 * i, " ".join(head + [f"a{i}x{k}" for k in range(36 - i % 4)])),
+                 (2 * i + 1, " ".join(head + [f"b{i}x{k}" for k in range(28)]))]
+    docs = documents(spark, [(i, t, "x") for i, t in rows])
+    got = fetched(minhash.near_duplicates(docs, similarity=(50, 100)), "doc_id", "component_id")
+    assert got == [(i, i - i % 2) for i in range(120)]
+
+
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    import corpus_pipeline
+    base = [f"w{k}" for k in range(104)]
+    near, far = base[:93] + [f"n{k}" for k in range(11)], base[:92] + [f"f{k}" for k in range(12)]
+    assert 80 <= 100 * 89 / 111 < 85 and 100 * 88 / 112 < 80
+    docs = documents(spark, [(1, " ".join(base), "x"), (2, " ".join(near), "x"), (3, " ".join(far), "x")])
+    assert fetched(corpus_pipeline.one_of_near_duplicates(spark, docs, ""), "doc_id") == [(1,), (3,)]
+
+
 def test_super_minhash_estimates_with_low_variance():
     rng = np.random.default_rng(1)
     errors = []
