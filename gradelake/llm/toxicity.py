@@ -26,23 +26,29 @@ ANCHOR = 32
 LEVEL_RATES = (1e-3, 1e-4, 2e-5)
 #: Windows that are compressed in one call.
 TOGETHER = 1 << 14
-_NEAR = 8  # words that mark a near copy within the sample
+_NEAR = 8  # words of a run that is learned from once
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _without_near_copies(texts: Iterable[str]) -> list[list[bytes]]:
-    """Word lists of texts that share no run of words with an earlier one."""
+def _without_repeats(texts: Iterable[str]) -> list[list[bytes]]:
+    """Word lists of texts without the runs of words that an earlier text holds too.
+
+    A text of which less than a run is left is a copy and goes.
+    """
     seen: set[int] = set()
     out = []
     for text in texts:
         words = tokens(text)
-        runs = {hash(tuple(words[i:i + _NEAR])) for i in range(max(1, len(words) - _NEAR + 1))}
-        if runs.isdisjoint(seen):
-            out.append(words)
-        seen |= runs
+        runs = [hash(tuple(words[i:i + _NEAR])) for i in range(max(1, len(words) - _NEAR + 1))]
+        known = [i for i, run in enumerate(runs) if run in seen]
+        gone = {k for i in known for k in range(i, i + _NEAR)}
+        left = [w for k, w in enumerate(words) if k not in gone]
+        if not known or len(left) >= _NEAR:
+            out.append(left)
+        seen.update(runs)
     return out
 
 
@@ -86,6 +92,8 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     center: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
+    #: Toxic and ordinary texts it was made from, of those given.
+    learned: tuple[int, int] = (0, 0)
 
 
 class Scorer:
@@ -185,10 +193,27 @@ def train(toxic: Sequence[str], ordinary: Sequence[str], toxic_share: float) ->
     Two thirds of the texts make the dictionaries; the rest calibrates the levels, so that
     only stated shares of ordinary words reach them, and the document score, whose
     intercept is moved from the shares in the sample to ``toxic_share``.
+
+    A run of eight words that an earlier text of its kind holds is cut out of later ones, so
+    that copies neither count as many nor calibrate what they made; what a text holds beside
+    it is learned from. Where toxic text is such a run itself, nothing recurs after the cut,
+    and the toxic texts are taken whole. ``learned`` counts the texts left. No toxic text
+    gives a model that knows none; toxic texts that give no model are an error.
     """
-    bad, good = _without_near_copies(toxic), _without_near_copies(ordinary)
+    good = _without_repeats(ordinary)
+    model = _trained(_without_repeats(toxic), good, toxic_share)
+    if toxic and not len(model.weights):
+        model = _trained([tokens(t) for t in toxic], good, toxic_share)
+        if not len(model.weights):
+            raise ValueError(
+                f"no toxicity model from {len(toxic)} toxic and {len(ordinary)} ordinary texts, "
+                f"{len(good)} of them without copies: too few, or no word recurs in the toxic ones")
+    return model
+
+
+def _trained(bad: list[list[bytes]], good: list[list[bytes]], toxic_share: float) -> Model:
     fit_bad, fit_good = bad[: 2 * len(bad) // 3], good[: 2 * len(good) // 3]
-    model = Model(ordinary_dictionary(fit_good), toxic_dictionary(fit_bad, fit_good))
+    model = Model(ordinary_dictionary(fit_good), toxic_dictionary(fit_bad, fit_good), learned=(len(bad), len(good)))
     rest_bad, rest_good = bad[len(fit_bad):], good[len(fit_good):]
     if not model.toxic or not rest_bad or not rest_good or len(model.ordinary) < 2 * ANCHOR + 100:
         return model
@@ -220,7 +245,8 @@ def train_on(
     """Train on a bounded sample of the labelled rows that are not held out.
 
     At most ``sample_toxic`` and ``sample_ordinary`` rows, by a hash of the id, reach the
-    driver. Rows without an id, a label or a document are not learned from.
+    driver. Rows without an id, a label or a document are not learned from. Repeats among
+    them are cut as ``train`` says.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(id_col)))
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}

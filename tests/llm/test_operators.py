@@ -279,6 +279,34 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
 
 
+def test_toxicity_learns_from_texts_with_a_common_passage():
+    rng = random.Random(12)
+    shared, vile = prose(rng, 40), ("vilewordone", "hatefulthing", "nastyphrase")
+    toxic, ordinary = [], []
+    for _ in range(60):
+        w = prose(rng, 60).split()
+        for word in vile:
+            w[rng.randrange(60)] = word
+        toxic.append(shared + " " + " ".join(w))
+    ordinary = [prose(rng, 80) for _ in range(120)]
+    model = toxicity.train(toxic, ordinary, 0.3)
+    assert model.learned == (60, 120)
+    scores = toxicity.Scorer(model).scores([shared + " " + prose(rng, 30) + " hatefulthing nastyphrase vilewordone", prose(rng, 60)])
+    assert scores[0] >= toxicity.TOXIC_FROM > scores[1]
+    copied = toxicity.train(toxic + toxic[:20], ordinary + ordinary, 0.3)
+    assert copied.learned == (60, 120)
+    # The passage itself is toxic and the same in every text.
+    passage = prose(rng, 20) + " vilewordone hatefulthing nastyphrase " + prose(rng, 20)
+    model = toxicity.train([passage + " " + prose(rng, 40) for _ in range(60)], ordinary, 0.3)
+    assert len(model.weights) and toxicity.Scorer(model).scores([passage + " " + prose(rng, 40)])[0] >= toxicity.TOXIC_FROM
+
+
+def test_toxic_rows_without_a_model_are_an_error():
+    rng = random.Random(13)
+    with pytest.raises(ValueError, match="no toxicity model from 2 toxic"):
+        toxicity.train([prose(rng, 40), prose(rng, 40)], [prose(rng, 40) for _ in range(50)], 0.1)
+
+
 # HTML
 
 @pytest.mark.parametrize("html, text", [
