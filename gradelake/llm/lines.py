@@ -1,4 +1,4 @@
-"""Line dedup by overlapping three-line windows."""
+"""Line dedup by overlapping three-line windows and by long passages on fewer lines."""
 
 from __future__ import annotations
 
@@ -9,18 +9,28 @@ from gradelake.functions.text import bind
 
 #: Lines of a window.
 WINDOW = 3
+#: Words from which a window of fewer lines is a passage too.
+PASSAGE_WORDS = 50
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def window_hashes(text: Column, width: int = WINDOW) -> Column:
-    """128-bit hashes of the windows of consecutive lines by position; null where all are blank."""
+def window_hashes(text: Column, width: int = WINDOW, least_words: int = 0) -> Column:
+    """128-bit hashes of the windows of consecutive lines by position.
+
+    Null where all lines are blank or fewer than ``least_words`` words stand on them.
+    """
     def hashed(lines: Column) -> Column:
         def one(i: Column) -> Column:
             joined = F.array_join(F.slice(lines, i + 1, F.lit(width)), "\n")
-            return F.when(joined.rlike(r"\S"), F.unhex(F.md5(joined)))
+            counts = joined.rlike(r"\S")
+            if least_words > 1:  # so many words have at least twice as many characters less one
+                counts = (F.length(joined) >= 2 * least_words - 1) & (
+                    F.regexp_count(joined, F.lit(_WORD)) >= least_words)
+            return F.when(counts, F.unhex(F.md5(joined)))
 
         last = F.size(lines) - width
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one))
@@ -28,19 +38,33 @@ def window_hashes(text: Column, width: int = WINDOW) -> Column:
     return bind(text_lines(text), hashed)
 
 
+def _windows(docs: DataFrame, id_col: str, text_col: str, width: int, passage_words: int | None) -> DataFrame:
+    """doc_id, at, width, h of the windows of ``width`` lines and of the passages on fewer."""
+    def spans(w: int, least_words: int = 0) -> Column:
+        hashes = F.coalesce(window_hashes(F.col(text_col), w, least_words), F.array().cast("array<binary>"))
+        each = F.transform(hashes, lambda h, i: F.struct(
+            i.cast("int").alias("at"), F.lit(w).alias("width"), h.alias("h")))
+        return F.filter(each, lambda x: x["h"].isNotNull())
+
+    found = [spans(width)]
+    if passage_words is not None:
+        found += [spans(w, passage_words) for w in range(1, width)]
+    return docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.inline(F.concat(*found)))
+
+
 def later_windows(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW,
+    passage_words: int | None = PASSAGE_WORDS,
 ) -> DataFrame:
-    """doc_id, at: every window that an earlier place in the corpus holds as well.
+    """doc_id, at, width: every window that an earlier place in the corpus holds as well.
 
     Places are ordered by document id, then line. The first place of each hash is a
     combinable minimum; windows are then joined to the repeated hashes only, and a hot
-    hash is a skewed key of a plain join, which Spark splits.
+    hash is a skewed key of a plain join, which Spark splits. Windows of different widths
+    hold different numbers of line feeds, so they never meet.
     """
-    windows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.posexplode(window_hashes(F.col(text_col), width)).alias("at", "h"),
-    ).where("h IS NOT NULL AND doc_id IS NOT NULL")
+    windows = _windows(docs, id_col, text_col, width, passage_words)
     first = (
         windows.groupBy("h")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
@@ -50,13 +74,13 @@ def later_windows(
     return (
         windows.join(first, "h")
         .where(F.struct("doc_id", "at") > F.col("first"))
-        .select("doc_id", "at")
+        .select("doc_id", "at", "width")
     )
 
 
-def kept_lines(lines: Column, covered: Column, width: int = WINDOW) -> Column:
-    """Lines outside the windows that start at the sorted places ``covered``."""
-    starts = F.concat(F.array(F.lit(0)), F.transform(covered, lambda p: p + width))
+def kept_lines(lines: Column, covered: Column) -> Column:
+    """Lines but those at the sorted places ``covered``."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(covered, lambda p: p + 1))
     ends = F.concat(covered, F.array(F.size(lines)))
     return F.flatten(F.zip_with(
         starts, ends, lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0)))
@@ -64,28 +88,32 @@ def kept_lines(lines: Column, covered: Column, width: int = WINDOW) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW,
+    passage_words: int | None = PASSAGE_WORDS,
 ) -> DataFrame:
     """``docs`` with two more columns: ``kept_text`` and ``removed_lines``.
 
     A window of ``width`` consecutive lines that stands at an earlier place of the corpus
-    too is removed; overlapping windows are merged, so a repeated passage goes from its
-    first line to its last. Windows of blank lines alone are no passages. Documents with
-    fewer lines than a window, without text or without an id stay as they are; a null text
+    too is removed, and so is one of fewer lines that hold ``passage_words`` words or more,
+    such as a long paragraph; None leaves these out. Overlapping windows are merged, so a
+    repeated passage goes from its first line to its last. Windows of blank lines alone are
+    no passages. Documents without text or without an id stay as they are; a null text
     stays null. Rows that repeat an id share its removals, as their windows have the same
     places. Columns of ``docs`` named like the two new ones are replaced.
     """
     places = (
-        later_windows(docs, id_col, text_col, width)
+        later_windows(docs, id_col, text_col, width, passage_words)
         .groupBy(F.col("doc_id").alias("_of"))
-        .agg(F.array_sort(F.collect_set("at")).alias("_at"))
+        .agg(F.collect_set(F.struct("at", "width")).alias("_spans"))
+        .select("_of", F.array_sort(F.array_distinct(F.flatten(F.transform(
+            "_spans", lambda x: F.sequence(x["at"], x["at"] + x["width"] - 1))))).alias("_at"))
     )
     docs = docs.drop("kept_text", "removed_lines")
     joined = docs.join(places, docs[id_col] == places["_of"], "left")
     left = bind(
         text_lines(F.col(text_col)),
         lambda lines: F.struct(
-            kept_lines(lines, F.col("_at"), width).alias("lines"), F.size(lines).alias("n")),
+            kept_lines(lines, F.col("_at")).alias("lines"), F.size(lines).alias("n")),
     )
     changed = joined.withColumn("_left", F.when(F.col("_at").isNotNull(), left))
     return changed.select(

@@ -195,6 +195,30 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS kept
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
 """)
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three-line windows of its SQL; op2_passage_dedup and the pipeline remove passages on fewer lines too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, passage_words=None).drop("text")
+
+
+@query("op2_passage_dedup", rf"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+places AS (SELECT doc_id, l, width, unnest(range(0, len(l) - width + 1)) AS i
+           FROM d, (VALUES (1), (2), (3)) AS v(width)),
+windows AS (SELECT doc_id, i, width, array_to_string(l[i + 1:i + width], chr(10)) AS w FROM places),
+ranked AS (SELECT doc_id, i, width, row_number() OVER (PARTITION BY width, w ORDER BY doc_id, i) AS n
+           FROM windows
+           WHERE regexp_matches(w, '\S') AND (width = 3 OR len(
+               [x for x in regexp_split_to_array(w, '{_SPACE}+') if x <> '']) >= {lines.PASSAGE_WORDS})),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + width)) AS i FROM ranked WHERE n > 1),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM
+         (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS x FROM d)
+         WHERE (doc_id, i) NOT IN (SELECT (doc_id, i) FROM gone) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS kept_text,
+       coalesce(n, 0) AS removed_lines
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+""")
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).drop("text")
 

@@ -80,6 +80,20 @@ def test_line_dedup_matches_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_removes_long_passages_on_one_or_two_lines(spark):
+    rng = random.Random(15)
+    one, two = prose(rng, 50), prose(rng, 30) + "\n" + prose(rng, 20)
+    short = prose(rng, 49)
+    rows = [
+        (1, f"a\n{one}\nb"), (2, one), (3, f"{two}\nc"), (4, f"d\ne\n{two}\nf\n{one}"), (5, short), (6, short),
+        (7, f"x\n{one}\ny\n{one}"), (8, f"  {one}"), (9, f"{one}\nb\nz"), (10, None)]
+    got = {r["doc_id"]: (r["kept_text"], r["removed_lines"])
+           for r in lines.dedup_lines(documents(spark, [(i, t, "x") for i, t in rows])).collect()}
+    assert got == {
+        1: (rows[0][1], 0), 2: ("", 1), 3: (rows[2][1], 0), 4: ("d\ne\nf", 3), 5: (short, 0), 6: (short, 0),
+        7: ("x\ny", 2), 8: (f"  {one}", 0), 9: ("z", 2), 10: (None, 0)}
+
+
 # licences
 
 def test_license_scan_finds_phrases_and_templates(spark):
