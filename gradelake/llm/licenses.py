@@ -120,6 +120,42 @@ def license_join(
     )
 
 
+def window_join(
+    docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """doc_id, label, overlap, size: per row the best block of words that holds enough of a template.
+
+    Blocks run across line feeds: for a template of n words, 2n words of the text from every
+    place that is a multiple of half of n (rounded up), so that a passage of up to one and a
+    half times the template lies in one of them. Only the templates of which the whole text
+    holds enough words are looked for in blocks.
+    """
+    sets = {label: words for label, words in template_sets(templates).items() if words}
+    spark = docs.sparkSession
+    if not sets:
+        return spark.createDataFrame([], "doc_id bigint, label string, overlap int, size int")
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for words in sets.values() for w in words})])
+
+    def best(words: Column, held: Column, label: str) -> Column:
+        template = F.array(*[F.lit(w) for w in sets[label]])
+        need = math.ceil(len(sets[label]) * threshold[0] / threshold[1])
+        n = len(templates[label].split())
+        places = F.sequence(F.lit(0), F.size(words) - 1, F.lit((n + 1) // 2))
+        overlap = F.array_max(F.transform(
+            places, lambda i: F.size(F.array_intersect(F.slice(words, i + 1, F.lit(2 * n)), template))))
+        enough = F.size(F.array_intersect(held, template)) >= need
+        return F.when(enough, F.struct(
+            F.lit(label).alias("label"), overlap.alias("overlap"), F.lit(len(sets[label])).alias("size"),
+            F.lit(need).alias("need")))
+
+    found = bind(
+        F.split(spaced_words(lower_ascii(F.col(text_col))), " "),
+        lambda words: bind(F.array_intersect(words, vocabulary), lambda held: F.array_compact(
+            F.array(*[best(words, held, label) for label in sets]))))
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(found)).where("overlap >= need").drop("need")
+
+
 def _finder(tokens: Sequence[str]) -> Callable[[Column], Column]:
     """From a word array to the positions at which the tokens stand one after the other."""
     def starts(w: Column) -> Column:
@@ -153,12 +189,14 @@ def phrase_places(spaced: Column, phrases: Sequence[str]) -> Column:
 def license_scan(
     docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES,
     threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+    across_lines: bool = False,
 ) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Phrases are found word by word; templates by ``license_join``, whose labels hold for
-    every row of a doc_id. The score is the largest share of a template that a line holds,
-    and 1 where a phrase was found. No label gives an empty string, no place a null
+    every row of a doc_id; a template that is wrapped over several lines is found with
+    ``across_lines`` only, by ``window_join`` beside it. The score is the largest share of a
+    template that a line or such a block holds, and 1 where a phrase was found. No label gives an empty string, no place a null
     position. Null counts as empty.
     """
     read = docs.select(
@@ -174,8 +212,11 @@ def license_scan(
             F.when(framed.contains(f" {phrase} "), F.lit(label)) for phrase, label in phrases.items()
         ])).alias("base"),
     )
+    matched = license_join(docs, templates, threshold, id_col, text_col).drop("line")
+    if across_lines:
+        matched = matched.unionByName(window_join(docs, templates, threshold, id_col, text_col))
     matches = (
-        license_join(docs, templates, threshold, id_col, text_col)
+        matched
         .groupBy(F.col("doc_id").alias("of"))
         .agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("size")).alias("share"))
     )

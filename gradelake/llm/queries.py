@@ -125,9 +125,24 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN base_labels USING (doc_id)
 LEFT JOIN all_labels USING (doc_id) LEFT JOIN shares USING (doc_id)
 """)
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates on single lines, as in its SQL; op3_wrapped_license_scans finds wrapped ones too."""
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+_LENGTHS = ", ".join(f"('{label}', {len(text.split())})" for label, text in licenses.TEMPLATES.items())
+_ON_LINES = "FROM lines, templates),"
+assert _ON_LINES in ORACLES["op3_license_scans"]
+
+
+@query("op3_wrapped_license_scans", ORACLES["op3_license_scans"].replace(_ON_LINES, f"""FROM lines, templates
+         UNION ALL
+         SELECT doc_id, label, len(list_intersect(list_distinct(w[i + 1:i + 2 * n]), tw)), len(tw)
+         FROM (SELECT doc_id, w, label, tw, n, unnest(range(0, len(w), (n + 1) // 2)) AS i
+               FROM d, templates JOIN (VALUES {_LENGTHS}) AS v(label, n) USING (label))),"""))
+def op3_wrapped_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"), across_lines=True)
+
+
 _ROLE, _SAID = "coalesce(role, '')", "coalesce(text, '')"
 _CONFLICT = "<\\|im_(start|end)\\|>|<\\\\+\\|"
 

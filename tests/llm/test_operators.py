@@ -121,6 +121,27 @@ def test_license_join_matches_all_pairs(spark):
     assert fetched(got, "doc_id", "line", "label") == expected and expected
 
 
+def test_license_scan_finds_wrapped_templates(spark):
+    rng = random.Random(16)
+    rows, expected = [], {}
+    for i, (label, text) in enumerate(licenses.TEMPLATES.items()):
+        w = text.split()
+        wrapped = "\n".join(" * " + " ".join(w[k:k + 4]) for k in range(0, len(w), 4))
+        if len(w) < 6:
+            wrapped = " * " + " ".join(w[:2]) + "\n * " + " ".join(w[2:])
+        rows.append((i, f"{prose(rng, rng.randrange(90))}\n{wrapped}\n{prose(rng, rng.randrange(90))}", "x"))
+        expected[i] = label
+    # Its words far apart are no notice.
+    rows.append((50, "all\n" + prose(rng, 20) + "\nrights\n" + prose(rng, 20) + "\nreserved", "x"))
+    rows += [(51, None, "x"), (52, "", "x"), (53, "All\nRights\n\nReserved.", "x")]
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs, across_lines=True).collect()}
+    for i, label in expected.items():
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+    assert [got[i]["labels"] for i in (50, 51, 52, 53)] == ["", "", "", "all-rights-reserved"]
+    assert fetched(licenses.window_join(docs, {}), "doc_id") == []
+
+
 # quality
 
 def test_quality_features_and_cascade(spark):
