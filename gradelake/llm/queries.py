@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import chat, dedup_exact, html_text, licenses, lines, minhash, packing, pieces, quality, toxicity
+from gradelake.llm import (chat, dedup_exact, html_text, licenses, lines, minhash, packing, pieces, quality, simhash,
+                           toxicity)
 from gradelake.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,3 +268,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("decoded").cast("bigint").alias("decoded_chars"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+@query("op12_simhash_near_dedup")
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
