@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import (chat, dedup_exact, html_text, licenses, lines, minhash, packing, pieces, quality, simhash,
-                           toxicity)
+from gradelake.llm import (chat, dedup_exact, html_text, licenses, lines, minhash, packing, pieces, quality, runs,
+                           simhash, toxicity)
 from gradelake.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,3 +273,67 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_simhash_near_dedup")
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text: after each byte eight shifts, marked by -1."""
+    steps = f"flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split({text}, '')])"
+    return (f"xor(list_reduce([4294967295::BIGINT] || {steps}, lambda c, x: "
+            "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)")
+
+
+@query("op13_periodic_runs", rf"""
+WITH split AS (
+  SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '{_SPACE}+') if x <> ''] AS w,
+         {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+placed AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+d AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+         THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] for i in range(0, n)]
+         ELSE w END AS w FROM placed),
+words AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM d),
+often AS (SELECT doc_id, n, word, list(i ORDER BY i) AS places FROM words GROUP BY ALL HAVING count(*) >= 4),
+equal AS (SELECT doc_id, i, unnest([j - i for j in places if j > i and 4 * (j - i) <= n]) AS q
+          FROM (SELECT doc_id, n, places, unnest(places) AS i FROM often)),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches
+         WHERE length >= 6 AND length >= 4 * q GROUP BY doc_id, start, length),
+told AS (
+  SELECT doc_id, count(*) AS n_runs,
+         string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS told,
+         first(struct_pack(start := start, length := length, period := period)
+               ORDER BY length::DOUBLE / period DESC, start, period) AS best
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+       1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document by its hash repeats its own words from a place on, as the contract says."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.filter(F.split("text", rf"{_SPACE}+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n, g = F.size("words"), F.expr("h DIV 10")
+    chosen = docs.withColumn("h", h).withColumn(
+        "words", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), words)
+    ).withColumn("words", F.when(F.size("words") > 0, F.col("words")))
+    at = chosen.withColumn("a", (g % n).cast("int")).withColumn(
+        "p", F.expr("CAST(1 + (size(words) - a) DIV (3 + (h DIV 10) % 8) AS INT)"))
+    again = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    text = F.when(F.col("words").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text"))
+    found = runs.collapse_runs(at.select("doc_id", text.alias("text")))
+    best = F.reduce(
+        "runs", F.get("runs", F.lit(0)),
+        lambda best, run: F.when(run["length"] * best["period"] > best["length"] * run["period"], run).otherwise(best))
+    told = F.array_join(F.transform("runs", lambda run: F.concat(
+        run["start"], F.lit(","), run["length"], F.lit(","), run["period"], F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
