@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import (chat, dedup_exact, html_text, licenses, lines, minhash, packing, pieces, quality, runs,
-                           simhash, toxicity)
-from gradelake.llm.common import LOWER, UPPER, table
+from gradelake.llm import (chat, dedup_exact, html_text, licenses, lines, minhash, packing, pieces, prefix_trie,
+                           quality, runs, simhash, toxicity)
+from gradelake.llm.common import LOWER, UPPER, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -337,3 +337,58 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
         F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+_SAID_DIGEST = f"md5(concat(CAST(length({_ROLE}) AS VARCHAR), ':', {_ROLE}, {_SAID}))"
+
+
+@query("op11_conversation_prefix_trie", rf"""
+WITH turns AS (
+  SELECT conv_id, {_ROLE} AS role, {_SAID} AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_ROLE}, {_SAID_DIGEST}) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n, {_crc32("conv_id::VARCHAR")} % 4 AS h, conv_id - conv_id % 20 AS base
+          FROM turns GROUP BY conv_id),
+convs AS (SELECT s.conv_id, s.h, s.base, least(s.h, coalesce(b.n, 0)) AS k
+          FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.base),
+rebuilt AS (
+  SELECT c.conv_id, t.pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos - c.h + c.k, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+paths AS (
+  SELECT conv_id, pos + 1 AS depth, text,
+         list(md5(concat(length(role), ':', role, text))) OVER (PARTITION BY conv_id ORDER BY pos) AS path,
+         count(*) OVER (PARTITION BY conv_id) AS size FROM rebuilt),
+steps AS (
+  SELECT conv_id, depth, path, size = depth AS ends,
+         len([x for x in regexp_split_to_array(text, '{_SPACE}+') if x <> '']) AS n_words FROM paths
+  UNION ALL
+  SELECT c.conv_id, 0, [], NOT EXISTS (SELECT 1 FROM rebuilt r WHERE r.conv_id = c.conv_id), 0 FROM convs c),
+nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * first(n_words) AS saving,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM steps GROUP BY depth, path),
+kids AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+above AS (
+  SELECT n.path[:d] AS path, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(saving) AS saved_tokens
+  FROM (SELECT n.*, n_children, unnest(range(0, depth + 1)) AS d FROM nodes n LEFT JOIN kids USING (path)) n GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+       coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN above USING (path) LEFT JOIN kids USING (path)
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:n.depth - 1]
+""")
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations start with turns of the one that opens their twenty, as the contract says."""
+    turns = stored(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    h = F.crc32(F.col("conv_id").cast("string")) % 4
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    opened = sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
+    convs = stored(
+        sizes.select("conv_id", h.alias("h"), base.alias("base")).join(opened, "base", "left")
+        .select("conv_id", "h", "base", F.least("h", F.coalesce("n_base", F.lit(0))).alias("k")))
+    own = turns.where(F.col("pos") >= h).join(convs, "conv_id").select(
+        "conv_id", (F.col("pos") - F.col("h") + F.col("k")).alias("pos"), "said", "n_words")
+    first = turns.where("pos < 3").withColumnRenamed("conv_id", "base")
+    led = convs.join(first, "base").where("pos < h").select("conv_id", "pos", "said", "n_words")
+    return prefix_trie.prefix_trie(led.unionByName(own), convs)
