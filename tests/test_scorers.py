@@ -95,9 +95,87 @@ def test_json_schema(spark):
     assert lists[5] == ["/nested/x~1y must be boolean"]
 
 
-def test_json_schema_unknown_keyword_fails_early():
-    with pytest.raises(ValueError, match="oneOf"):
-        schema_check.compile_schema({"oneOf": []})
+@pytest.mark.parametrize("schema, message", [
+    ({"oneOf": []}, "oneOf must be a non-empty array"),
+    ({"type": "text"}, "not a JSON type"),
+    ({"properties": {"a": {"minLength": "two"}}}, "minLength at #/properties/a must be a whole number"),
+    ({"items": [3]}, "the schema at #/items/0"),
+    ({"$ref": "#/definitions/x"}, "points at nothing"),
+    ({"$ref": "other.json"}, "does not point into the schema"),
+    ({"properties": {"a": {"$ref": "#"}}}, "goes round in circles"),
+])
+def test_json_schema_that_makes_no_sense_fails_early(schema, message):
+    with pytest.raises(ValueError, match=message):
+        schema_check.compile_schema(schema)
+
+
+LINES = {
+    "type": "object",
+    "definitions": {"line": {
+        "type": "object", "required": ["sku"],
+        "properties": {"qty": {"type": "integer", "exclusiveMinimum": 0, "maximum": 9}, "sku": {"maxLength": 2}},
+    }},
+    "properties": {
+        "lines": {"type": "array", "minItems": 1, "maxItems": 3, "items": {"$ref": "#/definitions/line"}},
+        "grid": {"items": {"items": {"type": "number"}}},
+        "tags": {"uniqueItems": True, "items": {"type": "string"}},
+        "things": {"uniqueItems": True, "contains": {"const": {"a": [1, "x"]}}},
+        "pair": {"items": [{"type": "string"}, {"multipleOf": 0.5}], "additionalItems": False},
+        "mode": {"anyOf": [{"const": "open"}, {"type": "integer", "multipleOf": 2}]},
+        "one": {"oneOf": [{"minimum": 5}, {"maximum": 7}, {"type": "string"}]},
+        "no": {"not": {"enum": [None, False]}},
+        "both": {"allOf": [{"minLength": 2}, {"pattern": "^a"}]},
+        "when": {"if": {"minimum": 10}, "then": {"multipleOf": 10}, "else": {"exclusiveMaximum": 5}},
+        "named": {
+            "propertyNames": {"maxLength": 3}, "patternProperties": {"^n": {"type": "number"}},
+            "additionalProperties": {"type": "boolean"}, "minProperties": 1, "maxProperties": 3,
+            "dependencies": {"a": ["b"], "b": {"required": ["nb"]}},
+        },
+    },
+}
+
+
+LINES_CASES = [
+    ({"lines": [{"sku": "a", "qty": 3}]}, []),
+    ({"lines": []}, ["/lines must NOT have fewer than 1 items"]),
+    ({"lines": [{"sku": "a", "qty": 0}, {"qty": 2.5}, {"sku": "long", "qty": 10}, 7]}, [
+        "/lines must NOT have more than 3 items", "/lines/0/qty must be > 0",
+        "/lines/1 must have required property 'sku'", "/lines/1/qty must be integer",
+        "/lines/2/qty must be <= 9", "/lines/2/sku must NOT have more than 2 characters", "/lines/3 must be object"]),
+    ({"lines": {}}, ["/lines must be array"]),
+    ({"grid": [[1, "x"], [2], ["y", [3]], "no array"]},
+     ["/grid/0/1 must be number", "/grid/2/0 must be number", "/grid/2/1 must be number"]),
+    ({"tags": ["x", "y", "x", "y"]}, ["/tags must NOT have duplicate items (items ## 3 and 1 are identical)"]),
+    ({"things": [1, {"a": [1.0, "x"]}, 1.0, 2, 1]}, ["/things must NOT have duplicate items (items ## 2 and 4 are identical)"]),
+    ({"things": [1, 2]}, ["/things/0 must be equal to constant", "/things/1 must be equal to constant",
+                          "/things must contain at least 1 valid item(s)"]),
+    ({"pair": [1, 0.75, 2]}, ["/pair must NOT have more than 2 items", "/pair/0 must be string",
+                              "/pair/1 must be multiple of 0.5"]),
+    ({"mode": "open"}, []), ({"mode": 4}, []),
+    ({"mode": 3}, ["/mode must be equal to constant", "/mode must be multiple of 2", "/mode must match a schema in anyOf"]),
+    ({"mode": "shut"}, ["/mode must be equal to constant", "/mode must be integer", "/mode must match a schema in anyOf"]),
+    ({"one": 4}, []), ({"one": 8}, []),
+    ({"one": 6}, ["/one must match exactly one schema in oneOf"]),
+    ({"no": False}, ["/no must NOT be valid"]), ({"no": 0}, []),
+    ({"both": "b"}, ["/both must NOT have fewer than 2 characters", '/both must match pattern "^a"']),
+    ({"when": 15}, ["/when must be multiple of 10", '/when must match "then" schema']),
+    ({"when": 6}, ["/when must be < 5", '/when must match "else" schema']), ({"when": 20}, []), ({"when": 2}, []),
+    ({"named": {}}, ["/named must NOT have fewer than 1 properties"]),
+    ({"named": {"n~/x": "t", "long": 1, "c": True, "d": False}}, [
+        "/named must NOT have more than 3 properties", "/named must NOT have more than 3 characters",
+        "/named property name must be valid", "/named must NOT have more than 3 characters",
+        "/named property name must be valid", "/named/long must be boolean", "/named/n~0~1x must be number"]),
+    ({"named": {"a": True}}, ["/named must have property b when property a is present"]),
+    ({"named": {"b": True}}, ["/named must have required property 'nb'"]),
+]
+
+
+def test_json_schema_of_arrays_and_combinations(spark):
+    texts = [json.dumps(value) for value, _ in LINES_CASES]
+    got = scored(spark, texts, lambda o, e: scorers.json_schema(o, LINES))
+    for (value, violations), found in zip(LINES_CASES, got):
+        assert found["details"]["violations"] == violations, value
+        assert found["pass"] == (not violations)
 
 
 def test_registry():

@@ -297,6 +297,58 @@ def c3(t: Tables) -> DataFrame:
     )
 
 
+LINES_SCHEMA = {
+    "type": "object", "required": ["lines"],
+    "properties": {
+        "lines": {
+            "type": "array", "minItems": 1, "maxItems": 3,
+            "items": {
+                "type": "object", "required": ["sku"],
+                "properties": {
+                    "qty": {"type": "integer", "exclusiveMinimum": 0, "maximum": 30},
+                    "sku": {"type": "string", "maxLength": 2},
+                },
+            },
+        },
+        "tags": {"items": {"type": "string"}, "uniqueItems": True},
+        "mode": {"anyOf": [{"const": "open"}, {"type": "integer", "multipleOf": 2}]},
+    },
+}
+
+# Orders of up to four lines, made of the number in the properties.
+view("line_texts", "events", "event_id",
+     "CAST(replace(replace(props, '{\"k\": ', ''), '}', '') AS BIGINT) AS k")
+
+
+@query("c3_array_schema", f"""WITH {cte('line_texts')},
+lines AS (SELECT event_id, k, event_id % 5 AS n FROM line_texts),
+told AS (SELECT event_id, list_concat(
+  CASE n WHEN 0 THEN ['/lines must NOT have fewer than 1 items']
+    WHEN 4 THEN ['/lines must NOT have more than 3 items'] ELSE [] END,
+  flatten([list_concat(
+    CASE WHEN (k + i) % 4 = 0 THEN ['/lines/' || i || ' must have required property ''sku'''] ELSE [] END,
+    CASE WHEN (k + 7 * i) % 40 - 5 > 30 THEN ['/lines/' || i || '/qty must be <= 30']
+      WHEN (k + 7 * i) % 40 - 5 <= 0 THEN ['/lines/' || i || '/qty must be > 0'] ELSE [] END,
+    CASE WHEN (k + i) % 4 = 3 THEN ['/lines/' || i || '/sku must NOT have more than 2 characters'] ELSE [] END)
+    for i in range(0, n)]),
+  CASE WHEN k % 3 = 0 THEN ['/tags must NOT have duplicate items (items ## 2 and 0 are identical)'] ELSE [] END,
+  CASE k % 4 WHEN 1 THEN ['/mode must be equal to constant', '/mode must be multiple of 2',
+    '/mode must match a schema in anyOf'] WHEN 3 THEN ['/mode must be equal to constant',
+    '/mode must be integer', '/mode must match a schema in anyOf'] ELSE [] END) AS violations FROM lines)
+SELECT event_id, array_to_string(violations, ';') AS violations, len(violations) = 0 AS pass,
+  CASE WHEN len(violations) = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM told""")
+def c3_arrays(t: Tables) -> DataFrame:
+    text = F.expr("""concat('{"lines": [', array_join(transform(
+      filter(sequence(0, 4), i -> i < event_id % 5),
+      i -> concat('{"qty": ', (k + 7 * i) % 40 - 5, CASE (k + i) % 4 WHEN 0 THEN '' WHEN 3 THEN ', "sku": "abc"'
+        ELSE ', "sku": "ab"' END, '}')), ', '), '], "tags": ["x", "y", "', CASE WHEN k % 3 = 0 THEN 'x' ELSE 'z' END,
+      '"], "mode": ', CASE k % 4 WHEN 0 THEN '"open"' WHEN 1 THEN '3' WHEN 2 THEN '4' ELSE '"shut"' END, '}')""")
+    scored = S.json_schema(text, LINES_SCHEMA)
+    return t.spread("line_texts").select("event_id", scored.alias("r")).select(
+        "event_id", F.array_join("r.details.violations", ";").alias("violations"), "r.pass", "r.score"
+    )
+
+
 PATTERNS = ["the", "http", "License", "ing "]
 
 
