@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gradelake.operators import scorers as S
 from gradelake.operators.joins import scoring_input
 from gradelake.operators.scale import spread_small
+from gradelake.operators.schema_check import schema_problem
+from gradelake.session import cut_lineage
 
 #: Distinct schemas compiled into one branch; packs that use more are scored in several.
 BRANCH_SCHEMAS = 100
@@ -86,34 +88,32 @@ def _schema_groups(sets: list[tuple[str, ...]]) -> list[list[tuple[str, ...]]]:
     return groups
 
 
+def _refuse(what: str, problems: list[str], total: int) -> None:
+    more = total - SHOWN_PROBLEMS
+    raise ValueError(
+        f"{what} cannot be scored: " + "; ".join(problems[:SHOWN_PROBLEMS])
+        + (f"; and {more} more" if more > 0 else "")
+    )
+
+
 def _plan_facts(prepared: DataFrame) -> tuple[list[str], list[list[tuple[str, ...]]]]:
     """Scorer names and groups of schema sets the packs use; bad packs raise here.
 
-    Pack specs are written by hand; the distinct names, schemas, patterns and problems
-    come to the driver, as the job is built from them.
+    Pack specs are written by hand; the distinct names, schemas and problems come to the
+    driver, as the job is built from them.
     """
-    specs = _specs()
-    regexes = F.flatten(F.transform(
-        specs,
-        lambda p: F.when((p["scorer"] == "pattern") & (p["mode"] == "regex"), p["patterns"])
-        .otherwise(F.array()),
-    ))
     facts = prepared.select(
-        F.array_distinct(F.transform(specs, lambda p: p["scorer"])).alias("names"),
-        _schema_set().alias("schemas"), F.array_distinct(regexes).alias("regexes"), "_problems",
+        F.array_distinct(F.transform(_specs(), lambda p: p["scorer"])).alias("names"),
+        _schema_set().alias("schemas"), "_problems",
     ).distinct().collect()
     names = sorted({name for r in facts for name in r["names"]})
     for name in names:
         S.get_scorer(name)
     problems = sorted({p for r in facts for p in r["_problems"] or []})
-    patterns = sorted({p for r in facts for p in r["regexes"] or [] if p is not None})
-    problems += S.pattern_problems(prepared.sparkSession, patterns)
+    schemas = sorted({text for r in facts for text in r["schemas"]})
+    problems += filter(None, (schema_problem(prepared.sparkSession, text) for text in schemas))
     if problems:
-        more = len(problems) - SHOWN_PROBLEMS
-        raise ValueError(
-            "the packs cannot be scored: " + "; ".join(problems[:SHOWN_PROBLEMS])
-            + (f"; and {more} more" if more > 0 else "")
-        )
+        _refuse("the packs", problems, len(problems))
     return names, _schema_groups([tuple(r["schemas"]) for r in facts])
 
 
@@ -225,15 +225,37 @@ def bind(packs: DataFrame) -> tuple[DataFrame, list[str], list[list[tuple[str, .
     return (checked.drop("_problems"), *_plan_facts(checked))
 
 
+def sound_examples(examples: DataFrame, packs: DataFrame) -> DataFrame:
+    """The examples, once every expected value is known to fit its scorer (V4).
+
+    The examples are read once: they are judged while they are written to the shared
+    checkpoint folder, from where the scoring joins them, and what was found is observed on
+    the way. Values that do not fit raise with their distinct messages.
+    """
+    from gradelake.plans.validate import judge_expected
+
+    seen = Observation()
+    judged = judge_expected(examples.select("pack", "example_id", "expected"), packs).observe(
+        seen, F.count("problem").alias("problems"))
+    kept = cut_lineage(judged)
+    if seen.get["problems"]:
+        told = kept.filter("problem IS NOT NULL").groupBy("problem").agg(
+            F.min(F.struct("pack", "example_id")).alias("first"))
+        first = told.orderBy("first", "problem").limit(SHOWN_PROBLEMS).collect()
+        _refuse("the expected values", [r["problem"] for r in first], told.count())
+    return kept.drop("problem")
+
+
 def score(outputs: DataFrame, examples: DataFrame, packs: DataFrame) -> DataFrame:
     """Score every output by its pack's scorer and gates.
 
-    Map-side apart from the lookups of example and pack.
+    Map-side apart from the lookups of example and pack. Bad packs and expected values that
+    do not fit their scorer raise before a row is scored.
     """
     prepared, names, schemas = bind(packs)
     if not outputs.isStreaming:
         outputs = spread_small(outputs)
-    return score_rows(scoring_input(outputs, examples, prepared), names, schemas)
+    return score_rows(scoring_input(outputs, sound_examples(examples, packs), prepared), names, schemas)
 
 
-__all__ = ["bind", "prepare_packs", "score", "score_rows"]
+__all__ = ["bind", "prepare_packs", "score", "score_rows", "sound_examples"]

@@ -6,7 +6,7 @@ one array, so each job is map-side apart from counts and first-seen lookups.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from gradelake.functions.text import (
     extract_json, is_blank, js_trim, json_kind, json_number, json_string, kebab, normalize_text,
 )
 from gradelake.operators.scale import group_index, keep_first, lookup_join
+from gradelake.operators.schema_check import schema_problem
 from gradelake.operators.scorers import label_table, resolve_label, scorer_names
 from gradelake.operators.sets import is_off_label, missing_labels, off_label
 from gradelake.sources.packs import parse_example
@@ -180,8 +181,11 @@ def validate_templates(templates: DataFrame) -> DataFrame:
 
 # V5 -------------------------------------------------------------------------
 
-def param_problems(scorer: Column, params: Column) -> Column:
-    """Every broken parameter rule of a scorer's VARIANT parameters (V5)."""
+def param_problems(scorer: Column, params: Column, bad_schemas: Mapping[str, str] | None = None) -> Column:
+    """Every broken parameter rule of a scorer's VARIANT parameters (V5).
+
+    ``bad_schemas`` tells what is wrong with schemas that do not compile, by their text.
+    """
     def need(name: str, key: str, what: str, bad: Column) -> Column:
         return F.when(
             (scorer == name) & bad, f'scorer "{name}" param "{key}" {what}'
@@ -213,7 +217,7 @@ def param_problems(scorer: Column, params: Column) -> Column:
         ),
     )
     tolerance = json_number(_at(params, "$.tolerance"))
-    return _rules(
+    found = _rules(
         strings("exact-label", "labels"),
         need(
             "exact-label", "aliases", "must be an object mapping strings to strings",
@@ -231,23 +235,59 @@ def param_problems(scorer: Column, params: Column) -> Column:
         need("numeric-tolerance", "tolerance", "must be zero or positive", tolerance < 0),
         choice("numeric-tolerance", "mode", ("absolute", "relative")),
         need("json-schema", "schema", "must be an object", ~_is(_at(params, "$.schema"), "{")),
+        *[F.when((scorer == "json-schema") & (schema_text(params) == text), F.lit(said))
+          for text, said in (bad_schemas or {}).items()],
     )
+    return F.concat(found, _unreadable_patterns(scorer, params))
+
+
+def schema_text(params: Column) -> Column:
+    """The schema among a scorer's parameters as JSON text."""
+    return F.to_json(_at(params, "$.schema"))
+
+
+def _unreadable_patterns(scorer: Column, params: Column) -> Column:
+    """A problem for each pattern that does not compile, told by Java's own compiler."""
+    patterns = F.when(
+        (scorer == "pattern") & (json_string(_at(params, "$.mode")) == "regex")
+        & _string_array(_at(params, "$.patterns")),
+        F.try_variant_get(params, "$.patterns", "array<string>"))
+    bad = F.filter(
+        patterns, lambda p: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), p).isNull())
+    told = F.transform(bad, lambda p: F.concat(
+        F.lit('scorer "pattern" param "patterns" has "'), p, F.lit('", which does not compile')))
+    return F.coalesce(told, F.array().cast(_NO_PROBLEMS))
 
 
-def pack_problems() -> Column:
+def pack_problems(bad_schemas: Mapping[str, str] | None = None) -> Column:
     """Problems of the primary and gate parameters of a pack's row."""
     gates = F.flatten(
         F.transform(
             F.coalesce("gates", F.array()),
-            lambda g: param_problems(g["scorer"], g["scorer_params"]),
+            lambda g: param_problems(g["scorer"], g["scorer_params"], bad_schemas),
         )
     )
-    return F.concat(param_problems(F.col("scorer"), F.col("scorer_params")), gates)
+    return F.concat(param_problems(F.col("scorer"), F.col("scorer_params"), bad_schemas), gates)
+
+
+def bad_schemas_of(packs: DataFrame) -> dict[str, str]:
+    """What is wrong with the packs' schemas that do not compile, by their text.
+
+    Schemas are written by hand, so the distinct ones come to the driver, which has the compiler.
+    """
+    of_gates = F.transform(
+        F.coalesce("gates", F.array()),
+        lambda g: F.when(g["scorer"] == "json-schema", schema_text(g["scorer_params"])))
+    own = F.when(F.col("scorer") == "json-schema", schema_text(F.col("scorer_params")))
+    texts = packs.select(F.explode(F.concat(F.array(own), of_gates)).alias("text")).filter(
+        F.col("text").startswith("{")).distinct().collect()
+    found = {r["text"]: schema_problem(packs.sparkSession, r["text"]) for r in texts}
+    return {text: said for text, said in sorted(found.items()) if said is not None}
 
 
 def validate_params(packs: DataFrame) -> DataFrame:
     """Problems of every pack's primary and gate parameters (V5)."""
-    return explode_problems(packs, ["pack"], pack_problems())
+    return explode_problems(packs, ["pack"], pack_problems(bad_schemas_of(packs)))
 
 
 # V4 -------------------------------------------------------------------------
@@ -276,14 +316,14 @@ def expected_problem(scorer: Column, params: Column, expected: Column) -> Column
     )
 
 
-def check_expected(examples: DataFrame, packs: DataFrame) -> DataFrame:
-    """Dry check of every expected value; same messages collapse to the first (V4).
+def judge_expected(examples: DataFrame, packs: DataFrame) -> DataFrame:
+    """Examples with ``problem``: what is wrong with their expected value, or null.
 
-    ``examples(pack, example_id, source_path, expected)``. A bad parameter shows
-    as the message of the first example.
+    ``examples(pack, example_id, expected, ...)``. A bad parameter shows as the problem of
+    the pack's examples. Examples of packs that are not there have no problem.
     """
     specs = packs.select("pack", "scorer", "scorer_params", "gates")
-    joined = lookup_join(examples, specs, ["pack"], ["example_id"], "inner")
+    joined = lookup_join(examples, specs, ["pack"], ["example_id"], "left")
     scorer, params, expected = F.col("scorer"), F.col("scorer_params"), F.col("expected")
 
     def first_problem(name: Column, own: Column) -> Column:
@@ -301,10 +341,18 @@ def check_expected(examples: DataFrame, packs: DataFrame) -> DataFrame:
         ),
         F.lit(1),
     )
-    found = joined.select(
-        "pack", "example_id", "source_path",
-        F.coalesce(gate, first_problem(scorer, params)).alias("message"),
-    ).filter(F.col("message").isNotNull())
+    return joined.select(
+        *examples.columns, F.coalesce(gate, first_problem(scorer, params)).alias("problem"))
+
+
+def check_expected(examples: DataFrame, packs: DataFrame) -> DataFrame:
+    """Dry check of every expected value; same messages collapse to the first (V4).
+
+    ``examples(pack, example_id, source_path, expected)``. A bad parameter shows
+    as the message of the first example.
+    """
+    found = judge_expected(examples, packs).filter(F.col("problem").isNotNull()).select(
+        "pack", "example_id", "source_path", F.col("problem").alias("message"))
     return keep_first(found, ["pack", "message"], ["example_id"])
 
 

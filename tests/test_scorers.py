@@ -263,3 +263,23 @@ def test_any_number_of_schemas(spark, monkeypatch):
     assert len(got) == 26
     scores = {(r["unit_id"] // 5, r["unit_id"] % 5): r["score"] for r in got if r["unit_id"] < 25}
     assert scores == {(i, j): float(i == j) for i in range(5) for j in range(5)}
+
+
+@pytest.mark.parametrize("scorer, params, expected, message", [
+    ("exact-label", {"labels": ["low", "12"]}, "12", "exact-label example has expected value 12, which is not in labels"),
+    ("exact-label", {"labels": ["low"]}, '"high"', 'expected value "high", which is not in labels'),
+    ("numeric-tolerance", {"tolerance": 1}, '"five"', 'expected value "five", which is not a finite number'),
+    ("field-f1", {"key_fields": ["a"]}, "[1]", "but this scorer needs an object"),
+])
+def test_expected_values_that_do_not_fit_are_refused(spark, scorer, params, expected, message):
+    spec = json.dumps({"name": "p", "type": "t", "scorer": scorer, "scorer_params": params})
+    packs = pack_columns(spark.createDataFrame([(spec,)], "s string").select(F.parse_json("s").alias("manifest")))
+    examples = spark.createDataFrame(
+        [("p", 1, expected), ("p", 2, expected), ("other", 3, "5")], "pack string, example_id int, e string"
+    ).select("pack", "example_id", F.parse_json("e").alias("expected"))
+    outputs = spark.createDataFrame([("u", "other", 3, "5")], "unit_id string, pack string, example_id int, output string")
+    with pytest.raises(ValueError) as found:
+        scoring.score(outputs, examples, packs)
+    assert message in str(found.value) and "more" not in str(found.value)
+    # without the bad ones the rest is scored; a pack that is not there judges nothing
+    assert scoring.score(outputs, examples.filter("example_id = 3"), packs).count() == 1

@@ -145,6 +145,35 @@ def v5(t: Tables) -> DataFrame:
     )
 
 
+view(
+    "text_params", "part", "p_partkey",
+    """CASE p_partkey % 4 WHEN 0 THEN 'json-schema' ELSE 'pattern' END AS scorer""",
+    """CASE p_partkey % 4
+ WHEN 0 THEN concat('{"schema": {"type": "', CASE p_size % 3 WHEN 0 THEN 'text' ELSE 'object' END,
+  '", "maxItems": ', CASE WHEN p_size % 2 = 0 THEN '-1' ELSE '3' END, '}}')
+ WHEN 1 THEN concat('{"patterns": ["a(b", "c+", "[', CAST(p_size AS STRING), '"], "mode": "regex"}')
+ WHEN 2 THEN '{"patterns": ["a(b", "[1"], "mode": "contains"}'
+ ELSE '{"patterns": ["(a|b)+"], "mode": "regex"}' END AS params""",
+)
+
+
+@query("v5_patterns_and_schemas", """
+SELECT p_partkey, place, message FROM (SELECT p_partkey, unnest(CASE p_partkey % 4
+  WHEN 0 THEN CASE WHEN p_size % 3 = 0 THEN [{'place': 0, 'message':
+      'scorer "json-schema" param "schema" is not a valid JSON Schema: "text" at # is not a JSON type'}]
+    WHEN p_size % 2 = 0 THEN [{'place': 0, 'message': 'scorer "json-schema" param "schema" is not a valid '
+      || 'JSON Schema: maxItems at # must be a whole number from 0 on'}] ELSE [] END
+  WHEN 1 THEN [{'place': 0, 'message': 'scorer "pattern" param "patterns" has "a(b", which does not compile'},
+    {'place': 1, 'message': 'scorer "pattern" param "patterns" has "[' || p_size || '", which does not compile'}]
+  ELSE [] END, recursive := true) FROM part)""")
+def v5_texts(t: Tables) -> DataFrame:
+    packs = t.spread("text_params").select(
+        F.col("p_partkey").alias("pack"), "scorer", F.parse_json("params").alias("scorer_params"),
+        F.array().cast("array<struct<scorer:string,scorer_params:variant>>").alias("gates"),
+    )
+    return V.validate_params(packs).select(F.col("pack").alias("p_partkey"), "place", "message")
+
+
 @query("v4_check_expected", """
 SELECT o_orderpriority AS pack, bad AS value, min(o_orderkey) AS example_id FROM (
   SELECT o_orderpriority, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '"P"'
@@ -171,6 +200,37 @@ def v4(t: Tables) -> DataFrame:
     return found.select("pack", value.alias("value"), "example_id")
 
 
+view(
+    "typed_examples", "orders", "o_orderpriority AS pack", "o_orderkey AS example_id",
+    """CASE o_orderkey % 5 WHEN 0 THEN '"F"' WHEN 1 THEN '12' WHEN 2 THEN '"five"' WHEN 3 THEN '{"a": 1}'
+ ELSE 'null' END AS expected_text""",
+)
+
+
+@query("v4_problem_counts", f"""WITH {cte('typed_examples')}
+SELECT pack, count(*) AS examples, count(*) FILTER (CASE substr(pack, 1, 1) WHEN '1' THEN expected_text <> '"F"'
+  WHEN '2' THEN expected_text <> '12' WHEN '3' THEN expected_text <> '{{"a": 1}}' WHEN '4' THEN false
+  ELSE expected_text <> '"F"' END) AS problems FROM typed_examples GROUP BY pack""")
+def v4_counts(t: Tables) -> DataFrame:
+    """Expected values that do not fit, per pack; the last pack's gate decides, not its scorer."""
+    label, gates = '{"labels": ["F", "O"]}', "array<struct<scorer:string,scorer_params:variant>>"
+    kind = F.left("pack", F.lit(1))
+    packs = t["typed_examples"].select("pack").distinct().select(
+        "pack",
+        F.when(kind == "1", "exact-label").when(kind == "2", "numeric-tolerance").when(kind == "3", "field-f1")
+        .otherwise("pattern").alias("scorer"),
+        F.parse_json(F.when(kind == "1", label).when(kind == "2", '{"tolerance": 1}')
+                     .when(kind == "3", '{"key_fields": ["a"]}').otherwise('{"patterns": ["x"]}'))
+        .alias("scorer_params"),
+        F.when(kind == "5", F.array(F.struct(
+            F.lit("exact-label").alias("scorer"), F.parse_json(F.lit(label)).alias("scorer_params"))))
+        .otherwise(F.array().cast(gates)).alias("gates"),
+    )
+    examples = t.spread("typed_examples").select("pack", "example_id", F.parse_json("expected_text").alias("expected"))
+    return V.judge_expected(examples, packs).groupBy("pack").agg(
+        F.count(F.lit(1)).alias("examples"), F.count("problem").alias("problems"))
+
+
 @query("u3_missing_labels", """
 SELECT doc_id, concat_ws(',', CASE WHEN NOT contains(lower(text), 'the') THEN 'The' END,
   CASE WHEN NOT contains(lower(text), 'http') THEN 'HTTP' END,
