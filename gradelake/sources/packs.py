@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,21 +180,49 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _digest_in_order(names: tuple[str, ...]):
+    """A task that hashes sorted files pack by pack, holding one batch of them at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, sha, kinds = None, None, None
+        for batch in batches:
+            done = []
+            kinds = [batch.schema.field(c).type for c in names]
+            keys = zip(*(batch.column(c).to_pylist() for c in names)) if names else ((),) * batch.num_rows
+            for key, path, content in zip(keys, batch.column("relpath"), batch.column("content")):
+                if sha is None or key != pack:
+                    if sha is not None:
+                        done.append((*pack, sha.hexdigest()))
+                    pack, sha = key, hashlib.sha256()
+                sha.update(path.as_py().encode() + b"\0")
+                if content.is_valid:
+                    sha.update(content.as_buffer())
+                sha.update(b"\0")
+            if done:
+                yield _digest_rows(done, kinds, names)
+        if sha is not None:
+            yield _digest_rows([(*pack, sha.hexdigest())], kinds, names)
+
+    return run
+
+
+def _digest_rows(done: list[tuple], kinds: list[pa.DataType], names: tuple[str, ...]) -> pa.RecordBatch:
+    columns = [pa.array(c, k) for c, k in zip(zip(*done), [*kinds, pa.string()])]
+    return pa.RecordBatch.from_arrays(columns, names=[*names, "fingerprint"])
+
+
 def pack_fingerprint(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """sha256 over sorted ``relpath 0 content 0`` of one pack's files.
+    """sha256 over sorted ``relpath 0 content 0`` of each pack's files.
 
-    Byte exact, and so puts a whole pack into one value: for packs as people
-    write them. Each folder level is sorted, hence the order by path parts.
+    Byte exact. Each folder level is sorted, hence the order by path parts. The files are
+    sorted on their way to the pack's task, which hashes them as they come: however many
+    files a pack has, a batch of them is held at a time. Empty contents count as such.
     """
-    zero = F.unhex(F.lit("00"))
-    piece = F.concat(F.encode("relpath", "utf-8"), zero, F.col("content"), zero)
-    parts = F.array_sort(
-        F.collect_list(F.struct(F.split("relpath", "/").alias("k"), piece.alias("v")))
-    )
-    joined = F.aggregate(
-        F.transform(parts, lambda p: F.hex(p["v"])), F.lit(""), lambda acc, v: F.concat(acc, v)
-    )
-    return files.groupBy(*keys).agg(F.sha2(F.unhex(joined), 256).alias("fingerprint"))
+    names = tuple(keys)
+    wanted = files.select(*names, "relpath", "content")
+    placed = wanted.repartition(*names) if names else wanted.coalesce(1)
+    schema = ", ".join(
+        [f"`{c}` {files.schema[c].dataType.simpleString()}" for c in names] + ["fingerprint string"])
+    return placed.sortWithinPartitions(*names, F.split("relpath", "/")).mapInArrow(_digest_in_order(names), schema)
 
 
 def set_fingerprint(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from gradelake.operators import scoring
-from gradelake.operators.aggregates import millis, token_rate
+from gradelake.operators.aggregates import millis, timing_columns, token_rate
 from gradelake.operators.scale import keep_first
 from gradelake.operators.telemetry import TIMELINE_CAP
 
@@ -45,6 +46,26 @@ def timing_stream(events: DataFrame, watermark: str, gap: str) -> DataFrame:
     )
 
 
+def generation_stream(events: DataFrame, watermark: str, gap: str) -> DataFrame:
+    """First-token time, rate, wall time and count per generation, once quiet for ``gap`` (X2 with A13).
+
+    ``events(generation_id, at TIMESTAMP, kind)`` with kinds ``start``, ``token`` and ``end`` in one
+    stream, append mode. Starts, tokens and ends meet in one session window, so there is one
+    shuffle and one state, bounded by the watermark and the gap; what a generation lacks is
+    null or zero, as in an outer join.
+    """
+    def of(kind: str, value: Column) -> Column:
+        return F.when(F.col("kind") == kind, value)
+
+    at = F.col("at")
+    sessions = events.withWatermark("at", watermark).groupBy(F.session_window("at", gap), "generation_id").agg(
+        F.min(of("start", at)).alias("started_at"), F.max(of("end", at)).alias("finished_at"),
+        F.min(of("token", at)).alias("first_at"), F.max(of("token", at)).alias("last_at"),
+        F.count(of("token", at)).alias("n"),
+    )
+    return sessions.select("generation_id", "started_at", "finished_at", *timing_columns())
+
+
 def peak_stream(samples: DataFrame) -> DataFrame:
     """Running peak per candidate (X3), update or complete mode."""
     return samples.groupBy("candidate_id").agg(
@@ -63,10 +84,12 @@ def peak_series(samples: DataFrame, watermark: str, width: str = "1 minute") ->
 
 
 class Timeline(StatefulProcessor):
-    """Bounded timeline of one candidate.
+    """Bounded timeline of one candidate, in time order however its samples arrive.
 
-    The state holds at most ``cap`` kept samples plus the peak and counters.
-    Samples are taken as they arrive, in time order within an Arrow batch.
+    Samples wait in the state until the watermark has passed them and no earlier one can
+    come; then they are taken in order of time and id. The state holds the waiting samples,
+    at most ``cap`` kept ones, the peak and counters. After ``idle_ms`` without a sample
+    the timeline is closed: it is emitted and its state goes.
     """
 
     schema = (
@@ -74,44 +97,107 @@ class Timeline(StatefulProcessor):
         "peak_mib double, sample_total bigint"
     )
 
-    def __init__(self, cap: int = TIMELINE_CAP) -> None:
-        self.cap = max(2, cap)
+    def __init__(self, cap: int = TIMELINE_CAP, idle_ms: int = 60_000) -> None:
+        self.cap, self.idle_ms = max(2, cap), idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "at timestamp, used_mib double")
-        self.totals = handle.getValueState("totals", "peak double, n bigint")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, sample_id bigint, used_mib double")
+        self.kept = handle.getListState("kept", "at bigint, used_mib double")
+        self.totals = handle.getValueState("totals", "peak double, n bigint, last_at bigint")
+        self.timers = handle.getValueState("timers", "take bigint, close bigint")
+
+    def _wake(self, take: int, close: int) -> None:
+        """When the earliest waiting sample can be taken, and when silence closes the timeline."""
+        old = self.timers.get() if self.timers.exists() else (0, 0)
+        for before, now in zip(old, (take, close)):
+            if before != now:
+                if before:
+                    self.handle.deleteTimer(before)
+        for now in {take, close} - {0}:
+            self.handle.registerTimer(now)
+        self.timers.update((take, close))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = [tuple(row) for row in self.kept.get()]
-        peak, n = self.totals.get() if self.totals.exists() else (float("-inf"), 0)
-        # One Arrow batch at a time: memory is the kept samples plus one batch.
+        take, close = self.timers.get() if self.timers.exists() else (0, 0)
         for batch in rows:
-            batch = batch.sort_values(["at", "sample_id"])
-            for at, used in zip(batch["at"], batch["used_mib"]):
-                kept.append((at, float(used)))
-                if len(kept) >= self.cap:
-                    kept = kept[::2]
-            peak, n = max(peak, float(batch["used_mib"].max())), n + len(batch)
-        self.kept.put(kept)
-        self.totals.update((peak, n))
-        yield pd.DataFrame({
-            "candidate_id": [key[0]],
-            "kept": [[{"at": at, "used_mib": used} for at, used in kept]],
-            "peak_mib": [peak], "sample_total": [n],
-        })
+            at = batch["at"].to_numpy("datetime64[us]").astype("int64")
+            self.waiting.appendList(list(zip(at.tolist(), batch["sample_id"].tolist(), batch["used_mib"].tolist())))
+            first, last = int(at.min()) // 1000, -(-int(at.max()) // 1000)
+            take, close = min(take or first, first), max(close, last + self.idle_ms)
+        self._wake(max(take, 1), close)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        samples = sorted(tuple(row) for row in self.waiting.get()) if self.waiting.exists() else []
+        ready = bisect_right(samples, passed * 1000, key=lambda s: s[0])
+        kept = [tuple(row) for row in self.kept.get()] if self.kept.exists() else []
+        peak, n, last_at = self.totals.get() if self.totals.exists() else (float("-inf"), 0, 0)
+        closed = []
+        start = 0
+        for end in range(1, ready + 1):
+            # A stretch without silence is taken as a whole.
+            if end < ready and samples[end][0] - samples[end - 1][0] <= self.idle_ms * 1000:
+                continue
+            part = samples[start:end]
+            if n and part[0][0] - last_at > self.idle_ms * 1000:
+                closed.append((kept, peak, n))
+                kept, peak, n = [], float("-inf"), 0
+            kept = halved(kept, [(at, used) for at, _, used in part], self.cap)
+            peak, n, last_at = max(peak, max(s[2] for s in part)), n + len(part), part[-1][0]
+            start = end
+        rest = samples[ready:]
+        if n and -(-last_at // 1000) + self.idle_ms <= passed:
+            closed.append((kept, peak, n))
+            kept, peak, n = [], float("-inf"), 0
+        if not n and not rest:
+            for state in (self.waiting, self.kept, self.totals, self.timers):
+                state.clear()
+        else:
+            for state, rows in ((self.waiting, rest), (self.kept, kept)):
+                if rows:
+                    state.put(rows)
+                else:
+                    state.clear()
+            self.totals.update((peak, n, last_at))
+            newest = rest[-1][0] if rest else last_at
+            self._wake(max(rest[0][0] // 1000, 1) if rest else 0, -(-newest // 1000) + self.idle_ms)
+        if closed:
+            yield pd.DataFrame({
+                "candidate_id": [key[0]] * len(closed),
+                "kept": [[{"at": pd.Timestamp(at, unit="us"), "used_mib": used} for at, used in k] for k, _, _ in closed],
+                "peak_mib": [peak for _, peak, _ in closed], "sample_total": [n for _, _, n in closed],
+            })
 
     def close(self) -> None:
         pass
 
 
-def timeline_stream(samples: DataFrame, cap: int = TIMELINE_CAP) -> DataFrame:
-    """Timeline of every candidate that got samples, update mode.
+def halved(kept: list, more: list, cap: int) -> list:
+    """``kept`` after ``more`` is appended; whenever it reaches ``cap``, every second entry goes."""
+    while len(kept) + len(more) >= cap:
+        room = cap - len(kept)
+        kept, more = (kept + more[:room])[::2], more[room:]
+    return kept + more
+
+
+def timeline_stream(
+    samples: DataFrame, cap: int = TIMELINE_CAP, watermark: str = "10 seconds", idle_ms: int = 60_000
+) -> DataFrame:
+    """Timeline of every candidate once it has been quiet for ``idle_ms`` of event time, append mode.
 
-    ``samples(candidate_id, at, used_mib, sample_id)``. Samples without a value are skipped.
+    ``samples(candidate_id, at, used_mib, sample_id)``. Samples may come in any order within the
+    watermark, later ones are dropped; the result does not depend on how they were cut into
+    batches. Samples without a value are skipped. A candidate that goes on after a
+    silence starts a new timeline.
     """
-    return samples.filter(F.col("used_mib").isNotNull()).groupBy("candidate_id").transformWithStateInPandas(
-        statefulProcessor=Timeline(cap), outputStructType=Timeline.schema,
-        outputMode="update", timeMode="None",
+    return (
+        samples.filter(F.col("used_mib").isNotNull()).withWatermark("at", watermark).groupBy("candidate_id")
+        .transformWithStateInPandas(
+            statefulProcessor=Timeline(cap, idle_ms), outputStructType=Timeline.schema,
+            outputMode="append", timeMode="EventTime",
+        )
     )
 
 

@@ -1,13 +1,17 @@
 """Sources, validation, telemetry, streams and registered queries."""
 
+import datetime
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from gradelake.operators.telemetry import decimate, survives
+from gradelake.operators import telemetry
+from gradelake.operators.aggregates import generation_timing
+from gradelake.operators.telemetry import decimate, settle_audit, survives
 from gradelake.plans import report, validate
 from gradelake.sources import journal, logs, packs
 from gradelake.streaming import jobs
@@ -38,23 +42,105 @@ def samples_of(spark, n):
         (F.col("id") % 97).cast("double").alias("used_mib"), F.col("id").alias("sample_id"))
 
 
-def test_timeline_stream_equals_decimation(spark, tmp_path):
+def streamed(spark, rows, tmp_path, job, batches, seed=1):
+    """Rows dealt at random over some batches of equal reach, so that each batch overlaps the next."""
     spark.conf.set(*next(iter(jobs.STATE_STORE.items())))
-    source = str(tmp_path / "in")
-    for part in range(3):
-        samples_of(spark, 900).filter((F.col("sample_id") >= part * 300) & (F.col("sample_id") < part * 300 + 300)) \
-            .coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(samples_of(spark, 1).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    out = str(tmp_path / "out")
-    jobs.timeline_stream(stream, 16).writeStream.outputMode("update").foreachBatch(
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    placed = rows.withColumn("_place", F.col("_place") + F.rand(seed)).cache()
+    for part in range(batches):
+        placed.filter(F.floor("_place") == part).drop("_place").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.drop("_place").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    job(stream).writeStream.outputMode("append").foreachBatch(
         lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")
     ).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    last = {r["candidate_id"]: r for r in sorted(spark.read.parquet(out).collect(), key=lambda r: r["batch"])}
-    batch = decimate(samples_of(spark, 900), 16).collect()
-    for cid in (0, 1):
-        want = sorted((r["at"], r["used_mib"]) for r in batch if r["candidate_id"] == cid)
-        assert [(k["at"], k["used_mib"]) for k in last[cid]["kept"]] == want
-        assert last[cid]["peak_mib"] == 96.0 and last[cid]["sample_total"] == 450
+    return spark.read.parquet(out)
+
+
+def test_timeline_stream_equals_decimation_in_any_order(spark, tmp_path):
+    # 900 samples 200 ms apart; a batch reaches half a minute into the next one. A last sample moves the watermark.
+    samples = samples_of(spark, 900).withColumn("at", F.col("at") + F.expr("INTERVAL 1 DAY"))
+    rows = samples.unionByName(spark.createDataFrame(
+        [(7, datetime.datetime(1970, 1, 2, 1), 1.0, 9000)], "candidate_id bigint, at timestamp, used_mib double, sample_id bigint"))
+    place = F.when(F.col("sample_id") == 9000, 6.0).otherwise(F.col("sample_id") / 180.0)
+    got = streamed(spark, rows.withColumn("_place", place), tmp_path,
+                   lambda s: jobs.timeline_stream(s, 16, "40 seconds", 30_000), 8).collect()
+    batch = decimate(samples, 16).collect()
+    assert sorted(r["candidate_id"] for r in got) == [0, 1]
+    for r in got:
+        want = sorted((x["at"], x["used_mib"]) for x in batch if x["candidate_id"] == r["candidate_id"])
+        assert [(k["at"], k["used_mib"]) for k in r["kept"]] == want
+        assert r["peak_mib"] == 96.0 and r["sample_total"] == 450
+
+
+def test_timeline_stream_starts_anew_after_a_silence(spark, tmp_path):
+    def sample(i, second):
+        return (1, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=second), float(i), i)
+
+    rows = spark.createDataFrame(
+        [sample(i, s) for i, s in enumerate((0, 1, 2, 40, 41, 300, 301, 1000))],
+        "candidate_id bigint, at timestamp, used_mib double, sample_id bigint")
+    got = streamed(spark, rows.withColumn("_place", F.lit(0.0)), tmp_path,
+                   lambda s: jobs.timeline_stream(s, 4, "5 seconds", 30_000), 1).collect()
+    assert sorted((r["peak_mib"], r["sample_total"], len(r["kept"])) for r in got) == [(2.0, 3, 3), (4.0, 2, 2), (6.0, 2, 2)]
+
+
+def test_halving_equals_one_at_a_time():
+    for cap in (2, 3, 8):
+        kept, want = [], []
+        for size in (0, 1, 5, 0, 30, 2):
+            more = list(range(len(want) * 100, len(want) * 100 + size))
+            kept = jobs.halved(kept, more, cap)
+            for x in more:
+                want.append(x)
+                if len(want) >= cap:
+                    want = want[::2]
+            assert kept == want
+
+
+def test_generation_stream_equals_batch_timing(spark, tmp_path):
+    at = F.timestamp_millis(86_400_000 + F.col("id") * 1700)
+    events = spark.range(600).select(
+        F.floor(F.col("id") / 60).alias("generation_id"), at.alias("at"),
+        F.when((F.col("id") % 60 == 0) & (F.col("id") % 240 != 0), "start").when(F.col("id") % 60 == 59, "end")
+        .otherwise("token").alias("kind"), (F.col("id") / 120).alias("_place"))
+    events = events.filter("generation_id <> 3 OR kind <> 'token'").unionByName(spark.createDataFrame(
+        [(99, datetime.datetime(1970, 1, 3), "token", 5.0)], events.schema))
+    got = streamed(spark, events, tmp_path, lambda s: jobs.generation_stream(s, "4 minutes", "3 minutes"), 6)
+    whole = events.filter("generation_id < 99")
+    spans = whole.groupBy("generation_id").agg(
+        F.min(F.when(F.col("kind") == "start", F.col("at"))).alias("started_at"),
+        F.max(F.when(F.col("kind") == "end", F.col("at"))).alias("finished_at"))
+    want = generation_timing(whole.filter("kind = 'token'"), spans)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_settle_audit_equals_all_pairs(spark):
+    rng = random.Random(11)
+    base = datetime.datetime(2024, 1, 1)
+    samples = [(rng.choice("ab"), base + datetime.timedelta(seconds=rng.randrange(20000)), rng.choice((None, rng.uniform(0, 500))))
+               for _ in range(600)]
+    unloads = [(rng.choice("abc"), base + datetime.timedelta(seconds=rng.randrange(20000)), rng.choice((None, 5.0, 60.0, 300.0)))
+               for _ in range(200)]
+    unloads += [samples[0][:2] + (600.0,), unloads[0], ("a", None, 5.0)]
+    s = spark.createDataFrame(samples, "candidate_id string, at timestamp, used_mib double")
+    u = spark.createDataFrame(unloads, "candidate_id string, unloaded_at timestamp, baseline_mib double")
+    want = []
+    for c, at, low in unloads:
+        later = [x for k, x, used in samples if at is not None and low is not None and used is not None
+                 and k == c and x >= at and used <= low + 16]
+        waited = (min(later) - at).total_seconds() * 1000 if later else None
+        want.append((c, at, low, waited, low is not None and (waited is None or waited > 15000)))
+    got = settle_audit(s, u, 16.0).select("candidate_id", "unloaded_at", "baseline_mib", "waited_ms", "flagged").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_settle_audit_makes_no_pairs(spark):
+    samples = spark.range(1000).select(F.lit(1).alias("candidate_id"), F.col("id").alias("at"), F.lit(9.0).alias("value"))
+    asked = spark.range(100).select(F.lit(1).alias("candidate_id"), (F.col("id") * 10).alias("at"), F.lit(1.0).alias("value"))
+    plan = telemetry._scanned(
+        samples.withColumn("block", F.lit(0).cast("bigint")), asked.withColumn("block", F.lit(0).cast("bigint")))
+    assert plan.count() == 101  # one row per question and one per block
+    assert "Join" not in plan._jdf.queryExecution().toString()
 
 
 def test_journal_sink_survives_a_replay(spark, tmp_path):

@@ -328,7 +328,33 @@ def s10(t: Tables) -> DataFrame:
     return t.spread("events").select("event_id", logs.parse_status(body).alias("active_mib"))
 
 
-@query("a15_pack_fingerprint")
+HOST_FILES = r"""f AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS pack, page_id, url, html FROM pages)"""
+
+
+@query("a15_host_fingerprint", f"""WITH {HOST_FILES},
+p AS (SELECT pack, concat(page_id % 3, '/', page_id, '.html') AS path, html FROM f UNION ALL
+  SELECT pack, concat(page_id % 3, '.txt') || page_id, url FROM f)
+SELECT pack, sha256(string_agg(path || chr(0) || html || chr(0), '' ORDER BY string_split(path, '/'))) AS fingerprint
+FROM p GROUP BY pack""")
+def a15_hosts(t: Tables) -> DataFrame:
+    """Every host is a pack of many files in folders; 1/2.html comes before 1.txt7."""
+    pack = F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("pack")
+    folder, page = (F.col("page_id") % 3).cast("string"), F.col("page_id").cast("string")
+
+    def file(path, column: str):
+        return F.struct(path.alias("relpath"), F.encode(column, "utf-8").alias("content"))
+
+    both = F.array(file(F.concat(folder, F.lit("/"), page, F.lit(".html")), "html"),
+                   file(F.concat(folder, F.lit(".txt"), page), "url"))
+    files = t["pages"].select(pack, F.explode(both).alias("f")).select("pack", "f.*")
+    return packs.pack_fingerprint(files, ("pack",))
+
+
+@query("a15_pack_fingerprint", f"""WITH {HOST_FILES},
+d AS (SELECT pack, sha256(concat(page_id, '/', md5(url)) || chr(0) || html) AS h FROM f),
+s AS (SELECT pack, count(*)::VARCHAR || {" || ".join(
+    f"'-' || sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(8))} AS told FROM d GROUP BY pack)
+SELECT pack, sha256(told) AS fingerprint FROM s""")
 def a15(t: Tables) -> DataFrame:
     files = t["pages"].select(
         F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("pack"),
@@ -552,14 +578,51 @@ def x3_series(t: Tables) -> DataFrame:
     return series.select("candidate_id", us("from").alias("from_us"), "peak_mib")
 
 
-@query("x4_timeline_stream", """
-SELECT user_id AS candidate_id, max(value) AS peak_mib, count(*) AS sample_total
-FROM events GROUP BY user_id""")
+@query("x4_timeline_stream", f"""
+WITH g AS (SELECT user_id, event_id, ts, value, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 24 HOUR THEN 0 ELSE 1 END
+    AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) - 1 AS i,
+    count(*) OVER (PARTITION BY user_id, session) AS n FROM s),
+k AS (SELECT *, CASE WHEN i < {CAP} THEN i % (1 << greatest(0, CASE WHEN n < {CAP} THEN 0
+    ELSE 1 + (n - {CAP}) // {CAP // 2} END)) = 0
+  ELSE (1 << ((n - {CAP}) // {CAP // 2} - (i - {CAP}) // {CAP // 2})) <= {CAP // 2} AND ((i - {CAP}) % {CAP // 2})
+    % (1 << ((n - {CAP}) // {CAP // 2} - (i - {CAP}) // {CAP // 2})) = 0 END AS stays FROM p)
+SELECT user_id AS candidate_id, max(value) AS peak_mib, count(*) AS sample_total,
+  string_agg(epoch_us(ts)::VARCHAR, ',' ORDER BY ts, event_id) FILTER (stays) AS kept_us,
+  round(sum(value) FILTER (stays), 6) AS kept_sum
+FROM k GROUP BY user_id, session
+HAVING (max(epoch_us(ts)) + 999) // 1000 + 86400000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events) - 3600000""")
 def x4(t: Tables) -> DataFrame:
-    out = last_state(
-        run_stream(t, X.timeline_stream(sample_stream(t), CAP), "update"), "candidate_id"
+    out = run_stream(t, X.timeline_stream(sample_stream(t), CAP, "1 hour", 86_400_000))
+    return out.select(
+        "candidate_id", "peak_mib", "sample_total",
+        F.array_join(F.transform("kept", lambda k: us(k["at"]).cast("string")), ",").alias("kept_us"),
+        F.round(F.aggregate("kept", F.lit(0.0), lambda total, k: total + k["used_mib"]), 6).alias("kept_sum"),
+    )
+
+
+@query("x2_generation_stream", SESSIONS.replace("SELECT user_id, ts", "SELECT user_id, event_type, ts").replace(
+    "count(*) AS token_count", """min(ts) FILTER (WHERE event_type = 'signup') AS s,
+  max(ts) FILTER (WHERE event_type = 'purchase') AS e,
+  count(*) FILTER (WHERE event_type NOT IN ('signup', 'purchase')) AS n,
+  min(ts) FILTER (WHERE event_type NOT IN ('signup', 'purchase')) AS tf,
+  max(ts) FILTER (WHERE event_type NOT IN ('signup', 'purchase')) AS tl""") + """
+SELECT generation_id, epoch_us(s) AS started_us, (epoch_us(tf) - epoch_us(s)) / 1000.0 AS ttft_ms,
+  CASE WHEN n >= 2 AND tl > tf THEN round((n - 1) * 1000.0 / ((epoch_us(tl) - epoch_us(tf)) / 1000.0), 9) END
+    AS tokens_per_second, (epoch_us(e) - epoch_us(s)) / 1000.0 AS wall_ms, n AS token_count
+FROM closed WHERE l + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def x2_generations(t: Tables) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "end")
+    events = stream_of(t, "events").select(
+        F.col("user_id").alias("generation_id"), F.col("ts").cast("timestamp").alias("at"),
+        F.coalesce(kind, F.lit("token")).alias("kind"),
+    )
+    timed = run_stream(t, X.generation_stream(events, "1 hour", "6 hours"))
+    return timed.select(
+        "generation_id", us("started_at").alias("started_us"), "ttft_ms",
+        F.round("tokens_per_second", 9).alias("tokens_per_second"), "wall_ms", "token_count",
     )
-    return out.select("candidate_id", "peak_mib", "sample_total")
 
 
 @query("x5_journal_sink", f"WITH {SCORED} SELECT unit_id, round(score, 6) AS score FROM scored")
