@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator, Mapping
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,52 +24,110 @@ SEQUENCE, PACKET = 2048, 256
 END_ID = 1
 #: Rows of a queue that are numbered together.
 BLOCK_ROWS = 4096
+#: Signs that often end a word.
+MARKS = (",", ".")
+#: In lower-case Latin-1 without apostrophes: what the tokenizer takes apart, letters, single digits, the rest.
+PIECE = re.compile("[a-zß-öø-ÿªºµ]+|[0-9²³¹¼½¾]|[!-&(-/:-@[-`{-~¡-©«¬®-±´¶-¸»¿×÷]+")
+PIECES = re.compile(f"(?:{PIECE.pattern})+")
 #: White-space separated parts whose ids a task remembers, and text read between look-ups.
 REMEMBERED, TOGETHER = 5 << 18, 4 << 20
 
 
+_ID = attrgetter("id")
+
+
 class PartIds(dict):
     """Ids of white-space separated parts as bytes of little-endian ``dtype`` numbers.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are
     those of its parts. It makes letters lower case, which in Latin-1 texts may be done
-    first, so that it sees each distinct part once.
+    first, so that it sees each distinct part once. There a comma or full stop before white
+    space is a part of its own too, as it is for the tokenizer unless another sign stands
+    before it: parts that end in a sign are kept apart, in ``signed``, and take a mark that
+    follows them back. Added tokens are found in the text as it stands, whatever is around them;
+    as parts they begin with a line feed, which no other part holds.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
+        self.encoder.encode_special_tokens = True  # what makes one only in lower case is ordinary text
+        self.word = self.encoder.model.tokenize
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.as_bytes = {i: as_bytes(chr(i))[0][0] for i in range(128, 256) if chr(i).isalpha()}
         self.dtype = np.dtype("<u2" if self.encoder.get_vocab_size() <= 1 << 16 else "<u4")
-        self.marks = {m: self._encode([m])[0] for m in ".,"}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        added = {token.content: i for i, token in self.encoder.get_added_tokens_decoder().items()}
+        self.split = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
+        self.fixed = {"\n" + t: array(self.code, [i]).tobytes() for t, i in added.items()}
+        self.fixed |= {"": b""} | {m: self._encode([m])[0] for m in MARKS}
+        self.signed: dict[str, bytes] = {}
+        self.update(self.fixed)
 
-    def parts(self, text: str) -> list[str]:
+    def parts(self, text: str) -> tuple[list[str], bool]:
+        """The parts of a text, and whether marks were made parts of their own."""
+        if "<|" in text and len(pieces := self.split.split(text)) > 1:
+            apart = [["\n" + p] if i % 2 else p.replace("\n", " ").split(" ") for i, p in enumerate(pieces)]
+            return [p for of_piece in apart for p in of_piece], False
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            pass
-        else:
-            text = text.lower()
-        return text.replace("\n", " ").split(" ")
+            return text.replace("\n", " ").split(" "), False
+        text = text.lower().replace("\n", " ")
+        if any(run in text for run in (",. ", "., ", ".. ", ",, ")):
+            return text.split(" "), False
+        return text.replace(". ", " . ").replace(", ", " , ").split(" "), True
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts; parts are looked up once, and those not known are learned together.
+
+        A mark that was made a part of its own is never the last part.
+        """
+        held = [self.parts(t) for t in texts]
+        found = [list(map(self.get, parts)) for parts, _ in held]
+        gaps = []
+        for (parts, apart), of_text in zip(held, found):
+            gaps.append(missing := [])
+            for i in [i for i, ids in enumerate(of_text) if ids is None]:
+                part = parts[i]
+                if apart and not part[-1].isalnum() and i + 2 < len(parts) and parts[i + 1] in MARKS:
+                    part += parts[i + 1]
+                    of_text[i + 1] = b""
+                missing.append((i, part))
+        self.learn({part for missing in gaps for _, part in missing})
+        for of_text, missing in zip(found, gaps):
+            for i, part in missing:
+                of_text[i] = self.get(part) or self.signed[part]
+        return [b"".join(of_text) for of_text in found]
 
     def learn(self, parts: set[str]) -> None:
-        """Make every part known; letters and a full stop or comma are known from the letters."""
-        unknown = parts.difference(self)
-        if len(self) + len(unknown) > REMEMBERED:
+        """Make parts known, from their pieces where they are in lower-case Latin-1."""
+        if len(self) + len(self.signed) + len(parts) > REMEMBERED:
             self.clear()
-            unknown = parts
-        marked = [p for p in unknown if p[-1:] in self.marks and p[:-1].isalpha()]
-        fresh = list(unknown.difference(marked).union(p[:-1] for p in marked).difference(self))
-        self.update(zip(fresh, self._encode(fresh)))
-        self.update((p, self[p[:-1]] + self.marks[p[-1]]) for p in marked)
+            self.signed.clear()
+            self.update(self.fixed)
+        unknown = parts.difference(self, self.signed)
+        words = {p for p in unknown if p.isalpha() and p.islower() and (p.isascii() or max(p) <= "\xff")}
+        mixed = {p: PIECE.findall(p) for p in unknown.difference(words) if PIECES.fullmatch(p)}
+        pieces = {x for found in mixed.values() for x in found}.difference(self, self.signed)
+        words.update(x for x in pieces if x.isalpha())
+        rest = list(unknown.union(pieces).difference(words, [p for p, found in mixed.items() if len(found) > 1]))
+        made = dict(zip(rest, self._encode(rest)))
+        self.update((w, self._of_word(w)) for w in words)
+        made.update((p, b"".join(self.get(x) or made.get(x) or self.signed[x] for x in found)) for p, found in mixed.items())
+        for part, ids in made.items():
+            (self if part[-1].isalnum() else self.signed)[part] = ids
+
+    def _of_word(self, word: str) -> bytes:
+        """Ids of a lower-case word in Latin-1, on which the tokenizer's model alone has work to do."""
+        return array(self.code, map(_ID, self.word(word if word.isascii() else word.translate(self.as_bytes)))).tobytes()
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         found = self.encoder.encode_batch_fast(parts, add_special_tokens=False)
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
 
 _known: dict[str, PartIds] = {}
@@ -81,12 +142,12 @@ def tokenize(path: str, end_id: int = END_ID):
         for batch in batches:
             start, held, size = 0, [], 0
             for i, text in enumerate(batch.column("text")):
-                whole = text.as_py() or ""
-                held.append(known.parts(whole))
-                size += len(whole)
+                held.append(text.as_py() or "")
+                size += len(held[-1])
                 if size >= TOGETHER or i + 1 == batch.num_rows:
-                    known.learn(set().union(*held))
-                    ids = [b"".join(map(known.__getitem__, parts)) + end for parts in held]
+                    gc.disable()  # no cycles are made, and collections would walk through all the lists
+                    ids = [x + end for x in known.ids(held)]
+                    gc.enable()
                     part = batch.slice(start, len(held))
                     yield pa.RecordBatch.from_arrays([
                         part.column("doc_id"), part.column("source"),
@@ -137,22 +198,25 @@ def _served(queued: DataFrame, weights: Mapping[str, float] | None, rounds: int)
     cover all that the queue has sent up to it: no task has to replay the rounds before.
     """
     if weights is None:
-        share = F.col("of_source") / F.col("of_all")
+        share, late = F.col("of_source") / F.col("of_all"), F.lit(0)
     else:
         known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-        share = F.coalesce(known[F.col("source")], F.lit(0.0)) / F.lit(float(sum(weights.values())))
-    # A source without a weight goes last, once all others have been sent.
+        given = F.coalesce(known[F.col("source")], F.lit(0.0)) / F.lit(float(sum(weights.values())))
+        rest = queued.withColumn("given", given).groupBy("source").agg(
+            F.max("given").alias("given"), F.max("of_source").alias("n")
+        ).agg(F.max(F.when(F.col("given") > 0, F.ceil(F.col("n") / (F.col("given") * SEQUENCE)))).alias("rounds"),
+              F.sum(F.when(F.col("given") == 0, F.col("n"))).alias("n")).first()
+        share = F.when(given > 0, given).otherwise(F.col("of_source") / F.lit(rest["n"] or 1))
+        late = F.when(given > 0, F.lit(0)).otherwise(F.lit(rest["rounds"] or 0))
+    # Sources without a weight go last, in rounds of their own once all others have been sent.
     packets = queued.select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_tokens") - 1) / PACKET))).alias("k")
     ).select(
         "key", "doc_id", "source", "n_tokens", (F.col("k") * PACKET).alias("start"),
         F.least(F.lit(PACKET), F.col("n_tokens") - F.col("k") * PACKET).alias("length"),
-        (F.col("before") + F.col("k") * PACKET).alias("sent"), share.alias("share"),
+        (F.col("before") + F.col("k") * PACKET).alias("sent"), share.alias("share"), late.alias("late"),
     )
-    turn = F.when(
-        F.col("share") > 0,
-        F.ceil((F.col("sent") + F.col("length")) / (F.col("share") * SEQUENCE)),
-    ).otherwise(F.lit(1 << 62))
+    turn = F.col("late") + F.ceil((F.col("sent") + F.col("length")) / (F.col("share") * SEQUENCE))
     span = max(256, int(rounds ** 0.5))
     placed = packets.withColumn("round", turn).withColumn("span", F.floor(F.col("round") / span))
     sums = placed.groupBy("span").agg(F.sum("length").alias("n"))
@@ -204,10 +268,13 @@ def pack(
 
     Every sequence holds 2048 tokens but the last, so nothing else is padded. ``weights``
     gives the target token shares by source; the default is each source's own share, which
-    keeps the mixture the same from the first sequence to the last. Within a round a queue
-    may be ahead or behind by less than a packet, which it carries on.
+    keeps the mixture the same from the first sequence to the last. Sources without a weight
+    follow when the others are through, in the mixture of their own shares. Within a round a
+    queue may be ahead or behind by less than a packet, which it carries on.
 
-    Documents are tokenised once and their ids written to the shared folder. A null text is
+    Documents are tokenised once and their ids written to the shared folder; a very long text
+    is one document like any other, cut into as many pieces as it needs. Ids are those of a
+    plain call of the tokenizer, so its added tokens in a text have their own ids. A null text is
     empty and has the end id alone; a null source is the queue of the empty name; rows that
     repeat an id are separate documents; other columns are not read; an empty table gives
     no pieces.

@@ -94,52 +94,77 @@ def test_line_dedup_removes_long_passages_on_one_or_two_lines(spark):
         7: ("x\ny", 2), 8: (f"  {one}", 0), 9: ("z", 2), 10: (None, 0)}
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    passage, own = "p one\np two\np three", "own a\nown b\nown c\nown d"
+    rows = [(1, passage), (2, f"{passage}\nend"), (2, own), (2, own), (None, passage), (3, f"{own}\n{passage}")]
+    got = sorted(((r["doc_id"], r["text"], r["kept_text"]) for r in lines.dedup_lines(
+        documents(spark, [(i, t, "x") for i, t in rows])).collect()), key=repr)
+    assert got == sorted([
+        (1, passage, passage), (2, f"{passage}\nend", "end"), (2, own, own), (2, own, own), (None, passage, passage),
+        (3, f"{own}\n{passage}", "")], key=repr)
+
+
 # licences
 
 def test_license_scan_finds_phrases_and_templates(spark):
     docs = documents(spark, [
         (1, "Released under the MIT License.\nmit-license CC BY 4", "x"), (2, None, "x"), (3, "", "x"),
         (4, "ALL RIGHTS\nreserved", "x"), (5, "x all,rights;RESERVED", "x"),
-        (6, "licensed under apache license version 2 0", "x")])
-    got = {r["doc_id"]: r for r in licenses.license_scan(docs.withColumn("labels", F.lit(1))).collect()}
+        (6, "licensed under apache license version 2 0", "x"), (7, "mit license", "x"), (7, "all rights reserved", "x"),
+        (None, "all rights reserved", "x")])
+    rows = licenses.license_scan(docs.withColumn("labels", F.lit(1)).withColumn("t", F.lit("x"))).collect()
+    got = {r["doc_id"]: r for r in rows}
     assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == (10, 3, 3, 7)
     assert got[1]["base_labels"] == "cc-by,mit" and got[1]["labels"] == "cc-by,mit,mit-notice"
     assert (got[2]["n_words"], got[2]["first_word"], got[2]["labels"], got[2]["score"]) == (0, None, "", 0.0)
-    assert got[4]["labels"] == "" and got[5]["labels"] == "all-rights-reserved"
+    assert got[4]["labels"] == "all-rights-reserved" and got[5]["labels"] == "all-rights-reserved"
     assert got[6]["labels"] == "apache"  # 7 of 8 words are less than nine tenths
-
-
-def test_license_join_matches_all_pairs(spark):
+    assert sorted(r["labels"] for r in rows if r["doc_id"] == 7) == ["all-rights-reserved", "mit"]
+    assert got[None]["labels"] == "all-rights-reserved"
+    assert licenses.license_scan(docs.limit(0)).count() == 0
+    assert {r["labels"] for r in licenses.license_scan(docs, templates={}).collect()} == {"", "apache", "cc-by,mit", "mit"}
+
+
+def brute_labels(text, templates, threshold):
+    words = (text or "").split()
+    best = {}
+    for label, told in templates.items():
+        own, n = set(told.split()), len(told.split())
+        for i in range(0, len(words), (n + 1) // 2):
+            overlap = len(own & set(words[i:i + 2 * n]))
+            if threshold[1] * overlap >= threshold[0] * len(own):
+                best[label] = max(best.get(label, 0), overlap / len(own))
+    return ",".join(sorted(best)), max(best.values(), default=0.0)
+
+
+@pytest.mark.parametrize("many, threshold", [(6, (6, 10)), (200, (9, 10))])
+def test_license_scan_equals_every_block_against_every_template(spark, many, threshold):
     rng = random.Random(9)
-    templates = {f"t{k}": " ".join(rng.sample(WORDS, rng.randrange(3, 9))) for k in range(6)}
-    rows = [(i, "\n".join(prose(rng, rng.randrange(0, 12)) for _ in range(4)), "x") for i in range(80)]
-    expected = sorted(
-        (i, k, label) for i, t, _ in rows for k, line in enumerate(t.split("\n"))
-        for label, words in templates.items()
-        if 10 * len(set(line.split()) & set(words.split())) >= 6 * len(set(words.split())))
-    got = licenses.license_join(documents(spark, rows), templates, (6, 10))
-    assert fetched(got, "doc_id", "line", "label") == expected and expected
+    templates = {f"t{k:03}": prose(rng, rng.randrange(3, 9 if many < 9 else 60)) for k in range(many)}
+    texts = ["\n".join(prose(rng, rng.randrange(0, 12)) for _ in range(rng.randrange(9))) for _ in range(80)]
+    texts += [prose(rng, 40) + "\n" + "\n * ".join(rng.choice(list(templates.values())).split()) + prose(rng, 9) for _ in range(20)]
+    docs = documents(spark, [(i, t, "x") for i, t in enumerate(texts)])
+    got = fetched(licenses.license_scan(docs, {}, templates, threshold), "doc_id", "labels", "score")
+    want = [(i, *brute_labels(t.replace("*", ""), templates, threshold)) for i, t in enumerate(texts)]
+    assert got == want and sum(bool(labels) for _, labels, _ in want) > 15
 
 
-def test_license_scan_finds_wrapped_templates(spark):
+def test_license_scan_of_wrapped_notices_and_of_scattered_words(spark):
     rng = random.Random(16)
     rows, expected = [], {}
     for i, (label, text) in enumerate(licenses.TEMPLATES.items()):
         w = text.split()
         wrapped = "\n".join(" * " + " ".join(w[k:k + 4]) for k in range(0, len(w), 4))
-        if len(w) < 6:
-            wrapped = " * " + " ".join(w[:2]) + "\n * " + " ".join(w[2:])
         rows.append((i, f"{prose(rng, rng.randrange(90))}\n{wrapped}\n{prose(rng, rng.randrange(90))}", "x"))
         expected[i] = label
-    # Its words far apart are no notice.
-    rows.append((50, "all\n" + prose(rng, 20) + "\nrights\n" + prose(rng, 20) + "\nreserved", "x"))
-    rows += [(51, None, "x"), (52, "", "x"), (53, "All\nRights\n\nReserved.", "x")]
-    docs = documents(spark, rows)
-    got = {r["doc_id"]: r for r in licenses.license_scan(docs, across_lines=True).collect()}
+    # Its words far apart are no notice, on one line or on several.
+    apart = ["all", "rights", "reserved"], ["licensed", "under", "cc", "sa", "by", "4", "0"]
+    rows += [(50 + i, gap.join(w), "x") for i, w in enumerate(apart) for gap in (f" {prose(rng, 1000)} ",)]
+    rows += [(60 + i, f"\n{prose(rng, 20)}\n".join(w), "x") for i, w in enumerate(apart)]
+    got = {r["doc_id"]: r for r in licenses.license_scan(documents(spark, rows)).collect()}
     for i, label in expected.items():
         assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
-    assert [got[i]["labels"] for i in (50, 51, 52, 53)] == ["", "", "", "all-rights-reserved"]
-    assert fetched(licenses.window_join(docs, {}), "doc_id") == []
+    assert [got[i]["labels"] for i in (50, 51, 60, 61)] == [""] * 4
 
 
 # quality
@@ -254,11 +279,11 @@ def test_components_of_a_long_chain(spark):
 def test_packing_covers_every_id_once_and_keeps_the_mixture(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.choice((1, 30, 700))), rng.choice(("a", "a", "a", "b", None))) for i in range(120)]
+    rows += [(503, "a <|endoftext|> b", "a"), (504, "<|startoftext|>Up<|ENDOFTEXT|>", "b"), (505, "µσİ. don't '<|end", "b")]
     rows += [(500, None, "b"), (501, "", None), (502, "Ébène, “x” it's 42.\tNEW\nline", "a"), (502, "again", "a")]
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     expected = sorted(
         (i, zlib.crc32(np.array(whole.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes()))
         for i, t, _ in rows if i != 502)
@@ -288,6 +313,38 @@ def test_packing_covers_every_id_once_and_keeps_the_mixture(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def served_by_rounds(queues, quanta, packet=256):
+    """Deficit round-robin as it is usually told: (doc_id, start, length) of every packet in order."""
+    left = {s: [(d, k, min(packet, n - k)) for d, n in docs for k in range(0, n, packet)] for s, docs in queues.items()}
+    deficit, out = dict.fromkeys(quanta, 0.0), []
+    while any(left[s] for s in quanta):
+        for s in sorted(quanta):
+            deficit[s] += quanta[s]
+            while left[s] and left[s][0][2] <= deficit[s] + 1e-6:
+                deficit[s] -= left[s][0][2]
+                out.append(left[s].pop(0))
+    return out
+
+
+def test_packing_by_weights_equals_plain_rounds(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.choice((3, 60, 400))), rng.choice("aabcd")) for i in range(160)]
+    weights = {"a": 1, "b": 3, "nowhere": 4}
+    got = packing.pack(documents(spark, rows), public_tokenizers.path("word_bpe_49k.json"), weights).collect()
+    got.sort(key=lambda r: (r.sequence_id, r.offset))
+    queues = {}
+    for r in got:
+        docs = queues.setdefault(r.source, [])
+        if (r.doc_id, r.doc_tokens) not in docs:
+            docs.append((r.doc_id, r.doc_tokens))
+    size = {s: sum(n for _, n in docs) for s, docs in queues.items()}
+    rest = size["c"] + size["d"]
+    want = served_by_rounds(queues, {s: 2048 * weights[s] / 8 for s in "ab"})
+    want += served_by_rounds(queues, {s: 2048 * size[s] / rest for s in "cd"})
+    assert [(d, k + i) for d, k, n in want for i in range(n)] == [
+        (r.doc_id, r.start + i) for r in got for i in range(r.length)]
+
+
 # toxicity
 
 def test_toxicity_learns_and_holds_out(spark):
@@ -344,17 +401,54 @@ def test_toxic_rows_without_a_model_are_an_error():
 
 # HTML
 
+LONG = "This is a long paragraph of the article with many words in it, so that its ratio is high enough."
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("<", "<"), ("plain  text", "plain text"),
     ("<nav><a href=x>a</a></nav><article><h1>T &amp; t</h1><p>one\n two<p><b>three<br>four</article><footer>f</footer>",
      "T & t\n\none two\n\nthree four"),
     ("<body><article><p>Text of it</p><div class='comments'><p>A long comment by a reader of this</p></div></article>", "Text of it"),
     ("<script>var t='</p>';</script><main><p>x</p><form><p>y</p></form><aside>z</aside></main>", "x"),
+    # names and forms around everything
+    (f'<div class="site no-sidebar"><article><h1>T</h1><p>{LONG}</p></article></div>', f"T\n\n{LONG}"),
+    (f'<div class="page-header-wrap"><main><p>{LONG}</p></main></div>', LONG),
+    (f'<form id="aspnetForm"><div><p>{LONG}</p></div></form>', LONG),
+    # several regions
+    (f'<article><p>{LONG}</p></article><div class="ad">Buy</div><article><p>2 {LONG}</p></article>', f"{LONG}\n\n2 {LONG}"),
+    # an article's own sections, and what is none of them
+    (f'<article><p>{LONG}</p><section id="discussion"><p>D {LONG}</p></section><div id="side-effects"><p>S {LONG}</p>'
+     "</div></article>", f"{LONG}\n\nD {LONG}\n\nS {LONG}"),
+    (f'<article><p>{LONG}</p><div id="side-links"><a>a</a><a>b</a><br><a>c</a><a>d</a></div></article>', LONG),
+    (f'<article><p>{LONG}</p><section class="comments"><p>C {LONG}</p><p>C {LONG}</p><p>C {LONG}</p></section></article>', LONG),
+    (f'<main><article><p>{LONG}</p></article></main><div id="comments"><article class="comment"><p>C {LONG * 3}</p>'
+     "</article></div>", LONG),
+    (f"<article><p>{LONG}</p><aside><article><p>A card</p></article></aside></article>", LONG),
 ])
 def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_main_text_of_generated_pages():
+    """Pages of known articles: whatever stands around them, the article comes out whole and alone."""
+    rng = random.Random(21)
+    around = ["<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>", "<footer><p>(c) 2020 Us</p></footer>",
+              "<aside><h3>More</h3><p><a href=/c>Link</a></aside>", "<div class='cookie-notice'>We use cookies <b>ok</b></div>",
+              "<div id='sidebar'><ul><li><a>x</a></ul></div>", "<script>if (a<b) { x('</p>') }</script>",
+              "<form><label>Mail <input></label></form>", "<div class='ad-slot'><a href=/buy>Buy now</a></div>",
+              "<section class='comments'><p>I liked it very much, thank you for it all</p></section>"]
+    wrappers = ["<div class='page'>{}</div>", "<div class='layout no-sidebar'>{}</div>", "<form id='f'>{}</form>",
+                "<div id='header-and-page'>{}</div>", "{}"]
+    articles = ["<article>{}</article>", "<main>{}</main>", "<div class='entry-content'>{}</div>",
+                "<div id='main-content'><article>{}</article></div>"]
+    for _ in range(300):
+        blocks = [prose(rng, rng.randrange(25, 70)) for _ in range(rng.randrange(2, 9))]
+        inside = "".join(f"<{t}>{b.replace(' ', '  ', 3)}</{t}>" for b in blocks for t in [rng.choice(("p", "p", "div", "blockquote"))])
+        page = rng.choice(wrappers).format("".join(rng.sample(around, 3)) + rng.choice(articles).format(inside))
+        page = "".join(rng.sample(around, 2)) + page + "".join(rng.sample(around, 2))
+        assert html_text.main_text(f"<html><head><title>t</title></head><body>{page}</body></html>") == "\n\n".join(blocks)
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>é</article>"), (2, None, None)], "page_id long, url string, html string")
     assert [tuple(r) for r in html_text.extract_pages(pages.withColumn("text", F.lit(0))).orderBy("page_id").collect()] == [
