@@ -34,38 +34,68 @@ BOILERPLATE_NAMES = frozenset(
 # ... and of those that mark the article.
 CONTENT_NAMES = frozenset(
     "article post entry story main content articlebody postbody storybody entrycontent".split())
+# Names that an article's own sections have as well ...
+COMMON_NAMES = frozenset("discussion side more skip".split())
+# ... those of reader comments ...
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
+# ... and words that say nothing beside a name of either kind.
+NEUTRAL = frozenset(
+    "area article articles bar blog block body box btn button card cards col column container content count entry "
+    "form global group holder icon inner item items left link links list main module outer page panel post posts "
+    "primary region right row secondary section site slot text thread title top bottom unit wp wrap wrapper zone".split())
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _names(attrs: dict[str, str | None]) -> set[str]:
+HARD, STRONG, WEAK = 3, 2, 1
+
+
+def _tokens(attrs: dict[str, str | None]) -> list[set[str]]:
+    """The words of every class, id and role name."""
     joined = " ".join(attrs.get(k) or "" for k in ("class", "id", "role"))
-    return set(_NAME.findall(_CAMEL.sub(" ", joined).lower()))
+    return [set(_NAME.findall(_CAMEL.sub(" ", token).lower())) for token in joined.split()]
+
+
+def _suspicion(tokens: list[set[str]]) -> int:
+    """Whether names mark what is not the article: by themselves, or in a compound with other words."""
+    level = 0
+    for words in tokens:
+        if words & BOILERPLATE_NAMES:
+            plain = words - COMMON_NAMES <= BOILERPLATE_NAMES | NEUTRAL and bool(words & BOILERPLATE_NAMES - COMMON_NAMES)
+            level = max(level, STRONG if plain else WEAK)
+    return level
 
 
 class Line:
     """A block's text, the tags met while reading it, and the elements it stands in."""
 
-    __slots__ = ("parts", "tags", "path", "outside")
+    __slots__ = ("parts", "tags", "path", "heading")
 
-    def __init__(self, path: tuple[int, ...], outside: bool) -> None:
+    def __init__(self, path: tuple[int, ...], heading: bool) -> None:
         self.parts: list[str] = []
-        self.tags, self.path, self.outside = 0, path, outside
+        self.tags, self.path, self.heading = 0, path, heading
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
 class LineReader(HTMLParser):
-    """Turns parser events into lines: one per block, in page order."""
+    """Turns parser events into lines: one per block, in page order.
+
+    Elements are numbered. ``suspects`` has those that may stand outside the article, with
+    how strongly their tag or name says so; ``content`` those that are marked as article.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, silent, outside
+        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, silent, heading of an article
         self.lines: list[Line] = []
         self.content: set[int] = set()
+        self.suspects: dict[int, int] = {}
+        self.comments: set[int] = set()
+        self.headers: set[int] = set()
         self.line: Line | None = None
         self.tags, self.count = 0, 0
 
@@ -90,22 +120,28 @@ class LineReader(HTMLParser):
         if tag not in INLINE:
             self._close_paragraph(tag)
         named = dict(attrs)
-        names = _names(named)
+        tokens = _tokens(named)
+        names = set().union(*tokens)
         inside = any(number in self.content for _, number, _, _ in self.stack)
         self.count += 1
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in (
             named.get("style") or "").replace(" ", "").lower()
-        is_content = tag in CONTENT or (bool(names & CONTENT_NAMES) and not names & BOILERPLATE_NAMES)
-        outside = hidden or tag in BOILERPLATE or (
-            bool(names & BOILERPLATE_NAMES) and tag not in ("html", "body", *CONTENT))
-        if tag in HEADINGS and inside and not names & BOILERPLATE_NAMES:
-            outside = False
-            outer = [o for t, _, _, o in self.stack if o and t != "header"]
-            self.stack.append((tag, self.count, self._flag(2), bool(outer)))
-            return
-        if is_content and not self._flag(3) and not outside:
+        level = 0 if tag in ("html", "body") else _suspicion(tokens)
+        if hidden:
+            self.suspects[self.count] = HARD
+        elif tag in BOILERPLATE:
+            self.suspects[self.count] = STRONG
+        elif level and tag not in CONTENT:
+            self.suspects[self.count] = level
+        if names & COMMENT_NAMES:
+            self.comments.add(self.count)
+        if tag == "header":
+            self.headers.add(self.count)
+        clean = not names & BOILERPLATE_NAMES
+        if tag in CONTENT or (names & CONTENT_NAMES and clean and self.count not in self.suspects):
             self.content.add(self.count)
-        self.stack.append((tag, self.count, self._flag(2) or tag in SILENT, self._flag(3) or outside))
+        heading = tag in HEADINGS and inside and clean
+        self.stack.append((tag, self.count, self._flag(2) or tag in SILENT, self._flag(3) or heading))
 
     def _close_paragraph(self, tag: str) -> None:
         """A block ends an open paragraph; list items and table cells end their like."""
@@ -149,14 +185,14 @@ class LineReader(HTMLParser):
         self.line.parts.append(data)
 
 
-def read_lines(html: str) -> tuple[list[tuple[str, float, tuple[int, ...], bool]], set[int]]:
-    """(text, text-to-tag ratio, path, outside) per line, and the elements marked as content."""
+def read_lines(html: str) -> tuple[list[tuple[str, float, Line]], LineReader]:
+    """(text, text-to-tag ratio, line) per line with text, and what the reader knows of the elements."""
     reader = LineReader()
     reader.feed(html)
     reader.close()
     reader._break()
     lines = [(x.text(), x) for x in reader.lines]
-    return [(t, len(t) / max(1, x.tags), x.path, x.outside) for t, x in lines if t], reader.content
+    return [(t, len(t) / max(1, x.tags), x) for t, x in lines if t], reader
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -185,36 +221,81 @@ def split_level(values: list[float]) -> float:
         low, high = new
 
 
+def _outside(lines: list[tuple[str, float, Line]], upper: set[int], reader: LineReader) -> set[int]:
+    """The suspect elements that do stand outside the article.
+
+    A name in a compound with other words counts only where the element's own text-to-tag
+    ratio is below half of the upper cluster's. An element that holds most of the upper cluster is no suspect if
+    the article lies in it, or if no article is marked elsewhere and it is not one of comments.
+    """
+    suspects, content = reader.suspects, reader.content
+    if not suspects:
+        return set()
+    chars: dict[int, int] = {}
+    tags: dict[int, int] = {}
+    high: dict[int, int] = {}
+    usual = sum(lines[i][1] for i in upper) / max(1, len(upper))
+    holds: set[int] = set()
+    total, elsewhere = 0, False
+    for i, (text, _, line) in enumerate(lines):
+        seen = [n for n in line.path if n in suspects]
+        # an article within two suspects speaks for both, a comment in an article for none
+        last = max((n for n in line.path if n in content and n not in reader.comments), default=0)
+        first = min((n for n in line.path if n in content), default=0)
+        elsewhere = elsewhere or (first and not any(n < first for n in seen))
+        for n in seen:
+            chars[n] = chars.get(n, 0) + len(text)
+            tags[n] = tags.get(n, 0) + line.tags
+            if n < last:
+                holds.add(n)
+        if i in upper and not any(suspects[n] == HARD for n in seen):
+            total += len(text)
+            for n in seen:
+                high[n] = high.get(n, 0) + len(text)
+    out = set()
+    for n, level in suspects.items():
+        if level != HARD and 2 * high.get(n, 0) > total and (n in holds or not (elsewhere or n in reader.comments)):
+            continue
+        if level == WEAK and 2 * chars.get(n, 0) >= usual * max(1, tags.get(n, 0)):
+            continue
+        out.add(n)
+    return out
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """Blocks of the article, joined by two line feeds.
 
-    Lines are clustered by their smoothed text-to-tag ratio. The region is the marked
-    content element (article, main, or named so) that holds most of the characters of the
-    upper cluster; every line of it counts that stands in no boilerplate element. A page
-    without such an element keeps the lines from the first to the last of the cluster.
+    Lines are clustered by their smoothed text-to-tag ratio. Every marked content element
+    (article, main, or named so) that holds a line of the upper cluster, or a quarter as much
+    text as the largest, is a region; each line of the regions counts that stands in no boilerplate element. Tags and names say
+    what is boilerplate, but never against the ratio of what holds most of the text. A page without a
+    marked element keeps the lines from the first to the last of the cluster.
     """
-    lines, content = read_lines(html or "")
+    lines, reader = read_lines(html or "")
     if not lines:
         return ""
-    ratios = smooth([r for _, r, _, _ in lines], sigma)
+    ratios = smooth([r for _, r, _ in lines], sigma)
     level = split_level(ratios)
-    inside = [i for i, line in enumerate(lines) if not line[3]]
-    upper = [i for i in inside if ratios[i] >= level] or inside
+    high = {i for i, ratio in enumerate(ratios) if ratio >= level}
+    out = _outside(lines, high, reader)
+
+    def stands_in(line: Line) -> bool:
+        return not any(n in out and not (line.heading and n in reader.headers) for n in line.path)
+
+    inside = [i for i, (_, _, line) in enumerate(lines) if stands_in(line)]
+    upper = [i for i in inside if i in high] or inside
+    outermost = {
+        i: next((n for n in lines[i][2].path if n in reader.content), 0) for i in inside}
     mass: dict[int, int] = {}
-    for i in upper:
-        outermost = next((n for n in lines[i][2] if n in content), None)
-        if outermost is not None:
-            mass[outermost] = mass.get(outermost, 0) + len(lines[i][0])
-    if not mass:
-        for i in inside:
-            outermost = next((n for n in lines[i][2] if n in content), None)
-            if outermost is not None:
-                mass[outermost] = mass.get(outermost, 0) + len(lines[i][0])
-    if mass:
-        region = max(mass, key=lambda n: (mass[n], -n))
-        chosen = [i for i in inside if region in lines[i][2]]
+    for i in inside:
+        mass[outermost[i]] = mass.get(outermost[i], 0) + len(lines[i][0])
+    mass.pop(0, None)
+    held = {outermost[i] for i in upper}
+    regions = {n for n, size in mass.items() if n in held or 4 * size >= max(mass.values())}
+    if regions:
+        chosen = [i for i in inside if outermost[i] in regions]
     else:
-        chosen = [i for i in inside if upper[0] <= i <= upper[-1]] if upper else []
+        chosen = [i for i in inside if upper[0] <= i <= upper[-1]]
     return "\n\n".join(lines[i][0] for i in chosen)
 
 
@@ -227,7 +308,8 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page; one pass, no shuffle.
 
-    Null and empty pages give an empty text. Broken markup never fails: unclosed elements
+    Null and empty pages give an empty text; a very long one is read as a whole by the task that
+    has its row. Broken markup never fails: unclosed elements
     end with the page, stray end tags are ignored. Repeated rows give repeated results;
     columns other than the id, url and html are not read.
     """

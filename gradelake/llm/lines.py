@@ -18,64 +18,62 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def window_hashes(text: Column, width: int = WINDOW, least_words: int = 0) -> Column:
-    """128-bit hashes of the windows of consecutive lines by position.
+def line_facts(text: Column) -> Column:
+    """h, a 128-bit hash, and n, the number of words, of every line."""
+    return F.transform(text_lines(text), lambda line: F.struct(
+        F.unhex(F.md5(line)).alias("h"), F.regexp_count(line, F.lit(_WORD)).alias("n")))
 
-    Null where all lines are blank or fewer than ``least_words`` words stand on them.
-    """
-    def hashed(lines: Column) -> Column:
-        def one(i: Column) -> Column:
-            joined = F.array_join(F.slice(lines, i + 1, F.lit(width)), "\n")
-            counts = joined.rlike(r"\S")
-            if least_words > 1:  # so many words have at least twice as many characters less one
-                counts = (F.length(joined) >= 2 * least_words - 1) & (
-                    F.regexp_count(joined, F.lit(_WORD)) >= least_words)
-            return F.when(counts, F.unhex(F.md5(joined)))
 
-        last = F.size(lines) - width
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one))
+def window_hashes(facts: Column, width: int, least_words: int) -> Column:
+    """at, width and h of the windows of ``width`` lines with at least ``least_words`` words.
+
+    A window's hash is that of its lines' hashes, so every line is read once, and windows of
+    different widths never meet.
+    """
+    def one(i: Column) -> Column:
+        lines = [F.get(facts, i + k) for k in range(width)]
+        words = lines[0]["n"]
+        for line in lines[1:]:
+            words = words + line["n"]
+        h = F.unhex(F.md5(F.concat(*[line["h"] for line in lines])))
+        return F.when(words >= least_words, F.struct(i.alias("at"), F.lit(width).alias("width"), h.alias("h")))
 
-    return bind(text_lines(text), hashed)
+    last = F.size(facts) - width
+    return F.array_compact(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array()))
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, width: int, passage_words: int | None) -> DataFrame:
-    """doc_id, at, width, h of the windows of ``width`` lines and of the passages on fewer."""
-    def spans(w: int, least_words: int = 0) -> Column:
-        hashes = F.coalesce(window_hashes(F.col(text_col), w, least_words), F.array().cast("array<binary>"))
-        each = F.transform(hashes, lambda h, i: F.struct(
-            i.cast("int").alias("at"), F.lit(w).alias("width"), h.alias("h")))
-        return F.filter(each, lambda x: x["h"].isNotNull())
-
-    found = [spans(width)]
-    if passage_words is not None:
-        found += [spans(w, passage_words) for w in range(1, width)]
+    """doc_id, t, at, width, h of the windows of ``width`` lines and of the passages on fewer; t tells texts of one id apart."""
+    def found(facts: Column) -> Column:
+        spans = [window_hashes(facts, width, 1)]
+        if passage_words is not None:
+            spans += [window_hashes(facts, w, passage_words) for w in range(1, width)]
+        return F.concat(*spans)
+
     return docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.inline(F.concat(*found)))
+        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"),
+        F.inline(bind(line_facts(F.col(text_col)), found)))
 
 
 def later_windows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW,
     passage_words: int | None = PASSAGE_WORDS,
 ) -> DataFrame:
-    """doc_id, at, width: every window that an earlier place in the corpus holds as well.
+    """doc_id, t, at, width: every window that an earlier place in the corpus holds as well.
 
-    Places are ordered by document id, then line. The first place of each hash is a
+    Places are ordered by document id, then text (by its hash), then line. The first place of each hash is a
     combinable minimum; windows are then joined to the repeated hashes only, and a hot
-    hash is a skewed key of a plain join, which Spark splits. Windows of different widths
-    hold different numbers of line feeds, so they never meet.
+    hash is a skewed key of a plain join, which Spark splits.
     """
     windows = _windows(docs, id_col, text_col, width, passage_words)
+    place = F.struct("doc_id", "t", "at")
     first = (
         windows.groupBy("h")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
         .where("n > 1")
         .select("h", "first")
     )
-    return (
-        windows.join(first, "h")
-        .where(F.struct("doc_id", "at") > F.col("first"))
-        .select("doc_id", "at", "width")
-    )
+    return windows.join(first, "h").where(place > F.col("first")).select("doc_id", "t", "at", "width")
 
 
 def kept_lines(lines: Column, covered: Column) -> Column:
@@ -98,18 +96,21 @@ def dedup_lines(
     such as a long paragraph; None leaves these out. Overlapping windows are merged, so a
     repeated passage goes from its first line to its last. Windows of blank lines alone are
     no passages. Documents without text or without an id stay as they are; a null text
-    stays null. Rows that repeat an id share its removals, as their windows have the same
-    places. Columns of ``docs`` named like the two new ones are replaced.
+    stays null. Rows that repeat an id with another text are documents of their own, and
+    rows that repeat both are one document, whose passages do not count against each other.
+    A very long text is read by the task that has its row. Columns of ``docs`` named like the two
+    new ones are replaced.
     """
     places = (
         later_windows(docs, id_col, text_col, width, passage_words)
-        .groupBy(F.col("doc_id").alias("_of"))
+        .groupBy(F.col("doc_id").alias("_of"), F.col("t").alias("_t"))
         .agg(F.collect_set(F.struct("at", "width")).alias("_spans"))
-        .select("_of", F.array_sort(F.array_distinct(F.flatten(F.transform(
+        .select("_of", "_t", F.array_sort(F.array_distinct(F.flatten(F.transform(
             "_spans", lambda x: F.sequence(x["at"], x["at"] + x["width"] - 1))))).alias("_at"))
     )
     docs = docs.drop("kept_text", "removed_lines")
-    joined = docs.join(places, docs[id_col] == places["_of"], "left")
+    joined = docs.join(
+        places, (docs[id_col] == places["_of"]) & (F.xxhash64(docs[text_col]) == places["_t"]), "left")
     left = bind(
         text_lines(F.col(text_col)),
         lambda lines: F.struct(

@@ -91,14 +91,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEPARATED = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
 _TEMPLATES = ", ".join(
-    f"('{label}', list_distinct(string_split('{text}', ' ')))"
-    for label, text in licenses.TEMPLATES.items()
+    f"('{label}', {len(words)}, [{', '.join(repr(w) for w in sorted(set(words)))}])"
+    for label, words in licenses.template_words(licenses.TEMPLATES).items()
 )
 
 
 @query("op3_license_scans", rf"""
 WITH phrases(phrase, label) AS (VALUES {_PHRASES}),
-templates(label, tw) AS (VALUES {_TEMPLATES}),
+templates(label, n, tw) AS (VALUES {_TEMPLATES}),
 d AS (SELECT doc_id, {_LOWERED} AS t,
       [x for x in regexp_split_to_array({_LOWERED}, '{_SEPARATED}') if x <> ''] AS w FROM documents),
 places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i FROM d),
@@ -107,10 +107,8 @@ found AS (
   WHERE w[i:i + len(string_split(phrase, ' ')) - 1] = string_split(phrase, ' ')),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word
          FROM found GROUP BY doc_id),
-lines AS (SELECT doc_id, list_distinct(regexp_split_to_array(line, '{_SEPARATED}')) AS lw
-          FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-held AS (SELECT doc_id, label, len(list_intersect(lw, tw)) AS overlap, len(tw) AS size
-         FROM lines, templates),
+held AS (SELECT doc_id, label, len(list_intersect(list_distinct(w[i + 1:i + 2 * n]), tw)) AS overlap, len(tw) AS size
+         FROM (SELECT doc_id, w, label, tw, n, unnest(range(0, len(w), (n + 1) // 2)) AS i FROM d, templates)),
 method AS (SELECT doc_id, label, max(overlap / size) AS share FROM held
            WHERE overlap >= ceil(size * {licenses.THRESHOLD[0]} / {licenses.THRESHOLD[1]})
            GROUP BY doc_id, label),
@@ -126,24 +124,9 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN base_labels USING (doc_id)
 LEFT JOIN all_labels USING (doc_id) LEFT JOIN shares USING (doc_id)
 """)
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates on single lines, as in its SQL; op3_wrapped_license_scans finds wrapped ones too."""
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-_LENGTHS = ", ".join(f"('{label}', {len(text.split())})" for label, text in licenses.TEMPLATES.items())
-_ON_LINES = "FROM lines, templates),"
-assert _ON_LINES in ORACLES["op3_license_scans"]
-
-
-@query("op3_wrapped_license_scans", ORACLES["op3_license_scans"].replace(_ON_LINES, f"""FROM lines, templates
-         UNION ALL
-         SELECT doc_id, label, len(list_intersect(list_distinct(w[i + 1:i + 2 * n]), tw)), len(tw)
-         FROM (SELECT doc_id, w, label, tw, n, unnest(range(0, len(w), (n + 1) // 2)) AS i
-               FROM d, templates JOIN (VALUES {_LENGTHS}) AS v(label, n) USING (label))),"""))
-def op3_wrapped_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"), across_lines=True)
-
-
 _ROLE, _SAID = "coalesce(role, '')", "coalesce(text, '')"
 _CONFLICT = "<\\|im_(start|end)\\|>|<\\\\+\\|"
 
@@ -197,27 +180,6 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup", rf"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-windows AS (SELECT doc_id, i, array_to_string(l[i + 1:i + 3], chr(10)) AS w
-            FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS i FROM d)),
-ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n
-           FROM windows WHERE regexp_matches(w, '\S')),
-gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM ranked WHERE n > 1),
-kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM
-         (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS x FROM d)
-         WHERE (doc_id, i) NOT IN (SELECT (doc_id, i) FROM gone) GROUP BY doc_id),
-counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
-SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS kept_text,
-       coalesce(n, 0) AS removed_lines
-FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
-""")
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three-line windows of its SQL; op2_passage_dedup and the pipeline remove passages on fewer lines too."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs, passage_words=None).drop("text")
-
-
-@query("op2_passage_dedup", rf"""
-WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 places AS (SELECT doc_id, l, width, unnest(range(0, len(l) - width + 1)) AS i
            FROM d, (VALUES (1), (2), (3)) AS v(width)),
 windows AS (SELECT doc_id, i, width, array_to_string(l[i + 1:i + width], chr(10)) AS w FROM places),
@@ -234,7 +196,7 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS kept
        coalesce(n, 0) AS removed_lines
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
 """)
-def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).drop("text")
 
