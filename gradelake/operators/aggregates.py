@@ -120,18 +120,20 @@ def truncated_empty(units: DataFrame) -> DataFrame:
 
 
 def gate_failures(units: DataFrame) -> DataFrame:
-    """Completed units per failing gate, one row each."""
+    """Completed units per failing gate and the first of them, one row each."""
     failing = done(units).filter(F.col("failed_gate").isNotNull())
     return failing.groupBy(*KEYS, F.col("failed_gate").alias("gate")).agg(
-        F.count(F.lit(1)).alias("n_units")
+        F.count(F.lit(1)).alias("n_units"),
+        F.min(F.struct("example_id", "repetition", "unit_id")).alias("first_unit"),
     )
 
 
 def gate_failure_counts(units: DataFrame) -> DataFrame:
-    """The same as a map per candidate, one entry per declared gate."""
-    entry = F.struct("gate", "n_units")
+    """The same as a map per candidate, one entry per declared gate, in order of first failure."""
+    entries = F.array_sort(F.collect_list(F.struct("first_unit", "gate", "n_units")))
     return gate_failures(units).groupBy(*KEYS).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("gate_failure_counts")
+        F.map_from_entries(F.transform(entries, lambda e: F.struct(e["gate"], e["n_units"]))).alias(
+            "gate_failure_counts")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,10 +126,14 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
 
 
-# Accuracy of the sketch that brackets a median, and the half width of the
-# bracket as a share of the group. The width is several times the sketch error.
+#: Accuracy of the sketch that brackets a median, and the half width of the bracket as a share
+#: of the group, several times the sketch's error.
 SKETCH_ACCURACY = 10_000
 BRACKET = 0.0006
+#: Distinct values of a group that are put in order together.
+ORDERED = 100_000
+#: Points between which the values of a larger group are counted.
+POINTS = 64
 
 
 def exact_medians(
@@ -139,37 +144,37 @@ def exact_medians(
     ``median`` keeps every distinct value of a group in one task's memory. Here
     a mergeable sketch brackets the middle of each group first; a second pass
     counts what lies below and above and keeps exact counts only for values
-    inside the bracket, about a thousandth of the group. A bracket that missed
-    the middle would fail the job instead of returning a wrong number.
+    inside the bracket, about a thousandth of the group. Groups whose bracket missed
+    the middle, or holds more than can be put in order together, are narrowed down further by
+    ``_narrowed``. Written once: the result has one row per group.
     """
     keys = list(keys)
     metrics = list(metrics)
     ends = F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET))
-    brackets = df.groupBy(*keys).agg(
-        *[
-            F.percentile_approx(F.col(m).cast("double"), ends, F.lit(SKETCH_ACCURACY)).alias(
-                f"_{m}"
-            )
-            for m in metrics
-        ]
-    )
+    value = [F.col(m).cast("double") for m in metrics]
     # Written once and measured: with a few groups the second pass then needs no
     # shuffle of the facts, only a broadcast of the brackets.
-    brackets = cut_lineage(brackets)
+    brackets = cut_lineage(df.groupBy(*keys).agg(
+        *[F.percentile_approx(v, ends, F.lit(SKETCH_ACCURACY)).alias(f"_{m}") for v, m in zip(value, metrics)],
+        *[F.count(v).alias(f"_n_{m}") for v, m in zip(value, metrics)],
+    ))
     columns = list(dict.fromkeys([*keys, *spread_by, *metrics]))
     bracketed = lookup_join(
         df.select(*columns), brackets, keys, spread_by, "inner", measured_bytes(brackets)
     )
 
     def zone(i: int) -> Column:
-        value = F.col(metrics[i]).cast("double")
         low, high = F.col(f"_{metrics[i]}")[0], F.col(f"_{metrics[i]}")[1]
-        return F.when(value < low, 0).when(value <= high, 1).when(value.isNotNull(), 2)
+        return F.when(value[i] < low, 0).when(value[i] <= high, 1).when(value[i].isNotNull(), 2)
+
+    def kept(i: int) -> Column:
+        """Whether the bracket is small enough for its values to be kept; else they are only counted."""
+        return F.col(f"_n_{metrics[i]}") * (3 * BRACKET) <= ORDERED
 
     placed = bracketed.select(
         *keys,
         *[zone(i).alias(f"z{i}") for i in range(len(metrics))],
-        *[F.col(m).cast("double").alias(f"v{i}") for i, m in enumerate(metrics)],
+        *[F.when(kept(i), value[i]).alias(f"v{i}") for i in range(len(metrics))],
     )
     inside = [
         F.when(F.col(f"z{i}") == 1, F.struct(F.lit(i).alias("metric"), F.col(f"v{i}").alias("value")))
@@ -200,29 +205,78 @@ def exact_medians(
     counts = counted.select(
         *keys, F.explode(F.when(F.col("metric") == -1, outside).otherwise(own)).alias("_p")
     ).select(*keys, "_p.*").filter("n > 0")
-    group = Window.partitionBy(*keys, "metric")
-    ranked = (
-        counts.withColumn("total", F.sum("n").over(group))
-        .withColumn(
-            "upto",
-            F.sum("n").over(
-                group.orderBy("zone", "value").rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
-        .withColumn("before", F.col("upto") - F.col("n"))
-    )
+    found = cut_lineage(_at_middle(counts, [*keys, "metric"], ["zone", "value"]))
+    # What is known by now; the rest has no value at its rank, as it lies outside or is only counted.
+    known = found.filter("value IS NOT NULL").select(*keys, "metric", "side", "value")
+    missed = found.filter("value IS NULL").select(*keys, "metric", "side", "rank")
+    if not missed.isEmpty():
+        long = df.select(*keys, F.posexplode(F.array(*value)).alias("metric", "value")).filter("value IS NOT NULL")
+        known = known.unionByName(_narrowed(long, [*keys, "metric"], missed))
+    return known.groupBy(*keys).agg(*[
+        (F.sum(F.when(F.col("metric") == i, F.col("value"))) / 2).alias(f"{m}_median")
+        for i, m in enumerate(metrics)
+    ])
 
-    def at(rank: Column) -> Column:
-        hit = (F.col("before") <= rank) & (rank < F.col("upto"))
-        missed = F.raise_error(F.lit("the sketch bracket missed the median")).cast("double")
-        return F.max(F.when(hit, F.when(F.col("zone") == 1, F.col("value")).otherwise(missed)))
-
-    low = F.floor((F.col("total") - 1) / 2)
-    high = F.floor(F.col("total") / 2)
-    middle = ranked.groupBy(*keys, "metric").agg(((at(low) + at(high)) / 2).alias("median"))
-    return middle.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("metric") == i, F.col("median"))).alias(f"{m}_median")
-            for i, m in enumerate(metrics)
-        ]
-    )
+
+def _at_middle(counts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The entries of counted, ordered entries that hold a group's two middle ranks, as sides 0 and 1."""
+    group = Window.partitionBy(*keys)
+    upto = F.sum("n").over(group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("total", F.sum("n").over(group)).withColumn("upto", upto)
+    sides = F.array(*[
+        F.struct(F.lit(side).alias("side"), F.floor((F.col("total") - 1 + side) / 2).alias("rank"))
+        for side in (0, 1)
+    ])
+    hit = F.filter(sides, lambda s: (F.col("upto") - F.col("n") <= s["rank"]) & (s["rank"] < F.col("upto")))
+    return ranked.filter(F.size(hit) > 0).select(
+        *counts.columns, F.explode(hit).alias("_s")).select("*", "_s.side", "_s.rank").drop("_s", "n")
+
+
+def _narrowed(values: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """keys, side, value: the values at wanted ranks of groups of any size.
+
+    ``wanted(keys, side, rank)``. Each round counts a group's values between a few of its own
+    quantiles and goes on with the stretch that holds the rank, without its ends; so it gets
+    smaller every time, and after a few rounds its values are few enough to be ordered, or it is
+    one value.
+    """
+    at = [*keys, "side"]
+    open_still = wanted.select(
+        *at, "rank", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    known: list[DataFrame] = []
+    while True:
+        inside = lookup_join(values, open_still, keys, ["value"], "inner").filter(
+            "(low IS NULL OR value > low) AND (high IS NULL OR value < high)")
+        shares = F.array(*[F.lit(i / POINTS) for i in range(POINTS + 1)])
+        sketched = cut_lineage(inside.groupBy(*at, "rank").agg(
+            F.percentile_approx("value", shares, F.lit(SKETCH_ACCURACY)).alias("points"),
+            F.min("value").alias("least"), F.max("value").alias("most"), F.approx_count_distinct("value").alias("n"),
+        ).select(*at, "rank", "n", F.array_sort(F.array_distinct(
+            F.concat("points", F.array("least", "most")))).alias("points")))
+        small = sketched.filter(F.col("n") <= ORDERED).select(*at, "rank")
+        ordered = lookup_join(inside.drop("low", "high", "rank"), small, at, ["value"], "inner").groupBy(
+            *at, "rank", "value").agg(F.count(F.lit(1)).alias("n"))
+        known.append(_at_rank(ordered, at, ["value"]).select(*at, "value"))
+        large = sketched.filter(F.col("n") > ORDERED).select(*at, "rank", "points")
+        below = F.size(F.filter("points", lambda p: p < F.col("value")))
+        # An even place lies between two points, an odd one is a point itself.
+        place = 2 * below + F.array_contains("points", F.col("value")).cast("int")
+        counted = lookup_join(inside.drop("low", "high", "rank"), large, at, ["value"], "inner").groupBy(
+            *at, "rank", "points", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+        hit = cut_lineage(_at_rank(counted, at, ["place"]))
+        point = F.get("points", F.floor(F.col("place") / 2).cast("int"))
+        known.append(hit.filter("place % 2 = 1").select(*at, point.alias("value")))
+        between = hit.filter("place % 2 = 0")
+        if between.isEmpty():
+            return reduce(DataFrame.unionByName, known)
+        open_still = between.select(
+            *at, (F.col("rank") - F.col("before")).alias("rank"),
+            F.get("points", (F.col("place") / 2).cast("int") - 1).alias("low"), point.alias("high"))
+
+
+def _at_rank(counts: DataFrame, at: list[str], order: list[str]) -> DataFrame:
+    """The counted, ordered entry of each group that holds its ``rank``, with the count ``before`` it."""
+    ordered = Window.partitionBy(*at).orderBy(*order)
+    before = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return counts.withColumn("before", before).filter(
+        (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))

@@ -65,6 +65,11 @@ def frontier_table(summary: DataFrame) -> DataFrame:
     )
 
 
+# Why a run has no recommendation.
+NO_CANDIDATES = "no candidates were evaluated"
+NONE_PASSED = "no candidate passed all gate scorers, so nothing is recommendable on this task"
+
+
 def check_tolerance(tolerance: float) -> float:
     if not math.isfinite(tolerance) or tolerance < 0 or tolerance >= 1:
         raise ValueError(
@@ -270,6 +275,23 @@ def recommend(summary: DataFrame, tolerance: float = 0.02) -> DataFrame:
     )
 
 
+def outcomes(summary: DataFrame, tolerance: float = 0.02, runs: DataFrame | None = None) -> DataFrame:
+    """One row per run: run_id, kind, the pick's candidate_id and model_name, reason.
+
+    Where nothing can be recommended the kind is none and the reason says so. ``runs`` adds runs
+    that have no candidates.
+    """
+    pick = F.when(F.col("role") == "pick", F.struct("candidate_id", "model_name", "reason"))
+    found = recommend(summary, tolerance).groupBy("run_id").agg(
+        F.max(pick).alias("pick"), F.count(F.lit(1)).alias("candidates"))
+    if runs is not None:
+        found = runs.select("run_id").distinct().join(found, "run_id", "left")
+    nothing = F.when(F.col("candidates").isNull(), NO_CANDIDATES).otherwise(NONE_PASSED)
+    return found.select(
+        "run_id", F.when(F.col("pick").isNull(), "none").otherwise("recommended").alias("kind"),
+        "pick.candidate_id", "pick.model_name", F.coalesce("pick.reason", nothing).alias("reason"))
+
+
 def quality_rank(quality: str) -> Column:
     """Sort key of a mean score, missing as zero.
 

@@ -11,7 +11,7 @@ from gradelake.operators import scoring
 from gradelake.operators.aggregates import rescore_counts
 from gradelake.operators.joins import rescore_diff
 from gradelake.operators.scale import lookup_join
-from gradelake.plans.decide import check_tolerance, frontier_table, recommend
+from gradelake.plans.decide import check_tolerance, frontier_table, outcomes, recommend
 from gradelake.plans.summary import candidate_summary
 from gradelake.session import cut_lineage
 
@@ -77,6 +77,7 @@ def report(
         "summary": summary,
         "frontier": frontier_table(summary),
         "recommendation": recommend(summary, tolerance),
+        "outcomes": outcomes(summary, tolerance),
         "comparison": comparison(summary),
         "flags": flag_legend(summary),
     }

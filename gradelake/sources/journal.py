@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import re
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gradelake.functions.predicates import output_path
 from gradelake.operators import scoring
@@ -13,40 +19,121 @@ def append_results(results: DataFrame, path: str, batch_id: int | None = None) -
     """Append generation, score and status of each unit as one wide row.
 
     With a batch id the write replaces that batch's folder, so a repeated batch
-    leaves one copy. Runs are folders, and large runs are spread over tasks.
+    leaves one copy. Runs are folders, and large runs are spread over tasks. The schema is
+    kept beside the rows, so that what stands in folder names is read back as it was.
     """
+    _keep_schema(results, path)
     spread = F.pmod(F.xxhash64("unit_id"), F.lit(64))
+    rows = results.repartition("run_id", spread).write.partitionBy("run_id")
     if batch_id is None:
-        results.repartition("run_id", spread).write.mode("append").partitionBy("run_id").parquet(
-            path
-        )
-        return
-    (
-        results.repartition("run_id", spread)
-        .write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/batch={batch_id}")
-    )
+        rows.mode("append").parquet(path)
+    else:
+        rows.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
 def unit_rows(spark: SparkSession, path: str) -> DataFrame:
     """Journal rows, one per unit of a run: of repeated deliveries the first batch counts.
 
-    A filter on ``run_id`` prunes the folders that are read.
+    A filter on ``run_id`` prunes the folders that are read. Of a compacted journal the
+    snapshot is read, and the batches that came after it.
     """
-    rows = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(
-        f"{path}/batch=*" if _is_batched(spark, path) else path
-    )
-    if "batch" not in rows.columns:
-        return rows
+    schema, names = _stored_schema(spark, path), _names(spark, path)
+    upto = _compacted(names)
+    batches = [f"{path}/{n}" for n in names if n.startswith("batch=") and int(n[6:]) > upto]
+    if upto < 0 and not batches:
+        return _reader(spark, schema).parquet(path)
+    parts = [_reader(spark, schema, "batch").option("basePath", path).parquet(*batches)] if batches else []
+    if upto >= 0:
+        parts.append(_reader(spark, schema, "batch").parquet(f"{path}/{_SNAPSHOT}{upto}"))
+    rows = reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), parts)
     rest = [c for c in rows.columns if c not in ("run_id", "unit_id")]
     first = F.min_by(F.struct(*rest), "batch").alias("_r")
     return rows.groupBy("run_id", "unit_id").agg(first).select("run_id", "unit_id", "_r.*").drop("batch")
 
 
-def _is_batched(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
-    return found is not None and len(found) > 0
+def compact(spark: SparkSession, path: str) -> int:
+    """Merge the batches of a journal into one snapshot, and return the last batch it holds, or -1.
+
+    Readers go over to the snapshot when its mark appears, by one rename after all its rows
+    are written; until then, and if this stops half-way, they read the batches. A batch
+    that is repeated later has the rows the snapshot holds. ``drop_compacted`` removes what no
+    reader needs any more.
+    """
+    names = _names(spark, path)
+    upto = max((int(n[6:]) for n in names if n.startswith("batch=")), default=-1)
+    if upto <= _compacted(names):
+        return _compacted(names)
+    rows = unit_rows(spark, path)
+    spread = F.pmod(F.xxhash64("unit_id"), F.lit(64))
+    rows.withColumn("batch", F.lit(upto).cast("bigint")).repartition("run_id", spread).write.mode(
+        "overwrite").partitionBy("run_id").parquet(f"{path}/{_SNAPSHOT}{upto}")
+    files, target = _files(spark, f"{path}/{_MARK}{upto}")
+    files.create(target.suffix(".new")).close()
+    files.rename(target.suffix(".new"), target)
+    return upto
+
+
+def drop_compacted(spark: SparkSession, path: str) -> None:
+    """Delete the batches and older snapshots that the newest snapshot stands for."""
+    names = _names(spark, path)
+    upto = _compacted(names)
+    for name in names:
+        number = re.fullmatch(rf"(batch=|{_SNAPSHOT}|{_MARK})([0-9]+)", name)
+        if number and (int(number[2]) < upto or (int(number[2]) == upto and number[1] == "batch=")):
+            files, target = _files(spark, f"{path}/{name}")
+            files.delete(target, True)
+
+
+#: Folder of a snapshot, mark of one that is complete, and the schema of the rows. Spark's readers pass over names in _.
+_SNAPSHOT, _MARK, _SCHEMA = "_snapshot-", "_compacted-", "_schema.json"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    files, target = _files(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+
+
+def _compacted(names: list[str]) -> int:
+    """The last batch of the newest complete snapshot, or -1."""
+    return max((int(n[len(_MARK):]) for n in names if re.fullmatch(rf"{_MARK}[0-9]+", n)), default=-1)
+
+
+def _stored_schema(spark: SparkSession, path: str) -> StructType | None:
+    files, target = _files(spark, f"{path}/{_SCHEMA}")
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return StructType.fromJson(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+    finally:
+        stream.close()
+
+
+def _keep_schema(rows: DataFrame, path: str) -> None:
+    """Write the schema with the first rows, and again when rows bring new columns."""
+    spark = rows.sparkSession
+    known = _stored_schema(spark, path) or StructType()
+    fresh = [f for f in rows.schema.fields if f.name not in known.names]
+    if not fresh:
+        return
+    whole = StructType([*known.fields, *fresh])
+    files, target = _files(spark, f"{path}/{_SCHEMA}")
+    out = files.create(target, True)
+    out.write(bytearray(whole.json().encode()))
+    out.close()
+
+
+def _reader(spark: SparkSession, schema: StructType | None, *more: str):
+    """A reader with the stored schema; journals without one are read as Spark infers them."""
+    if schema is None:
+        return spark.read.option("mergeSchema", "true")
+    return spark.read.schema(StructType([*schema.fields, *(StructField(name, LongType()) for name in more)]))
 
 
 def runs(journal_runs: DataFrame) -> DataFrame:
@@ -69,11 +156,14 @@ def unit_results(journal_units: DataFrame, run_id: object) -> DataFrame:
 def write_export(
     units: DataFrame, candidate_rows: DataFrame, path: str,
     examples: DataFrame | None = None, packs: DataFrame | None = None,
+    run: DataFrame | None = None, report: Mapping[str, DataFrame] | None = None,
 ) -> None:
     """Reproducibility export as a folder of tables.
 
     ``units`` carry model name and pack. Raw outputs stand alone, by model;
-    scoring inputs are left out (pass None) when the pack drifted.
+    scoring inputs are left out (pass None) when the pack drifted. ``run`` is the run's record and ``report`` the
+    tables of its report. The manifest, with rows and digest of every table, is
+    written last: an export without it was not finished.
     """
     named = units.withColumn(
         "output_path",
@@ -84,26 +174,69 @@ def write_export(
         ),
     )
     has_output = F.col("output").isNotNull()
-    named.drop("output").write.mode("errorifexists").parquet(f"{path}/units")
-    named.filter(has_output).select("unit_id", "model_name", "output_path", "output").write.mode(
-        "errorifexists"
-    ).partitionBy("model_name").parquet(f"{path}/outputs")
-    named.filter(has_output & F.col("score").isNotNull()).select(
-        "run_id", "unit_id", "pack", "example_id", "output_path", "score", "pass", "details"
-    ).write.mode("errorifexists").parquet(f"{path}/scores")
-    candidate_rows.write.mode("errorifexists").parquet(f"{path}/candidates")
+    tables = {
+        "units": named.drop("output"),
+        "outputs": named.filter(has_output).select("unit_id", "model_name", "output_path", "output"),
+        "scores": named.filter(has_output & F.col("score").isNotNull()).select(
+            "run_id", "unit_id", "pack", "example_id", "output_path", "score", "pass", "details"),
+        "candidates": candidate_rows,
+    }
     if examples is not None and packs is not None:
-        examples.write.mode("errorifexists").parquet(f"{path}/scoring/examples")
-        packs.write.mode("errorifexists").parquet(f"{path}/scoring/packs")
+        tables |= {"scoring/examples": examples, "scoring/packs": packs}
+    if run is not None:
+        tables["run"] = run
+    tables |= {f"report/{name}": table for name, table in (report or {}).items()}
+    manifest = []
+    for name, table in tables.items():
+        seen = Observation()
+        rows = table.observe(seen, *_digest(table)).write.mode("errorifexists")
+        (rows.partitionBy("model_name") if name == "outputs" else rows).parquet(f"{path}/{name}")
+        manifest.append((name, seen.get["rows"], str(seen.get["digest"]), table.schema.json()))
+    units.sparkSession.createDataFrame(
+        manifest, "table_name string, rows bigint, digest string, columns string"
+    ).coalesce(1).write.mode("errorifexists").json(f"{path}/{_MANIFEST}")
+
+
+_MANIFEST = "manifest"
+
+
+def _digest(table: DataFrame) -> list[Column]:
+    """Rows of a table and a sum of hashes of them, which no order or partitioning changes."""
+    row = F.xxhash64(F.to_json(F.struct(*sorted(table.columns)))).cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).alias("digest")]
+
+
+def read_export(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of an export by name, once each is known to be whole.
+
+    The manifest is read first. A table that lacks rows or holds others raises, as does an export
+    that was not finished.
+    """
+    files, target = _files(spark, f"{path}/{_MANIFEST}/_SUCCESS")
+    if not files.exists(target):
+        raise ValueError(f"the export at {path} has no manifest, so it was not finished")
+    listed = spark.read.schema("table_name string, rows bigint, digest string, columns string").json(
+        f"{path}/{_MANIFEST}").collect()
+    tables, broken = {}, []
+    for entry in listed:
+        schema = StructType.fromJson(json.loads(entry["columns"]))
+        table = spark.read.schema(schema).parquet(f"{path}/{entry['table_name']}").select(*schema.names)
+        found = table.agg(*_digest(table)).first()
+        if (found["rows"], str(found["digest"])) != (entry["rows"], entry["digest"]):
+            broken.append(f"{entry['table_name']} holds {found['rows']} rows of {entry['rows']}"
+                          if found["rows"] != entry["rows"] else f"{entry['table_name']} holds other rows")
+        tables[entry["table_name"]] = table
+    if broken:
+        raise ValueError(f"the export at {path} is broken: " + "; ".join(broken))
+    return tables
 
 
 def verify_export(spark: SparkSession, path: str) -> DataFrame:
     """Scores of an export that re-scoring its raw outputs does not reproduce."""
-    read = spark.read.parquet
-    scores, outputs = read(f"{path}/scores"), read(f"{path}/outputs")
-    return verify_scores(
-        scores, outputs, read(f"{path}/scoring/examples"), read(f"{path}/scoring/packs")
-    )
+    tables = read_export(spark, path)
+    if "scoring/packs" not in tables:
+        raise ValueError(f"the export at {path} has no scoring inputs: the pack had drifted when it was written")
+    return verify_scores(tables["scores"], tables["outputs"], tables["scoring/examples"], tables["scoring/packs"])
 
 
 def verify_scores(
@@ -153,6 +286,6 @@ def verify_scores(
 
 
 __all__ = [
-    "append_results", "candidates", "runs", "unit_results", "unit_rows",
-    "verify_export", "verify_scores", "write_export",
+    "append_results", "candidates", "compact", "drop_compacted", "read_export", "runs", "unit_results",
+    "unit_rows", "verify_export", "verify_scores", "write_export",
 ]

@@ -101,6 +101,29 @@ def beats(o, p):
     return better and not worse
 
 
+@pytest.mark.parametrize("most", [100_000, 7])
+def test_exact_medians_of_any_distribution(spark, monkeypatch, most):
+    """Constant, two-valued, exponential, clustered and tiny groups; with a bound of 7 all are narrowed down."""
+    monkeypatch.setattr(scale, "ORDERED", most)
+    monkeypatch.setattr(scale, "POINTS", 8)
+    rng = random.Random(3)
+    groups = {
+        "constant": [4.0] * 300, "two": [1.0] * 150 + [2.0] * 150, "odd": [1.0] * 150 + [2.0] * 151,
+        "steep": [2.0 ** -i for i in range(900)], "both": [(-1.0) ** i * 10.0 ** (i % 600 - 300) for i in range(700)],
+        "ends": [0.0] * 100 + [rng.random() for _ in range(50)] + [1e9] * 100, "one": [5.0], "pair": [1.0, 4.0],
+        "gap": [float(i) for i in range(500)] + [1e12 + i for i in range(500)], "none": [None, None],
+    }
+    rows = [(k, v, None if v is None or i % 3 else -v) for k, vs in groups.items() for i, v in enumerate(vs)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    got = {r["k"]: (r["a_median"], r["b_median"]) for r in scale.exact_medians(df, ["k"], ["a", "b"], ["a"]).collect()}
+    for k in groups:
+        for at in (1, 2):
+            held = sorted(r[at] for r in rows if r[0] == k and r[at] is not None)
+            want = statistics.median(held) if held else None
+            assert got.get(k, (None, None))[at - 1] == want, (k, at)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_frontier_with_missing_axes(spark, seed, monkeypatch):
     monkeypatch.setattr("gradelake.operators.frontier.PIECE", 16)

@@ -261,6 +261,64 @@ def test_export_and_verify(spark, tmp_path):
     assert "raw output is missing" in lost["u1"] and "re-scoring" in lost["u2"]
 
 
+def test_export_with_run_and_report_has_to_be_whole(spark, tmp_path):
+    units = spark.createDataFrame(
+        [("r", f"u{i}", "p", "1", i, m, "yes", 1.0, True, "{}") for i, m in enumerate(("0012", "12", "m:1", "012") * 5)],
+        "run_id string, unit_id string, pack string, example_id string, repetition int, model_name string, "
+        "output string, score double, pass boolean, details string")
+    run = spark.createDataFrame([("r", 5, "ollama 1")], "run_id string, created_at_ms bigint, backend_version string")
+    tables = {"frontier": spark.createDataFrame([("c", "frontier")], "candidate string, class string")}
+    path = str(tmp_path / "whole")
+    journal.write_export(units, units.select("model_name").distinct(), path, run=run, report=tables)
+    got = journal.read_export(spark, path)
+    assert set(got) == {"units", "outputs", "scores", "candidates", "run", "report/frontier"}
+    assert {r[0] for r in got["outputs"].select("model_name").distinct().collect()} == {"0012", "12", "m:1", "012"}
+    assert got["run"].collect() == run.collect() and got["report/frontier"].collect() == tables["frontier"].collect()
+    with pytest.raises(ValueError, match="no scoring inputs"):
+        journal.verify_export(spark, path)
+    part = next(f for f in os.listdir(f"{path}/scores") if f.endswith(".parquet"))
+    os.rename(f"{path}/scores/{part}", f"{path}/scores/_{part}")
+    with pytest.raises(ValueError, match="broken: scores holds [0-9]+ rows of 20"):
+        journal.read_export(spark, path)
+    os.rename(f"{path}/manifest/_SUCCESS", f"{path}/manifest/_other")
+    with pytest.raises(ValueError, match="was not finished"):
+        journal.verify_export(spark, path)
+
+
+def test_journal_keeps_text_run_ids_and_compacts(spark, tmp_path):
+    path = str(tmp_path / "journal")
+
+    def batch(number, *rows):
+        df = spark.createDataFrame(rows, "run_id string, unit_id string, score double")
+        journal.append_results(df.withColumn("late", F.lit(number)) if number > 10 else df, path, number)
+
+    def rows():
+        return sorted(tuple(r) for r in journal.unit_rows(spark, path).select("run_id", "unit_id", "score").collect())
+
+    want = {}
+    for number in range(12):
+        held = [("0012", f"u{number}", 1.0), ("12", f"u{number}", 2.0), ("0012", "same", float(number))]
+        batch(number, *held)
+        for run, unit, score in held:
+            want.setdefault((run, unit), score)
+    expected = sorted((*k, v) for k, v in want.items())
+    assert rows() == expected
+    before = len(journal.unit_rows(spark, path).inputFiles())
+    assert journal.compact(spark, path) == 11 and journal.compact(spark, path) == 11
+    assert rows() == expected and len(journal.unit_rows(spark, path).inputFiles()) < before
+    batch(11, ("0012", "u11", 1.0), ("12", "u11", 2.0), ("0012", "same", 11.0))  # repeated after the snapshot
+    batch(12, ("0012", "same", 12.0), ("013", "new", 3.0))
+    expected = sorted([*expected, ("013", "new", 3.0)])
+    assert rows() == expected
+    os.makedirs(f"{path}/_snapshot-12/run_id=9")  # one that stopped half-way
+    assert rows() == expected
+    assert journal.compact(spark, path) == 12 and rows() == expected
+    journal.drop_compacted(spark, path)
+    assert rows() == expected and not [n for n in os.listdir(path) if n.startswith("batch=")]
+    late = {r["unit_id"]: r["late"] for r in journal.unit_rows(spark, path).collect()}
+    assert late["new"] == 12 and late["u0"] is None
+
+
 def test_rescored_units_keep_drifted_runs(spark):
     rows = [("a", "u1", "p1", "1", "completed", "yes", 0.0, False, None, "{}"),
             ("b", "u2", "p1", "1", "completed", "yes", 0.0, False, None, "{}")]

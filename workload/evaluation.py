@@ -103,7 +103,8 @@ def a7(t: Tables) -> DataFrame:
 
 
 GATES = (
-    f"SELECT {K}, failed_gate AS gate, count(*) AS n_units FROM units "
+    f"SELECT {K}, failed_gate AS gate, count(*) AS n_units, "
+    "min(struct_pack(e := example_id, r := repetition, u := unit_id)) AS first_unit FROM units "
     f"WHERE {DONE} AND failed_gate IS NOT NULL GROUP BY {K}, failed_gate"
 )
 
@@ -311,7 +312,7 @@ spread AS (SELECT {K}, min(m) AS score_min, max(m) AS score_max FROM (
   SELECT {K}, repetition, avg(score) AS m FROM done GROUP BY {K}, repetition) GROUP BY {K}),
 repeated AS ({DETERMINISM}),
 gated AS (SELECT {K}, string_agg(gate || ' (' || n_units ||
-  CASE WHEN n_units = 1 THEN ' unit)' ELSE ' units)' END, ', ' ORDER BY gate) AS gates
+  CASE WHEN n_units = 1 THEN ' unit)' ELSE ' units)' END, ', ' ORDER BY first_unit) AS gates
   FROM ({GATES}) GROUP BY {K}),
 summary AS (SELECT c.*, coalesce(n.completed, 0) AS completed, coalesce(n.failed, 0) AS failed,
   coalesce(n.pending, 0) AS pending, coalesce(n.skipped, 0) AS skipped,
@@ -530,6 +531,24 @@ def r3(t: Tables) -> DataFrame:
     return recommendation(t)
 
 
+@query("r3_outcomes", f"""WITH {RECOMMENDED},
+chosen AS (SELECT run_id, max(CASE WHEN role = 'pick' THEN model_name END) AS pick FROM roles
+  WHERE run_id <> 3 GROUP BY run_id),
+held AS (SELECT DISTINCT run_id FROM candidates)
+SELECT n_nationkey AS run_id, CASE WHEN pick IS NULL THEN 'none' ELSE 'recommended' END AS kind, pick,
+  CASE WHEN held.run_id IS NULL THEN 'no candidates were evaluated' WHEN pick IS NULL THEN
+    'no candidate passed all gate scorers, so nothing is recommendable on this task' END AS why_none
+FROM nation LEFT JOIN held ON n_nationkey = held.run_id LEFT JOIN chosen ON n_nationkey = chosen.run_id""")
+def r3_outcomes(t: Tables) -> DataFrame:
+    """One row per run; no candidate of run 3 completed, and most runs have none at all."""
+    stopped = F.when((F.col("run_id") == 3) & (F.col("status") == "completed"), "failed").otherwise(F.col("status"))
+    every = t["nation"].select(F.col("n_nationkey").cast("bigint").alias("run_id"))
+    found = decide.outcomes(settled(t).withColumn("status", stopped), TOLERANCE, every)
+    return found.select(
+        "run_id", "kind", F.col("model_name").alias("pick"),
+        F.when(F.col("kind") == "none", F.col("reason")).alias("why_none"))
+
+
 @query("t3_nearest_misses", f"""WITH {JUDGED} SELECT run_id, candidate_id,
   row_number() OVER (PARTITION BY run_id ORDER BY round(coalesce(mean_score, 0), 12) DESC,
   candidate_seq) AS place FROM judged""")

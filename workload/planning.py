@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from gradelake.operators import aggregates as A
 from gradelake.operators import joins as J
 from gradelake.operators import sets as U
 from gradelake.plans import planning as P
+from gradelake.session import shared_folder
 from gradelake.sources import journal, packs
 from workload.registry import Tables, cte, query, view
 from workload.telemetry import INFO, KNOWN, KV
@@ -284,3 +288,28 @@ SELECT p_brand AS pack, p_partkey AS seq, lpad(CAST(row_number() OVER (
 def s14(t: Tables) -> DataFrame:
     rows = t["part"].selectExpr("p_brand AS pack", "p_partkey AS seq", "p_name AS input")
     return packs.draft_ids(rows).select("pack", "seq", "example_id")
+
+
+@query("s13_export", f"""WITH {cte('units', 'candidates')},
+named AS (SELECT u.*, c.model_name FROM units u JOIN candidates c ON u.candidate_id = c.candidate_id)
+SELECT 'units' AS table_name, count(*) AS n, count(DISTINCT model_name) AS models FROM named
+UNION ALL SELECT 'outputs', count(*), count(DISTINCT model_name) FROM named WHERE output IS NOT NULL
+UNION ALL SELECT 'scores', count(*), 0 FROM named WHERE output IS NOT NULL AND score IS NOT NULL
+UNION ALL SELECT 'candidates', count(*), count(DISTINCT model_name) FROM candidates
+UNION ALL SELECT 'run', count(*), 0 FROM runs""".replace("FROM runs", "FROM nation"))
+def s13(t: Tables) -> DataFrame:
+    """What an export holds, read back from its own tables once its manifest agrees."""
+    models = t["candidates"].select("candidate_id", "model_name")
+    units = t["units"].join(models, "candidate_id").withColumns({
+        "pack": F.lit("demo"), "details": F.lit(None).cast("string"), "repetition": F.col("repetition").cast("int")})
+    folder = f"{shared_folder(t.spark)}/export-{uuid.uuid4().hex}"
+    journal.write_export(units, t["candidates"], folder, run=t["runs"])
+    tables = journal.read_export(t.spark, folder)
+    counts = [
+        table.select(
+            F.lit(name).alias("table_name"),
+            (F.col("model_name") if "model_name" in table.columns else F.lit(None).cast("string")).alias("model_name"))
+        for name, table in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("model_name").alias("models"))
