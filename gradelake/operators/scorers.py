@@ -228,7 +228,10 @@ def pattern(output, patterns, mode="contains", match="all") -> Column:
         passed = F.when(match_c == "all", n == F.size(results)).otherwise(n > 0)
         return record(n / F.size(results), passed, patterns=results, matched_count=n)
 
-    return T.bind(F.transform(_strings(patterns), found), judged)
+    if isinstance(patterns, Column):
+        return T.bind(F.transform(patterns, found), judged)
+    # Known texts are literals, so that each pattern is compiled once and not per row.
+    return T.bind(F.array(*[found(F.lit(p)) for p in patterns]), judged)
 
 
 def numeric_tolerance(output, expected: Column, tolerance, mode="absolute") -> Column:

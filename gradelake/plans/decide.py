@@ -16,6 +16,7 @@ from gradelake.functions.fit import MIB
 from gradelake.functions.predicates import ineligibility_reason, is_gate_passing
 from gradelake.operators.frontier import frontier
 from gradelake.operators.joins import peer_names, size_peers
+from gradelake.session import cut_lineage
 
 KEYS = ["run_id", "candidate_id"]
 
@@ -311,9 +312,10 @@ def nearest_misses(summary: DataFrame) -> DataFrame:
 def offload_suspects(candidates: DataFrame) -> DataFrame:
     """Completed candidates that look split between processors, with the reason.
 
-    ``candidates`` carries ``tokens_per_second`` (the median rate).
+    ``candidates`` carries ``tokens_per_second`` (the median rate). They are read once and
+    written to the checkpoint folder, as every side of the bands and the peers' names come from them.
     """
-    finished = candidates.filter(F.col("status") == "completed")
+    finished = cut_lineage(candidates.filter(F.col("status") == "completed"))
     plateau = F.coalesce(
         F.col("measured_peak_mib") < F.col("predicted_peak_mib") * PLATEAU, F.lit(False)
     )
@@ -323,9 +325,9 @@ def offload_suspects(candidates: DataFrame) -> DataFrame:
         & (F.col("tokens_per_second") < F.col("band_best_rate") * COLLAPSE),
         F.lit(False),
     )
-    ruled = size_peers(finished).withColumn(
+    ruled = cut_lineage(size_peers(finished).withColumn(
         "rule", F.when(plateau, "plateau").when(collapse, "collapse")
-    ).filter(F.col("rule").isNotNull())
+    ).filter(F.col("rule").isNotNull()))
     names = peer_names(ruled.filter(F.col("rule") == "collapse"), finished)
     reason = F.when(
         F.col("rule") == "plateau",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions import display, predicates
@@ -531,6 +531,39 @@ def r3(t: Tables) -> DataFrame:
     return recommendation(t)
 
 
+def masked(reason) -> Column:
+    """A reason with # for its numbers, which r3_recommend compares by value."""
+    return F.regexp_replace(reason, r"-?[0-9]+(\.[0-9]+)?", "#")
+
+
+REASONED = f"""{RECOMMENDED},
+told AS (SELECT r.*, CASE WHEN pick_id IS NULL THEN coalesce(blocked, 'not eligible')
+  WHEN role = 'pick' AND kind = 'none' THEN pick_name || ' has the best measured quality (0) at 0 tok/s among '
+    || 'gate-passing candidates; this is an API backend run, so the ranking uses quality and latency only '
+    || '(no local footprint applies).'
+  WHEN role = 'pick' AND pick_id = best_id THEN pick_name || ' has the best measured quality (0) and the smallest '
+    || 'footprint (0' || size || ') among the candidates within the quality tolerance.'
+  WHEN role = 'pick' THEN pick_name || ' holds quality 0, within 0% of the best (0 from ' || best_name || '), at 0'
+    || size || ' versus 0 MiB.'
+  WHEN outcome = 'blocked' THEN blocked
+  WHEN outcome = 'below-tolerance' THEN 'quality 0 is 0% below the best 0, outside the tolerance'
+  WHEN outcome = 'slower' THEN 'same quality band but 0 tok/s median versus 0 for ' || pick_name
+  WHEN outcome = 'tie-break' THEN 'identical footprint to ' || pick_name
+    || '; lost the tie-break on quality, then throughput'
+  ELSE 'same quality band but ' || CASE WHEN mib = 'infinity'::DOUBLE THEN 'Infinity' ELSE '0' END
+    || CASE kind WHEN 'vram' THEN ' MiB more peak memory than ' ELSE ' MiB more weights than ' END || pick_name END AS reason
+  FROM (SELECT roles.*, b.best_id, b.best_name, CASE kind WHEN 'vram' THEN ' MiB peak memory'
+      ELSE ' MiB weights on disk (peak memory was not measured on this run)' END AS size
+    FROM roles LEFT JOIN best b ON roles.run_id = b.run_id) r)"""
+MASKED = "regexp_replace(reason, '-?[0-9]+(\\.[0-9]+)?', '#', 'g') AS reason"
+
+
+@query("r3_reasons", f"WITH {REASONED} SELECT run_id, candidate_id, role, {MASKED} FROM told")
+def r3_reasons(t: Tables) -> DataFrame:
+    found = decide.recommend(settled(t), TOLERANCE)
+    return found.select("run_id", "candidate_id", "role", masked("reason").alias("reason"))
+
+
 @query("r3_outcomes", f"""WITH {RECOMMENDED},
 chosen AS (SELECT run_id, max(CASE WHEN role = 'pick' THEN model_name END) AS pick FROM roles
   WHERE run_id <> 3 GROUP BY run_id),
@@ -607,12 +640,14 @@ def r4_legend(t: Tables) -> DataFrame:
     return R.flag_legend(summary_of(t)).select("run_id", "model_name", "token")
 
 
-@query("r6_report")
+@query("r6_report", f"""WITH {REASONED}{CLASSED.removeprefix(JUDGED)}
+SELECT t.run_id, t.candidate_id, c.class, t.role, {MASKED.replace('reason,', 't.reason,')}
+FROM told t JOIN classed c ON t.run_id = c.run_id AND t.candidate_id = c.candidate_id""")
 def r6(t: Tables) -> DataFrame:
     tables = R.report(t["units"], t["candidates"], TOLERANCE)
     classes = tables["frontier"].select("run_id", "candidate_id", "class")
     return tables["recommendation"].join(classes, ["run_id", "candidate_id"]).select(
-        "run_id", "candidate_id", "class", "role", "reason"
+        "run_id", "candidate_id", "class", "role", masked("reason").alias("reason")
     )
 
 

@@ -195,7 +195,8 @@ def p12(t: Tables) -> DataFrame:
 
 @query("p13_provenance_label", """
 SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 4 <> 1 THEN 'pack drafted by ' || lang
-  || ' from ' || source || ' on 2026-01-01' END AS label FROM documents""")
+  || ' from ' || source || ' on 2026-01-01; expected values are model-authored and unreviewed, so quality measures '
+  || 'agreement with the drafter (set provenance.reviewed in task.yaml after checking)' END AS label FROM documents""")
 def p13(t: Tables) -> DataFrame:
     origin = F.when(
         F.col("doc_id") % 4 != 0,
@@ -205,8 +206,7 @@ def p13(t: Tables) -> DataFrame:
             (F.col("doc_id") % 4 == 1).alias("reviewed"),
         ),
     )
-    label = F.substring_index(predicates.provenance_label(origin), "; expected", 1)
-    return t["documents"].select("doc_id", label.alias("label"))
+    return t["documents"].select("doc_id", predicates.provenance_label(origin).alias("label"))
 
 
 @query("p17_output_path", r"""
@@ -430,14 +430,12 @@ SPECS = [
 
 
 def specs(t: Tables) -> DataFrame:
-    """The five pack specs, one per event type present in the events table."""
+    """The five pack specs, one per event type."""
     from gradelake.sources.packs import pack_columns
 
-    used = t["events"].select(F.col("event_type").alias("pack")).distinct()
-    rows = t.spark.createDataFrame([(s,) for s in SPECS], "spec string").select(
+    return pack_columns(t.spark.createDataFrame([(s,) for s in SPECS], "spec string").select(
         F.parse_json("spec").alias("manifest")
-    )
-    return pack_columns(rows).join(used, "pack", "left_semi")
+    ))
 
 
 view(
