@@ -300,7 +300,7 @@ def first_failed_gate(gates: Column) -> Column:
 
 @dataclass(frozen=True)
 class Params:
-    """Parameters of one scorer of one pack, as Columns."""
+    """Parameters of one scorer of one pack, as Columns; ``own`` has all of them as a VARIANT."""
 
     label_keys: Column
     label_names: Column
@@ -310,6 +310,7 @@ class Params:
     match: Column
     tolerance: Column
     schema_text: Column
+    own: Column
 
 
 Builder = Callable[[Output, Column, Params], Column]

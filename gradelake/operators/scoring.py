@@ -18,12 +18,6 @@ BRANCH_SCHEMAS = 100
 #: Problems of packs named in an error.
 SHOWN_PROBLEMS = 20
 
-_PARAMS = (
-    "struct<scorer:string,label_keys:array<string>,label_names:array<string>,"
-    "key_fields:array<string>,patterns:array<string>,mode:string,match:string,"
-    "tolerance:double,schema_text:string>"
-)
-
 
 def _typed(scorer: Column, params: Column) -> Column:
     """Typed parameter struct of a scorer name and its VARIANT parameters."""
@@ -38,7 +32,7 @@ def _typed(scorer: Column, params: Column) -> Column:
         get("$.patterns", "array<string>").alias("patterns"),
         get("$.mode", "string").alias("mode"), get("$.match", "string").alias("match"),
         get("$.tolerance", "double").alias("tolerance"),
-        F.to_json(get("$.schema", "variant")).alias("schema_text"),
+        F.to_json(get("$.schema", "variant")).alias("schema_text"), params.alias("own"),
     )
 
 
@@ -125,7 +119,7 @@ def record_for(
         name: params[name]
         for name in (
             "label_keys", "label_names", "key_fields", "patterns", "mode", "match", "tolerance",
-            "schema_text",
+            "schema_text", "own",
         )
     })
     chosen: Column | None = None

@@ -200,6 +200,27 @@ def packs_of(spark, specs):
     return pack_columns(df.select(F.parse_json("s").alias("manifest")))
 
 
+def test_a_registered_scorer_reads_its_own_parameters(spark, monkeypatch):
+    monkeypatch.setattr(scorers, "_REGISTRY", dict(scorers._REGISTRY))
+
+    def word_count(output, expected, params):
+        least = F.try_variant_get(params.own, "$.limits.least", "int")
+        enough = F.size(F.split(output.text, " ")) >= least
+        return scorers.record(enough.cast("double"), enough, reason=F.when(~enough, "too short"))
+
+    scorers.register_scorer("word-count", word_count)
+    specs = packs_of(spark, [{
+        "name": f"p{n}", "type": "t", "scorer": "word-count", "scorer_params": {"limits": {"least": n}},
+        "gates": [{"scorer": "word-count", "scorer_params": {"limits": {"least": 2}}}]} for n in (1, 4)])
+    outputs = spark.createDataFrame(
+        [(f"{p}{i}", p, 1, text) for p in ("p1", "p4") for i, text in enumerate(("one", "one two three", "a b c d"))],
+        "unit_id string, pack string, example_id int, output string")
+    examples = specs.select("pack", F.lit(1).alias("example_id"), F.parse_json(F.lit("null")).alias("expected"))
+    got = {r["unit_id"]: (r["pass"], r["failed_gate"]) for r in scoring.score(outputs, examples, specs).collect()}
+    assert got == {"p10": (False, "word-count"), "p11": (True, None), "p12": (True, None),
+                   "p40": (False, "word-count"), "p41": (False, None), "p42": (True, None)}
+
+
 def test_mixed_packs_with_gates(spark):
     outputs = spark.createDataFrame([
         (1, "p1", "1", "Y"), (2, "p1", "1", "no"), (3, "p2", "1", '{"a": 1, "b": 2}'),
