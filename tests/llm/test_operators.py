@@ -516,7 +516,7 @@ def test_encoded_documents(spark):
 
 
 def test_every_operator_has_a_query():
-    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_pipeline_stages_keep_columns(spark):
