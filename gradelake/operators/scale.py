@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gradelake.session import cut_lineage
@@ -205,11 +205,13 @@ def exact_medians(
     counts = counted.select(
         *keys, F.explode(F.when(F.col("metric") == -1, outside).otherwise(own)).alias("_p")
     ).select(*keys, "_p.*").filter("n > 0")
-    found = cut_lineage(_at_middle(counts, [*keys, "metric"], ["zone", "value"]))
+    seen = Observation()
+    found = cut_lineage(_at_middle(counts, [*keys, "metric"], ["zone", "value"]).observe(
+        seen, F.count_if(F.col("value").isNull()).alias("missed")))
     # What is known by now; the rest has no value at its rank, as it lies outside or is only counted.
     known = found.filter("value IS NOT NULL").select(*keys, "metric", "side", "value")
     missed = found.filter("value IS NULL").select(*keys, "metric", "side", "rank")
-    if not missed.isEmpty():
+    if seen.get["missed"]:
         long = df.select(*keys, F.posexplode(F.array(*value)).alias("metric", "value")).filter("value IS NOT NULL")
         known = known.unionByName(_narrowed(long, [*keys, "metric"], missed))
     return known.groupBy(*keys).agg(*[
