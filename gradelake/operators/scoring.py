@@ -133,6 +133,25 @@ def record_for(
     return chosen
 
 
+_BUILT_IN = frozenset(("exact-label", "field-f1", "json-schema", "numeric-tolerance", "pattern"))
+#: Forms of an output, their types, and the scorers that do without them; others may use any.
+_FORMS = {
+    "_normalized": (S.T.normalize_text, "string", _BUILT_IN - {"exact-label"}),
+    "_number": (S.T.parse_first_number, "struct<value:double,raw:string>", _BUILT_IN - {"numeric-tolerance"}),
+    "_extracted": (
+        S.T.extract_json, "struct<value:variant,ok:boolean,extraction_needed:boolean,error:string>",
+        _BUILT_IN - {"field-f1", "json-schema"},
+    ),
+}
+
+
+def _needs(done_without: frozenset[str]) -> Column:
+    """Whether a row's scorer or one of its gates may use a form."""
+    names = sorted(done_without)
+    return ~F.col("primary_params.scorer").isin(names) | F.coalesce(
+        F.exists("gate_params", lambda g: ~g["scorer"].isin(names)), F.lit(False))
+
+
 @lru_cache(maxsize=32)
 def _expressions(
     app: str, names: tuple[str, ...], schemas: tuple[str, ...]
@@ -142,18 +161,11 @@ def _expressions(
     They depend on names only, so jobs of one application (``app``) that use the
     same scorers share them; building them takes thousands of calls to the JVM.
     """
-    needed = set(names)
-    text, nothing = F.col("output"), F.lit(None)
+    text = F.col("output")
     forms = {
-        "_normalized": S.T.normalize_text(text)
-        if "exact-label" in needed else nothing.cast("string"),
-        "_number": S.T.parse_first_number(text)
-        if "numeric-tolerance" in needed else nothing.cast("struct<value:double,raw:string>"),
-        "_extracted": S.T.extract_json(text)
-        if needed & {"field-f1", "json-schema"}
-        else nothing.cast(
-            "struct<value:variant,ok:boolean,extraction_needed:boolean,error:string>"
-        ),
+        name: F.when(_needs(done_without), form(text))
+        if set(names) - done_without else F.lit(None).cast(kind)
+        for name, (form, kind, done_without) in _FORMS.items()
     }
     output = S.Output(text, F.col("_normalized"), F.col("_number"), F.col("_extracted"))
     # The primary scorer goes first, its gates follow; one lambda serves them all.
