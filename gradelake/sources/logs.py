@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions.text import (
@@ -46,38 +46,42 @@ def parse_generation_log(lines: DataFrame) -> DataFrame:
     }).drop("_d", "_error", "_response", "_done")
 
 
-def parse_sse_log(lines: DataFrame) -> DataFrame:
-    """Chat-completion stream lines to one row per payload.
+def _sse_rows(lines: DataFrame) -> DataFrame:
+    """Every line with its payload's values, and whether it is a payload before ``[DONE]``.
 
-    ``lines(generation_id, seq, line)``. What follows ``[DONE]`` is left out;
-    payloads that are no JSON and empty deltas give rows without any value.
+    Lines are parsed where they are read; the end of each generation's stream is found in the
+    one shuffle that brings its lines together, so the log is read once.
     """
     trimmed = js_trim(F.col("line"))
-    payloads = lines.filter(trimmed.startswith("data: ")).withColumn(
-        "payload", F.substring(trimmed, 7, 2147483647)
-    )
-    ends = payloads.filter(F.col("payload") == "[DONE]").groupBy("generation_id").agg(
-        F.min("seq").alias("end_seq")
-    )
-    live = payloads.join(ends, "generation_id", "left").filter(
-        F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq"))
-    ).withColumn("_d", strict_json(F.col("payload")))
+    payload = F.when(trimmed.startswith("data: "), F.substring(trimmed, 7, 2147483647))
+    read = lines.select("generation_id", "seq", payload.alias("_payload")).withColumn(
+        "_done", F.coalesce(F.col("_payload") == "[DONE]", F.lit(False))
+    ).withColumn("_d", F.when(~F.col("_done"), strict_json(F.col("_payload"))))
     doc = F.col("_d")
-    return live.select(
-        "generation_id", "seq",
+    parsed = read.select(
+        "generation_id", "seq", "_done", F.col("_payload").isNotNull().alias("_is_payload"),
         F.nullif(json_string(_field(doc, "$.choices[0].delta.content")), F.lit("")).alias("text"),
         json_string(_field(doc, "$.choices[0].finish_reason")).alias("finish_reason"),
         json_number(_field(doc, "$.usage.prompt_tokens"), "bigint").alias("prompt_tokens"),
         json_number(_field(doc, "$.usage.completion_tokens"), "bigint").alias("completion_tokens"),
     )
+    end = F.min(F.when(F.col("_done"), F.col("seq"))).over(Window.partitionBy("generation_id"))
+    before = F.coalesce(F.col("seq") < F.col("_end"), F.lit(True))
+    return parsed.withColumn("_end", end).withColumn("live", F.col("_is_payload") & before).drop(
+        "_done", "_is_payload", "_end")
 
 
-def sse_summary(events: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """Last finish reason and usage of each generation, and its token count.
+def parse_sse_log(lines: DataFrame) -> DataFrame:
+    """Chat-completion stream lines to one row per payload.
 
-    Given the ``lines`` the events come from, generations without any live payload are
-    kept; they failed.
+    ``lines(generation_id, seq, line)``. What follows ``[DONE]`` is left out;
+    payloads that are no JSON and empty deltas give rows without any value.
     """
+    return _sse_rows(lines).filter("live").drop("live")
+
+
+def sse_summary(events: DataFrame) -> DataFrame:
+    """Last finish reason and usage of each generation, and its token count."""
     def last(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
 
@@ -85,15 +89,18 @@ def sse_summary(events: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         last("finish_reason"), last("prompt_tokens"), last("completion_tokens"),
         F.count("text").alias("token_count"),
     )
-    if lines is not None:
-        every = lines.select("generation_id").distinct()
-        found = every.join(found, "generation_id", "left").fillna(0, ["token_count"])
     return found.withColumn(
         "failure_reason",
         F.when(F.col("finish_reason").isNull(), "stream ended without a finish_reason"),
     )
 
 
+def sse_generations(lines: DataFrame) -> DataFrame:
+    """The same from the lines themselves; generations without any live payload are there, and failed."""
+    values = ("text", "finish_reason", "prompt_tokens", "completion_tokens")
+    return sse_summary(_sse_rows(lines).withColumns({c: F.when(F.col("live"), F.col(c)) for c in values}))
+
+
 def explode_models(listings: DataFrame) -> DataFrame:
     """Models of listing bodies.
 

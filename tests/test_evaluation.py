@@ -234,6 +234,18 @@ def test_offload_rules(spark):
     assert "(m-a, m-c)" in got["b"]["reason"]
 
 
+def test_offload_suspects_read_the_candidates_once(spark, tmp_path):
+    path = str(tmp_path / "candidates")
+    spark.createDataFrame(
+        [("r", f"c{i}", i, f"m{i}", "completed", 100.0, 90.0, 100 + i, 50.0 if i else 1.0) for i in range(5)],
+        "run_id string, candidate_id string, candidate_seq int, model_name string, status string, "
+        "predicted_peak_mib double, measured_peak_mib double, size_bytes bigint, tokens_per_second double",
+    ).write.parquet(path)
+    found = decide.offload_suspects(spark.read.parquet(path))
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()  # from what was written
+    assert [(r["candidate_id"], r["peers"]) for r in found.collect()] == [("c0", "m1, m2, m3, m4")]
+
+
 def test_report_tables(spark):
     units = [unit("a", "1", 1, 1.0), unit("a", "1", 2, 1.0), unit("b", "1", 1, 0.5, gate="pattern")]
     tables = report.report(

@@ -333,6 +333,29 @@ def test_rescored_units_keep_drifted_runs(spark):
     assert "1 of 1 scores changed" in text["a"] and "changed since this run" in text["b"]
 
 
+def test_sse_lines_in_one_read(spark, tmp_path):
+    def delta(text, **more):
+        return "data: " + json.dumps({"choices": [{"delta": {"content": text}, **more}]})
+
+    rows = [
+        (1, 0, delta("a")), (1, 1, ": ping"), (1, 2, delta("")), (1, 3, "  " + delta("b", finish_reason="length") + " "),
+        (1, 4, 'data: {"usage": {"prompt_tokens": 3, "completion_tokens": 2}}'), (1, 5, "data: [DONE]"), (1, 6, delta("late")),
+        (1, 7, "data: [DONE]"), (2, 0, "data: [DONE]"), (2, 1, delta("dead", finish_reason="stop")), (3, 0, "no payload"),
+        (4, 0, "data: {broken"), (4, 1, delta("x", finish_reason="stop")), (4, 2, delta("y", finish_reason="error"))]
+    path = str(tmp_path / "log")
+    spark.createDataFrame(rows, "generation_id int, seq int, line string").write.parquet(path)
+    lines = spark.read.parquet(path)
+    got = {r["generation_id"]: tuple(r)[1:] for r in logs.sse_generations(lines).collect()}
+    lost = "stream ended without a finish_reason"
+    assert got == {1: ("length", 3, 2, 2, None), 2: (None, None, None, 0, lost), 3: (None, None, None, 0, lost),
+                   4: ("error", None, None, 2, None)}
+    assert [r["text"] for r in logs.parse_sse_log(lines).orderBy("generation_id", "seq").collect()] == [
+        "a", None, "b", None, None, "x", "y"]
+    for made in (logs.sse_generations(lines), logs.parse_sse_log(lines)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") <= 1
+
+
 def test_generation_log_lines(spark):
     lines = ['{"response": "a"}', '{"done": true, "eval_count": 3}', '{"error": "x", "done": true}', "[1]", "oops", " ",
              '{"response": 5}']

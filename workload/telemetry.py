@@ -218,14 +218,13 @@ SELECT g.user_id AS generation_id,
   max(CASE WHEN event_type = 'view' THEN 'stop' END) AS finish_reason,
   max(CASE WHEN event_type = 'view' THEN event_id END) AS prompt_tokens,
   count(*) FILTER (WHERE event_type = 'click') AS token_count,
-  count(*) FILTER (WHERE event_type = 'view') = 0 AS failed
+  CASE WHEN count(*) FILTER (WHERE event_type = 'view') = 0 THEN 'stream ended without a finish_reason' END
+    AS failure_reason
 FROM (SELECT DISTINCT user_id FROM events) g LEFT JOIN live ON g.user_id = live.user_id
 GROUP BY g.user_id""")
 def s4(t: Tables) -> DataFrame:
-    lines = t.spread("sse_lines")
-    return logs.sse_summary(logs.parse_sse_log(lines), lines).select(
-        "generation_id", "finish_reason", "prompt_tokens", "token_count",
-        F.col("failure_reason").isNotNull().alias("failed"),
+    return logs.sse_generations(t.spread("sse_lines")).select(
+        "generation_id", "finish_reason", "prompt_tokens", "token_count", "failure_reason",
     )
 
 
