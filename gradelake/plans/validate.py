@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.functions.text import (
-    extract_json, is_blank, js_trim, json_kind, json_number, json_string, kebab, normalize_text,
+    bind, extract_json, is_blank, js_trim, json_kind, json_number, json_string, kebab, normalize_text,
 )
 from gradelake.operators.scale import group_index, keep_first, lookup_join
 from gradelake.operators.schema_check import schema_problem
 from gradelake.operators.scorers import label_table, resolve_label, scorer_names
-from gradelake.operators.sets import is_off_label, missing_labels, off_label
+from gradelake.operators.sets import is_off_label, missing_labels
 from gradelake.sources.packs import parse_example
 
 #: Fixed value: fewest distinct examples of a drafted pack.
@@ -419,28 +419,49 @@ def distinct_examples(entries: DataFrame) -> DataFrame:
     )
 
 
-def validate_drafts(drafts: DataFrame, entries: DataFrame) -> DataFrame:
-    """Problems of drafted packs (V6): ``(draft_id, place, message)``."""
+def _draft_examples(doc: Column, labels: Column, key_fields: Column) -> Column:
+    """What the examples of a draft amount to: broken entries, and counts over the distinct valid ones.
+
+    A draft is one output of a model, so its examples stay an array in its row and nothing is
+    shuffled.
+    """
+    def described(entry: Column, i: Column) -> Column:
+        return F.struct(
+            i.alias("seq"), entry_problem(entry).alias("problem"),
+            json_string(_at(entry, "$.input")).alias("input"), _at(entry, "$.expected").alias("expected"))
+
+    def lacks(e: Column) -> Column:
+        own = F.map_keys(F.try_variant_get(e["expected"], "$", "map<string,variant>"))
+        return F.coalesce(
+            ~_is(e["expected"], "{") | F.exists(key_fields, lambda f: ~F.array_contains(own, f)), F.lit(True))
+
+    def counted(each: Column, kept: Column) -> Column:
+        astray = F.filter(kept, lambda e: is_off_label(e["expected"], labels))
+        return F.struct(
+            F.filter(each, lambda e: e["problem"].isNotNull()).alias("broken"), F.size(kept).alias("n"),
+            F.when(key_fields.isNotNull(), F.size(F.filter(kept, lacks))).alias("n_lacking"),
+            F.size(F.filter(kept, lambda e: json_number(e["expected"]).isNull())).alias("n_not_number"),
+            F.slice(F.array_distinct(F.transform(astray, lambda e: F.to_json(e["expected"]))), 1, 5).alias("off_label"))
+
+    def first_of_each(each: Column) -> Column:
+        valid = F.filter(each, lambda e: e["problem"].isNull())
+        inputs = F.transform(valid, lambda e: e["input"])
+        return bind(F.struct(valid.alias("valid"), inputs.alias("inputs")), lambda v: bind(
+            F.filter(v["valid"], lambda e, i: F.array_position(v["inputs"], e["input"]) == i + 1),
+            lambda kept: counted(each, kept)))
+
+    entries = F.try_variant_get(doc, "$.examples", "array<variant>")
+    return bind(F.transform(entries, described), first_of_each)
+
+
+def validate_drafts(drafts: DataFrame) -> DataFrame:
+    """Problems of drafted packs (V6): ``(draft_id, place, message)``; one pass, no shuffle."""
     doc = F.col("draft")
     scorer, params = json_string(_at(doc, "$.scorer")), _at(doc, "$.scorer_params")
     prompt, listed = json_string(_at(doc, "$.prompt")), _at(doc, "$.examples")
     facts = drafts.select("draft_id", "ok", "error", "draft", *draft_facts(doc))
-    kept = distinct_examples(entries)
-    expected = F.col("expected")
-    own = F.map_keys(F.try_variant_get(expected, "$", "map<string,variant>"))
-    lacks = F.coalesce(
-        ~_is(expected, "{") | F.exists("key_fields", lambda f: ~F.array_contains(own, f)),
-        F.lit(True),
-    )
-    counts = kept.groupBy("draft_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("key_fields").isNotNull() & lacks).alias("n_lacking"),
-        F.count_if(json_number(expected).isNull()).alias("n_not_number"),
-    )
-    astray = off_label(kept.withColumnRenamed("draft_id", "pack")).withColumnRenamed(
-        "pack", "draft_id"
-    )
-    joined = facts.join(counts, "draft_id", "left").join(astray, "draft_id", "left")
+    told = facts.withColumn("_e", _draft_examples(doc, F.col("labels"), F.col("key_fields")))
+    joined = told.select(*facts.columns, "_e.*")
     n = F.coalesce("n", F.lit(0))
     unnamed = missing_labels(F.col("labels"), prompt)
     known = F.coalesce(scorer.isin(*scorer_names()), F.lit(False))
@@ -492,14 +513,12 @@ def validate_drafts(drafts: DataFrame, entries: DataFrame) -> DataFrame:
         .when(doc.isNull(), F.array(F.lit("the response must be a JSON object")))
         .otherwise(rules)
     )
-    of_draft = explode_problems(joined, ["draft_id"], whole)
-    bad = entries.select("draft_id", "seq", entry_problem(F.col("entry")).alias("message"))
-    of_entries = bad.filter(F.col("message").isNotNull()).select(
-        "draft_id", (F.col("seq") + 1000).alias("place"),
-        F.concat(F.lit("examples["), F.col("seq").cast("string"), F.lit("] "), F.col("message"))
-        .alias("message"),
-    )
-    return of_draft.unionByName(of_entries)
+    of_draft = F.transform(whole, lambda m, i: F.struct(i.alias("place"), m.alias("message")))
+    of_entries = F.transform("broken", lambda e: F.struct(
+        (e["seq"] + 1000).alias("place"),
+        F.concat(F.lit("examples["), e["seq"].cast("string"), F.lit("] "), e["problem"]).alias("message")))
+    nothing = F.array().cast("array<struct<place:int,message:string>>")
+    return joined.select("draft_id", F.inline(F.concat(of_draft, F.coalesce(of_entries, nothing))))
 
 
 # Fixed value: what stands in for a prompt that cannot be used.

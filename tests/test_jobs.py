@@ -384,7 +384,7 @@ def test_drafts(spark):
              "examples": draft["examples"][:2] + [{"input": "i0", "expected": "x"}, {"input": "z", "expected": "maybe"}, 3]}
     df = spark.createDataFrame([(1, json.dumps(draft)), (2, "so: " + json.dumps(worse)), (3, "none")], "draft_id int, output string")
     drafts, entries = validate.parse_drafts(df)
-    found = validate.validate_drafts(drafts, entries).collect()
+    found = validate.validate_drafts(drafts).collect()
     text = {d: sorted(r["message"] for r in found if r["draft_id"] == d) for d in (1, 2, 3)}
     assert text[1] == [] and len(text[3]) == 1
     assert text[2] == ["examples[4] must be an object with input and expected",
