@@ -160,8 +160,9 @@ def write_export(
 ) -> None:
     """Reproducibility export as a folder of tables.
 
-    ``units`` carry model name and pack. Raw outputs stand alone, by model;
-    scoring inputs are left out (pass None) when the pack drifted. ``run`` is the run's record and ``report`` the
+    ``units`` carry model name and pack. Raw outputs stand alone, in order of model and unit:
+    files follow the amount of outputs, not the number of models, and their statistics tell
+    which of them hold a model; scoring inputs are left out (pass None) when the pack drifted. ``run`` is the run's record and ``report`` the
     tables of its report. The manifest, with rows and digest of every table, is
     written last: an export without it was not finished.
     """
@@ -189,8 +190,9 @@ def write_export(
     manifest = []
     for name, table in tables.items():
         seen = Observation()
-        rows = table.observe(seen, *_digest(table)).write.mode("errorifexists")
-        (rows.partitionBy("model_name") if name == "outputs" else rows).parquet(f"{path}/{name}")
+        if name == "outputs":  # sorted before it is observed: the ranges are found by reading the rows once more
+            table = table.repartitionByRange("model_name", "unit_id").sortWithinPartitions("model_name", "unit_id")
+        table.observe(seen, *_digest(table)).write.mode("errorifexists").parquet(f"{path}/{name}")
         manifest.append((name, seen.get["rows"], str(seen.get["digest"]), table.schema.json()))
     units.sparkSession.createDataFrame(
         manifest, "table_name string, rows bigint, digest string, columns string"

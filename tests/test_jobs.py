@@ -285,6 +285,19 @@ def test_export_with_run_and_report_has_to_be_whole(spark, tmp_path):
         journal.verify_export(spark, path)
 
 
+def test_files_of_an_export_do_not_follow_its_models(spark, tmp_path):
+    units = spark.range(600).selectExpr(
+        "'r' AS run_id", "concat('u', id) AS unit_id", "'p' AS pack", "id AS example_id", "1 AS repetition",
+        "CASE id % 200 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('m:', id % 200) END AS model_name",
+        "'yes' AS output", "1.0D AS score", "true AS pass", "'{}' AS details").repartition(6)
+    path = str(tmp_path / "many")
+    journal.write_export(units, units.select("model_name").distinct(), path)
+    held = [f for _, _, files in os.walk(f"{path}/outputs") for f in files if f.endswith(".parquet")]
+    assert len(held) <= 8
+    got = journal.read_export(spark, path)["outputs"].select("unit_id", "model_name").collect()
+    assert sorted(got) == sorted(units.select("unit_id", "model_name").collect())
+
+
 def test_journal_keeps_text_run_ids_and_compacts(spark, tmp_path):
     path = str(tmp_path / "journal")
 
