@@ -298,6 +298,21 @@ def test_files_of_an_export_do_not_follow_its_models(spark, tmp_path):
     assert sorted(got) == sorted(units.select("unit_id", "model_name").collect())
 
 
+def test_work_plan_is_dealt_to_as_many_tasks_as_its_units_need(spark, monkeypatch):
+    from gradelake.operators import joins
+
+    monkeypatch.setattr(joins, "UNITS_A_TASK", 100)
+    candidates = spark.range(40).selectExpr(
+        "1 AS run_id", "id AS candidate_id", "id AS candidate_seq", "CASE WHEN id < 38 THEN 'p' END AS pack").coalesce(1)
+    examples = spark.range(10).selectExpr(
+        "CASE WHEN id < 9 THEN 'p' END AS pack", "id AS example_id", "nullif(1 + id % 3, 3) AS n").coalesce(1)
+    plan = joins.work_plan(candidates, examples, F.col("n"))
+    found = plan.select("candidate_id", "example_id", "repetition", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in found}) >= 3
+    assert sorted(r[:3] for r in found) == sorted(
+        (c, e, k) for c in range(38) for e in range(9) if e % 3 < 2 for k in range(1, 2 + e % 3))
+
+
 def test_journal_keeps_text_run_ids_and_compacts(spark, tmp_path):
     path = str(tmp_path / "journal")
 
