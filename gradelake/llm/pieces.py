@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from gradelake.llm.common import Recent
 SPACE = "▁"
 #: Longest segment whose ids are remembered, and how many are.
 REMEMBERED_CHARS, REMEMBERED = 64, 3 << 16
+#: Pairs of pieces whose order is remembered.
+REMEMBERED_PAIRS = 1 << 19
 #: Positions read between two looks for a boundary on which all paths agree.
 STRIDE = 64
 
@@ -51,9 +54,13 @@ class Vocabulary:
         # A boundary no piece can cross: in front of a space mark after anything else.
         crossing = any(SPACE in p.lstrip(SPACE) for p in ids)
         feed = any("\n" in p for p in ids)
-        # Beginnings of pieces, with the id where the beginning is a piece itself.
-        self.starts = {p[:i]: ids.get(p[:i], -1) for p in ids for i in range(1, len(p) + 1)}
+        # An automaton over the beginnings of pieces, made as texts need it: a node has the longest beginning
+        # that ends the text read, the nodes that follow by character, and the pieces that end here, longest first.
+        self.starts = {p[:i] for p in ids for i in range(1, len(p) + 1)}
+        self.ends = {p: (len(p), i) for p, i in ids.items()}
         self.inside = {p[i:i + 2] for p in ids for i in range(len(p) - 1)}
+        self.root = ("", {}, ())
+        self.nodes: dict[str, tuple] = {}
         self.by_line = not crossing and not feed
         self.cut = None if crossing else re.compile(
             f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if feed else f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
@@ -65,23 +72,35 @@ class Vocabulary:
         made._setup(ids, scores, kind, byte_ids, unknown)
         return made
 
+    def step(self, node: tuple, char: str) -> tuple:
+        """The node behind a node by a character that is a piece."""
+        text = node[0] + char
+        while text not in self.starts:
+            text = text[1:]
+        found = self.nodes.get(text)
+        if found is None:
+            ends = tuple(self.ends[text[k:]] for k in range(len(text)) if text[k:] in self.ends)
+            found = self.nodes[text] = (text, {}, ends)
+        node[1][char] = found
+        return found
+
     def merged(self, text: str) -> list[str]:
         """Merging by score, leftmost first among equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                break
+        parts, score, none = list(text), self.scores.get, float("-inf")
+        found = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while found and (best := max(found)) > none:
+            at = found.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at > 0:
+                found[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(found):
+                found[at] = score(parts[at] + parts[at + 1], none)
         return parts
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging leaves the two pieces apart; -1 on the left is the start."""
-        if len(self.apart) >= REMEMBERED:
+        if len(self.apart) >= REMEMBERED_PAIRS:
             self.apart.clear()
         parts = [self.names[i] for i in (left, right) if i >= 0]
         known = self.apart[left << 32 | right] = self.merged("".join(parts)) == parts
@@ -104,7 +123,7 @@ class StreamingViterbi:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.text = ""
+        self.node = vocabulary.root
         self.back: list[int] = [0]
         self.last: list[int] = [-1]
         self.best: list[float] = [0.0]
@@ -113,17 +132,10 @@ class StreamingViterbi:
 
     def feed(self, text: str) -> list[int]:
         out: list[int] = []
-        chars, at = self.v.chars, 0
+        chars, reach, at = self.v.chars, self._scored if self.v.kind != "bpe" else self._apart, 0
         while at < len(text):
-            end = at
-            stop = min(len(text), at + STRIDE - self.since)
-            while end < stop and text[end] in chars:
-                end += 1
-            if end > at:
-                self.text += text[at:end]
-                self._reach()
-                self.since += end - at
-                at = end
+            at = reach(text, at, min(len(text), at + STRIDE - self.since))
+            self.widest = max(self.widest, len(self.back) - 1)
             if self.since >= STRIDE:
                 out += self._commit(self._agreed())
                 self.since = 0
@@ -133,38 +145,58 @@ class StreamingViterbi:
                 at += 1
         return out
 
-    def _reach(self) -> None:
-        """Extend the search to the end of the text held."""
-        v, text, back, last, best = self.v, self.text, self.back, self.last, self.best
-        apart, starts, scored = v.apart, v.starts, v.kind != "bpe"
-        old, new = len(back) - 1, len(text)
-        back += [-1] * (new - old)
-        last += [-1] * (new - old)
-        best += [float("-inf")] * (new - old)
-        for j in range(max(0, old - v.longest + 1), new):
-            left = last[j] << 32
-            for i in range(j + 1, new + 1):
-                piece = starts.get(text[j:i])
-                if piece is None:
-                    break  # no piece begins like this
-                if piece < 0 or i <= old:
-                    continue
-                if scored:
-                    total = best[j] + v.scores[text[j:i]]
-                    if total > best[i]:
-                        back[i], last[i], best[i] = j, piece, total
-                elif back[i] < 0:
-                    allowed = apart.get(left | piece)
+    def _apart(self, text: str, at: int, stop: int) -> int:
+        """Extend the one path of every place up to ``stop`` or a character without a piece; where that is."""
+        v, node, back, last = self.v, self.node, self.back, self.last
+        apart, i, first = v.apart, len(back), at
+        while at < stop:
+            char = text[at]
+            then = node[1].get(char)
+            if then is None:
+                if char not in v.chars:
+                    break
+                then = v.step(node, char)
+            node = then
+            for length, piece in node[2]:
+                j = i - length
+                if j >= 0:
+                    left = last[j]
+                    allowed = apart.get(left << 32 | piece)
                     if allowed is None:
-                        allowed = v.may_follow(last[j], piece)
+                        allowed = v.may_follow(left, piece)
                     if allowed:
-                        back[i], last[i], best[i] = j, piece, 0.0
-        if min(back[old + 1:], default=0) < 0:
-            raise ValueError(f"no path reaches some place of {text!r}")
-        self.widest = max(self.widest, len(text))
+                        back.append(j)
+                        last.append(piece)
+                        break
+            else:
+                raise ValueError(f"no path reaches some place of {text!r}")
+            i += 1
+            at += 1
+        self.node = node
+        self.since += at - first
+        return at
+
+    def _scored(self, text: str, at: int, stop: int) -> int:
+        """The same for the path with the largest total."""
+        v, back, last, best = self.v, self.back, self.last, self.best
+        while at < stop and text[at] in v.chars:
+            self.node = self.node[1].get(text[at]) or v.step(self.node, text[at])
+            total, way, end = float("-inf"), -1, -1
+            for length, piece in self.node[2]:
+                j = len(back) - length
+                if j >= 0 and best[j] + v.scores[v.names[piece]] > total:
+                    total, way, end = best[j] + v.scores[v.names[piece]], j, piece
+            if way < 0:
+                raise ValueError(f"no path reaches some place of {text!r}")
+            back.append(way)
+            last.append(end)
+            best.append(total)
+            self.since += 1
+            at += 1
+        return at
 
     def _agreed(self) -> int:
-        n = len(self.text)
+        n = len(self.back) - 1
         live = set(range(max(0, n - self.v.longest + 1), n + 1))
         while len(live) > 1:
             farthest = max(live)
@@ -184,16 +216,15 @@ class StreamingViterbi:
             return []
         ids = self._path(at)
         # The piece in front of the boundary stays known: it decides what may follow it.
-        self.text = self.text[at:]
         self.back = [max(0, b - at) for b in self.back[at:]]
-        self.last, base = self.last[at:], self.best[at]
-        self.best = [b - base for b in self.best[at:]]
+        self.last = self.last[at:]
+        self.best = [b - self.best[at] for b in self.best[at:]]
         return ids
 
     def finish(self) -> list[int]:
         """The ids of all that was not committed; ready for a new text."""
-        ids = self._path(len(self.text))
-        self.text, self.back, self.last, self.best, self.since = "", [0], [-1], [0.0], 0
+        ids = self._path(len(self.back) - 1)
+        self.node, self.back, self.last, self.best, self.since = self.v.root, [0], [-1], [0.0], 0
         return ids
 
 
@@ -205,7 +236,11 @@ class _Words(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encoder[SPACE + word]
+        if len(word) > 1 and not word[-1].isalnum() and word[-2:] not in self.encoder.v.inside:
+            # No piece holds the last two characters, so every path crosses between them.
+            ids = self[word[:-1]] + self.encoder[word[-1]]
+        else:
+            ids = self.encoder.searched(SPACE + word)
         if len(word) < REMEMBERED_CHARS:
             if len(self) >= 2 * REMEMBERED:
                 self.clear()
@@ -225,20 +260,12 @@ class Encoder(dict):
         self.feed = self["\n"]
 
     def __missing__(self, segment: str) -> bytes:
-        inside = self.v.inside
-        if len(segment) <= REMEMBERED_CHARS:
-            known = self.cores.get(segment)
-            if known is not None:
-                return known
-        for i in range(1, len(segment) if len(segment) <= REMEMBERED_CHARS else 0):
-            if segment[i - 1:i + 1] not in inside:
-                # No piece holds these two characters, so every path crosses between them.
-                ids = self[segment[:i]] + self[segment[i:]]
-                break
-        else:
-            ids = self._searched(segment)
-            if len(segment) <= REMEMBERED_CHARS:
-                self.cores.put(segment, ids)
+        if len(segment) > REMEMBERED_CHARS:
+            return self.searched(segment)
+        ids = self.cores.get(segment)
+        if ids is None:
+            ids = self.searched(segment)
+            self.cores.put(segment, ids)
         return ids
 
     def _by_word(self, text: str) -> bytes:
@@ -253,7 +280,7 @@ class Encoder(dict):
             out += map(self.words.__getitem__, rest)
         return b"".join(out)
 
-    def _searched(self, segment: str) -> bytes:
+    def searched(self, segment: str) -> bytes:
         ids = array("I", self.stream.feed(segment) + self.stream.finish())
         return ids.tobytes()
 
@@ -268,6 +295,31 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.v.cut.findall(marked)))
 
 
+class Decoder:
+    """Texts of lists of ids, as ``decode`` makes them, for whole batches.
+
+    A piece is whole UTF-8, so bytes that make no character are told apart in the joined bytes as well.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        known = {i: p.encode() for i, p in vocabulary.names.items()}
+        known = {i: bytes([b]) for i, b in vocabulary.byte_of.items()} | known
+        self.none = max(known) + 1
+        self.pieces = pa.array([known.get(i, b"") for i in range(self.none + 1)], pa.binary())
+
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        ends = lists.offsets.to_numpy()
+        ids = lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]]
+        taken = self.pieces.take(pa.array(np.where((ids >= 0) & (ids < self.none), ids, self.none)))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends - ends[0]), taken), b"")
+        spaced = pc.replace_substring(joined, SPACE.encode(), b" ")
+        try:
+            texts = spaced.cast(pa.string())
+        except pa.ArrowInvalid:  # some text is no UTF-8
+            texts = pa.array([t.as_py().decode(errors="replace") for t in spaced], pa.string())
+        return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+
+
 def decode(vocabulary: Vocabulary, ids) -> str:
     """The text of ids: space marks become spaces, the one in front goes, bytes are joined."""
     out: list[str] = []
@@ -336,13 +388,9 @@ def decode_documents(encoded: DataFrame, model_file: str, kind: str = "bpe") ->
     cannot tell from a space.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _encoder(model_file, kind).v
+        decoder = Decoder(_encoder(model_file, kind).v)
         for batch in _small(batches):
-            lists = batch.column("ids")
-            values = lists.values.to_numpy(zero_copy_only=False)
-            ends = lists.offsets.to_numpy()
-            texts = [decode(vocabulary, values[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+                [*batch.columns, decoder.texts(batch.column("ids"))], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, "doc_id bigint, text string, ids array<int>, decoded string")

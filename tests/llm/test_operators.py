@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -492,6 +493,32 @@ def test_streaming_viterbi_equals_the_library():
     assert "".join(vocabulary.names[i] for i in ids) == long and stream.widest <= 2 * pieces.STRIDE
 
 
+def test_texts_of_batches_equal_those_of_single_lists():
+    ids = {"▁": 3, "a": 4, "▁a": 5, "é": 6, "\n": 7}
+    vocabulary = pieces.Vocabulary.of(ids, dict.fromkeys(ids, 0.0), "bpe", {b: 10 + b for b in range(256)})
+    rng, raw = random.Random(3), [10 + b for b in b"\xe2\x96\x81\xf0\xc3\xa9 \x80"]
+    lists = [[rng.choice([*ids.values(), *raw, 0, 999, -1]) for _ in range(rng.randrange(12))] for _ in range(300)]
+    array = pa.array([[4], *lists], pa.list_(pa.int32())).slice(1)
+    assert pieces.Decoder(vocabulary).texts(array).to_pylist() == [pieces.decode(vocabulary, x) for x in lists]
+
+
+def test_every_piece_that_may_end_a_path_is_seen_once():
+    """The search reads a character once, however long the pieces that begin before it."""
+    class Counted(str):
+        sliced = 0
+
+        def __getitem__(self, at):
+            Counted.sliced += isinstance(at, slice)
+            return str.__getitem__(self, at)
+
+    names = ["a" * n for n in range(1, 33)] + ["b"]
+    scores = {n: -float(k) for k, n in enumerate(names)}
+    vocabulary = pieces.Vocabulary.of({n: k for k, n in enumerate(names)}, scores, "unigram", {}, 99)
+    stream = pieces.StreamingViterbi(vocabulary)
+    assert "".join(names[i] for i in stream.feed(Counted("a" * 60 + "b")) + stream.finish()) == "a" * 60 + "b"
+    assert Counted.sliced == 0 and len(vocabulary.nodes) == 33
+
+
 def test_unigram_paths_have_the_best_total():
     rng = random.Random(7)
     names = list("abc") + ["ab", "bc", "abc", "ca", "cab", "bca"]
