@@ -197,8 +197,13 @@ def _checked(here: Column, node: Mapping | bool, path: Path, root: object) -> Co
     return bind(here, lambda v: bind(json_kind(v), lambda kind: found(v, kind)))
 
 
+def _numeric(kind: Column) -> Column:
+    """Whether a value of this kind is a number: no other kind lies between - and 9."""
+    return (kind >= "-") & (kind <= "9")
+
+
 def _is_type(v: Column, kind: Column, name: str) -> Column:
-    number = kind.rlike("[-0-9]")
+    number = _numeric(kind)
     value = F.try_variant_get(v, "$", "double")
     return {
         "object": kind == "{",
@@ -220,7 +225,9 @@ def _violations(v: Column, kind: Column, node: Mapping, path: Path, root: object
         for name in names + (["null"] if node.get("nullable") is True else []):
             fits = fits | _is_type(v, kind, name)
         out.append(_when(~fits, _said(path, f"must be {','.join(names)}")))
-    out += _of_numbers(F.when(_is_type(v, kind, "number"), F.try_variant_get(v, "$", "double")), node, path)
+    if node.keys() & {*_NUMBERS}:
+        number = F.when(_is_type(v, kind, "number"), F.try_variant_get(v, "$", "double"))
+        out.append(bind(number, lambda x: F.concat(*_of_numbers(x, node, path))))
     out += _of_texts(F.when(_is_type(v, kind, "string"), F.try_variant_get(v, "$", "string")), node, path)
     out += _of_any(v, node, path, root)
     if node.keys() & {"maxItems", "minItems", "uniqueItems", "items", "contains"}:
@@ -278,11 +285,11 @@ def _of_any(v: Column, node: Mapping, path: Path, root: object) -> list[Column]:
 
     out = []
     if "const" in node:
-        out.append(_when(_key(v) != _key(_literal(node["const"])), _said(path, "must be equal to constant")))
+        out.append(_when(_key(v) != _literal_key(node["const"]), _said(path, "must be equal to constant")))
     if "enum" in node:
         hit = F.lit(False)
         for one in node["enum"]:
-            hit = hit | (_key(v) == _key(_literal(one)))
+            hit = hit | (_key(v) == _literal_key(one))
         out.append(_when(~hit, _said(path, "must be equal to one of the allowed values")))
     if "not" in node:
         out.append(_when(v.isNotNull() & (F.size(of(node["not"])) == 0), _said(path, "must NOT be valid")))
@@ -365,7 +372,8 @@ def _repeated(items: Column, of_items: object, path: Path) -> Column:
             two.cast("string"), F.lit(" are identical)"))))).otherwise(_none())
 
     several = F.when(F.size(items) > 1, F.transform(items, _key))
-    return bind(several, lambda keys: bind(pairs(keys), told))
+    return bind(several, lambda keys: F.when(
+        F.size(F.array_distinct(keys)) < F.size(keys), bind(pairs(keys), told)).otherwise(_none()))
 
 
 def _of_objects(v: Column, members: Column, node: Mapping, path: Path, root: object) -> list[Column]:
@@ -429,6 +437,17 @@ def _literal(value: object) -> Column:
     return F.parse_json(F.lit(json.dumps(value)))
 
 
+def _literal_key(value: object) -> Column:
+    """The key of a known value; of plain scalars it is worked out once, not for every row."""
+    if value is None or isinstance(value, bool):
+        return F.lit(json.dumps(value))
+    if isinstance(value, str) and re.fullmatch(r"[ !#-\[\]-~]*", value):
+        return F.lit(f'"{value}"')
+    if _is_number(value) and abs(value) < 1 << 53:
+        return number_key(F.lit(float(value)))
+    return _key(_literal(value))
+
+
 def _key(v: Column) -> Column:
     """JSON text of a value at any depth, numbers by value, so 1 and 1.0 are the same.
 
@@ -441,7 +460,7 @@ def _key(v: Column) -> Column:
             lambda t: F.when(t.rlike("^[-0-9]"), number_key(t.try_cast("double"))).otherwise(t))
         return (
             F.when(head.isin("{", "["), F.array_join(tokens, "\x01"))
-            .when(head.rlike("[-0-9]"), number_key(text.try_cast("double")))
+            .when(_numeric(head), number_key(text.try_cast("double")))
             .otherwise(text)
         )
 

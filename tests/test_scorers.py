@@ -304,3 +304,14 @@ def test_expected_values_that_do_not_fit_are_refused(spark, scorer, params, expe
     assert message in str(found.value) and "more" not in str(found.value)
     # without the bad ones the rest is scored; a pack that is not there judges nothing
     assert scoring.score(outputs, examples.filter("example_id = 3"), packs).count() == 1
+
+
+def test_keys_of_known_values_are_worked_out_once(spark):
+    values = ["open", 'a"b', "é", "a\\b", "", None, True, False, 0, -0.0, 1.0, 1e-7, 2.5, -3, 12345678901234567890,
+              {"a": [1, 2.0]}, [1, "x"]]
+    got = spark.range(1).select(F.array(*map(schema_check._literal_key, values)), F.array(
+        *[schema_check._key(schema_check._literal(v)) for v in values])).first()
+    assert got[0] == got[1]
+    plan = spark.range(1).select(F.col("id").cast("string").alias("o")).select(scorers.json_schema(
+        F.col("o"), {"enum": ["open", 4, None, True]}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") == 1  # the output itself
