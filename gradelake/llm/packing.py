@@ -12,6 +12,7 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -30,7 +31,7 @@ MARKS = (",", ".")
 PIECE = re.compile("[a-zß-öø-ÿªºµ]+|[0-9²³¹¼½¾]|[!-&(-/:-@[-`{-~¡-©«¬®-±´¶-¸»¿×÷]+")
 PIECES = re.compile(f"(?:{PIECE.pattern})+")
 #: White-space separated parts whose ids a task remembers, and text read between look-ups.
-REMEMBERED, TOGETHER = 5 << 18, 4 << 20
+REMEMBERED, TOGETHER = 5 << 18, 8 << 20
 
 
 _ID = attrgetter("id")
@@ -41,21 +42,23 @@ class PartIds(dict):
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are
     those of its parts. It makes letters lower case, which in Latin-1 texts may be done
-    first, so that it sees each distinct part once. There a comma or full stop before white
-    space is a part of its own too, as it is for the tokenizer unless another sign stands
-    before it: parts that end in a sign are kept apart, in ``signed``, and take a mark that
-    follows them back. Added tokens are found in the text as it stands, whatever is around them;
-    as parts they begin with a line feed, which no other part holds.
+    first, so that it sees each distinct part once. Behind a letter or digit of Latin-1 a comma
+    or full stop that ends a part stands by itself, and the part is not remembered with it.
+    Added tokens are found in the text as it stands, whatever is around them; as parts they
+    begin with a line feed, which no other part holds but the one that ends a document.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end_id: int = END_ID) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True  # what makes one only in lower case is ordinary text
-        self.word = self.encoder.model.tokenize
+        self.model = Tokenizer(self.encoder.model)
+        mark, names = self.encoder.model.end_of_word_suffix, self.model.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for name, i in names.items() if mark and name.endswith(mark)]] = True
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.as_bytes = {i: as_bytes(chr(i))[0][0] for i in range(128, 256) if chr(i).isalpha()}
         self.dtype = np.dtype("<u2" if self.encoder.get_vocab_size() <= 1 << 16 else "<u4")
@@ -63,81 +66,93 @@ class PartIds(dict):
         added = {token.content: i for i, token in self.encoder.get_added_tokens_decoder().items()}
         self.split = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
         self.fixed = {"\n" + t: array(self.code, [i]).tobytes() for t, i in added.items()}
-        self.fixed |= {"": b""} | {m: self._encode([m])[0] for m in MARKS}
-        self.signed: dict[str, bytes] = {}
+        self.fixed |= {"": b"", "\n": np.array([end_id], self.dtype).tobytes()}
+        self.fixed |= {m: self._encode([m])[0] for m in MARKS}
         self.update(self.fixed)
 
-    def parts(self, text: str) -> tuple[list[str], bool]:
-        """The parts of a text, and whether marks were made parts of their own."""
+    def spaced(self, text: str) -> str:
+        """A text with single spaces between its parts, the end of the document as the last one."""
         if "<|" in text and len(pieces := self.split.split(text)) > 1:
-            apart = [["\n" + p] if i % 2 else p.replace("\n", " ").split(" ") for i, p in enumerate(pieces)]
-            return [p for of_piece in apart for p in of_piece], False
+            return " ".join("\n" + p if i % 2 else p.replace("\n", " ") for i, p in enumerate(pieces)) + " \n"
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return text.replace("\n", " ").split(" "), False
-        text = text.lower().replace("\n", " ")
-        if any(run in text for run in (",. ", "., ", ".. ", ",, ")):
-            return text.split(" "), False
-        return text.replace(". ", " . ").replace(", ", " , ").split(" "), True
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts; parts are looked up once, and those not known are learned together.
-
-        A mark that was made a part of its own is never the last part.
-        """
-        held = [self.parts(t) for t in texts]
-        found = [list(map(self.get, parts)) for parts, _ in held]
-        gaps = []
-        for (parts, apart), of_text in zip(held, found):
-            gaps.append(missing := [])
-            for i in [i for i, ids in enumerate(of_text) if ids is None]:
-                part = parts[i]
-                if apart and not part[-1].isalnum() and i + 2 < len(parts) and parts[i + 1] in MARKS:
-                    part += parts[i + 1]
-                    of_text[i + 1] = b""
-                missing.append((i, part))
-        self.learn({part for missing in gaps for _, part in missing})
-        for of_text, missing in zip(found, gaps):
-            for i, part in missing:
-                of_text[i] = self.get(part) or self.signed[part]
-        return [b"".join(of_text) for of_text in found]
+            return text.replace("\n", " ") + " \n"
+        return text.lower().replace("\n", " ") + " \n"
+
+    def ids(self, texts: list[str]) -> pa.Array:
+        """The ids of texts, each with the end id behind it; distinct parts are looked up once."""
+        parts = pc.split_pattern(pa.array(map(self.spaced, texts), pa.large_string()), " ")
+        places = parts.values.dictionary_encode()
+        distinct = places.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = pa.array(self.of(distinct), pa.large_binary()).take(places.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[parts.offsets.to_numpy()]
+        if ends[-1] > np.iinfo(np.int32).max:
+            raise ValueError("the ids of a text take more than 2 GB")
+        return pa.Array.from_buffers(
+            pa.binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int32)), found.buffers()[2]])
+
+    def of(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts; those not known are learned together."""
+        found = list(map(self.get, parts))
+        gaps, missing = [], []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            part = parts[i]
+            if part[-1] in MARKS and part[-2:-1].isalnum() and (part.isascii() or max(part) <= "\xff"):
+                core = part[:-1]
+                if (ids := self.get(core)) is not None:
+                    found[i] = ids + self.fixed[part[-1]]
+                    continue
+                gaps.append((i, core, self.fixed[part[-1]]))
+            else:
+                gaps.append((i, part, b""))
+            missing.append(gaps[-1][1])
+        self.learn(set(missing))
+        for i, core, mark in gaps:
+            found[i] = self[core] + mark
+        return found
 
     def learn(self, parts: set[str]) -> None:
         """Make parts known, from their pieces where they are in lower-case Latin-1."""
-        if len(self) + len(self.signed) + len(parts) > REMEMBERED:
+        if len(self) + len(parts) > REMEMBERED:
             self.clear()
-            self.signed.clear()
             self.update(self.fixed)
-        unknown = parts.difference(self, self.signed)
+        unknown = parts.difference(self)
         words = {p for p in unknown if p.isalpha() and p.islower() and (p.isascii() or max(p) <= "\xff")}
         mixed = {p: PIECE.findall(p) for p in unknown.difference(words) if PIECES.fullmatch(p)}
-        pieces = {x for found in mixed.values() for x in found}.difference(self, self.signed)
+        pieces = {x for found in mixed.values() for x in found}.difference(self)
         words.update(x for x in pieces if x.isalpha())
         rest = list(unknown.union(pieces).difference(words, [p for p, found in mixed.items() if len(found) > 1]))
-        made = dict(zip(rest, self._encode(rest)))
-        self.update((w, self._of_word(w)) for w in words)
-        made.update((p, b"".join(self.get(x) or made.get(x) or self.signed[x] for x in found)) for p, found in mixed.items())
-        for part, ids in made.items():
-            (self if part[-1].isalnum() else self.signed)[part] = ids
+        self.update(zip(rest, self._encode(rest)))
+        self.update(zip(words, self._of_words(words)))
+        self.update((p, b"".join(map(self.__getitem__, found))) for p, found in mixed.items())
 
-    def _of_word(self, word: str) -> bytes:
-        """Ids of a lower-case word in Latin-1, on which the tokenizer's model alone has work to do."""
-        return array(self.code, map(_ID, self.word(word if word.isascii() else word.translate(self.as_bytes)))).tobytes()
+    def _of_words(self, words: set[str]) -> list[bytes]:
+        """Ids of lower-case words in Latin-1, on which the tokenizer's model alone has work to do.
+
+        The ids of all come in one list, where a word's last one is that of a token with the model's end mark.
+        """
+        plain = [w if w.isascii() else w.translate(self.as_bytes) for w in words]
+        found = self.model.encode_batch_fast([plain], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(found.ids, self.dtype)
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
+        if len(ends) != len(words):  # a model without such marks
+            return [array(self.code, map(_ID, self.encoder.model.tokenize(w))).tobytes() for w in plain]
+        held = ids.tobytes()
+        return [held[a:b] for a, b in zip([0, *ends], ends)]
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         found = self.encoder.encode_batch_fast(parts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
 
-_known: dict[str, PartIds] = {}
+_known: dict[tuple[str, int], PartIds] = {}
 
 
 def tokenize(path: str, end_id: int = END_ID):
     """A task that adds n_tokens and ids to rows of doc_id, source and text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known.get(path) or _known.setdefault(path, PartIds(path))
-        end = np.array([end_id], known.dtype).tobytes()
+        known = _known.get((path, end_id)) or _known.setdefault((path, end_id), PartIds(path, end_id))
         width = known.dtype.itemsize
         for batch in batches:
             start, held, size = 0, [], 0
@@ -146,13 +161,13 @@ def tokenize(path: str, end_id: int = END_ID):
                 size += len(held[-1])
                 if size >= TOGETHER or i + 1 == batch.num_rows:
                     gc.disable()  # no cycles are made, and collections would walk through all the lists
-                    ids = [x + end for x in known.ids(held)]
+                    ids = known.ids(held)
                     gc.enable()
                     part = batch.slice(start, len(held))
                     yield pa.RecordBatch.from_arrays([
                         part.column("doc_id"), part.column("source"),
-                        pa.array([len(x) // width for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
+                        pc.divide(pc.binary_length(ids).cast(pa.int64()), width),
+                        ids,
                     ], names=["doc_id", "source", "n_tokens", "ids"])
                     start, held, size = i + 1, [], 0
 
@@ -232,30 +247,33 @@ def _cut(width: int):
     """A task that cuts documents' ids at their pieces and takes their checksums."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            columns = [batch.column(n) for n in ("doc_id", "source", "n_tokens", "ids", "packets")]
-            for doc_id, source, n, ids, packets in zip(*columns):
-                whole = np.frombuffer(ids.as_buffer(), f"<u{width}").astype("<u4")
-                merged: list[list[int]] = []
-                for start, length, at in sorted((p["start"], p["length"], p["at"]) for p in packets.as_py()):
-                    while length:
-                        room = min(length, SEQUENCE - at % SEQUENCE)
-                        last = merged[-1] if merged else None
-                        if last and last[0] + last[1] == start and last[2] + last[1] == at and at % SEQUENCE:
-                            last[1] += room
-                        else:
-                            merged.append([start, room, at])
-                        start, at, length = start + room, at + room, length - room
-                for start, length, at in merged:
-                    crc = zlib.crc32(whole[start:start + length].tobytes())
-                    rows.append((doc_id.as_py(), start, length, crc, n.as_py(),
-                                 at // SEQUENCE, at % SEQUENCE, source.as_py()))
-            for i in range(0, len(rows), 1 << 14):
-                part = list(zip(*rows[i:i + (1 << 14)]))
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c, pa.int64()) for c in part[:7]], pa.array(part[7], pa.string())],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
-                           "offset", "source"])
+            packets, ids = batch.column("packets"), batch.column("ids")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(packets).to_numpy())
+            start, length, at = (x.to_numpy() for x in packets.flatten().flatten())
+            # No packet is longer than a sequence, so it is in two at most.
+            room = np.minimum(length, SEQUENCE - at % SEQUENCE)
+            over = length > room
+            start, at = np.append(start, (start + room)[over]), np.append(at, (at + room)[over])
+            row, length = np.append(row, row[over]), np.append(room, (length - room)[over])
+            order = np.lexsort((start, row))
+            row, start, length, at = row[order], start[order], length[order], at[order]
+            follows = (row[1:] == row[:-1]) & (start[1:] == start[:-1] + length[:-1])
+            follows &= (at[1:] == at[:-1] + length[:-1]) & (at[1:] % SEQUENCE > 0)
+            first = np.flatnonzero(np.append(row[:1] >= 0, ~follows))
+            length = np.add.reduceat(length, first)
+            row, start, at = row[first], start[first], at[first]
+            crc, whole, held = [], None, -1
+            for i, a, n in zip(row.tolist(), start.tolist(), length.tolist()):
+                if i != held:
+                    whole, held = np.frombuffer(ids[i].as_buffer(), f"<u{width}").astype("<u4"), i
+                crc.append(zlib.crc32(whole[a:a + n]))
+            of_document = {n: batch.column(n).take(pa.array(row)) for n in ("doc_id", "n_tokens", "source")}
+            pieces = pa.RecordBatch.from_arrays(
+                [of_document["doc_id"], pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
+                 of_document["n_tokens"], pa.array(at // SEQUENCE), pa.array(at % SEQUENCE), of_document["source"]],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+            for i in range(0, len(row), 1 << 14):
+                yield pieces.slice(i, 1 << 14)
 
     return run
 

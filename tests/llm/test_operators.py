@@ -314,6 +314,44 @@ def test_packing_covers_every_id_once_and_keeps_the_mixture(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_looks_distinct_parts_up_once_and_keeps_the_plain_ids(monkeypatch):
+    looked = []
+
+    class Counted(packing.PartIds):
+        def get(self, part):
+            looked.append(part)
+            return super().get(part)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(path)
+    texts = ["The cat, the END. a$$$, b,. c'S, É. ½, 1984.\nthe  cat.", "", ". , .", "a\x85, b\xa0.", "NOËL,\tx..",
+             "İ, ſ. e\u0301, 漢. Cat, <|", "a, <|endoftext|>, <|STARTOFTEXT|>. B,"] * 40
+    expected = [whole.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    for most in (5 << 18, 8):  # with room, and forgetting again and again
+        monkeypatch.setattr(packing, "REMEMBERED", most)
+        known = Counted(path)
+        for _ in range(2):
+            looked.clear()
+            found = known.ids(texts)
+            assert len(looked) <= 2 * len({p for t in texts for p in t.split()}) + 10
+            assert [np.frombuffer(ids.as_buffer(), known.dtype).tolist() for ids in found] == expected
+
+
+def test_packing_checksums_are_those_of_the_pieces(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, rng.choice((2, 300, 2500))), rng.choice("aab")) for i in range(40)] + [(7, None, None)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(path)
+    ids = [(i, whole.encode(t or "", add_special_tokens=False).ids + [1]) for i, t, _ in rows]
+    got = packing.pack(documents(spark, rows), path).collect()
+    assert max(r.length for r in got) > packing.PACKET and sum(r.length for r in got) == sum(len(x) for _, x in ids)
+    for r in got:
+        assert r.ids_crc32 in {zlib.crc32(np.array(x[r.start:r.start + r.length], "<u4").tobytes())
+                               for i, x in ids if i == r.doc_id and len(x) == r.doc_tokens}
+
+
 def served_by_rounds(queues, quanta, packet=256):
     """Deficit round-robin as it is usually told: (doc_id, start, length) of every packet in order."""
     left = {s: [(d, k, min(packet, n - k)) for d, n in docs for k in range(0, n, packet)] for s, docs in queues.items()}
