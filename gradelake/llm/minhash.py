@@ -26,7 +26,7 @@ SLOTS = 130
 #: Shingles whose signatures are computed together.
 CHUNK = 1 << 17
 #: Words whose hashes a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD1342543DE82EF95)
@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """64-bit hashes of words, remembered."""
+    """64-bit hashes of words, remembered until the end of a task: its worker goes on to other work."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
@@ -157,6 +157,7 @@ def _signer(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 if total >= CHUNK or i + 1 == batch.num_rows:
                     yield _signed(ids.slice(start, len(held)), held, bands, rows)
                     start, held, total = i + 1, [], 0
+        _hash_of.clear()
 
     return sign
 
@@ -189,6 +190,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array(ends), pa.array(np.concatenate(held).view(np.int64))),
                 ], names=["node", "shingles"])
                 held, total = [], 0
+    _hash_of.clear()
 
 
 def _reaches(common, n_u, n_v, similarity: tuple[int, int]):

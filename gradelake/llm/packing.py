@@ -31,7 +31,9 @@ MARKS = (",", ".")
 PIECE = re.compile("[a-zß-öø-ÿªºµ]+|[0-9²³¹¼½¾]|[!-&(-/:-@[-`{-~¡-©«¬®-±´¶-¸»¿×÷]+")
 PIECES = re.compile(f"(?:{PIECE.pattern})+")
 #: White-space separated parts whose ids a task remembers, and text read between look-ups.
-REMEMBERED, TOGETHER = 5 << 18, 8 << 20
+REMEMBERED, TOGETHER = 3 << 18, 8 << 20
+#: Parts whose ids are learned at once: the tokenizer's answer takes several times the room of the ids.
+PORTION = 1 << 15
 
 
 _ID = attrgetter("id")
@@ -83,10 +85,11 @@ class PartIds(dict):
     def ids(self, texts: list[str]) -> pa.Array:
         """The ids of texts, each with the end id behind it; distinct parts are looked up once."""
         parts = pc.split_pattern(pa.array(map(self.spaced, texts), pa.large_string()), " ")
-        places = parts.values.dictionary_encode()
+        bounds, places = parts.offsets, parts.values.dictionary_encode()
+        del parts  # the text is not needed a third time while its words are learned
         distinct = places.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = pa.array(self.of(distinct), pa.large_binary()).take(places.indices)
-        ends = np.frombuffer(found.buffers()[1], np.int64)[parts.offsets.to_numpy()]
+        ends = np.frombuffer(found.buffers()[1], np.int64)[bounds.to_numpy()]
         if ends[-1] > np.iinfo(np.int32).max:
             raise ValueError("the ids of a text take more than 2 GB")
         return pa.Array.from_buffers(
@@ -107,16 +110,20 @@ class PartIds(dict):
             else:
                 gaps.append((i, part, b""))
             missing.append(gaps[-1][1])
-        self.learn(set(missing))
+        missing = list(dict.fromkeys(missing))
+        if len(self) + len(missing) > REMEMBERED:  # only what these parts use stays
+            used = {p: self[p] for part in parts for p in (part, part[:-1]) if p in self}
+            self.clear()
+            self.update(self.fixed)
+            self.update(used)
+        for a in range(0, len(missing), PORTION):
+            self.learn(set(missing[a:a + PORTION]))
         for i, core, mark in gaps:
             found[i] = self[core] + mark
         return found
 
     def learn(self, parts: set[str]) -> None:
         """Make parts known, from their pieces where they are in lower-case Latin-1."""
-        if len(self) + len(parts) > REMEMBERED:
-            self.clear()
-            self.update(self.fixed)
         unknown = parts.difference(self)
         words = {p for p in unknown if p.isalpha() and p.islower() and (p.isascii() or max(p) <= "\xff")}
         mixed = {p: PIECE.findall(p) for p in unknown.difference(words) if PIECES.fullmatch(p)}

@@ -338,6 +338,40 @@ def test_packing_looks_distinct_parts_up_once_and_keeps_the_plain_ids(monkeypatc
             assert [np.frombuffer(ids.as_buffer(), known.dtype).tolist() for ids in found] == expected
 
 
+def test_packing_remembers_a_bounded_number_of_parts_and_learns_in_portions(monkeypatch):
+    learned = []
+
+    class Counted(packing.PartIds):
+        def learn(self, parts):
+            learned.append(len(parts))
+            super().learn(parts)
+
+    assert packing.REMEMBERED <= 3 << 18  # about 180 bytes each
+    monkeypatch.setattr(packing, "REMEMBERED", 600)
+    monkeypatch.setattr(packing, "PORTION", 64)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(path)
+    known = Counted(path)
+    for k in range(8):
+        texts = [f"often seen, word{chr(97 + k)}{chr(97 + i)}x rest-{chr(97 + k)}{i % 9}." for i in range(26)] * 8
+        texts += ["".join(chr(97 + (i * 7 + k * j) % 26) for j in range(1, 9)) + "." for i in range(200)]
+        expected = [whole.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        found = known.ids(texts)
+        assert [np.frombuffer(ids.as_buffer(), known.dtype).tolist() for ids in found] == expected
+        assert len(known) <= 600 + 300 and "often" in known and "seen" in known
+    assert max(learned) <= 64
+
+
+def test_near_dedup_leaves_no_words_with_the_worker():
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two three four five six", None]})
+    assert minhash.REMEMBERED <= 1 << 18  # about 200 bytes each
+    for task in (minhash._signer(29, 4), minhash._whole_sets):
+        steps = task(iter([rows.slice(0, 1)]))
+        assert next(steps).num_rows == 1 and len(minhash._hash_of) > 0
+        assert list(steps) == [] and not minhash._hash_of
+
+
 def test_packing_checksums_are_those_of_the_pieces(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, rng.choice((2, 300, 2500))), rng.choice("aab")) for i in range(40)] + [(7, None, None)]
