@@ -24,9 +24,9 @@ MISS = 2.5e-7
 #: Slots of a signature, unless one slot per band needs more.
 SLOTS = 130
 #: Shingles whose signatures are computed together.
-CHUNK = 1 << 17
+CHUNK = 1 << 15
 #: Words whose hashes a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD1342543DE82EF95)

@@ -31,9 +31,9 @@ MARKS = (",", ".")
 PIECE = re.compile("[a-zß-öø-ÿªºµ]+|[0-9²³¹¼½¾]|[!-&(-/:-@[-`{-~¡-©«¬®-±´¶-¸»¿×÷]+")
 PIECES = re.compile(f"(?:{PIECE.pattern})+")
 #: White-space separated parts whose ids a task remembers, and text read between look-ups.
-REMEMBERED, TOGETHER = 3 << 18, 8 << 20
+REMEMBERED, TOGETHER = 170 << 10, 1 << 20
 #: Parts whose ids are learned at once: the tokenizer's answer takes several times the room of the ids.
-PORTION = 1 << 15
+PORTION = 1 << 12
 
 
 _ID = attrgetter("id")
@@ -98,7 +98,7 @@ class PartIds(dict):
     def of(self, parts: list[str]) -> list[bytes]:
         """The ids of distinct parts; those not known are learned together."""
         found = list(map(self.get, parts))
-        gaps, missing = [], []
+        used, gaps, missing = found.copy(), [], []
         for i in [i for i, ids in enumerate(found) if ids is None]:
             part = parts[i]
             if part[-1] in MARKS and part[-2:-1].isalnum() and (part.isascii() or max(part) <= "\xff"):
@@ -111,11 +111,10 @@ class PartIds(dict):
                 gaps.append((i, part, b""))
             missing.append(gaps[-1][1])
         missing = list(dict.fromkeys(missing))
-        if len(self) + len(missing) > REMEMBERED:  # only what these parts use stays
-            used = {p: self[p] for part in parts for p in (part, part[:-1]) if p in self}
+        if len(self) + len(missing) > REMEMBERED:  # only those of these parts that were known stay
             self.clear()
             self.update(self.fixed)
-            self.update(used)
+            self.update((part, ids) for part, ids in zip(parts, used) if ids is not None)
         for a in range(0, len(missing), PORTION):
             self.learn(set(missing[a:a + PORTION]))
         for i, core, mark in gaps:
@@ -124,10 +123,10 @@ class PartIds(dict):
 
     def learn(self, parts: set[str]) -> None:
         """Make parts known, from their pieces where they are in lower-case Latin-1."""
-        unknown = parts.difference(self)
+        unknown = {p for p in parts if p not in self}  # difference() would walk through all that is known
         words = {p for p in unknown if p.isalpha() and p.islower() and (p.isascii() or max(p) <= "\xff")}
         mixed = {p: PIECE.findall(p) for p in unknown.difference(words) if PIECES.fullmatch(p)}
-        pieces = {x for found in mixed.values() for x in found}.difference(self)
+        pieces = {x for found in mixed.values() for x in found if x not in self}
         words.update(x for x in pieces if x.isalpha())
         rest = list(unknown.union(pieces).difference(words, [p for p, found in mixed.items() if len(found) > 1]))
         self.update(zip(rest, self._encode(rest)))
@@ -177,6 +176,7 @@ def tokenize(path: str, end_id: int = END_ID):
                         ids,
                     ], names=["doc_id", "source", "n_tokens", "ids"])
                     start, held, size = i + 1, [], 0
+            pa.default_memory_pool().release_unused()  # workers share an executor's memory with its heap
 
     return run
 

@@ -372,6 +372,47 @@ def test_near_dedup_leaves_no_words_with_the_worker():
         assert list(steps) == [] and not minhash._hash_of
 
 
+def test_packing_forgets_and_learns_without_walking_through_all_it_knows(monkeypatch):
+    class Watched(packing.PartIds):
+        walks = 0
+
+        def __iter__(self):
+            Watched.walks += 1
+            return super().__iter__()
+
+    assert packing.REMEMBERED <= 1 << 18 and packing.TOGETHER <= 2 << 20 and packing.PORTION <= 1 << 13
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    monkeypatch.setattr(packing, "PORTION", 16)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(path)
+    known = Watched(path)
+    for k in range(6):
+        texts = [f"often, seen word{chr(97 + k)}{chr(97 + i)}x, X{i}y-{k}{i}. often. Größe, 漢{i}字" for i in range(26)] * 2
+        found = known.ids(texts)
+        expected = [whole.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert [np.frombuffer(ids.as_buffer(), known.dtype).tolist() for ids in found] == expected
+    assert Watched.walks == 0 and "seen" in known
+
+
+def test_packing_and_near_dedup_give_room_back_between_batches(monkeypatch):
+    assert minhash.CHUNK <= 1 << 15 and minhash.REMEMBERED <= 1 << 17
+    rng = random.Random(11)
+    rows = pa.RecordBatch.from_pydict({
+        "doc_id": list(range(40)), "source": ["a"] * 40, "text": [prose(rng, 300) for _ in range(40)]})
+
+    def parts_of(batches, *names):
+        return [tuple(b.column(n)[i].as_py() for n in names) for b in batches for i in range(b.num_rows)]
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    once = parts_of(packing.tokenize(path)(iter([rows])), "doc_id", "n_tokens", "ids")
+    signed = parts_of(minhash._signer(29, 4)(iter([rows])), "doc_id", "n_shingles", "node", "bands")
+    monkeypatch.setattr(packing, "TOGETHER", 1 << 11)
+    monkeypatch.setattr(minhash, "CHUNK", 1 << 9)
+    assert parts_of(packing.tokenize(path)(iter([rows])), "doc_id", "n_tokens", "ids") == once
+    assert parts_of(minhash._signer(29, 4)(iter([rows])), "doc_id", "n_shingles", "node", "bands") == signed
+
+
 def test_packing_checksums_are_those_of_the_pieces(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, rng.choice((2, 300, 2500))), rng.choice("aab")) for i in range(40)] + [(7, None, None)]
