@@ -313,6 +313,54 @@ def test_work_plan_is_dealt_to_as_many_tasks_as_its_units_need(spark, monkeypatc
         (c, e, k) for c in range(38) for e in range(9) if e % 3 < 2 for k in range(1, 2 + e % 3))
 
 
+def test_written_work_plan_takes_a_few_bits_a_unit(spark, tmp_path):
+    from gradelake.operators import joins
+
+    # More candidates than a dictionary page holds, with ids far apart.
+    candidates = spark.range(140_000).selectExpr(
+        "1 AS run_id", "id * 7919 % 99999989 AS candidate_id", "id AS candidate_seq", "concat('p', id % 2) AS pack")
+    examples = spark.range(24).selectExpr("concat('p', id % 2) AS pack", "id * 104729 AS example_id", "2 AS n")
+    path = str(tmp_path / "plan")
+    joins.work_plan(candidates, examples, F.col("n")).select("candidate_id", "example_id", "repetition").write.parquet(path)
+    got = spark.read.parquet(path)
+    assert got.count() == got.distinct().count() == 140_000 * 12 * 2
+    held = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
+    assert held < 140_000 * 12 * 2
+
+
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_work_plan_keeps_repeated_and_null_rows(spark, monkeypatch, most):
+    from gradelake.operators import joins
+
+    monkeypatch.setattr(joins, "CANDIDATE_BYTES", most)
+    monkeypatch.setattr(joins, "UNITS_A_TASK", 500)
+    monkeypatch.setattr(joins, "LISTED", 16)
+    candidates = spark.range(90).selectExpr(
+        "id % 7 AS run_id", "nullif(id % 40, 5) AS candidate_id", "id AS candidate_seq",
+        "CASE id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'alone' END AS pack")
+    examples = spark.range(100).selectExpr(
+        "CASE id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'unused' WHEN 3 THEN 'a' END AS pack",
+        "concat('e', nullif(id % 20, 3)) AS example_id", "nullif(CAST(id % 6 AS INT), 4) - 1 AS n")
+    want = candidates.join(examples, "pack").select(
+        "run_id", "candidate_id", "candidate_seq", "pack", "example_id",
+        F.explode(F.sequence(F.lit(1), F.col("n"))).alias("repetition"), F.lit("pending").alias("status"))
+    got = joins.work_plan(candidates, examples, F.col("n"))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert joins.work_plan(candidates, examples.filter("pack = 'unused'"), F.col("n")).isEmpty()
+
+
+def test_work_plan_deals_examples_before_they_are_repeated(spark):
+    from gradelake.operators import joins
+
+    candidates = spark.range(4).selectExpr("1 AS run_id", "id AS candidate_id", "id AS candidate_seq", "'p' AS pack")
+    examples = spark.range(3000).selectExpr("'p' AS pack", "id AS example_id", "CAST(499 + id % 3 AS INT) AS n")
+    plan = joins.work_plan(candidates, examples, F.col("n"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert 0 < text.index("explode(sequence") < text.index("REPARTITION_BY_NUM")
+    assert plan.count() == 4 * 3000 * 500
+
+
 def test_journal_keeps_text_run_ids_and_compacts(spark, tmp_path):
     path = str(tmp_path / "journal")
 
